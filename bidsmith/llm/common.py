@@ -116,5 +116,5 @@ def batched(frames: Iterator, size: int) -> Iterator:
             continue
         lengths = pdf["text"].str.len().fillna(0).to_numpy(dtype=np.int64)
         piece = np.cumsum(lengths) // size
-        for start, end in zip(starts := np.flatnonzero(np.diff(piece, prefix=-1)), [*starts[1:], len(pdf)], strict=True):
+        for start, end in zip(starts := np.flatnonzero(np.diff(piece, prepend=-1)), [*starts[1:], len(pdf)], strict=True):
             yield pdf.iloc[start:end]

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidsmith.llm import quality, sharding
+from bidsmith.llm import near_dup, quality, sharding
 from bidsmith.llm.common import documents
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), percent=85, width=5)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -17,5 +21,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"), 16, "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup, op7_quality_rules, op9_sharding)}
 ORACLES: dict[str, str] = {}
