@@ -1,15 +1,19 @@
-"""What the training-data operators share: the shared folder, lineage cuts, word shingles."""
+"""What the training-data operators share: the shared folder, lineage cuts, batches of texts."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of all word rules here; bytes.split() without arguments splits at the same characters.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -62,59 +66,38 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-_HASHES: dict[bytes, int] = {}
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the memo is emptied when it holds 400,000 words, so memory stays bounded."""
-    import xxhash
-
-    memo = _HASHES
-    if len(memo) > 400_000:
-        memo.clear()
-    get, h = memo.get, xxhash.xxh3_64_intdigest
-    out = np.empty(len(words), np.uint64)
-    missing = [(i, w) for i, w in enumerate(words) if w not in memo]
-    for _, w in missing:
-        memo[w] = h(w)
-    out[:] = np.fromiter(map(get, words), np.uint64, len(words))
-    return out
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, element by element."""
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return h
-
-
-def shingle_hashes(h: np.ndarray, width: int = 5) -> np.ndarray:
-    """Hashes of every window of width words, in order; of the whole sequence where it is shorter, none without words."""
-    n = len(h)
-    if not n:
-        return np.empty(0, np.uint64)
-    if n < width:
-        out = np.uint64(n)
-        with np.errstate(over="ignore"):
-            for k, x in enumerate(h):
-                out = out * np.uint64(_MIX[0]) + x * np.uint64(_MIX[1 + k % 6])
-        return mix(np.array([out], np.uint64))
-    out = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        out += h[k : n - width + 1 + k] * np.uint64(_MIX[k % 7]) ^ (h[k : n - width + 1 + k] >> np.uint64(29 + k))
-    return mix(out)
-
-
-def batched(frames: Iterator, size: int) -> Iterator:
-    """Pandas batches, cut so that the texts of each hold about size characters."""
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        lengths = pdf["text"].str.len().fillna(0).to_numpy(dtype=np.int64)
-        piece = np.cumsum(lengths) // size
-        for start, end in zip(starts := np.flatnonzero(np.diff(piece, prepend=-1)), [*starts[1:], len(pdf)], strict=True):
-            yield pdf.iloc[start:end]
+def annotate(docs: DataFrame, score: Callable[..., dict[str, Any]], fields: str, keep: list[str] | None = None, size: int = 3_000_000, text: str = "text") -> DataFrame:
+    """docs with columns that score computes from the texts, batch by batch, in Arrow.
+
+    score gets the texts of a batch (about size UTF-8 bytes; a longer text is a batch of its own)
+    and their record batch, and returns one sequence for each name in fields (a DDL string).
+    keep: the columns of docs to pass on, all by default. A new column replaces one of docs
+    that has its name, in any letter case.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = StructType.fromDDL(fields)
+    names = {f.name.lower() for f in added}
+    kept = [f for f in docs.schema if f.name.lower() not in names and (keep is None or f.name in keep)]
+    schema = StructType([*kept, *added])
+    arrow, own = to_arrow_schema(schema), [f.name for f in kept]
+    source = docs if keep is None else docs.select(*dict.fromkeys([*own, text]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, text, size):
+                new = score(part.column(text).to_pylist(), part)
+                columns = [part.column(n) for n in own] + [x if isinstance(x := new[f.name], pa.Array) else pa.array(x, arrow.field(f.name).type) for f in added]
+                yield pa.RecordBatch.from_arrays([c.cast(t) if c.type != t else c for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def pieces(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch, cut so that the texts of each piece hold about size bytes."""
+    if not batch.num_rows:
+        return
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.flatnonzero(np.diff(np.cumsum(lengths.astype(np.int64)) // size)) + 1
+    for a, b in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)

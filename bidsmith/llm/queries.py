@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidsmith.llm import near_dup, quality, sharding
+from bidsmith.llm import decontaminate, near_dup, quality, sharding
 from bidsmith.llm.common import documents
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leak_pairs(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), percent=85, width=5)
 
@@ -21,5 +25,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"), 16, "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op6_minhash_near_dedup, op7_quality_rules, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op9_sharding)}
 ORACLES: dict[str, str] = {}

@@ -6,6 +6,7 @@ import numpy as np
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PARTS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,13 +41,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch of texts (null: none): hash of each lower-cased (A-Z) word, byte span, and the text it is in."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], marks: bool = True):
+        """marks: ASCII punctuation belongs to words; otherwise it parts them."""
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(raw) + b"\n"
         lengths = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
         self.text_start = np.concatenate(([0], np.cumsum(lengths)))[: len(raw)]
         chars = np.frombuffer(self.data, np.uint8)
-        space = _SPACE[chars]
+        space = (_SPACE if marks else _PARTS)[chars]
         edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
         self.start, self.end = edge[::2], edge[1::2]
         if not len(raw):
