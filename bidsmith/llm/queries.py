@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidsmith.llm import decontaminate, near_dup, quality, sharding
+from bidsmith.llm import decontaminate, near_dup, quality, sampling, secrets, sharding, token_counts
 from bidsmith.llm.common import documents
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file; every executor has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_pairs(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
 
@@ -25,5 +40,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"), 16, "bytes")
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op9_sharding)}
+def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op9_sharding, op10_sentencepiece_sampling)}
 ORACLES: dict[str, str] = {}
