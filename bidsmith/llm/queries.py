@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bidsmith.llm import decontaminate, near_dup, quality, sampling, secrets, sharding, token_counts
+from bidsmith.llm import decontaminate, near_dup, quality, sampling, secrets, sharding, token_counts, token_ids
 from bidsmith.llm.common import documents
 
 
@@ -19,6 +19,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
 
 
+def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(documents(spark, sf_dir, "doc_id", "text"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
 
@@ -44,5 +48,5 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_token_counts, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op9_sharding, op10_sentencepiece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op9_sharding, op10_sentencepiece_sampling)}
 ORACLES: dict[str, str] = {}
