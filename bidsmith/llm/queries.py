@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bidsmith.llm import decontaminate, near_dup, quality, sampling, secrets, sharding, token_counts, token_ids
-from bidsmith.llm.common import documents
+from bidsmith.llm import decontaminate, near_dup, quality, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm.common import documents, fold
 
 
 def tokenizer(name: str) -> str:
@@ -40,6 +41,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    scored = toxicity.with_toxicity(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), ["doc_id"])
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir, "doc_id", "text"), 16, "bytes")
 
@@ -48,5 +55,5 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op9_sharding, op10_sentencepiece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op8_toxicity, op9_sharding, op10_sentencepiece_sampling)}
 ORACLES: dict[str, str] = {}

@@ -3,10 +3,10 @@
 The kernel of two strings counts their common subsequences of three characters, each occurrence
 weighed by DECAY to the power of its span; between its characters up to GAP - 1 others may
 stand, so inserted or dropped characters cost a share of the weight only. Strings are the
-words of a sentence, with end marks; a run of single characters parted by spaces is one word. A
+words of a sentence, with end marks; without ASCII punctuation; a run of single characters parted by spaces is one word. A
 sentence, and a document, is as toxic as its worst word: labels belong to documents, so training
 alternates between choosing the words that carry a positive label and fitting the machine
-(multiple-instance learning).
+(multiple-instance learning); chosen words also count with a character put in or left out.
 
 Nyström: with landmarks L, f(x) = w . K(L,L)^-1/2 k(L,x). As k is an inner product of subsequence
 counts, that is one weight a subsequence: documents are scored by adding up weights, exactly.
@@ -36,6 +36,8 @@ from bidsmith.llm.common import annotate, fold, small_batches
 GAP, DECAY, SIGNS = 3, 0.7, 64
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
 _SPACED = re.compile(r"(?<!\S)\S(?:[\x20\x09-\x0D]\S){2,}(?!\S)")
+_TRIM = "".join(chr(c) for c in range(9, 127) if not chr(c).isalnum() and (c < 14 or c >= 32))
+_EDGE = r"[!-/:-@\[-`{-~]*[\x20\x09-\x0D]+[!-/:-@\[-`{-~]*"
 _MANY = r"(^|\s)[^\s]\s[^\s]\s[^\s](\s|$)"
 #: Character classes: letters a-z, digits, other letters of Latin scripts by place, the rest.
 _CLASS = np.full(0x250, 59, np.int64)
@@ -145,7 +147,7 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         a, b, c = self.logistic
-        x = np.clip(self.worst(texts), HARMLESS, 3)
+        x = np.clip(self.worst(texts), HARMLESS, 1)
         return 1 / (1 + np.exp(-(x[:, 0] * a + x[:, 1] * b + c)))
 
 
@@ -155,12 +157,20 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     spaced = pc.fill_null(pc.match_substring_regex(texts, _MANY), False).to_numpy(zero_copy_only=False)
     if spaced.any():
         texts = pa.array([_SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), t) if s else t for t, s in zip(texts.to_pylist(), spaced, strict=True)], pa.large_string())
-    lists = pc.split_pattern_regex(pc.fill_null(pc.ascii_trim_whitespace(texts), ""), r"[\x20\x09-\x0D]+")
+    lists = pc.split_pattern_regex(pc.fill_null(pc.ascii_trim(texts, _TRIM), ""), _EDGE)
     count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
+    coded = pc.replace_substring_regex(lists.flatten(), r"[!-/:-@\[-`{-~]+", "").dictionary_encode()
     return count, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
 
 
+def _bent(word: str, draw: np.random.Generator) -> str:
+    """The word with one character put in or left out."""
+    if len(word) < 4:
+        return word
+    at = int(draw.integers(1, len(word)))
+    return word[:at] + chr(int(draw.integers(97, 123))) + word[at:] if draw.random() < 0.7 else word[: at - 1] + word[at:]
+
+
 def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int = 3, seed: int = 3) -> Model | None:
     """The machine from (text, label) rows."""
     draw = np.random.default_rng(seed)
@@ -174,6 +184,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
     for b, label in zip(bags, y, strict=True):
         (bad if label else good).update(b.tolist())
     odds = np.array([np.log((bad[i] + 0.1) / y.sum()) - np.log((good[i] + 0.1) / (1 - y).sum()) + (np.log(bad[i]) if bad[i] > 1 else -2) for i in range(len(names))])
+    telling = np.array([bad[i] >= 3 and bad[i] / y.sum() >= 10 * (good[i] + 0.5) / (1 - y).sum() for i in range(len(names))])
     common = [i for i, _ in good.most_common(3000)]
     harmless = np.unique(np.concatenate([common, draw.permutation(np.fromiter(good, np.int64, len(good)))[:6000]]).astype(np.int64))
     score = odds
@@ -181,9 +192,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
         chosen = Counter()
         for b, label in zip(bags, y, strict=True):
             if label and len(b):
-                top = b[np.argmax(score[b])]
-                if step == 0 or score[top] > -0.5:
-                    chosen[int(top)] += 1
+                tops = b[np.argsort(-score[b])[:6]]
+                chosen.update(int(i) for k, i in enumerate(tops) if k == 0 and (step == 0 or score[i] > -0.5) or telling[i])
         positive = np.array([i for i in chosen if good[i] <= 0.2 * bad[i]], np.int64)
         if not len(positive):
             positive = np.array(list(chosen), np.int64)
@@ -199,10 +209,13 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
             values, vectors = np.linalg.eigh(own)
             half = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
         rows_in = [*positive.tolist(), *harmless.tolist()]
+        bent = [_bent(names[i], draw) for i in positive.tolist() for _ in range(2)]
         z = np.vstack([gram(features([names[i] for i in rows_in[k : k + 1000]]), marks) for k in range(0, len(rows_in), 1000)]) @ half
-        target = np.array([1.0] * len(positive) + [-1.0] * len(harmless))
+        z = np.vstack([z, gram(features(bent), marks) @ half])
+        target = np.array([1.0] * len(positive) + [-1.0] * len(harmless) + [1.0] * len(bent))
         many = np.array([min(chosen[i], 20) for i in positive.tolist()] + [1.0] * len(harmless), float)
         many[: len(positive)] *= len(harmless) / many[: len(positive)].sum() / 4
+        many = np.append(many, np.repeat(many[: len(positive)] / 2, 2))
         w = svm(z, target, many)
         table = np.zeros(SIGNS**3)
         for m, v in zip(marks, half @ w[:-1], strict=True):
@@ -210,14 +223,20 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
                 table[c] += v * x
         model = Model(table, float(w[-1]), (1.0, 0.0, 0.0))
         score = model.words(names)
-    x = np.clip(model.worst(pa.array([t for t, _ in rows], pa.string())), HARMLESS, 3)
+    x = np.clip(model.worst(pa.array([t for t, _ in rows], pa.string())), HARMLESS, 1)
     z = np.hstack([x, np.ones((len(x), 1))])
-    balance = np.where(y == 1, (1 - y).sum() / max(y.sum(), 1), 1.0)
-    w = np.zeros(3)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-z @ w))
-        grad = z.T @ (balance * (p - y)) + 0.1 * w
-        w -= np.linalg.solve((z * (balance * p * (1 - p) + 1e-9)[:, None]).T @ z + 0.1 * np.eye(3), grad)
+    balance = np.where(y == 1, np.sqrt((1 - y).sum() / max(y.sum(), 1)), 1.0)
+    free = [0, 1, 2]
+    while True:  # a worse word never lowers the score: negative coefficients are left out
+        w = np.zeros(3)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-z @ w))
+            grad = (z.T @ (balance * (p - y)) + 0.1 * w)[free]
+            w[free] -= np.linalg.solve((z[:, free] * (balance * p * (1 - p) + 1e-9)[:, None]).T @ z[:, free] + 0.1 * np.eye(len(free)), grad)
+        bent = [i for i in free if i < 2 and w[i] < 0]
+        if not bent:
+            break
+        free.remove(bent[0])
     return Model(table, model.bias, tuple(w))
 
 
