@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidsmith.llm import decontaminate, near_dup, quality, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm import decontaminate, language_model, near_dup, quality, sampling, secrets, sharding, token_counts, token_ids, toxicity
 from bidsmith.llm.common import documents, fold
 
 
@@ -32,6 +32,10 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leak_pairs(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(documents(spark, sf_dir, "doc_id", "text"), modulus=7, held=2)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), percent=85, width=5)
 
@@ -55,5 +59,5 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op6_minhash_near_dedup, op7_quality_rules, op8_toxicity, op9_sharding, op10_sentencepiece_sampling)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op5_lm_scoring, op6_minhash_near_dedup, op7_quality_rules, op8_toxicity, op9_sharding, op10_sentencepiece_sampling)}
 ORACLES: dict[str, str] = {}
