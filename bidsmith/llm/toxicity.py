@@ -262,3 +262,10 @@ def with_toxicity(docs: DataFrame, model: Model | None, keep: list[str] | None =
         return {"score": shared.value.score(texts) if shared.value else np.zeros(len(texts))}
 
     return annotate(docs, score, "score double", keep)
+
+
+def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
+    """docs without the documents that score threshold or more, columns unchanged."""
+    own = docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs
+    kept = with_toxicity(own, model).where(F.col("score") < threshold).drop("score")
+    return kept.withColumnRenamed("_own_score", "score").select(*docs.columns)
