@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+from bidsmith.plans import awards, lookups, streams, texts, trades  # noqa: F401  they register their queries
+from bidsmith.plans.registry import ORACLES, QUERIES  # noqa: F401
