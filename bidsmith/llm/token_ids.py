@@ -7,7 +7,7 @@ closes at the first document end after BLOCK ids. Spark's own writer commits the
 twice leaves one copy, and any store that Spark writes to will do.
 
 Tokenizing goes by the words between spaces, which the pre-tokenizer never joins: the
-library encodes each distinct word once while a worker's bounded memo holds it. A text with a
+library encodes each distinct word once while a worker's bounded memo holds it, many in a row. A text with a
 space before white space or at its end is encoded whole.
 
 Defined results: null counts as the empty text; every text gets the end id; rows with a null
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from bidsmith.llm.common import annotate, cut, partitions, shared_dir, small_batches
 from bidsmith.llm.huffman import Code, lengths
 
-BLOCK, MEMO = 50_000, 300_000
+BLOCK, MEMO = 50_000, 500_000
 _WHOLE = r" ([\s\x0b\x1c-\x1f\x{85}\pZ]|$)"
 
 
@@ -43,20 +43,79 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_MEMO: dict[str, np.ndarray] = {}
+class Memo:
+    """Ids of words that a worker has met, in one array; at MEMO words, those met in one batch only are dropped."""
+
+    def __init__(self, path: str):
+        self.path, self.own = path, tokenizer(path)
+        vocabulary = self.own.get_vocab(with_added_tokens=True)
+        self.wide = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: one a character of its name
+        self.wide[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.begin, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.place)
+        while n + len(words) > len(self.begin):
+            self.begin, self.size, self.met = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.size, self.met))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(words)] = sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def shrink(self) -> None:
+        """Keep the words met in more than one batch; none, if those are more than half."""
+        words, often = list(self.place), np.flatnonzero(self.met[: len(self.place)] > 1)
+        begin, size, flat = self.begin[often], self.size[often], self.flat
+        self.clear()
+        if 2 * len(often) <= MEMO and len(often):
+            ends = np.cumsum(size)
+            ids = flat[np.arange(ends[-1]) - np.repeat(ends - size - begin, size)]
+            self._keep([words[i] for i in often.tolist()], size, ids)
+            self.met[: len(often)] = 1
+
+    def add(self, words: list[str]) -> None:
+        """Encode words that aren't held. Those that start with a space and a non-space can be encoded in a row,
+        as none is joined with what stands before it; bytes tell which ids are whose."""
+        row = [w for w in words if w[0:1] == " " and len(w) > 1 and self.plain(w)]
+        for i in range(0, len(row), 20_000):
+            part = row[i : i + 20_000]
+            ids = np.array(self.own.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            cuts = np.searchsorted(np.cumsum(self.wide[ids]), ends) + 1
+            self._keep(part, np.diff(cuts, prepend=0), ids)
+        rest = [w for w in words if w not in self.place]
+        if rest:
+            found = [e.ids for e in self.own.encode_batch_fast(rest, add_special_tokens=False)]
+            self._keep(rest, np.array(list(map(len, found)), np.int64), np.array([i for x in found for i in x], np.uint32))
+
+    @staticmethod
+    def plain(word: str) -> bool:
+        """No special token's string may be in a row of words."""
+        return "<|" not in word
+
+    def get(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where in `flat` each word's ids begin, and how many there are."""
+        if len(self.place) > MEMO:
+            self.shrink()
+        place = self.place
+        if missing := [w for w in words if w not in place]:
+            self.add(missing)
+        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self.met[at] += 1
+        return self.begin[at], self.size[at]
 
 
-def encoded(words: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each string, from the memo or the library."""
-    if len(_MEMO) > MEMO:
-        _MEMO.clear()
-    own = tokenizer(path)
-    missing = [w for w in words if w not in _MEMO]
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        for w, e in zip(part, own.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            _MEMO[w] = np.array(e.ids, np.uint32)
-    return [_MEMO[w] for w in words]
+@cache
+def memo(path: str) -> Memo:
+    return Memo(path)
 
 
 def tokenize(texts: pa.Array, path: str, end_id: int | None) -> list[np.ndarray]:
@@ -69,18 +128,31 @@ def tokenize(texts: pa.Array, path: str, end_id: int | None) -> list[np.ndarray]
     number, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
     first = np.cumsum(count) - count
     number[first] += len(names)
-    used, number = np.unique(number, return_inverse=True)
-    ids = encoded([names[k - len(names)] if k >= len(names) else " " + names[k] for k in used.tolist()], path)
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat, begin = np.concatenate(ids) if ids else np.empty(0, np.uint32), np.cumsum(size) - size
-    n = size[number]
-    ends = np.cumsum(n)
-    all_ids = flat[np.arange(n.sum()) - np.repeat(ends - n - begin[number], n)]
-    edges = np.concatenate(([0], ends))
-    out = [all_ids[a:b] for a, b in zip(edges[first], edges[first + count], strict=True)]
+    seen = np.bincount(number, minlength=2 * len(names)) > 0
+    used = np.flatnonzero(seen)
+    held = memo(path)
+    place, wide = held.get([names[k - len(names)] if k >= len(names) else " " + names[k] for k in used.tolist()])
+    begin, size, flat = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), held.flat
+    begin[used], size[used] = place, wide
+    n = size[number].astype(np.int32)
+    if end_id is None:
+        shift, added = n, 0
+    else:  # one place more after each text, which the end id gets
+        last = (first + count - 1)
+        shift, added = n.copy(), 1
+        shift[last] += 1
+    ends = np.cumsum(shift, dtype=np.int64)
+    at = np.repeat((begin[number] - (ends - shift)).astype(np.int32), shift)
+    at += np.arange(len(at), dtype=np.int32)
+    all_ids = flat[np.minimum(at, len(flat) - 1)] if added else flat[at]
+    stops = ends[first + count - 1]
+    if added:
+        all_ids[stops - 1] = end_id
+    out = [all_ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
     for i in np.flatnonzero(whole):
-        out[i] = np.array(tokenizer(path).encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
-    return out if end_id is None else [np.append(x, np.uint32(end_id)) for x in out]
+        ids = tokenizer(path).encode(texts[int(i)].as_py(), add_special_tokens=False).ids
+        out[i] = np.array(ids if end_id is None else [*ids, end_id], np.uint32)
+    return out
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
@@ -90,7 +162,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
         ids = tokenize(part.column("text"), path, end_id)
         return {"n_tokens": list(map(len, ids)), "ids": [pressed(x) for x in ids]}
 
-    return annotate(docs, score, "n_tokens bigint, ids binary", ["doc_id"], 2_000_000)
+    return annotate(docs, score, "n_tokens bigint, ids binary", ["doc_id"], 5_000_000)
 
 
 def pressed(ids: np.ndarray) -> bytes:
