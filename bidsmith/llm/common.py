@@ -66,6 +66,14 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with marks before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def annotate(docs: DataFrame, score: Callable[..., dict[str, Any]], fields: str, keep: list[str] | None = None, size: int = 3_000_000, text: str = "text") -> DataFrame:
     """docs with columns that score computes from the texts, batch by batch, in Arrow.
 

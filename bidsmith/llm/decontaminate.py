@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import annotate, small_batches
+from bidsmith.llm.common import annotate, free_name, small_batches
 from bidsmith.llm.text import Words
 
 BITS, BLOCKS, RADIUS, ITEMS, WIDTH = 128, 8, 31, 1000, 5
@@ -151,25 +151,25 @@ def _made(items: list) -> Index:
     return _MADE[key]
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, keep: list[str] | None = None) -> DataFrame:
-    """docs with an array column `leaks`: item_id, similarity, first word and length of the best window."""
+def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, keep: list[str] | None = None, name: str = "leaks") -> DataFrame:
+    """docs with an array column: item_id, similarity, first word and length of each leaked item's best window."""
     small_batches(docs.sparkSession)
     slices = indexes(benchmark)
 
     def score(texts, _):
         found = [leaks(texts, _made(s), similarity) for s in slices]
-        return {"leaks": [sum(x, []) for x in zip(*found, strict=True)]}
+        return {name: [sum(x, []) for x in zip(*found, strict=True)]}
 
-    return annotate(docs, score, f"leaks {LEAKS}", keep)
+    return annotate(docs, score, f"`{name}` {LEAKS}", keep)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs without the documents in which a benchmark item leaks, columns unchanged."""
-    marked = with_leaks(docs.withColumn("_text", F.col("text")), benchmark, similarity)
-    return marked.where(F.size("leaks") == 0).select(*docs.columns)
+    name = free_name(docs, "leaks")
+    return with_leaks(docs, benchmark, similarity, name=name).where(F.size(name) == 0).select(*docs.columns)
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row for each document and item that leaks into it."""
-    found = with_leaks(docs, benchmark, similarity, ["doc_id"])
+    found = with_leaks(docs.select("doc_id", "text"), benchmark, similarity, ["doc_id"])
     return found.select("doc_id", F.inline("leaks"))

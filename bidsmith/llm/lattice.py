@@ -22,6 +22,19 @@ UNITS, UNKNOWN = 256, 10 * 256
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
+def _step(h, code):
+    """The hash of a string from that of all but its last character."""
+    h = (h ^ (code + np.uint64(0x9E3779B9))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _hash(text: str) -> np.uint64:
+    h = np.zeros(1, np.uint64)
+    for c in text:
+        h = _step(h, np.uint64(ord(c)))
+    return h[0]
+
+
 class Pieces:
     """The vocabulary of a model file, with an Aho-Corasick automaton over its pieces."""
 
@@ -50,10 +63,43 @@ class Pieces:
                 self.score[i] = -round(UNITS * np.log(rank + 2))
                 rank += 1
         self.automaton.make_automaton()
+        normal = np.flatnonzero(self.length[:-1])
+        with np.errstate(over="ignore"):
+            keys = np.array([_hash(self.text[i].decode()) for i in normal], np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], normal[order].astype(np.int32)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[keys >> np.uint64(44)] = True
         self.score[-1] = self.score.min() - UNKNOWN  # at -1: an unknown character
         self.length[-1] = 1
 
 
+    def enumerated(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """(end, piece) of every match, by end, the longest first: from the automaton."""
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int32).reshape(-1, 2)
+        return found[:, 0] + 1, found[:, 1]
+
+    def looked_up(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """The same matches, from hashes of all substrings that are no longer than a piece."""
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        at, h, ends, found = np.flatnonzero(codes), None, [], []
+        with np.errstate(over="ignore"):
+            for n in range(1, int(self.length.max()) + 1):
+                if n > 1:
+                    inside = at + n <= len(codes)
+                    inside[inside] = codes[at[inside] + n - 1] > 0
+                    at, h = at[inside], h[inside]
+                h = _step(np.zeros(len(at), np.uint64) if h is None else h, codes[at + n - 1])
+                near = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                place = np.minimum(np.searchsorted(self.keys, h[near]), len(self.keys) - 1)
+                hit = self.keys[place] == h[near]
+                ends.append((at[near[hit]] + n).astype(np.int32))
+                found.append(self.ids[place[hit]])
+        end, piece = np.concatenate(ends[::-1]), np.concatenate(found[::-1])
+        order = np.argsort(end, kind="stable")
+        return end[order], piece[order]
+
+
 @cache
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -78,15 +124,15 @@ def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 class Lattice:
     """All pieces' matches in words (each after its space). Node numbers are places in the joined words."""
 
-    def __init__(self, own: Pieces, words: list[str]):
+    def __init__(self, own: Pieces, words: list[str], automaton: bool = True):
+        """automaton: matches come from Aho-Corasick, else from hashes; they are the same."""
         self.pieces = own
         joined = "\0".join(" " + w for w in words)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 1
         self.base = np.cumsum(size + 1) - size - 1
         self.last = self.base + size
         self.joined = joined
-        found = np.fromiter(chain.from_iterable(own.automaton.iter(joined)), np.int32).reshape(-1, 2)
-        end, piece = found[:, 0] + 1, found[:, 1]
+        end, piece = own.enumerated(joined) if automaton else own.looked_up(joined)
         length = own.length[piece]
         alone = np.zeros(len(joined) + 1, bool)
         alone[self.last] = True

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidsmith.llm import lattice
-from bidsmith.llm.common import annotate, small_batches
+from bidsmith.llm.common import annotate, free_name, small_batches
 
 
 def sampled(texts: pa.Array, keys: list, path: str, sharpness: float, seed: int) -> list[np.ndarray]:
@@ -28,7 +28,7 @@ def sampled(texts: pa.Array, keys: list, path: str, sharpness: float, seed: int)
     number, words, distinct = lattice.split(texts)
     if not len(words):
         return [np.empty(0, np.int32)] * len(texts)
-    own = lattice.Lattice(lattice.pieces(path), distinct)
+    own = lattice.Lattice(lattice.pieces(path), distinct, automaton=False)
     own.weigh(sharpness)
     key = np.fromiter((-1 if k is None else zlib.crc32(str(k).encode(), seed) for k in keys), np.int64, len(keys)).astype(np.uint64)
     first = np.cumsum(number) - number
@@ -51,13 +51,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", sharpness: float = 0
         ids = sampled(texts, part.column(key).to_pylist(), path, sharpness, seed)
         return {"ids": pa.array([x if ok else None for x, ok in zip(ids, texts.is_valid().to_pylist(), strict=True)], pa.list_(pa.int32()))}
 
-    return annotate(docs, score, "ids array<int>", None, 1_500_000)
+    return annotate(docs, score, "ids array<int>", None, 2_500_000)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """rows with `decoded`: the text of their ids; null ids give null."""
-    own = rows.withColumn("_none", F.lit(None).cast("string"))
-    return annotate(own, lambda _, part: {"decoded": [None if x is None else lattice.decode(lattice.pieces(path), np.array(x)) for x in part.column("ids").to_pylist()]}, "decoded string", rows.columns, text="_none")
+    none = free_name(rows, "none")
+    return annotate(rows.withColumn(none, F.lit(None).cast("string")), lambda _, part: {"decoded": [None if x is None else lattice.decode(lattice.pieces(path), np.array(x)) for x in part.column("ids").to_pylist()]}, "decoded string", rows.columns, text=none)
 
 
 def digests(docs: DataFrame, path: str, key: str = "doc_id", sharpness: float = 0.5, seed: int = 1) -> DataFrame:
@@ -69,4 +69,4 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", sharpness: float =
         own = lattice.pieces(path)
         return {"n_pieces": list(map(len, ids)), "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], "lossless": [t is None or lattice.decode(own, x) == t for t, x in zip(texts, ids, strict=True)]}
 
-    return annotate(docs, score, "n_pieces bigint, ids_crc32 bigint, lossless boolean", [key], 1_500_000)
+    return annotate(docs, score, "n_pieces bigint, ids_crc32 bigint, lossless boolean", [key], 2_500_000)

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import annotate, small_batches
+from bidsmith.llm.common import annotate, free_name, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -268,6 +268,6 @@ def mask_secrets(docs: DataFrame, model: Model | None = None, threshold: float =
     """docs with secrets masked in text, columns unchanged."""
     small_batches(docs.sparkSession)
     model = model or fit()
-    full = docs.select(*docs.columns, F.col("text").alias("_raw"))
-    marked = annotate(full, lambda texts, _: {"text": [masked(t, b + m) for t, (b, m) in zip(texts, scan(texts, model, threshold), strict=True)]}, "text string", docs.columns, text="_raw")
+    raw = free_name(docs, "raw")
+    marked = annotate(docs.withColumn(raw, F.col("text")), lambda texts, _: {"text": [masked(t, b + m) for t, (b, m) in zip(texts, scan(texts, model, threshold), strict=True)]}, "text string", docs.columns, text=raw)
     return marked.select(*docs.columns)

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import annotate, fold, small_batches
+from bidsmith.llm.common import annotate, fold, free_name, small_batches
 
 GAP, DECAY, SIGNS = 3, 0.7, 64
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
@@ -252,20 +252,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, modulus: int = 3
     return train(sampled(docs, labels, sample, modulus, held))
 
 
-def with_toxicity(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:
-    """docs with `score`, from 0 to 1."""
+def with_toxicity(docs: DataFrame, model: Model | None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """docs with a score from 0 to 1."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
 
     def score(_, part):
         texts = part.column("text")
-        return {"score": shared.value.score(texts) if shared.value else np.zeros(len(texts))}
+        return {name: shared.value.score(texts) if shared.value else np.zeros(len(texts))}
 
-    return annotate(docs, score, "score double", keep)
+    return annotate(docs, score, f"`{name}` double", keep)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataFrame:
     """docs without the documents that score threshold or more, columns unchanged."""
-    own = docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs
-    kept = with_toxicity(own, model).where(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("_own_score", "score").select(*docs.columns)
+    name = free_name(docs, "score")
+    return with_toxicity(docs, model, name=name).where(F.col(name) < threshold).select(*docs.columns)
