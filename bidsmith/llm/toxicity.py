@@ -35,7 +35,7 @@ from bidsmith.llm.common import annotate, fold, free_name, small_batches
 
 GAP, DECAY, SIGNS = 3, 0.7, 64
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
-_SPACED = re.compile(r"(?<!\S)\S(?:[\x20\x09-\x0D]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[\x20\x09-\x0D]\S){2,}[!-/:-@\[-`{-~]*(?!\S)")
 _TRIM = "".join(chr(c) for c in range(9, 127) if not chr(c).isalnum() and (c < 14 or c >= 32))
 _EDGE = r"[!-/:-@\[-`{-~]*[\x20\x09-\x0D]+[!-/:-@\[-`{-~]*"
 _MANY = r"(^|\s)[^\s]\s[^\s]\s[^\s](\s|$)"

@@ -1,0 +1,366 @@
+"""Each operator against a brute-force version, an exact round trip, or held-out rows."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from bidsmith.llm import decontaminate, huffman, lattice, near_dup, queries, quality, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm.common import fold_of, pieces
+from bidsmith.llm.graph import components
+from bidsmith.llm.queries import tokenizer
+
+PIECES, BPE = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def lowered(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_secrets_by_hand(spark, sf_dir, texts):
+    def spans(text):
+        out = []
+        for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
+            if len(m[2]) >= 6:
+                out.append((m.start(), 0, m.end()))
+        out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        return sorted(out)
+
+    for r in queries.op1_secret_scans(spark, sf_dir).collect():
+        want = spans(texts[r.doc_id] or "")
+        shown = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in want) for x in range(3))
+        assert r.base_sha256 == hashlib.sha256(shown.encode()).hexdigest()
+        assert set(filter(None, shown.split(","))) <= set(filter(None, r.spans.split(",")))
+
+
+def test_format_likelihood():
+    model = secrets.fit()
+    made, _ = secrets.examples(40, seed=99)
+    held = [x for v in made.values() for x in v]
+    ordinary = ["internationalization", "Donaudampfschifffahrtsgesellschaft", "thequickbrownfoxjumps", "some_long_function_name_here", "erschlichereinbelichkeit", "http://www/example/page"]
+    assert (model.score(held) > secrets.THRESHOLD).mean() > 0.95
+    assert (model.score(ordinary) <= secrets.THRESHOLD).all()
+    assert secrets.masked("a token=abcdef b", [(2, 0, 14), (8, 2, 14)]) == "a [SECRET] b"
+    found = secrets.scan(["key ghp_16C7e42F292c6912E7710c838347Ae178B4a end"], model, secrets.THRESHOLD)[0]
+    assert found[1] == [(4, 3, 44)]
+
+
+def test_automaton_gives_probabilities():
+    a = secrets.Automaton(["abab", "ab", "ababab", "a1"] * 30)
+    assert len(a.red) < 8  # the prefix tree has eight states
+    assert (np.exp(a.logp) * secrets._WIDTH).sum(axis=1).max() <= 1 + 1e-9
+
+
+def test_token_files(spark, sf_dir, texts):
+    own, start = token_ids.tokenizer(BPE), 0
+    got = sorted(queries.op2_token_id_output(spark, sf_dir).collect(), key=lambda r: r.doc_id)
+    for r in got:
+        ids = [*own.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_tokenize_odd_spaces():
+    own = token_ids.tokenizer(BPE)
+    odd = ["", " ", "  a  b ", "it's  don't \n x\n\n y", "a\n b", "x \x1fy", "a<|endoftext|> <|endoftext|>b", "tab\t tab", None, "é  ü"]
+    assert [x.tolist() for x in token_ids.tokenize(pa.array(odd), BPE, None)] == [own.encode(t or "", add_special_tokens=False).ids for t in odd]
+
+
+def test_huffman():
+    draw = np.random.default_rng(1)
+    for counts in (np.array([5, 1, 1, 2, 9, 30, 0, 4]), np.array([0, 0, 7]), 2 ** np.arange(20), draw.zipf(1.3, 3000)):
+        size = huffman.lengths(counts)
+        used = size[counts > 0].astype(float)
+        assert size.max() <= huffman.LIMIT
+        assert (2.0**-used).sum() <= 1
+        code = huffman.Code(size)
+        ids = draw.choice(np.flatnonzero(counts), 3000)
+        block = code.pack([(1, ids), (None, ids[:0]), (-3, ids[:7])])
+        back = code.unpack([block, code.pack([]), block])
+        assert [(d, x.tolist()) for d, x in back[2]] == [(1, ids.tolist()), (None, []), (-3, ids[:7].tolist())]
+    assert huffman.lengths(np.array([1, 2, 4, 8, 16, 32]), 3).tolist() == [3, 3, 3, 3, 2, 2]
+    assert (huffman.lengths(np.array([5, 1, 1, 2, 9, 30, 0, 4])) * np.array([5, 1, 1, 2, 9, 30, 0, 4])).sum() == 101
+
+
+@pytest.fixture(scope="module")
+def unigram():
+    """The library's own unigram model, with the scores that `lattice` gives by rule."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(open(PIECES, "rb").read())
+    m.trainer_spec.model_type, rank = 1, 0
+    for p in m.pieces:
+        if p.type == 1:
+            p.score, rank = -round(256 * np.log(rank + 2)) / 256, rank + 1
+    return sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
+
+
+def test_token_counts_are_the_library_s(unigram, texts):
+    short = [t for t in texts.values() if t and len(t) < 3000] + ["", " ", "  a  b ", "☃☃ x\U0001f600y", "日本語   tail  ", "aaaaaaaaaaaaaaaa"]
+    got = token_counts.counted(pa.array([*short, None]), PIECES)["n_tokens"]
+    assert got.tolist() == [*(len(unigram.encode(t)) for t in short), 0]
+
+
+def test_sampling_is_exact_and_lossless(texts):
+    own = lattice.pieces(PIECES)
+    some = [*list(texts.values())[:60], "", "  a  ", "☃\U0001f600▁", "\n\n x\t"]
+    ids = sampling.sampled(pa.array(some), list(range(len(some))), PIECES, 0.5, 1)
+    assert [lattice.decode(own, x) for x in ids] == some
+    split = sampling.sampled(pa.array(some[7:9]), [7, 8], PIECES, 0.5, 1)
+    assert all((a == b).all() for a, b in zip(split, ids[7:9], strict=True))
+    n = 20_000
+    seen = Counter(tuple(x.tolist()) for x in sampling.sampled(pa.array(["then"] * n), list(range(n)), PIECES, 0.5, 1))
+    byte = defaultdict(list)
+    for i, t in enumerate(own.text):
+        if own.length[i]:
+            byte[t.decode()].append(i)
+
+    def paths(s):
+        if not s:
+            yield (), 0.0
+        for k in range(1, len(s) + 1):
+            for i in byte.get(s[:k], []):
+                for rest, w in paths(s[k:]):
+                    yield (i, *rest), w + 0.5 * own.score[i] / lattice.UNITS
+
+    every = dict(paths(" then"))
+    total = np.logaddexp.reduce(list(every.values()))
+    assert set(seen) <= set(every)
+    assert all(abs(seen[p] / n - np.exp(w - total)) < 0.015 for p, w in every.items())
+
+
+def test_both_ways_to_match(texts):
+    own = lattice.pieces(PIECES)
+    joined = "\0".join(" " + w for t in list(texts.values())[:50] for w in (t or "").split(" ")) + "\0 日本 ☃  x"
+    for a, b in zip(own.enumerated(joined), own.looked_up(joined), strict=True):
+        assert (a == b).all()
+
+
+def test_encode_and_decode_tables(spark):
+    rows = [(1, "the cat"), (2, ""), (3, None), (None, "x  y")]
+    back = sampling.decode(sampling.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), PIECES), PIECES).collect()
+    assert {(r.doc_id, r.text) for r in back} == {(r.doc_id, r.decoded) for r in back}
+
+
+def test_leaks_by_hand(spark, sf_dir, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    parts = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    shingles = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    got = {(r.doc_id, r.item_id): r.similarity for r in queries.op4_benchmark_decontamination(spark, sf_dir).collect()}
+    want = {}
+    for i, t in items.items():
+        w = parts(t)
+        own, keys = shingles(w), set(shingles(w))
+        for d, text in texts.items():
+            words = parts(text)
+            if not any(tuple(words[k : k + 5]) in keys for k in range(len(words) - 4)):
+                continue
+            best = max((sum((own & (s := shingles(words[k : k + len(w)]))).values()) / sum((own | s).values()) for k in range(max(1, len(words) - len(w) + 1))), default=0)
+            if best >= 0.8:
+                want[d, i] = best
+    assert set(want) <= set(got)
+    assert all(got[k] >= v - 1e-9 for k, v in want.items())
+
+
+def test_multi_index_finds_all_within_the_radius():
+    draw = np.random.default_rng(2)
+    index = decontaminate.Index([(i, " ".join(f"w{x}" for x in draw.integers(0, 500, 30))) for i in range(40)])
+    prints = index.prints[draw.integers(0, 40, 300)].copy()
+    for p in prints:
+        for b in draw.choice(128, draw.integers(0, 50), replace=False):
+            p[b // 16] ^= np.uint16(1 << b % 16)
+    rows, items, gaps = index.near(prints)
+    far = np.bitwise_count(prints[:, None, :] ^ index.prints[None]).sum(axis=2)
+    assert set(zip(rows.tolist(), items.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(far <= decontaminate.RADIUS)), strict=True))
+
+
+def test_language_model(spark, sf_dir, texts):
+    tokens = {d: [*WORD.findall(lowered(t)), None] for d, t in texts.items()}
+    counts = Counter(w for d, ws in tokens.items() if fold_of(d, 7) != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    rows = queries.op5_lm_scoring(spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ws = tokens[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold_of(r.doc_id, 7) == 2, len(ws), sum(counts[w] > 0 for w in ws), n)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_near_duplicates_by_hand(spark, sf_dir, texts):
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall(lowered(t))
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by = defaultdict(list)
+    for d in sorted(sets):
+        for s in sets[d]:
+            by[s].append(d)
+    for a, b in {(a, b) for ds in by.values() for i, a in enumerate(ds[:200]) for b in ds[i + 1 : 200]}:
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    for r in queries.op6_minhash_near_dedup(spark, sf_dir).collect():
+        assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
+
+
+def test_star_of_copies(spark):
+    """Copies that are alike only through their original are one group."""
+    draw = np.random.default_rng(4)
+    base = [f"w{x}" for x in draw.integers(0, 10_000, 120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        w = list(base)
+        for p in draw.choice(len(w), 1):
+            w[p] = f"x{i}"
+        cut = int(draw.integers(0, 5))
+        rows.append((i, " ".join(w[cut : len(w) - int(draw.integers(0, 5))])))
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    alone = {d for d, s in sets.items() if not any(e != d and 100 * len(s & q) >= 85 * len(s | q) for e, q in sets.items())}
+    assert {r.doc_id for r in out if r.component_id != 0} == alone
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 103), (103, 102), (7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100, 103: 100}
+
+
+def test_statistics_by_hand(spark, sf_dir, texts):
+    for r in queries.op7_quality_rules(spark, sf_dir).collect():
+        text = texts[r.doc_id] or ""
+        w = WORD.findall(text)
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        often = Counter(windows)
+        covered = {k for i, x in enumerate(windows) if often[x] > 1 for k in range(i, i + 5)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
+        assert not (r.kept and r.base_failed)
+
+
+def test_decision_list():
+    draw = np.random.default_rng(0)
+    rows = []
+    for _ in range(600):
+        x = {f: float(draw.random()) for f in quality.FIGURES}
+        rows.append((x, int(not (x["symbols_per_word"] > 0.7 or (x["upper_share"] > 0.6 and x["chars_per_word"] > 0.5)))))
+    rules = quality.learn(rows[:400])
+    assert 1 <= len(rules) <= 12
+    wrong = sum((not any(r.covers(x) for r in rules)) != bool(y) for x, y in rows[400:])
+    assert wrong <= 16
+    assert quality.learn([]) == []
+
+
+def test_quality_keeps_good_rows(spark, sf_dir):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op7_quality_rules(spark, sf_dir).collect() if r.doc_id in labels and not r.base_failed]
+    good = [r.kept for r in rows if labels[r.doc_id] == 1]
+    assert sum(good) >= 0.97 * len(good)
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in queries.op8_toxicity(spark, sf_dir.replace("sf0.001", "sf0.01")).collect()}
+    assert len(rows) == docs.count()
+    held = [(rows[r.doc_id], r.toxic) for r in labels.collect() if fold_of(r.doc_id, 3) == 1]
+    assert all(0 <= r.score <= 1 and r.held_out for r, _ in held)
+    bad, good = [r.predicted for r, y in held if y], [r.predicted for r, y in held if not y]
+    assert sum(bad) >= 0.6 * len(bad)
+    assert sum(good) <= 0.1 * len(good)
+
+
+def test_kernel_tolerates_gaps():
+    x = toxicity.features(["idiot", "idxiot", "ixdxixoxt", "summer"])
+    own = toxicity.gram(x, x)
+    assert own[0, 1] > 2 * own[0, 3]
+    assert own[0, 2] > own[0, 3]
+    assert np.linalg.eigvalsh(own.astype(float)).min() > -1e-5
+    assert toxicity.split(pa.array(["you i d i o t! and i.d.i.o.t"]))[2] == ["you", "idiot", "and"]
+
+
+def test_shards(spark, sf_dir, texts):
+    rows = queries.op9_sharding(spark, sf_dir).collect()
+    by, groups = defaultdict(list), defaultdict(set)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law) == (len(raw) + 1, zlib.crc32(raw), "bytes")
+        by[r.shard].append(r)
+        groups[raw].add(r.shard)
+    assert all(len(s) == 1 for s in groups.values())
+    for part in by.values():
+        assert sorted(r.slot for r in part) == list(range(len(part)))
+    sizes = Counter(texts.values())
+    first = {t: min(d for d, x in texts.items() if x == t) for t in sizes}
+    order = [(len((t or "").encode()) + 1) * sizes[t] for t in sorted(sizes, key=first.get)]
+    assert max(sum(r.size for r in p) for p in by.values()) == sharding.smallest_capacity(order, 16)
+
+
+@pytest.mark.parametrize("law", ["rows", "key"])
+def test_other_laws(spark, law):
+    docs = spark.createDataFrame([(i * 7, f"t{i}") for i in range(1003)], "doc_id bigint, text string")
+    rows = sharding.shard_documents(docs, 16, law).collect()
+    by = Counter(r.shard for r in rows)
+    if law == "rows":
+        assert max(by.values()) - min(by.values()) <= 1
+        assert len(by) == 16
+    else:
+        assert all(r.grown_shard in (r.shard, 16) for r in rows)
+        assert 20 < sum(r.grown_shard == 16 for r in rows) < 110
+
+
+def test_smallest_capacity_by_hand():
+    def brute(sizes, k):
+        return sum(sizes) if k == 1 or len(sizes) <= 1 else min(max(sum(sizes[:i]), brute(sizes[i:], k - 1)) for i in range(1, len(sizes) + 1))
+
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        sizes = draw.integers(1, 20, draw.integers(1, 8)).tolist()
+        assert sharding.smallest_capacity(sizes, 3) == brute(sizes, 3)
+    assert sharding.smallest_capacity([], 3) == 0
+    assert sharding.cuts([(0, 5), (5, 5), (10, 5)], 5, 3) == [5, 10]
+
+
+def test_pieces_of_a_batch():
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "", "b" * 30, "é", "c"]})
+    parts = list(pieces(batch, "text", 12))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist()
+    assert len(parts) > 1
+    assert list(pieces(batch.slice(0, 0), "text", 12)) == []
+
+
+def test_pipeline(spark, sf_dir, texts):
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    own = lattice.pieces(PIECES)
+    assert 0 < len(rows) < len(texts)
+    for r in rows:
+        text = lattice.decode(own, np.array(r.ids or []))
+        assert text == texts[r.doc_id] or "[SECRET]" in text
+        assert not re.search("[0-9a-f]{24}|AKIA[A-Z0-9]{16}", text)
