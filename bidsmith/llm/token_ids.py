@@ -176,22 +176,32 @@ def unpressed(data: bytes, n: int) -> np.ndarray:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    if not n:
-        return np.empty(0, np.int64)
-    planes = raw.reshape(-1, n).astype(np.int64)
-    return sum(planes[k] << (8 * k) for k in range(len(planes)))
+    out = np.zeros((n, 4), np.uint8)
+    if n:
+        planes = raw.reshape(-1, n)
+        out[:, : len(planes)] = planes.T
+    return out.view("<u4").ravel()
 
 
 def counted(rows: DataFrame) -> np.ndarray:
     """How often each id occurs: a partition's counts are summed before they leave it; one row an id comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, held, n_held = np.zeros(0, np.int64), [], 0
+
+        def added() -> np.ndarray:
+            more = np.bincount(np.concatenate(held), minlength=len(total)) if held else total.copy()
+            if held:
+                more[: len(total)] += total
+            return more
+
         for b in batches:
             for data, n in zip(b.column("ids").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                more = np.bincount(unpressed(data, n), minlength=len(total))
-                more[: len(total)] += total
-                total = more
+                held.append(unpressed(data, n))
+                n_held += n
+                if n_held > 1_000_000:
+                    total, held, n_held = added(), [], 0
+        total = added()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "count"])
 
