@@ -37,6 +37,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{to}/out" if mode == "complete" else f"{to}/out/batch={batch}")
 
+    put(spark.createDataFrame([], stream.schema), -1)  # a source without rows gives none, not an error
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{to}/out").select(*stream.columns)

@@ -105,3 +105,34 @@ def test_consensus_and_budget(spark):
     assert {r.i: (r.ticker, r.confidence, r.trail) for r in joins.consensus(paths, "i").collect()} == {1: ("T", "very_high", "a>b"), 2: ("V", "medium", "a")}
     df = spark.createDataFrame([([("a", 60), ("b", 50), ("c", 40)],)], "x array<struct<n: string, cost: bigint>>")
     assert [r.n for r in df.select(X.fitting(F.col("x"), 100).alias("k")).first().k] == ["a", "c"]
+
+
+def test_streams(spark, tmp_path):
+    path = str(tmp_path / "in")
+    stamp = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    kind = "u int, ts timestamp, e string, v double"
+    spark.createDataFrame([(1, stamp(0), "buy", 10.0), (1, stamp(1), "buy", 10.0), (1, stamp(2), "see", 12.0), (2, stamp(0), "buy", 5.0)], kind).coalesce(1).write.parquet(path)
+    stream = lambda: state.table_stream(spark, path)
+    assert state.drained(state.first_seen(stream().select("u", "e"), ["u", "e"]), "t1").count() == 3
+    assert {(r.u, r.e) for r in state.drained(state.changes(stream(), "u", ["ts"], "e"), "t2").collect()} == {(1, "buy"), (1, "see"), (2, "buy")}
+    done = state.drained(state.positions(stream(), "u", "ts", "e", "v", "buy", "see", 4), "t3").collect()
+    assert [(r.u, r.status, r.pnl) for r in done] == [(1, "closed_auto", 2.0)]
+    memo = state.drained(state.cached(stream().select("u", "ts", "v"), "u", "ts", "v", 1), "t4").orderBy("u", "ts").collect()
+    assert [(r.hit, r.given) for r in memo] == [(False, 10.0), (True, 10.0), (True, 10.0), (False, 5.0)]
+    zero = state.drained(state.cached(stream().select("u", "ts", "v"), "u", "ts", "v", 0), "t5").collect()
+    assert not any(r.hit for r in zero)
+    empty = str(tmp_path / "none")
+    spark.createDataFrame([], kind).write.parquet(empty)
+    assert state.drained(state.first_seen(state.table_stream(spark, empty).select("u", "e"), ["u", "e"]), "t6").count() == 0
+
+
+def test_eviction_merge_and_recall(spark):
+    from bidsmith.operators import memory
+
+    df = spark.createDataFrame([("g", i, i) for i in range(13)], "g string, t int, i int")
+    assert sorted(r.i for r in memory.evicted(df, "g", "t", "i", 10).collect()) == [0, 1, 2]
+    assert memory.evicted(df, "g", "t", "i", 13).count() == 0
+    notes = spark.createDataFrame([(1, 0, "a b c d e f g", 0.1), (1, 1, "a b c d e f g", 0.9), (1, 2, "x", 0.5)], "u int, n int, t string, w double")
+    assert [(r.n, r.w, r.n_merged) for r in memory.merged(notes, "u", "n", "t", "w").orderBy("n").collect()] == [(0, 0.9, 2), (2, 0.5, 1)]
+    got = spark.createDataFrame([("The Cat", ["cat", "dog"]), (None, [])], "t string, f array<string>").select(memory.recalled(F.col("t"), F.col("f"))).collect()
+    assert [r[0] for r in got] == [0.5, 1.0]
