@@ -120,9 +120,11 @@ class Model:
         self.table, self.bias, self.logistic = table, bias, logistic
 
     def words(self, words: list[str]) -> np.ndarray:
-        """f of each word."""
+        """f of each word, 20,000 words at a time."""
         if not words:
             return np.empty(0)
+        if len(words) > 20_000:
+            return np.concatenate([self.words(words[i : i + 20_000]) for i in range(0, len(words), 20_000)])
         classes, word = letters(words)
         total, square = np.zeros(len(words)), np.zeros(len(words))
         for codes, at, w in triples(classes, word):
@@ -179,14 +181,14 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
         return None
     count, number, names = split(pa.array([t for t, _ in rows], pa.string()))
     ends = np.cumsum(count)
-    bags = [np.unique(number[e - n : e]) for e, n in zip(ends, count, strict=True)]
-    bad, good = Counter(), Counter()
-    for b, label in zip(bags, y, strict=True):
-        (bad if label else good).update(b.tolist())
-    odds = np.array([np.log((bad[i] + 0.1) / y.sum()) - np.log((good[i] + 0.1) / (1 - y).sum()) + (np.log(bad[i]) if bad[i] > 1 else -2) for i in range(len(names))])
-    telling = np.array([bad[i] >= 3 and bad[i] / y.sum() >= 10 * (good[i] + 0.5) / (1 - y).sum() for i in range(len(names))])
-    common = [i for i, _ in good.most_common(3000)]
-    harmless = np.unique(np.concatenate([common, draw.permutation(np.fromiter(good, np.int64, len(good)))[:6000]]).astype(np.int64))
+    bags = [np.unique(number[e - n : e]).astype(np.int32) for e, n in zip(ends, count, strict=True)]
+    del number
+    n_bad, n_good = (np.bincount(np.concatenate([b for b, label in zip(bags, y, strict=True) if label == k]), minlength=len(names)) for k in (1, 0))
+    odds = np.log((n_bad + 0.1) / y.sum()) - np.log((n_good + 0.1) / (1 - y).sum()) + np.where(n_bad > 1, np.log(np.maximum(n_bad, 1)), -2)
+    telling = (n_bad >= 3) & (n_bad / y.sum() >= 10 * (n_good + 0.5) / (1 - y).sum())
+    clean = np.flatnonzero(n_good)
+    common = clean[np.argsort(-n_good[clean], kind="stable")[:3000]]
+    harmless = np.unique(np.concatenate([common, draw.permutation(clean)[:6000]]))
     score = odds
     for step in range(rounds):
         chosen = Counter()
@@ -194,12 +196,11 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
             if label and len(b):
                 tops = b[np.argsort(-score[b])[:6]]
                 chosen.update(int(i) for k, i in enumerate(tops) if k == 0 and (step == 0 or score[i] > -0.5) or telling[i])
-        positive = np.array([i for i in chosen if good[i] <= 0.2 * bad[i]], np.int64)
+        positive = np.array([i for i in chosen if n_good[i] <= 0.2 * n_bad[i]], np.int64)
         if not len(positive):
             positive = np.array(list(chosen), np.int64)
         if step:
-            seen = np.fromiter(good, np.int64, len(good))
-            seen = seen[~np.isin(seen, positive)]
+            seen = clean[~np.isin(clean, positive)]
             harmless = np.unique(np.concatenate([harmless, seen[np.argsort(-score[seen])[:2000]]]))
         harmless = harmless[~np.isin(harmless, positive)]
         if step == 0:
@@ -210,8 +211,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
             half = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
         rows_in = [*positive.tolist(), *harmless.tolist()]
         bent = [_bent(names[i], draw) for i in positive.tolist() for _ in range(2)]
-        z = np.vstack([gram(features([names[i] for i in rows_in[k : k + 1000]]), marks) for k in range(0, len(rows_in), 1000)]) @ half
-        z = np.vstack([z, gram(features(bent), marks) @ half])
+        near = [names[i] for i in rows_in] + bent
+        z = np.vstack([gram(features(near[k : k + 250]), marks) @ half for k in range(0, len(near), 250)])
         target = np.array([1.0] * len(positive) + [-1.0] * len(harmless) + [1.0] * len(bent))
         many = np.array([min(chosen[i], 20) for i in positive.tolist()] + [1.0] * len(harmless), float)
         many[: len(positive)] *= len(harmless) / many[: len(positive)].sum() / 4
