@@ -16,7 +16,7 @@ outside the held-out fold; only the text enters a score. Probabilities come from
 the documents' worst and second-worst words.
 
 Defined results: null, empty and wordless texts get the score of a document whose words all are
-harmless; without labels of both kinds every score is 0; repeated rows score alike; very long
+harmless; without labels of both kinds on texts with words every score is 0; repeated rows score alike; very long
 texts are scored whole; further columns pass through.
 """
 
@@ -203,6 +203,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
             seen = clean[~np.isin(clean, positive)]
             harmless = np.unique(np.concatenate([harmless, seen[np.argsort(-score[seen])[:2000]]]))
         harmless = harmless[~np.isin(harmless, positive)]
+        if not len(positive) or not len(harmless):
+            return None
         if step == 0:
             first = sorted(positive.tolist(), key=lambda i: -chosen[i])[: landmarks // 2]
             marks = features([names[i] for i in [*first, *draw.permutation(harmless)[: landmarks - len(first)]]])
