@@ -9,8 +9,11 @@ signature values are the most frequent, which catches copies that are alike only
 their original. Pairs whose signatures estimate a similarity more than five standard
 deviations under the threshold are left; all others are confirmed on the full sets, in
 two rounds: first each document's best partner, then the pairs that still join two
-different components. A pair of similarity 0.85 shares no region in any tree with
-probability (1 - 0.85 ** 4) ** 20 = 4e-7.
+different components. Then no pair of a large region is left out: where such a region still
+holds more than one component, its members' full sets are joined on the rarest part of each set,
+which two sets alike enough must share (see `shared_prefixes`), and new pairs are confirmed too.
+A pair of similarity 0.85 shares no region in any tree with probability
+(1 - 0.85 ** 4) ** 20 = 4e-7, and its signatures agree too little with probability 8e-6.
 
 Documents with equal sets are one class first, so exact copies cost one row each.
 
@@ -32,7 +35,7 @@ from bidsmith.llm.common import annotate, cut, partitions, small_batches
 from bidsmith.llm.graph import components
 from bidsmith.llm.text import shingle_sets
 
-TREES, DEPTH, SMALL, NEAR = 20, 4, 8, 2
+TREES, DEPTH, SMALL, NEAR, POSTED = 20, 4, 8, 2, 256
 SIZE = TREES * DEPTH
 BATCH = 3_000_000
 _DRAWN = np.random.default_rng(20240229)
@@ -112,14 +115,15 @@ def _confirm(frames: Iterator[pd.DataFrame], percent: int, width: int) -> Iterat
             yield part.loc[keep, ["a", "b"]]
 
 
-def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a > b) of classes that are neighbours in the forest, with the share of equal signature values.
-
-    classes: doc, keys, sig; one row a class.
-    """
+def shared_regions(classes: DataFrame) -> DataFrame:
+    """doc, tree, key and count of every region of more than one class. classes: doc, keys, sig; one row a class."""
     entries = classes.select("doc", F.posexplode("keys").alias("tree", "key"))
     sizes = entries.groupBy("key").count().where("count > 1")
-    active = cut(entries.join(sizes, "key"), "regions")
+    return cut(entries.join(sizes, "key"), "regions")
+
+
+def candidates(classes: DataFrame, active: DataFrame, least: float) -> DataFrame:
+    """Pairs (a > b) of classes that are neighbours in the forest, with the share of equal signature values."""
     small = active.where(F.col("count") <= SMALL).select("key", "doc")
     pairs = small.select("key", F.col("doc").alias("a")).join(small.select("key", F.col("doc").alias("b")), "key").where("a > b").select("a", "b").distinct()
     large = active.where(F.col("count") > SMALL)
@@ -133,6 +137,11 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
     deep = placed.select("key", "doc", F.substring("order", 1, 64).alias("order"))
     beside = deep.repartitionByRange(partitions(classes.sparkSession), "key", "order", "doc").sortWithinPartitions("key", "order", "doc").mapInPandas(_neighbours, "a bigint, b bigint")
     found = pairs.union(star).union(beside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return agreeing(found, classes, least)
+
+
+def agreeing(found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose signatures agree in at least that share of values."""
     sig = classes.select(F.col("doc"), "sig")
     both = found.hint("merge").join(sig.toDF("a", "sig_a"), "a").hint("merge").join(sig.toDF("b", "sig_b"), "b")
     return both.mapInPandas(lambda frames: _agreement(frames, least), "a bigint, b bigint, share double")
@@ -144,6 +153,47 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     return both.mapInPandas(lambda frames: _confirm(frames, percent, width), "a bigint, b bigint")
 
 
+def divided(active: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc and root of the members of large regions that hold more than one component."""
+    rooted = active.where(F.col("count") > SMALL).select("key", "doc").join(roots.toDF("doc", "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return rooted.join(several, "key").select("doc", "root").distinct()
+
+
+def shared_prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a > b) of different roots whose sets may be alike enough; no pair that is alike enough is left out.
+
+    members: doc, root, text. Shingles are ordered by how many members have them, those of one
+    root first. Sets of similarity percent share all but a few shingles, so their first common
+    one lies among the first n - ceil(percent * n / 100) + 1 of either, with enough of both sets
+    after it. A shingle's list of members is cut into blocks of about POSTED, and all pairs of
+    blocks are compared, each in its own group.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for start in range(0, len(pdf), 128):
+                part = pdf.iloc[start : start + 128]
+                sets, begin = shingle_sets(part["text"].tolist(), width)
+                n = np.diff(begin)
+                yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), n), "root": np.repeat(part["root"].to_numpy(), n), "n": np.repeat(n, n), "shingle": sets.view(np.int64)})
+
+    across = [F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")]
+    entries = cut(members.mapInPandas(run, "doc bigint, root bigint, n bigint, shingle bigint"), "entries")
+    often = entries.groupBy("shingle").agg(*across).where("x < y").select("shingle", "c")
+    ranked = entries.join(often, "shingle").groupBy("doc", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("own"))
+    before = F.col("n") - F.size("own")
+    some = F.greatest(F.lit(0), F.expr(f"n - ({percent} * n + 99) div 100 + 1") - before).cast("int")
+    first = cut(ranked.select("doc", "root", "n", before.alias("before"), F.posexplode(F.slice("own", F.lit(1), some)).alias("k", "s")).select("doc", "root", "n", (F.col("n") - F.col("before") - F.col("k")).alias("after"), "s.shingle"), "prefixes")
+    blocks = first.groupBy("shingle").agg(*across).where("x < y").select("shingle", F.expr(f"cast((c + {POSTED - 1}) div {POSTED} as int)").alias("blocks"))
+    dealt = first.join(blocks, "shingle").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a = dealt.select("shingle", F.col("own").alias("i"), F.col("other").alias("j"), F.col("doc").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("after").alias("after_a"))
+    b = dealt.select("shingle", F.col("other").alias("i"), F.col("own").alias("j"), F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("after").alias("after_b"))
+    enough = f"a > b and root_a <> root_b and {100 + percent} * least(after_a, after_b) >= {percent} * (n_a + n_b)"
+    return a.hint("merge").join(b, ["shingle", "i", "j"]).where(enough).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -157,7 +207,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     known = signed.where("n_shingles > 0 and doc_id is not null")
     classed = cut(known.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("doc")), "classes")
     classes = known.select("doc_id", "n_shingles", "one", "two", "keys", "sig").join(classed, ["n_shingles", "one", "two"]).where("doc_id = doc").select("doc", "keys", "sig")
-    pairs = cut(candidates(classes, least), "pairs")
+    regions_of = shared_regions(classes)
+    pairs = cut(candidates(classes, regions_of, least), "pairs")
     ends = pairs.select("a", "b", "share").union(pairs.select("b", "a", "share")).toDF("a", "b", "share")
     active = ends.select(F.col("a").alias("doc_id")).distinct()
     texts = cut(docs.join(active.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
@@ -169,6 +220,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     apart = pairs.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     second = confirmed(apart.join(best, ["a", "b"], "left_anti"), texts, percent, width)
     roots = components(first.union(cut(second, "links")))
+    members = cut(divided(regions_of, roots), "members")
+    if not members.isEmpty():
+        whole = cut(docs.join(members.hint("merge").withColumnRenamed("doc", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("doc"), "root").agg(F.min("text").alias("text")), "texts")
+        left = shared_prefixes(whole, percent, width).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
+        third = cut(confirmed(cut(agreeing(left, classes, least), "pairs"), whole.select("doc", "text"), percent, width), "links")
+        if not third.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(third))
     named = classed.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("n_shingles", "one", "two", F.coalesce("root", "doc").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "one", "two").join(named, ["n_shingles", "one", "two"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -247,6 +247,20 @@ def test_star_of_copies(spark):
     assert {r.doc_id for r in out if r.component_id != 0} == alone
 
 
+def test_template_family(spark):
+    """True pairs inside a family that shares much text are found, and nothing else is linked."""
+    draw = np.random.default_rng(9)
+    own = lambda k: [f"w{x}" for x in draw.integers(0, 1_000_000, k)]
+    core = own(130)
+    rows = [[*core, *own(16)] for _ in range(1200)]
+    want = {i: i for i in range(1200)}
+    for i in range(0, 1200, 40):  # similarity 0.87, and 0.80 to all others
+        want[len(rows)] = i
+        rows.append([*rows[i][:-10], *own(10)])
+    out = near_dup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 103), (103, 102), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
