@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
@@ -34,17 +35,25 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def greedy_clusters(hashes: list[int], radius: int = 3) -> list[int]:
-    """The first earlier cluster head within radius bits, else the item itself becomes one."""
-    heads, out = [], []
-    for h in hashes:
-        at = next((i for i, g in enumerate(heads) if (h ^ g).bit_count() <= radius), None)
-        if at is None:
-            at = len(heads)
-            heads.append(h)
+    """The first earlier cluster head within radius bits (of 64), else the item itself becomes one."""
+    own = np.array([h & (2**64 - 1) for h in hashes], np.uint64)
+    heads, n, out = np.empty(len(own), np.uint64), 0, []
+    for h in own:
+        near = np.bitwise_count(heads[:n] ^ h) <= radius
+        at = int(near.argmax()) if near.any() else n
+        if at == n:
+            heads[n] = h
+            n += 1
         out.append(at)
     return out
 
 
+def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The cluster of each turn, in turn order."""
+    pdf = pdf.sort_values(["turn", "simhash"])
+    return pdf.assign(cluster=greedy_clusters(pdf["simhash"].tolist()))
+
+
 def knee(curve: list[int]) -> int | None:
     n = len(curve)
     if n < 3:

@@ -236,10 +236,14 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def simhash_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """SimHash of every turn, and its Hamming distance to the turn before."""
+    """SimHash of every turn, its Hamming distance to the turn before, and its cluster: the conversation's first cluster head within 3 bits."""
+    from bidsmith.functions.sequences import clustered
+
     w = Window.partitionBy("conv_id").orderBy("turn")
     df = table(spark, d, "conversations").select("conv_id", "turn", X.simhash(F.col("text")).alias("h"))
-    return df.select("conv_id", "turn", F.col("h").alias("simhash"), F.bit_count(F.col("h").bitwiseXOR(F.lag("h").over(w))).alias("distance"))
+    df = df.select("conv_id", "turn", F.col("h").alias("simhash"), F.bit_count(F.col("h").bitwiseXOR(F.lag("h").over(w))).alias("distance"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.groupBy("conv_id").applyInPandas(clustered, f"{schema}, cluster int")
 
 
 @query()

@@ -94,6 +94,17 @@ def test_simhash_by_hand(spark):
     assert got == [by_hand(t) for t in texts]
 
 
+def test_simhash_clusters_by_hand(spark, tmp_path):
+    """Copies that aren't adjacent share a cluster (A B A C B)."""
+    from bidsmith import catalog
+
+    said = [("a quick brown fox", 0), ("nothing of the kind", 1), ("A quick brown fox", 0), ("12345678", 2), ("nothing of the kind", 1)]
+    spark.createDataFrame([(1, i, t) for i, (t, _) in enumerate(said)] + [(2, 0, said[1][0])], "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = catalog.QUERIES["simhash_clusters"](spark, str(tmp_path)).orderBy("conv_id", "turn").collect()
+    assert [r.cluster for r in rows] == [*(c for _, c in said), 0]
+    assert sequences.greedy_clusters([-1, 2**63, -2, 2**63 + 1]) == [0, 1, 0, 1]
+
+
 def test_cache_expiry(spark):
     df = spark.createDataFrame([("a", 10.0), ("b", 11.0), ("c", None)], "key string, expires_at double")
     assert {r.key for r in state.live(df, 10.0).collect()} == {"b", "c"}
