@@ -65,26 +65,42 @@ def knee(curve: list[int]) -> int | None:
     return gaps.index(best) + 1 if best >= 0.05 else None
 
 
-def best_size(items: list[str], least: int = 3, small: int = 8, tolerance: float = 0.15) -> int:
-    """All of a few items; else the knee (or all), a fifth more where the kept part compresses much unlike the whole."""
+def best_size(items: list[str], hashes: list[int], bias: float = 1.0, least: int = 3, most: int | None = None, small: int = 8, tolerance: float = 0.15) -> int:
+    """All of a few items; else the knee times bias, a fifth more where the kept part compresses much unlike the whole.
+
+    hashes: the items' SimHashes. Diversity is their clusters' share of the items. Without a knee, 0.3 + 0.7 *
+    diversity of the items are kept; the same is the floor of a knee where diversity is over 0.7.
+    """
     n = len(items)
+    most = n if most is None else most
     if n <= small:
         return n
-    if len(set(items)) <= 3:
-        return max(least, len(set(items)))
+    unique = len(set(greedy_clusters(hashes)))
+    if unique <= 3:
+        return min(max(least, unique), most)
     seen, curve = set(), []
     for t in items:
         w = t.lower().split()
         seen.update(zip(w, w[1:], strict=False) if len(w) > 1 else [(w[0] if w else "", "")])
         curve.append(len(seen))
-    k = max(least, knee(curve) or n)
-    ratio = lambda part: len(zlib.compress(x, 1)) / max(1, len(x)) if (x := "\n".join(part).encode()) else 1.0
-    return min(n, int(k * 1.2)) if abs(ratio(items[:k]) - ratio(items)) > tolerance else k
+    at, varied = knee(curve), unique / n
+    floor = max(least, int(n * (0.3 + 0.7 * varied)))
+    if at is None:
+        at = floor
+    elif varied > 0.7:
+        at = max(at, floor)
+    k = min(max(least, int(at * bias)), most)
+    whole, part = ("\n".join(x).encode() for x in (items, items[:k]))
+    if k < min(n, most) and len(whole) >= 200:
+        ratio = lambda x: len(zlib.compress(x, 1)) / len(x) if x else 1.0
+        if abs(ratio(whole) - ratio(part)) > tolerance:
+            k = min(int(k * 1.2), most)
+    return max(least, min(k, most))
 
 
 def optimal_size(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("turn")
-    return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "n": [len(pdf)], "k": [best_size(pdf["text"].fillna("").tolist())]})
+    return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "n": [len(pdf)], "k": [best_size(pdf["text"].fillna("").tolist(), pdf["simhash"].tolist())]})
 
 
 _TAG = re.compile(r"<([a-z][\w-]*)\b[^>]*>.*?</\1>", re.S)

@@ -251,7 +251,8 @@ def optimal_k(spark: SparkSession, d: str) -> DataFrame:
     """How many turns of each conversation carry its content: knee of the bigram curve, held by a compression check."""
     from bidsmith.functions.sequences import optimal_size
 
-    return table(spark, d, "conversations").groupBy("conv_id").applyInPandas(optimal_size, "conv_id bigint, n bigint, k bigint")
+    df = table(spark, d, "conversations").select("conv_id", "turn", "text", X.simhash(F.col("text")).alias("simhash"))
+    return df.groupBy("conv_id").applyInPandas(optimal_size, "conv_id bigint, n bigint, k bigint")
 
 
 @query()

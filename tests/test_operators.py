@@ -105,6 +105,32 @@ def test_simhash_clusters_by_hand(spark, tmp_path):
     assert sequences.greedy_clusters([-1, 2**63, -2, 2**63 + 1]) == [0, 1, 0, 1]
 
 
+def test_optimal_k_by_hand(spark, tmp_path):
+    """Groups of 9 to 200 turns, with k worked out by hand."""
+    import random
+
+    from bidsmith import catalog
+
+    draw = random.Random(3)
+    line = lambda n: " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    varied = [line(12) for _ in range(200)]
+    cases = {
+        1: (varied[:8], 8),  # a few: all
+        2: (varied, 200),  # no knee, diversity 1: all
+        3: ([varied[0].upper() if i % 2 else varied[0] for i in range(9)], 3),  # one cluster, two texts
+        4: ([t for t in varied[:20] for _ in range(2)], 25),  # no knee, diversity 0.5: int(40 * (0.3 + 0.7 * 0.5)), which floats put just under 26
+        5: ([line(60), *(line(6) for _ in range(19))], 20),  # diversity 1: the floor is all
+    }
+    rows = [(c, i, t) for c, (ts, _) in cases.items() for i, t in enumerate(ts)]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: (r.n, r.k) for r in catalog.QUERIES["optimal_k"](spark, str(tmp_path)).collect()}
+    assert got == {c: (len(ts), k) for c, (ts, k) in cases.items()}
+    far = [i * 0x0F0F0F0F0F0F0F for i in range(1, 13)]
+    short = [f"{chr(97 + i)} {chr(98 + i)}" for i in range(12)]  # under 200 bytes: no check by compression
+    assert sequences.best_size(short, far, bias=0.5) == 6
+    assert sequences.best_size(short, far, most=5) == 5
+
+
 def test_cache_expiry(spark):
     df = spark.createDataFrame([("a", 10.0), ("b", 11.0), ("c", None)], "key string, expires_at double")
     assert {r.key for r in state.live(df, 10.0).collect()} == {"b", "c"}
