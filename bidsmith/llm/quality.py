@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import SPACE
+from bidsmith.llm.common import SPACE, cut
 
 #: (name, how the figure follows from the statistics); all are ratios, so no length dominates.
 FIGURES = {
@@ -61,13 +61,14 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 6, F.lit(0)).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), windows)).cast("long")
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of each text."""
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, further columns that are named, and the counts of each text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     gone = lambda pattern: (F.length("_text") - F.length(F.regexp_replace("_text", pattern, ""))).cast("long")
-    split = docs.select("doc_id", text.alias("_text"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    split = docs.select("doc_id", *more, text.alias("_text"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
     return split.select(
         "doc_id",
+        *more,
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         gone("[#*$%&|<>]+").alias("n_symbols"),
@@ -155,8 +156,12 @@ def base_failed() -> Column:
 def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> list[tuple[dict, int]]:
     """Figures and labels of at most sample_rows labelled rows that pass the base, the smallest hashes of doc_id first."""
     chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    stats = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi"))
-    found = stats.where(~base_failed()).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", *(F.expr(e).cast("double").alias(f"f_{f}") for f, e in FIGURES.items())).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    # written first: else Spark computes the statistics of every document and joins after that
+    own = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "labelled")  # the broadcast side: sample_rows ids
+    names = [f"f_{f}" for f in FIGURES]
+    figures = [F.expr(e).cast("double").alias(n) for n, e in zip(names, FIGURES.values(), strict=True)]
+    found = statistics(own, "quality").select("doc_id", "quality", base_failed().alias("failed"), *figures, F.xxhash64("doc_id").alias("order")).collect()
+    found = sorted((r for r in found if not r["failed"]), key=lambda r: (r["order"], r["doc_id"], r["quality"], *(r[n] for n in names)))
     return [({f: r[f"f_{f}"] for f in FIGURES}, int(r["quality"])) for r in found]
 
 
