@@ -1,15 +1,20 @@
 """Language-model scoring: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
-The model's symbols are the most frequent training words, one for all other words, and the end.
-A symbol's score in a context of two is (E1[second last] + E2[last]) . R[symbol] + b[symbol]; the
-normaliser of every possible context comes from batched matrix products once, so each
-token gets a normalised log-probability. A word outside the symbols gets the probability of the
-symbol for others times its share of them, (c + 1) / (n + v + 1), over the n occurrences of
-the v other training words and one unseen.
+Symbols: every training word of at least `least_count` occurrences, N ** (2/3) / GROWTH of N training
+tokens, so the vocabulary grows with the corpus and yet has at most GROWTH * N ** (1/3) words; the end;
+and BUCKETS symbols for all other words, by their last two characters. Symbols are numbered by falling
+frequency, and each stretch of about their square root is a class. In a context of two symbols,
 
-Training words and three-symbol sequences are counted over all training rows. The sequence
-table has at most SYMBOLS ** 3 rows whatever the corpus; TASKS tasks run stochastic gradient steps on
-their shares of it, and their parameters are averaged, ROUNDS times.
+    q = E1[second last] + E2[last],  P(symbol) = P(class | q) * P(symbol | class, q),
+
+both log-bilinear (q . R + b) and normalised exactly by batched matrix products over the classes, then over the
+members of the symbol's class. A word of a bucket gets its bucket's probability times its share, (c + 1) / (n + v + 1),
+over the n occurrences of the bucket's v training words and one unseen: so probabilities sum to 1.
+
+Training starts at the unigram model and makes one pass over all training texts, in ROUNDS parts (by a hash of
+doc_id): tasks take noise-contrastive gradient steps on their own texts, in order, and the changes of each row
+of the parameters are averaged by how often tasks met it, summed in the order of tasks. So the same files and settings
+give the same scores, however often a task runs.
 
 Scoring needs the count of every word of every text, and the table of counts grows with the
 corpus. Texts are coded in chunks of about CHUNK bytes: a chunk lists its distinct words once, so the
@@ -17,24 +22,27 @@ join with the counts has a row a chunk and word, not a row a token. No word's ro
 
 Words: see `common.words_of`; each text ends in one further token. Defined results: null and empty
 texts have the end token only; rows with a null doc_id are in fold 0, so they train; without
-training rows counts are 0 and the model is uniform; repeated rows count each time and score
-alike; further columns are dropped.
+training rows counts are 0 and all symbols are equally likely; an empty table gives no rows; repeated rows
+count each time and score alike; words of equal counts are ordered by their bytes; very long texts are a chunk of
+their own, coded and scored whole; further columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import cut, fold_of, pieces, small_batches
+from bidsmith.llm.common import cut, fold, fold_of, pieces, small_batches
 
-SYMBOLS, SIZE, CHUNK, TASKS, ROUNDS = 256, 24, 5_000_000, 6, 2
-OTHER, END, START = SYMBOLS - 3, SYMBOLS - 2, SYMBOLS - 1
+SIZE, CHUNK, ROUNDS, BUCKETS, GROWTH, BLOCK = 24, 5_000_000, 2, 256, 256, 256
+BATCH, CLASS_NOISE, WORD_NOISE, RATE = 2048, 32, 3, 0.05
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -102,107 +110,212 @@ def coded(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     return docs.mapInArrow(run, _CODED)
 
 
-def sequences(docs: DataFrame, top: list[str], modulus: int, held: int) -> DataFrame:
-    """Counts of three-symbol sequences over training rows: code, n."""
-    known = pa.array(top, pa.large_string())
+def least_count(tokens: int) -> int:
+    """How often a word must occur to be a symbol of its own."""
+    return max(2, math.ceil(tokens ** (2 / 3) / GROWTH))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            for part in pieces(batch, "text", CHUNK):
-                part = part.filter(pa.array(trains(part.column("doc_id").to_pylist(), modulus, held)))
-                if not part.num_rows:
-                    continue
-                count, words = split(part.column("text"))
-                symbol = pc.fill_null(pc.index_in(words.dictionary, known), OTHER).to_numpy(zero_copy_only=False)
-                own = triples(symbol[words.indices.to_numpy(zero_copy_only=False)], count)
-                new, n = np.unique(own[0] * SYMBOLS * SYMBOLS + own[1] * SYMBOLS + own[2], return_counts=True)
-                both, at = np.unique(np.concatenate((codes, new)), return_inverse=True)
-                codes, counts = both, np.bincount(at, np.concatenate((counts, n)), len(both)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-
-    return docs.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def triples(symbols: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(second last, last, symbol) of every token, ends included."""
+
+def bucket(word: Column) -> Column:
+    """The bucket of a word that is no symbol of its own; `buckets` gives the same."""
+    return F.pmod(F.crc32(F.substring(word, -2, 2).cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def buckets(words: pa.Array) -> np.ndarray:
+    ends = pc.utf8_slice_codeunits(words, -2).dictionary_encode()
+    own = np.array([zlib.crc32(x.encode()) % BUCKETS for x in ends.dictionary.to_pylist()], np.int64)
+    return own[ends.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.int64)
+
+
+class Symbols:
+    """Numbers of words, buckets and the end, by falling weight; START, for contexts only, is the last."""
+
+    def __init__(self, words: list[str], counts: list[int], rest: np.ndarray, ends: int):
+        weight = np.concatenate((np.array(counts, np.float64).reshape(-1), rest + 1.0, [max(ends, 1)]))
+        order = np.argsort(-weight, kind="stable")
+        number = np.empty(len(weight), np.int64)
+        number[order] = np.arange(len(weight))
+        self.words, self.weight, n = words, weight[order], len(words)
+        self.of_word, self.of_bucket, self.end, self.start = number[:n], number[n:-1], int(number[-1]), len(weight)
+        self.width = math.isqrt(len(weight) - 1) + 1
+        self.classes = -(-len(weight) // self.width)
+
+    def code(self, words: pa.Array) -> np.ndarray:
+        """The symbol of each word."""
+        at = pc.index_in(words, pa.array(self.words, words.type)) if self.words else pa.nulls(len(words), pa.int32())
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        out = self.of_bucket[buckets(words)]
+        out[known] = self.of_word[at.drop_null().to_numpy()] if self.words else 0
+        return out
+
+
+def contexts(now: np.ndarray, count: np.ndarray, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(second last, last, symbol) of every token, ends included. now: the words' symbols; count: words a text."""
     ends = np.cumsum(count + 1) - 1
-    now = np.empty(len(symbols) + len(count), np.int64)
-    inside = np.ones(len(now), bool)
+    all_now = np.full(len(now) + len(count), symbols.end, np.int64)
+    inside = np.ones(len(all_now), bool)
     inside[ends] = False
-    now[inside], now[ends] = symbols, END
+    all_now[inside] = now
     first = ends - count
-    last = np.concatenate(([START], now[:-1]))
-    last[first] = START
-    before = np.concatenate(([START], last[:-1]))
-    before[first] = START
-    return before, last, now
+    last = np.concatenate(([symbols.start], all_now[:-1]))
+    last[first] = symbols.start
+    before = np.concatenate(([symbols.start], last[:-1]))
+    before[first] = symbols.start
+    return before, last, all_now
 
 
 class Parameters:
-    """E1, E2, R and b, as one vector for the way between tasks."""
-
-    def __init__(self, vector: np.ndarray | None = None, seed: int = 11):
-        n = SYMBOLS * SIZE
-        if vector is None:
-            vector = np.random.default_rng(seed).normal(0, 0.1, 3 * n + SYMBOLS)
-            vector[3 * n :] = 0
-        self.vector = vector.astype(np.float64)
-        self.e1, self.e2, self.r = (self.vector[i * n : (i + 1) * n].reshape(SYMBOLS, SIZE) for i in range(3))
-        self.b = self.vector[3 * n :]
-
-    def normalisers(self) -> np.ndarray:
-        """Log of the summed exponential scores, for every context."""
-        out = np.empty((SYMBOLS, SYMBOLS))
-        for i in range(SYMBOLS):
-            s = (self.e1[i] + self.e2) @ self.r[:START].T + self.b[:START]
-            top = s.max(axis=1)
-            out[i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    """A row a symbol (START too), then one a class: E1, E2, R and b side by side; classes have R and b only."""
+
+    def __init__(self, symbols: Symbols, rows: np.ndarray | None = None, seed: int = 11):
+        m, c = symbols.start, symbols.classes
+        weight = np.zeros(c * symbols.width)
+        weight[:m] = symbols.weight
+        self.of_class = weight.reshape(c, -1).sum(axis=1)
+        self.share = symbols.weight / np.repeat(self.of_class, symbols.width)[:m]
+        self.class_share = self.of_class / self.of_class.sum()
+        if rows is None:
+            rows = np.random.default_rng(seed).normal(0, 0.1, (m + 1 + c, 3 * SIZE + 1)).astype(np.float32)
+            rows[:m, -1], rows[m, -1], rows[m + 1 :, -1] = np.log(self.share), 0, np.log(self.class_share)
+            rows[:, 2 * SIZE : 3 * SIZE] = 0
+        self.symbols, self.rows = symbols, rows
+        self.e1, self.e2, self.r, self.b = rows[: m + 1, :SIZE], rows[: m + 1, SIZE : 2 * SIZE], rows[:m, 2 * SIZE : 3 * SIZE], rows[:m, -1]
+        self.rc, self.bc = rows[m + 1 :, 2 * SIZE : 3 * SIZE], rows[m + 1 :, -1]
+
+    def log_probability(self, before: np.ndarray, last: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probability of each symbol in its context."""
+        out, width = np.empty(len(now)), self.symbols.width
+        for a in range(0, len(now), 100_000):
+            w = now[a : a + 100_000]
+            q = self.e1[before[a : a + 100_000]] + self.e2[last[a : a + 100_000]]
+            own = w // width
+            log = np.empty(len(w), np.float32)
+            for k in range(0, len(w), 20_000):
+                part = slice(k, k + 20_000)
+                log[part] = _picked(q[part] @ self.rc.T + self.bc, own[part])
+            order = np.argsort(own, kind="stable")
+            edges = np.searchsorted(own[order], np.arange(self.symbols.classes + 1))
+            for c in np.flatnonzero(np.diff(edges)).tolist():
+                at = order[edges[c] : edges[c + 1]]
+                members = slice(c * width, min((c + 1) * width, self.symbols.start))
+                for k in range(0, len(at), 20_000):
+                    some = at[k : k + 20_000]
+                    log[some] += _picked(q[some] @ self.r[members].T + self.b[members], w[some] - c * width)
+            out[a : a + 100_000] = log
         return out
 
 
-def descend(codes: np.ndarray, counts: np.ndarray, noise: np.ndarray, start: np.ndarray, steps: int = 400, batch: int = 4096, drawn: int = 128, seed: int = 5) -> np.ndarray:
-    """Noise-contrastive gradient steps (AdaGrad) on sequences drawn by their counts; noise words are shared by a batch."""
-    p, draw = Parameters(start.copy()), np.random.default_rng(seed)
-    cumulated = np.cumsum(counts.astype(float))
-    past = [np.full(x.shape, 1e-3) for x in (p.e1, p.e2, p.r, p.b)]
-    log_noise = np.log(np.maximum(noise, 1e-12)) + np.log(drawn)
-    noise_sum = np.cumsum(noise)
-    one = np.eye(SYMBOLS)
-    for _ in range(steps):
-        code = codes[np.searchsorted(cumulated, draw.random(batch) * cumulated[-1], side="right").clip(max=len(codes) - 1)]
-        i, j, w = code // SYMBOLS**2, code // SYMBOLS % SYMBOLS, code % SYMBOLS
-        v = np.searchsorted(noise_sum, draw.random(drawn) * noise_sum[-1], side="right").clip(max=START - 1)
-        q = p.e1[i] + p.e2[j]
-        true = 1 / (1 + np.exp(-((q * p.r[w]).sum(axis=1) + p.b[w] - log_noise[w]))) - 1
-        false = 1 / (1 + np.exp(-(q @ p.r[v].T + p.b[v] - log_noise[v])))
-        dq = true[:, None] * p.r[w] + false @ p.r[v]
-        hot_w, hot_v = one[w], one[v]
-        grads = [one[i].T @ dq, one[j].T @ dq, hot_w.T @ (true[:, None] * q) + hot_v.T @ (false.T @ q), hot_w.T @ true + hot_v.T @ false.sum(axis=0)]
-        for x, g, h in zip((p.e1, p.e2, p.r, p.b), grads, past, strict=True):
-            g /= batch
-            h += g * g
-            x -= 0.1 * g / np.sqrt(h)
-    return p.vector
-
-
-def train(table: DataFrame, noise: np.ndarray) -> Parameters:
-    """Parameters from the sequence table, averaged over TASKS tasks after each round."""
-    start = Parameters().vector
-    dealt = cut(table.repartition(TASKS, F.pmod(F.xxhash64("code"), F.lit(TASKS))), "sequences")
+def _picked(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Each row's score of its own column, minus the log of the row's summed exponentials."""
+    scores -= scores.max(axis=1, keepdims=True)
+    got = scores[np.arange(len(own)), own]
+    np.exp(scores, out=scores)
+    return got - np.log(scores.sum(axis=1))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+class Trainer:
+    """Noise-contrastive gradient steps (AdaGrad by row) on a private copy of the parameters."""
+
+    def __init__(self, p: Parameters, seed: int):
+        self.p, self.draw = Parameters(p.symbols, p.rows.copy()), np.random.default_rng(seed)
+        self.met = np.zeros(len(p.rows), np.int64)
+        self.past = np.full((4, len(p.rows)), 1e-2, np.float32)
+        ends = np.cumsum(p.symbols.weight)
+        self.cumulated, self.starts = ends, np.concatenate(([0], ends))
+        self.class_ends = np.cumsum(p.class_share)
+        self.log_share, self.log_class = np.log(p.share * WORD_NOISE).astype(np.float32), np.log(p.class_share * CLASS_NOISE).astype(np.float32)
+
+    def _move(self, kind: int, table: np.ndarray, at: np.ndarray, grad: np.ndarray, shift: int = 0, bias: np.ndarray | None = None) -> None:
+        """Steps of some rows; gradients of a row that comes several times are added up."""
+        order = np.argsort(at, kind="stable")
+        own = at[order]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        g = np.add.reduceat(grad[order], first, axis=0)
+        rows = own[first]
+        self.met[rows + shift] += np.diff(np.append(first, len(own)))
+        self.past[kind, rows + shift] += (g * g).mean(axis=1)
+        step = RATE / np.sqrt(self.past[kind, rows + shift])
+        table[rows] -= g[:, :SIZE] * step[:, None]
+        if bias is not None:
+            bias[rows] -= g[:, SIZE] * step
+
+    def step(self, i: np.ndarray, j: np.ndarray, w: np.ndarray) -> None:
+        p, width = self.p, self.p.symbols.width
+        q, c = p.e1[i] + p.e2[j], w // width
+        one = np.ones((len(w), 1), np.float32)
+        q1 = np.hstack((q, one))
+        v = np.minimum(np.searchsorted(self.class_ends, self.draw.random(CLASS_NOISE), side="right"), p.symbols.classes - 1)
+        true = _sigmoid((q * p.rc[c]).sum(axis=1) + p.bc[c] - self.log_class[c]) - 1
+        false = _sigmoid(q @ p.rc[v].T + p.bc[v] - self.log_class[v])
+        dq = true[:, None] * p.rc[c] + false @ p.rc[v]
+        low, high = self.starts[c * width], self.starts[np.minimum((c + 1) * width, p.symbols.start)]
+        n = np.searchsorted(self.cumulated, low[:, None] + self.draw.random((len(w), WORD_NOISE)) * (high - low)[:, None], side="right")
+        n = np.clip(n, (c * width)[:, None], np.minimum((c + 1) * width, p.symbols.start)[:, None] - 1)
+        other = p.r[n]
+        own = _sigmoid((q * p.r[w]).sum(axis=1) + p.b[w] - self.log_share[w]) - 1
+        noise = _sigmoid(np.einsum("nd,nkd->nk", q, other) + p.b[n] - self.log_share[n])
+        dq += own[:, None] * p.r[w] + np.einsum("nk,nkd->nd", noise, other)
+        many = np.concatenate((own[:, None], noise), axis=1)
+        self._move(2, p.r, np.concatenate((w[:, None], n), axis=1).ravel(), (many[:, :, None] * q1[:, None, :]).reshape(-1, SIZE + 1), 0, p.b)
+        self._move(3, p.rc, np.concatenate((c, v)), np.concatenate((true[:, None] * q1, false.T @ q1)), p.symbols.start + 1, p.bc)
+        self._move(0, p.e1, i, dq)
+        self._move(1, p.e2, j, dq)
+
+
+#: Changes of the rows [block * BLOCK, ...) that a task (or a group of tasks) has met.
+_CHANGES = "block int, part bigint, rows binary, met binary, moved binary"
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Weights and weighted changes of one block, added up in the order of tasks."""
+    met, moved = np.zeros(BLOCK, np.float64), np.zeros((BLOCK, 3 * SIZE + 1))
+    for r in sorted(table.to_pylist(), key=lambda r: r["part"]):
+        rows = np.frombuffer(r["rows"], "<i4")
+        met[rows] += np.frombuffer(r["met"], "<f8")
+        moved[rows] += np.frombuffer(r["moved"], "<f4").reshape(len(rows), -1)
+    rows = np.flatnonzero(met)
+    one = {"block": table.column("block")[0].as_py(), "part": min(table.column("part").to_pylist()), "rows": rows.astype("<i4").tobytes(), "met": met[rows].tobytes(), "moved": moved[rows].astype("<f4").tobytes()}
+    return pa.Table.from_pylist([one], pa.schema([(x, table.schema.field(x).type) for x in one]))
+
+
+def train(docs: DataFrame, symbols: Symbols, modulus: int, held: int) -> Parameters:
+    """One pass over all training texts, in ROUNDS parts; after each, the tasks' changes are averaged row by row."""
+    spark, p = docs.sparkSession, Parameters(symbols)
+    own = docs.where(fold("doc_id", modulus) != held)
     for k in range(ROUNDS):
-
-        def run(batches: Iterator[pa.RecordBatch], start=start, k=k) -> Iterator[pa.RecordBatch]:
-            own = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-            codes, counts = (np.concatenate([x[i] for x in own]) if own else np.empty(0, np.int64) for i in (0, 1))
-            if len(codes):
-                new = descend(codes, counts, noise, start, seed=5 + k)
-                yield pa.RecordBatch.from_arrays([pa.array([float(counts.sum())]), pa.array([new.tobytes()], pa.binary())], names=["weight", "vector"])
-
-        made = dealt.select("code", "n").coalesce(TASKS).mapInArrow(run, "weight double, vector binary").collect()
-        if made:
-            start = sum(r["weight"] * np.frombuffer(bytes(r["vector"])) for r in made) / sum(r["weight"] for r in made)
-    return Parameters(start)
+        shared = spark.sparkContext.broadcast((symbols, p.rows))  # at most GROWTH * N ** (1/3) + BUCKETS rows of 292 bytes, and their classes
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            symbols, rows = shared.value
+            task = TaskContext.get().partitionId()
+            trainer = Trainer(Parameters(symbols, rows), 1000 * k + task)
+            for batch in batches:
+                for part in pieces(batch, "text", CHUNK):
+                    count, words = split(part.column("text"))
+                    own = symbols.code(words.dictionary)[words.indices.to_numpy(zero_copy_only=False)]
+                    i, j, w = contexts(own, count, symbols)
+                    for a in range(0, len(w), BATCH):
+                        trainer.step(i[a : a + BATCH], j[a : a + BATCH], w[a : a + BATCH])
+            met = np.flatnonzero(trainer.met)
+            moved = (trainer.p.rows[met] - rows[met]) * trainer.met[met, None]
+            for block in np.unique(met // BLOCK).tolist():
+                a, b = np.searchsorted(met, (block * BLOCK, (block + 1) * BLOCK))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([(met[a:b] - block * BLOCK).astype("<i4").tobytes()], pa.binary()), pa.array([trainer.met[met[a:b]].astype("<f8").tobytes()], pa.binary()), pa.array([moved[a:b].astype("<f4").tobytes()], pa.binary())], names=["block", "part", "rows", "met", "moved"])
+
+        part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
+        # a group holds at most 512 tasks' rows of one block (75 kB each), then one row a group
+        some = part.mapInArrow(run, _CHANGES).withColumn("some", F.expr("part div 512")).groupBy("block", "some").applyInArrow(_summed, _CHANGES)
+        rows = p.rows.copy()
+        for r in some.groupBy("block").applyInArrow(_summed, _CHANGES).collect():  # the parameters' size
+            at = r["block"] * BLOCK + np.frombuffer(r["rows"], "<i4")
+            rows[at] += np.frombuffer(r["moved"], "<f4").reshape(len(at), -1) / np.frombuffer(r["met"], "<f8")[:, None]
+        p = Parameters(symbols, rows)
+    return p
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
@@ -214,28 +327,25 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     words = rows.where("number >= 0").select("chunk", "number", "word", "n")
     counts = cut(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("c"))), F.lit(0)).alias("ends")).first()
-    best = counts.where("word <> ''").orderBy(F.desc("c"), "word").limit(OTHER).collect()
-    top = [r["word"] for r in best]
-    rest_n, rest_v = total["n"] - total["ends"] - sum(r["c"] for r in best), total["v"] - len(best) - (total["ends"] > 0)
-    noise = np.full(SYMBOLS, 1e-9)
-    noise[: len(best)] = [r["c"] for r in best]
-    noise[OTHER], noise[END] = rest_n, total["ends"]
-    noise[START] = 0
-    noise = np.maximum(noise, 1e-9) ** 0.75
-    noise[START] = 0
-    noise /= noise.sum()
-    made = train(sequences(docs, top, modulus, held), noise)
-    norm, vector, n_all, v_all = made.normalisers().astype(np.float32), made.vector, int(total["n"]), int(total["v"])
-    shared = spark.sparkContext.broadcast((norm, vector))  # 0.5 MB, whatever the input
-    symbols = spark.createDataFrame([*((w, i) for i, w in enumerate(top)), ("", END)], "word string, symbol int")
-    given = words.select("chunk", "number", "word").join(counts.join(F.broadcast(symbols), "word", "left"), "word", "left")  # symbols: at most SYMBOLS rows
-    given = given.select("chunk", "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.lit(OTHER)).alias("symbol"))
+    n_all, v_all, least = int(total["n"]), int(total["v"]), least_count(int(total["n"]))
+    best = counts.where(F.col("c") >= least).where("word <> ''").orderBy(F.desc("c"), "word").collect()  # at most n / least
+    others = {r["bucket"]: r for r in counts.where(F.col("c") < least).where("word <> ''").groupBy(bucket(F.col("word")).alias("bucket")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    rest_n, rest_v = (np.array([int(others[k][x]) if k in others else 0 for k in range(BUCKETS)]) for x in "nv")
+    symbols = Symbols([r["word"] for r in best], [r["c"] for r in best], rest_n, int(total["ends"]))
+    made = train(docs, symbols, modulus, held)
+    share = np.zeros(symbols.start)  # of the symbols that are buckets: n + v + 1
+    share[symbols.of_bucket] = rest_n + rest_v + 1
+    shared = spark.sparkContext.broadcast((symbols, made.rows, share))  # bounded like the training's
+    listed = spark.createDataFrame([*zip(symbols.words, symbols.of_word.tolist(), strict=True), ("", symbols.end)], "word string, symbol int")
+    numbers = F.array(*(F.lit(int(x)) for x in symbols.of_bucket))
+    given = words.select("chunk", "number", "word").join(counts.join(listed, "word", "left"), "word", "left")
+    given = given.select("chunk", "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.when(F.col("word") == "", symbols.end), F.get(numbers, bucket(F.col("word")))).alias("symbol"))
 
     def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
         import zstandard
 
-        norm, vector = shared.value
-        p = Parameters(vector)
+        symbols, rows, share = shared.value
+        p = Parameters(symbols, rows)
         k = own.num_rows
         c, symbol, at = np.zeros(k, np.int64), np.zeros(k, np.int64), own.column("number").to_numpy()
         c[at], symbol[at] = own.column("c").to_numpy(), own.column("symbol").to_numpy()
@@ -246,19 +356,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
             n = int(count.sum())
             planes = raw.reshape(-1, n).astype(np.int64) if n else np.zeros((1, 0), np.int64)
             number = sum(planes[i] << (8 * i) for i in range(len(planes)))
-            before, last, now = triples(symbol[number], count)
+            before, last, now = contexts(symbol[number], count, symbols)
             ends = np.cumsum(count + 1)
             inside = np.ones(len(now), bool)
             inside[ends - 1] = False
             seen = np.full(len(now), c[k - 1], np.int64)
             seen[inside] = c[number]
             base = np.log10((seen + 1) / (n_all + v_all + 1))
-            log = np.empty(len(now))
-            for a in range(0, len(now), 50_000):
-                i, j, w = before[a : a + 50_000], last[a : a + 50_000], now[a : a + 50_000]
-                log[a : a + 50_000] = np.einsum("nd,nd->n", p.e1[i] + p.e2[j], p.r[w]) + p.b[w] - norm[i, j]
-            log /= np.log(10)
-            log[now == OTHER] += np.log10((seen[now == OTHER] + 1) / (rest_n + rest_v + 1))
+            log = p.log_probability(before, last, now) / np.log(10)
+            rare = share[now] > 0
+            log[rare] += np.log10((seen[rare] + 1) / share[now[rare]])
             first = ends - count - 1
             out["doc_id"] += row["docs"]
             out["held_out"] += (~trains(row["docs"], modulus, held)).tolist()

@@ -10,9 +10,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bidsmith.llm import decontaminate, huffman, lattice, near_dup, queries, quality, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm import decontaminate, huffman, language_model, lattice, near_dup, queries, quality, sampling, secrets, sharding, token_counts, token_ids, toxicity
 from bidsmith.llm.common import fold_of, pieces
 from bidsmith.llm.graph import components
 from bidsmith.llm.queries import tokenizer
@@ -205,6 +206,36 @@ def test_language_model(spark, sf_dir, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_language_model_sums_to_one_and_repeats(spark, sf_dir, texts):
+    words = Counter(w for t in texts.values() for w in WORD.findall(lowered(t)))
+    top = words.most_common(300)
+    rest = np.zeros(language_model.BUCKETS, int)
+    others = pa.array(sorted(set(words) - {w for w, _ in top}), pa.large_string())
+    np.add.at(rest, language_model.buckets(others), [words[w] for w in others.to_pylist()])
+    symbols = language_model.Symbols([w for w, _ in top], [c for _, c in top], rest, len(texts))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    made, again = (language_model.train(docs, symbols, 7, 2) for _ in range(2))
+    assert (made.rows == again.rows).all()
+    every = np.arange(symbols.start)
+    for i, j in [(symbols.start, symbols.start), (symbols.end, 0), (3, 17), *np.random.default_rng(2).integers(0, symbols.start, (20, 2)).tolist()]:
+        assert np.exp(made.log_probability(np.full(len(every), i), np.full(len(every), j), every)).sum() == pytest.approx(1, abs=1e-4)
+    # one by one, from the formula
+    q = made.e1[3] + made.e2[17]
+    c = 5 // symbols.width
+    own = slice(c * symbols.width, min((c + 1) * symbols.width, symbols.start))
+    want = np.log(np.exp(q @ made.rc[c] + made.bc[c]) / np.exp(made.rc @ q + made.bc).sum()) + np.log(np.exp(q @ made.r[5] + made.b[5]) / np.exp(made.r[own] @ q + made.b[own]).sum())
+    assert made.log_probability(np.array([3]), np.array([17]), np.array([5]))[0] == pytest.approx(want, abs=1e-4)
+    got = spark.createDataFrame([(w,) for w in others.to_pylist()] + [("é",), ("日本語",)], "w string").select("w", language_model.bucket(F.col("w")).alias("b")).collect()
+    assert [r.b for r in got] == language_model.buckets(pa.array([r.w for r in got], pa.large_string())).tolist()
+    rows = [sorted(queries.op5_lm_scoring(spark, sf_dir).collect()) for _ in range(2)]
+    assert rows[0] == rows[1]
+
+
+@pytest.mark.parametrize("tokens", [0, 10, 10**6, 10**12])
+def test_vocabulary_is_bounded(tokens):
+    assert tokens / language_model.least_count(tokens) <= max(5, language_model.GROWTH * tokens ** (1 / 3))
+
+
 def test_near_duplicates_by_hand(spark, sf_dir, texts):
     sets = {}
     for d, t in texts.items():
