@@ -6,9 +6,11 @@ is the number of ids before the block in its file. Blocks are independent (see `
 closes at the first document end after BLOCK ids. Spark's own writer commits them, so a task that runs
 twice leaves one copy, and any store that Spark writes to will do.
 
-Tokenizing goes by the words between spaces, which the pre-tokenizer never joins: the
-library encodes each distinct word once while a worker's bounded memo holds it, many in a row. A text with a
-space before white space or at its end is encoded whole.
+Tokenizing goes by pieces that a byte-level pre-tokenizer never joins: texts are cut at spaces, and at
+line breaks before a non-space; full stops and commas after a letter or digit are pieces of their own.
+The library encodes each distinct piece once while a worker's bounded memo holds it, many in a row. A text
+with a space before white space or at its end is encoded whole, and so is every text where the file's
+pre-tokenizer is another one (see `cuttable`).
 
 Defined results: null counts as the empty text; every text gets the end id; rows with a null
 doc_id come first; repeated rows are documents of their own; further columns are dropped.
@@ -16,11 +18,14 @@ doc_id come first; repeated rows are documents of their own; further columns are
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import annotate, cut, partitions, shared_dir, small_batches
+from bidsmith.llm.common import cut, partitions, pieces, shared_dir, small_batches
 from bidsmith.llm.huffman import Code, lengths
 
-BLOCK, MEMO = 50_000, 500_000
-_WHOLE = r" ([\s\x0b\x1c-\x1f\x{85}\pZ]|$)"
+BLOCK, MEMO, CHUNK = 50_000, 350_000, 8_000_000
+#: White space of the pre-tokenizer, for a character class.
+_BLANK = r"\s\x0b\x1c-\x1f\x{85}\pZ"
+#: Texts that are encoded whole: a space before white space or at the end, or white space before what may be a special token.
+_WHOLE = rf" ([{_BLANK}]|$)|[{_BLANK}]<\|"
+_BREAK = rf"\n([^{_BLANK}])"
+#: What full stops and commas can be cut from: a letter or digit that all Unicode versions agree on.
+_LETTER = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]$"
+_TAIL = ".,"
 
 
 @cache
@@ -43,25 +55,39 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def cuttable(path: str) -> bool:
+    """Whether texts can be cut into pieces: byte-level pairs, no normalizer, special tokens that start with <|."""
+    own = tokenizer(path)
+    before = json.loads(own.pre_tokenizer.__getstate__()) if own.pre_tokenizer else {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback")
+    whole = type(own.model).__name__ == "BPE" and not any(getattr(own.model, x) for x in odd)
+    special = all(t.content.startswith("<|") and not re.search(r"\s", t.content) and not (t.lstrip or t.rstrip or t.single_word) for t in own.get_added_tokens_decoder().values())
+    return bool(plain and whole and special and own.normalizer is None and own.truncation is None and own.padding is None)
+
+
 class Memo:
-    """Ids of words that a worker has met, in one array; at MEMO words, those met in one batch only are dropped."""
+    """Ids of the pieces that a worker has met, in one array; at MEMO pieces, those met in one batch only
+    are dropped, and beyond half of MEMO those met least lately."""
 
     def __init__(self, path: str):
         self.path, self.own = path, tokenizer(path)
         vocabulary = self.own.get_vocab(with_added_tokens=True)
         self.wide = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each id: one a character of its name
         self.wide[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.now = 0
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.begin, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.begin, self.size, self.met, self.last = (np.zeros(1 << 16, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _keep(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
         n = len(self.place)
         while n + len(words) > len(self.begin):
-            self.begin, self.size, self.met = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.size, self.met))
+            self.begin, self.size, self.met, self.last = (np.append(x, np.zeros_like(x)) for x in (self.begin, self.size, self.met, self.last))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
@@ -71,27 +97,25 @@ class Memo:
         self.place.update(zip(words, range(n, n + len(words)), strict=True))
 
     def shrink(self) -> None:
-        """Keep the words met in more than one batch; none, if those are more than half."""
-        words, often = list(self.place), np.flatnonzero(self.met[: len(self.place)] > 1)
-        begin, size, flat = self.begin[often], self.size[often], self.flat
+        often = np.flatnonzero(self.met[: len(self.place)] > 1)
+        if 2 * len(often) > MEMO:
+            often = np.sort(often[np.argsort(-self.last[often], kind="stable")[: MEMO // 2]])
+        words, begin, size, last, flat = list(self.place), self.begin[often], self.size[often], self.last[often], self.flat
         self.clear()
-        if 2 * len(often) <= MEMO and len(often):
-            ends = np.cumsum(size)
-            ids = flat[np.arange(ends[-1]) - np.repeat(ends - size - begin, size)]
-            self._keep([words[i] for i in often.tolist()], size, ids)
-            self.met[: len(often)] = 1
+        self._keep([words[i] for i in often.tolist()], size, gathered(flat, begin, size))
+        self.met[: len(often)], self.last[: len(often)] = 1, last
 
     def add(self, words: list[str]) -> None:
-        """Encode words that aren't held. Those that start with a space and a non-space can be encoded in a row,
-        as none is joined with what stands before it; bytes tell which ids are whose."""
-        row = [w for w in words if w[0:1] == " " and len(w) > 1 and self.plain(w)]
-        for i in range(0, len(row), 20_000):
-            part = row[i : i + 20_000]
+        """Encode pieces that aren't held. Those that start with white space and a non-space can be encoded in a
+        row, as none is joined with what stands before it; bytes tell which ids are whose."""
+        row = [w for w in words if len(w) > 1 and w[0] in " \n" and not w[1].isspace() and self.plain(w)]
+        for i in range(0, len(row), 2_000):
+            part = row[i : i + 2_000]
             ids = np.array(self.own.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.cumsum(np.fromiter((len(w.encode()) for w in part), np.int64, len(part)))
+            ends = np.cumsum(pc.binary_length(pa.array(part, pa.large_string())).to_numpy())
             cuts = np.searchsorted(np.cumsum(self.wide[ids]), ends) + 1
             self._keep(part, np.diff(cuts, prepend=0), ids)
-        rest = [w for w in words if w not in self.place]
+        rest = [w for w in words if w not in self.place] if len(row) < len(words) else []
         if rest:
             found = [e.ids for e in self.own.encode_batch_fast(rest, add_special_tokens=False)]
             self._keep(rest, np.array(list(map(len, found)), np.int64), np.array([i for x in found for i in x], np.uint32))
@@ -102,14 +126,18 @@ class Memo:
         return "<|" not in word
 
     def get(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where in `flat` each word's ids begin, and how many there are."""
+        """Where in `flat` each piece's ids begin, and how many there are. The pieces differ."""
         if len(self.place) > MEMO:
             self.shrink()
-        place = self.place
-        if missing := [w for w in words if w not in place]:
-            self.add(missing)
-        at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self.add(new)
+            at[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        self.now += 1
         self.met[at] += 1
+        self.last[at] = self.now
         return self.begin[at], self.size[at]
 
 
@@ -118,51 +146,101 @@ def memo(path: str) -> Memo:
     return Memo(path)
 
 
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of flat, one after another."""
+    ends = np.cumsum(size)
+    at = np.repeat(begin - (ends - size), size)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 def tokenize(texts: pa.Array, path: str, end_id: int | None) -> list[np.ndarray]:
     """Token ids of each text, with end_id (if any) after them."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(texts):
+        return []
+    closing = [] if end_id is None else [end_id]
+    if not cuttable(path):
+        return [np.array([*e.ids, *closing], np.uint32) for e in tokenizer(path).encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
     whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+    cut_up = pc.replace_substring_regex(pc.if_else(pa.array(whole), "", texts), _BREAK, " \n\\1")
+    lists = pc.split_pattern(cut_up, " ")
     count = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    number, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    number, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), coded.dictionary
     first = np.cumsum(count) - count
-    number[first] += len(names)
-    seen = np.bincount(number, minlength=2 * len(names)) > 0
-    used = np.flatnonzero(seen)
+    number[first] += len(names)  # no space stands before these
+    used = np.flatnonzero(np.bincount(number, minlength=2 * len(names)))
+    own = names.take(pa.array(used % len(names)))
+    spaced = pc.and_(pa.array(used < len(names)), pc.invert(pc.starts_with(own, "\n")))
+    stem = pc.utf8_rtrim(own, _TAIL)
+    stem = pc.if_else(pc.match_substring_regex(stem, _LETTER), stem, own)
+    lost = np.flatnonzero(pc.less(pc.binary_length(stem), pc.binary_length(own)).to_numpy(zero_copy_only=False))
+    tails = [w[len(w.rstrip(_TAIL)) :] for w in own.take(pa.array(lost)).to_pylist()]
+    stem = pc.binary_join_element_wise(pc.if_else(spaced, pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())), stem, pa.scalar("", pa.large_string())).dictionary_encode()
+    kinds = sorted(set(tails))
     held = memo(path)
-    place, wide = held.get([names[k - len(names)] if k >= len(names) else " " + names[k] for k in used.tolist()])
-    begin, size, flat = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64), held.flat
-    begin[used], size[used] = place, wide
-    n = size[number].astype(np.int32)
-    if end_id is None:
-        shift, added = n, 0
-    else:  # one place more after each text, which the end id gets
-        last = (first + count - 1)
-        shift, added = n.copy(), 1
-        shift[last] += 1
-    ends = np.cumsum(shift, dtype=np.int64)
-    at = np.repeat((begin[number] - (ends - shift)).astype(np.int32), shift)
-    at += np.arange(len(at), dtype=np.int32)
-    all_ids = flat[np.minimum(at, len(flat) - 1)] if added else flat[at]
-    stops = ends[first + count - 1]
-    if added:
-        all_ids[stops - 1] = end_id
-    out = [all_ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+    begin, size = held.get(stem.dictionary.to_pylist())
+    at = stem.indices.to_numpy(zero_copy_only=False)
+    ids = [held.flat]
+    begin, size = begin[at], size[at]
+    # ids of this batch's pieces in a row of their own: of each the stem's, then the tail's
+    part_begin, part_size = np.zeros((2, len(used), 2), np.int64)
+    part_begin[:, 0], part_size[:, 0] = begin, size
+    if kinds:
+        ends = {k: e.ids for k, e in zip(kinds, held.own.encode_batch_fast(kinds, add_special_tokens=False), strict=True)}
+        ids.append(np.array([i for k in kinds for i in ends[k]], np.uint32))
+        starts = dict(zip(kinds, np.cumsum([0, *(len(ends[k]) for k in kinds)])[:-1] + len(held.flat), strict=True))
+        part_begin[lost, 1], part_size[lost, 1] = [starts[t] for t in tails], [len(ends[t]) for t in tails]
+    flat = gathered(np.concatenate(ids) if kinds else held.flat, part_begin.ravel(), part_size.ravel())
+    offsets = np.concatenate(([0], np.cumsum(part_size.sum(axis=1))))
+    place = np.zeros(2 * len(names), np.int32)
+    place[used] = np.arange(len(used))
+    row = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    taken = row.take(pa.array(place[number]))
+    all_ids, edges = taken.flatten().to_numpy(), taken.offsets.to_numpy()
+    out = [np.append(all_ids[a:b], closing).astype(np.uint32) for a, b in zip(edges[first].tolist(), edges[first + count].tolist(), strict=True)]
     for i in np.flatnonzero(whole):
-        ids = tokenizer(path).encode(texts[int(i)].as_py(), add_special_tokens=False).ids
-        out[i] = np.array(ids if end_id is None else [*ids, end_id], np.uint32)
+        out[i] = np.array([*held.own.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, *closing], np.uint32)
     return out
 
 
+#: Documents (n_tokens at least 0), and one row a task with the counts of its ids (n_tokens -1).
+_ROWS = "doc_id bigint, n_tokens bigint, ids binary, used binary, counts binary"
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
-    """doc_id, n_tokens and `ids`, pressed for the way to the next task."""
+    """doc_id, n_tokens and `ids`, pressed for the way to the next task; and each task's counts."""
     small_batches(docs.sparkSession)
-    def score(_, part):
-        ids = tokenize(part.column("text"), path, end_id)
-        return {"n_tokens": list(map(len, ids)), "ids": [pressed(x) for x in ids]}
 
-    return annotate(docs, score, "n_tokens bigint, ids binary", ["doc_id"], 5_000_000)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of about CHUNK bytes: the more text, the more often a piece occurs in it."""
+        held, size = [], 0
+        for batch in batches:
+            for part in pieces(batch, "text", CHUNK):
+                held.append(part)
+                size += part.column("text").nbytes
+                if size >= CHUNK:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "used", "counts"]
+        for part in joined(batches):
+            ids = tokenize(part.column("text"), path, end_id)
+            more = np.bincount(np.concatenate(ids), minlength=len(total))
+            more[: len(total)] += total
+            total = more
+            none = pa.nulls(len(ids), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array([pressed(x) for x in ids], pa.binary()), none, none], names=names)
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1], pa.int64()), pa.nulls(1, pa.binary()), pa.array([used.astype("<i8").tobytes()], pa.binary()), pa.array([total[used].astype("<i8").tobytes()], pa.binary())], names=names)
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _ROWS)
 
 
 def pressed(ids: np.ndarray) -> bytes:
@@ -184,28 +262,14 @@ def unpressed(data: bytes, n: int) -> np.ndarray:
 
 
 def counted(rows: DataFrame) -> np.ndarray:
-    """How often each id occurs: a partition's counts are summed before they leave it; one row an id comes back."""
+    """How often each id occurs: the sums of the tasks' counts; one row an id comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n_held = np.zeros(0, np.int64), [], 0
-
-        def added() -> np.ndarray:
-            more = np.bincount(np.concatenate(held), minlength=len(total)) if held else total.copy()
-            if held:
-                more[: len(total)] += total
-            return more
-
         for b in batches:
-            for data, n in zip(b.column("ids").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                held.append(unpressed(data, n))
-                n_held += n
-                if n_held > 1_000_000:
-                    total, held, n_held = added(), [], 0
-        total = added()
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "count"])
+            for used, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(used, "<i8")), pa.array(np.frombuffer(counts, "<i8"))], names=["id", "count"])
 
-    found = rows.select("ids", "n_tokens").mapInArrow(run, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
+    found = rows.where("n_tokens < 0").select("used", "counts").mapInArrow(run, "id bigint, count bigint").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
     out = np.zeros(int(found["id"].max()) + 1 if len(found) else 0, np.int64)
     out[found["id"]] = found["count"]
     return out
@@ -238,7 +302,7 @@ def write(rows: DataFrame, path: str) -> None:
         if held:
             yield block()
 
-    dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("ids"))
+    dealt = rows.where("n_tokens >= 0").select("doc_id", "n_tokens", "ids").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", F.crc32("ids"))
     dealt.mapInArrow(run, "file bigint, seq bigint, first bigint, tokens bigint, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -252,8 +316,8 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(np.frombuffer(size, np.uint8))
         for b in batches:
-            for at in range(0, b.num_rows, 16):
-                part = b.slice(at, 16)
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
                 doc, start, n, last = [], [], [], []
                 for found, first in zip(code.unpack(part.column("block").to_pylist()), part.column("start").to_pylist(), strict=True):
                     for i, ids in found:
@@ -271,7 +335,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Tokenize, write to the shared folder, and read digests back."""
     spark = docs.sparkSession
-    rows = cut(token_ids(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), path, end_id), "token-ids")
+    rows = cut(token_ids(docs, path, end_id), "token-ids")
     to = f"{shared_dir(spark)}/bidsmith/token-files-{uuid.uuid4().hex}"
     small_batches(spark, 64)
     write(rows, to)
