@@ -1,20 +1,26 @@
 """Secret scans: base patterns, and format likelihood under automata inferred from credentials.
 
 Base spans are matches of three fixed patterns. The method infers one probabilistic automaton
-for each kind of credential: a prefix tree of labelled credentials, whose states are merged, in
-breadth-first order, where the frequencies of their endings and next symbols are statistically
-compatible (Hoeffding's bound at ALPHA). All candidates, the runs of credential characters of
-at least SHORTEST characters, are scored: log-likelihood under the best automaton minus
-that under the automaton of ordinary runs of words. Candidates above `threshold` that no base
-span overlaps become spans of kind `format`.
+for each kind of credential: a prefix tree of labelled credentials, character by character, whose states are
+merged, in breadth-first order, where the frequencies of their endings and next characters are statistically
+compatible (Hoeffding's bound at ALPHA); a state is held against its parent first, then against the others in
+order. So fixed prefixes stay chains of states, and random parts become loops. Probabilities of a state are mixed with
+the automaton's character frequencies (MIXED parts in 1). All candidates are scored: the runs of credential
+characters, less the base spans in them, of which at least SHORTEST characters are left (shorter ones cannot
+be told from words by their format at the threshold). A candidate's score is its log-likelihood under the best
+automaton minus that under the better of two automata of ordinary runs of words, numbers and addresses, one over
+characters and one over shapes (small, capital, digit, each mark), which knows words of any language; above
+`threshold` it is a span of kind `format`. Full stops at a run's end are not part of it.
 
 The labelled credentials are the fixed FORMATS expanded by a seeded generator (documented,
 bounded by `examples` a format) and, where `fit_to` is given, the base matches in at most
-`sample` documents. Symbols are character classes, so automata stay small.
+`sample` documents.
 
 Spans are [start, end) in code points of the whole match. Defined results: null and empty
-texts have no spans (base_sha256 of the empty string); repeated rows give equal spans; very
-long runs are scored whole.
+texts have no spans (base_sha256 of the empty string); an empty table gives no rows; repeated rows give equal
+spans; spans that start at one place are ordered by kind, then end; of equal likelihoods the first kind counts; very
+long runs are scored whole; a column of the table that has a new one's name, in any letter case, is replaced
+(masking changes text alone and keeps every column).
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict, deque
+from functools import cache
 from math import log, sqrt
 
 import numpy as np
@@ -34,40 +41,42 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-SHORTEST, ALPHA = 20, 0.05
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+SHORTEST, ALPHA, MIXED = 12, 0.05, 0.1
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
 
 #: Formats of credentials, as prefix, alphabet and shortest and longest length of the rest.
-HEXADECIMAL, UPPER, MIXED, URLSAFE, BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+HEXADECIMAL, UPPER, LETTERS, URLSAFE, BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 FORMATS = {
     "hex": [("", HEXADECIMAL, 32, 64), ("", HEXADECIMAL.upper(), 32, 64)],
     "access": [("AKIA", UPPER, 16, 16), ("ASIA", UPPER, 16, 16)],
-    "platform": [("ghp_", MIXED, 36, 36), ("gho_", MIXED, 36, 36), ("sk_live_", MIXED, 24, 32), ("xoxb-", "0123456789-" + MIXED, 40, 50), ("AIza", URLSAFE, 35, 35)],
-    "random": [("", MIXED, 20, 48), ("", URLSAFE, 22, 48), ("", BASE64, 24, 64)],
+    "platform": [("ghp_", LETTERS, 36, 36), ("gho_", LETTERS, 36, 36), ("sk_live_", LETTERS, 24, 32), ("xoxb-", "0123456789-" + LETTERS, 40, 50), ("AIza", URLSAFE, 35, 35)],
+    "random": [("", LETTERS, 20, 48), ("", URLSAFE, 22, 48), ("", BASE64, 24, 64)],
     "jwt": [("eyJ", URLSAFE, 60, 120)],
 }
 #: Parts of ordinary long runs.
 PARTS = ["get", "set", "value", "config", "user", "data", "list", "index", "http", "www", "com", "html", "page", "long", "word", "the", "and", "tion", "ing", "ment", "heit", "keit", "lich", "que", "elle", "ción", "est", "ter", "over", "under", "count", "2024", "01", "10", "v2"]
 JOINTS = ["", "", "", "", "_", "-", "/"]
 
-_CLASS = np.zeros(256, np.int8)
-for _i, _set in enumerate(("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", "-")):
-    for _c in _set:
-        _CLASS[ord(_c)] = _i + 1
-CLASSES = 11
-_WIDTH = np.array([1, 10, 6, 20, 6, 20, 1, 1, 1, 1, 1])
+#: Number of each credential character.
+_CODE = np.zeros(256, np.int8)
+_CODE[np.frombuffer((LETTERS + "+/_=.-").encode(), np.uint8)] = np.arange(len(LETTERS) + 6)
+SYMBOLS = len(LETTERS) + 6
+#: Shapes: capital 0, small 1, digit 2, the marks 3 to 8.
+SHAPES = np.array([*[0] * 26, *[1] * 26, *[2] * 10, *range(3, 9)], np.int8)
 
 
 class Automaton:
-    """A deterministic probabilistic automaton over character classes, inferred by state merging."""
+    """A deterministic probabilistic automaton over credential characters, inferred by state merging."""
 
-    def __init__(self, samples: list[str], alpha: float = ALPHA):
+    def __init__(self, samples: list[str], alpha: float = ALPHA, shapes: np.ndarray | None = None):
+        """shapes: the symbol of each character (a character is drawn evenly from its symbol's); each its own by default."""
+        self.symbol = np.arange(SYMBOLS, dtype=np.int8) if shapes is None else shapes
         follow: list[dict[int, int]] = [{}]
         passed: list[dict[int, int]] = [defaultdict(int)]
         ended: list[int] = [0]
         for s in samples:
             at = 0
-            for c in _CLASS[np.frombuffer(s.encode("ascii", "ignore"), np.uint8)].tolist():
+            for c in self.symbol[_CODE[np.frombuffer(s.encode("ascii", "ignore"), np.uint8)]].tolist():
                 passed[at][c] += 1
                 if c not in follow[at]:
                     follow[at][c] = len(follow)
@@ -79,6 +88,7 @@ class Automaton:
         self.follow, self.passed, self.ended, self.bound = follow, passed, ended, sqrt(0.5 * log(2 / alpha))
         self._merge()
         self._table()
+        del self.follow, self.passed, self.ended  # the tree: large, and of no use any more
 
     def _total(self, q: int) -> int:
         return self.ended[q] + sum(self.passed[q].values())
@@ -114,52 +124,64 @@ class Automaton:
                     self.follow[p][c] = t
 
     def _merge(self) -> None:
-        red, blue = [0], deque(sorted((t, 0, c) for c, t in self.follow[0].items()))
+        red, seen = [0], {0}
+        blue = deque()
+
+        def fringe(states) -> None:
+            for r in states:
+                for c, t in sorted(self.follow[r].items()):
+                    if t not in seen:
+                        seen.add(t)
+                        blue.append((t, r, c))
+
+        fringe(red)
         while blue:
             q, parent, c = blue.popleft()
             if self.follow[parent].get(c) != q:
                 continue
-            for p in red:
+            for p in (parent, *(r for r in red if r != parent)):
                 if self._compatible(p, q):
                     self.follow[parent][c] = p
                     self._fold(p, q)
-                    known = {t for t, *_ in blue} | set(red)
-                    blue.extend(sorted((t, r, k) for r in red for k, t in self.follow[r].items() if t not in known))
+                    fringe(red)
                     break
             else:
                 red.append(q)
-                blue.extend(sorted((t, q, k) for k, t in self.follow[q].items() if t not in set(red)))
+                fringe([q])
         self.red = red
 
     def _table(self) -> None:
-        """next[state, class] and log-probability of a character (not its class); unseen ones are smoothed and keep the state."""
+        """next[state, character] and log-probability; a state without the character stays."""
         number = {q: i for i, q in enumerate(self.red)}
-        self.next = np.repeat(np.arange(len(self.red), dtype=np.int32)[:, None], CLASSES, axis=1)
-        self.logp = np.empty((len(self.red), CLASSES))
+        wide = np.bincount(self.symbol)
+        follow = np.repeat(np.arange(len(self.red), dtype=np.int32)[:, None], len(wide), axis=1)
+        counts = np.zeros((len(self.red), len(wide)))
         for q, i in number.items():
-            total = self._total(q) + 0.05 * CLASSES
-            for c in range(CLASSES):
-                self.logp[i, c] = log((self.passed[q].get(c, 0) + 0.05) / total / _WIDTH[c])
-                if c in self.follow[q]:
-                    self.next[i, c] = number.get(self.follow[q][c], i)
-
-    def score(self, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Log-likelihood a character of each row; rows are in descending order of length."""
+            for c, n in self.passed[q].items():
+                counts[i, c] = n
+                follow[i, c] = number.get(self.follow[q].get(c), i)
+        ended = np.array([self.ended[q] for q in self.red])
+        often = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * len(wide))
+        share = (counts + often) / (counts.sum(axis=1) + ended + 1)[:, None]
+        self.next, self.logp = follow[:, self.symbol], np.log(((1 - MIXED) * share + MIXED * often) / wide)[:, self.symbol]
+
+    def score(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each row; rows are in descending order of length."""
         state, total = np.zeros(len(lengths), np.int32), np.zeros(len(lengths))
-        for k in range(classes.shape[1]):
+        for k in range(codes.shape[1]):
             n = int(np.searchsorted(-lengths, -k, side="left"))
-            c = classes[:n, k]
+            c = codes[:n, k]
             total[:n] += self.logp[state[:n], c]
             state[:n] = self.next[state[:n], c]
-        return total / np.maximum(lengths, 1)
+        return total
 
 
 class Model:
-    """One automaton for each kind, and one for ordinary runs."""
+    """One automaton for each kind, and two for ordinary runs."""
 
     def __init__(self, credentials: dict[str, list[str]], ordinary: list[str]):
         self.kinds = {k: Automaton(v) for k, v in credentials.items() if v}
-        self.ordinary = Automaton(ordinary)
+        self.ordinary = [Automaton(ordinary), Automaton(ordinary, shapes=SHAPES)]
 
     def score(self, runs: list[str]) -> np.ndarray:
         """Best format's log-likelihood minus that of ordinary runs, over the whole run."""
@@ -172,9 +194,9 @@ class Model:
             own = order[start : start + max(1, min(4096, int(4_000_000 // max(width, 1))))]
             table = np.zeros((len(own), width), np.int8)
             for i, r in enumerate(own):
-                table[i, : lengths[r]] = _CLASS[np.frombuffer(runs[r].encode(), np.uint8)]
-            best = np.max([a.score(table, lengths[own]) for a in self.kinds.values()], axis=0)
-            out[own] = (best - self.ordinary.score(table, lengths[own])) * lengths[own]
+                table[i, : lengths[r]] = _CODE[np.frombuffer(runs[r].encode(), np.uint8)]
+            of = lambda automata: np.max([a.score(table, lengths[own]) for a in automata], axis=0)  # noqa: B023, E731
+            out[own] = of(self.kinds.values()) - of(self.ordinary)
             start += len(own)
         return out
 
@@ -186,10 +208,13 @@ def examples(per_format: int = 150, seed: int = 7) -> tuple[dict[str, list[str]]
     draw = random.Random(seed)
     made = {kind: [prefix + "".join(draw.choices(alphabet, k=draw.randint(low, high))) for prefix, alphabet, low, high in formats for _ in range(per_format)] for kind, formats in FORMATS.items()}
     ordinary = []
-    while len(ordinary) < 4 * per_format:
+    while len(ordinary) < 8 * per_format:
         joint = draw.choice(JOINTS)
-        run = joint.join(draw.choice([str.lower, str.lower, str.capitalize])(draw.choice(PARTS)) for _ in range(draw.randint(5, 14)))
+        run = joint.join(draw.choice([str.lower, str.lower, str.capitalize])(draw.choice(PARTS)) for _ in range(draw.randint(3, 14)))
         ordinary.append(re.sub("[^!-~]", "o", draw.choice([str, str, str, str.upper])(run)))
+    for _ in range(2 * per_format):
+        digits = lambda k: "".join(draw.choices("0123456789", k=k))
+        ordinary.append(draw.choice([digits(draw.randint(8, 24)), f"{digits(3)}-{digits(4)}-{digits(4)}", f"{digits(2)}.{digits(3)}.{digits(2)}.{digits(3)}", f"{digits(4)}-{digits(2)}-{digits(2)}", "-" * 20, "=" * 20, "." * 20]))
     return made, ordinary
 
 
@@ -211,27 +236,52 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the runs' parts outside base spans, of SHORTEST characters or more. base: in order."""
+    out, k, covered = [], 0, 0
+    for m in _RUN.finditer(text):
+        at, end = m.start(), m.end()
+        while k < len(base) and base[k][0] < end:
+            a, _, b = base[k]
+            if a - max(at, covered) >= SHORTEST:
+                out.append((max(at, covered), a))
+            covered = max(covered, b)
+            k += 1
+        if end - max(at, covered) >= SHORTEST:
+            out.append((max(at, covered), end))
+    out = [(a, a + len(text[a:b].rstrip("."))) for a, b in out]
+    return [(a, b) for a, b in out if b - a >= SHORTEST]
+
+
 def scan(texts: list[str | None], model: Model, threshold: float) -> list[tuple[list, list]]:
     """(base spans, further spans) of each text."""
     base = [base_spans(t) if t else [] for t in texts]
-    runs = [(i, m.start(), m.end()) for i, t in enumerate(texts) if t for m in CANDIDATE.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in base[i])]
+    runs = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, base[i])]
     more: list[list] = [[] for _ in texts]
     if runs:
-        scores = model.score([texts[i][a:b] for i, a, b in runs])
-        for (i, a, b), s in zip(runs, scores, strict=True):
-            if s > threshold:
+        words = [texts[i][a:b] for i, a, b in runs]
+        distinct = list(dict.fromkeys(words))
+        scores = dict(zip(distinct, model.score(distinct).tolist(), strict=True))
+        for (i, a, b), w in zip(runs, words, strict=True):
+            if scores[w] > threshold:
                 more[i].append((a, 3, b))
     return list(zip(base, more, strict=True))
 
 
+@cache
+def standard() -> Model:
+    return Model(*examples())
+
+
 def fit(docs: DataFrame | None = None, sample: int = 2000) -> Model:
     """The model from the fixed formats and, where docs is given, the hex and access matches in a sample of at most that many documents (smallest hashes)."""
+    if docs is None:
+        return standard()
     made, ordinary = examples()
-    if docs is not None:
-        likely = docs.where(F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")).select("doc_id", F.slice(F.regexp_extract_all("text", F.lit("(AKIA[A-Z0-9]{16,100}|[0-9a-f]{24,100})")), 1, 5).alias("found"))
-        for r in likely.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
-            for x in r["found"]:
-                made["access" if x.startswith("AKIA") else "hex"].append(x)
+    likely = docs.where(F.col("text").rlike("AKIA[A-Z0-9]{16}|[0-9a-f]{24}")).select("doc_id", F.slice(F.regexp_extract_all("text", F.lit("(AKIA[A-Z0-9]{16,100}|[0-9a-f]{24,100})")), 1, 5).alias("found"))
+    for r in likely.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect():
+        for x in r["found"]:
+            made["access" if x.startswith("AKIA") else "hex"].append(x)
     return Model(made, ordinary)
 
 
