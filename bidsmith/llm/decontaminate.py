@@ -8,29 +8,35 @@ are confirmed by the weighted Jaccard similarity of the two multisets of shingle
 often a shingle occurs), at least `similarity`.
 
 Windows of which too few shingles occur in the benchmark at all cannot reach the similarity,
-whatever the item; they get no fingerprint. Every start position of every item size is considered.
+whatever the item; they get no fingerprint. Every start position of every item size is considered; a text with
+fewer shingles than an item is one window.
 
-Words are lower-cased (all letters) runs without ASCII punctuation. The index of at most ITEMS
-items goes to the executors (about 6,000 entries, 50 kB, an item); a larger benchmark is searched in
-slices of that many, one pass each.
+Words are lower-cased (all letters) runs without ASCII punctuation. The benchmark comes to the driver and goes to the
+executors PASS items at a time, a bound whatever its size: a worker holds their indexes (ITEMS items each; about 6,000
+entries, 25 kB, an item). A larger benchmark takes more passes, each written to the shared folder.
 
 Defined results: null, empty and wordless texts, and items without words, match nothing; an item or
-text of fewer than five words is one shingle; repeated rows match alike; null ids are kept.
+text of fewer than five words is one shingle; an empty table of documents or items gives no leaks; repeated rows match
+alike, and repeated items once; of windows that are equally similar to an item the one of nearest fingerprint, then the
+first, is reported; null ids are kept; very long texts are searched whole, 20,000 windows at a time; columns of the
+documents keep their names and values, and the column of leaks gets a name that no other has.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import annotate, free_name, small_batches
+from bidsmith.llm.common import annotate, cut, free_name, small_batches
 from bidsmith.llm.text import Words
 
-BITS, BLOCKS, RADIUS, ITEMS, WIDTH = 128, 8, 31, 1000, 5
+BITS, BLOCKS, RADIUS, ITEMS, PASS, WIDTH = 128, 8, 31, 1000, 4000, 5
 _MASKS = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS // BLOCKS), r)], np.uint16)
 LEAKS = "array<struct<item_id: bigint, similarity: double, start: bigint, n_words: bigint>>"
 
@@ -102,12 +108,16 @@ def leaks(texts: list[str | None], index: Index, similarity: float) -> list[list
     for i in np.unique(np.searchsorted(begin, spots, side="right") - 1):
         own = shingles[begin[i] : begin[i + 1]]
         seen = np.concatenate(([0], np.cumsum(hit[begin[i] : begin[i + 1]])))
-        starts, widths, sizes = [], [], []
+        starts, widths, sizes, short = [], [], [], False
         for n in index.lengths:
             wide = max(1, n - WIDTH + 1)
-            if len(own) < wide or words.count[i] < min(n, WIDTH):
+            if words.count[i] < min(n, WIDTH):
                 continue
-            s = np.flatnonzero(seen[wide:] - seen[:-wide] >= similarity * wide)
+            if len(own) < wide:  # the whole text, once, if it can be alike enough to an item of this size
+                s = np.zeros(int(not short and seen[-1] >= similarity * wide), np.int64)
+                short, wide, n = short or len(s) > 0, len(own), int(words.count[i])
+            else:
+                s = np.flatnonzero(seen[wide:] - seen[:-wide] >= similarity * wide)
             starts.append(s)
             widths.append(np.full(len(s), wide))
             sizes.append(np.full(len(s), n))
@@ -133,34 +143,51 @@ def leaks(texts: list[str | None], index: Index, similarity: float) -> list[list
     return out
 
 
-def indexes(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark in slices of ITEMS items."""
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()]
-    return [rows[i : i + ITEMS] for i in range(0, len(rows), ITEMS)] or [[]]
+def passes(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The different items with a text, in order, PASS at a time; the driver holds no more than that."""
+    rows, last = benchmark.select("item_id", "text").where("text is not null").distinct(), None
+    while True:
+        left = rows
+        if last:
+            same, i = F.col("item_id").eqNullSafe(F.lit(last[0])), F.col("item_id")
+            left = rows.where((same & (F.col("text") > last[1])) | (i.isNotNull() if last[0] is None else i > last[0]))
+        found = [(r["item_id"], r["text"]) for r in left.orderBy(F.col("item_id").asc_nulls_first(), "text").limit(PASS).collect()]
+        if found or last is None:
+            yield found
+        if len(found) < PASS:
+            return
+        last = found[-1]
 
 
-_MADE: dict[int, Index] = {}
+_MADE: dict[str, list[Index]] = {}
 
 
-def _made(items: list) -> Index:
-    """One index a worker and slice."""
-    key = hash(tuple(items))
+def _made(key: str, items: list) -> list[Index]:
+    """The indexes of a pass, made once a worker; those of another pass go."""
     if key not in _MADE:
         _MADE.clear()
-        _MADE[key] = Index(items)
+        _MADE[key] = [Index(items[i : i + ITEMS]) for i in range(0, len(items), ITEMS)]
     return _MADE[key]
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, keep: list[str] | None = None, name: str = "leaks") -> DataFrame:
     """docs with an array column: item_id, similarity, first word and length of each leaked item's best window."""
     small_batches(docs.sparkSession)
-    slices = indexes(benchmark)
-
-    def score(texts, _):
-        found = [leaks(texts, _made(s), similarity) for s in slices]
-        return {name: [sum(x, []) for x in zip(*found, strict=True)]}
-
-    return annotate(docs, score, f"`{name}` {LEAKS}", keep)
+    out, own = docs, [c for c in docs.columns if (keep is None or c in keep) and c.lower() != name.lower()]
+    for number, items in enumerate(passes(benchmark)):
+        shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex  # at most PASS items
+
+        def score(texts, _, shared=shared, key=key):
+            found = [leaks(texts, index, similarity) for index in _made(key, shared.value)]
+            return {name if not number else more: [sum(x, []) for x in zip(*found, strict=True)] if found else [[] for _ in texts]}  # noqa: B023
+
+        if not number:
+            kept = keep if keep is None else [*dict.fromkeys([*own, "text"])]
+            out = annotate(docs, score, f"`{name}` {LEAKS}", kept)
+        else:
+            more = free_name(out, "more")
+            out = annotate(cut(out, "leaks"), score, f"`{more}` {LEAKS}").withColumn(name, F.concat(name, more)).drop(more)
+    return out.select(*own, name)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
