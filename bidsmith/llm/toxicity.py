@@ -16,8 +16,10 @@ outside the held-out fold; only the text enters a score. Probabilities come from
 the documents' worst and second-worst words.
 
 Defined results: null, empty and wordless texts get the score of a document whose words all are
-harmless; without labels of both kinds on texts with words every score is 0; repeated rows score alike; very long
-texts are scored whole; further columns pass through.
+harmless; without labels of both kinds on texts with words every score is 0; an empty table gives no rows; repeated rows
+score alike, and repeated labels of a doc_id count as the worst; a word that is worst twice in a text is its second-worst
+too; very long texts are scored whole, 20,000 words at a time; further columns pass through, and one that has the score's name, in any
+letter case, is replaced (the filter takes a name that is free and changes no column).
 """
 
 from __future__ import annotations
@@ -33,25 +35,25 @@ from pyspark.sql import functions as F
 
 from bidsmith.llm.common import annotate, fold, free_name, small_batches
 
-GAP, DECAY, SIGNS = 3, 0.7, 64
+GAP, DECAY, SIGNS = 3, 0.7, 128
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
 _SPACED = re.compile(r"(?<!\S)\S(?:[\x20\x09-\x0D]\S){2,}[!-/:-@\[-`{-~]*(?!\S)")
 _TRIM = "".join(chr(c) for c in range(9, 127) if not chr(c).isalnum() and (c < 14 or c >= 32))
 _EDGE = r"[!-/:-@\[-`{-~]*[\x20\x09-\x0D]+[!-/:-@\[-`{-~]*"
 _MANY = r"(^|\s)[^\s]\s[^\s]\s[^\s](\s|$)"
-#: Character classes: letters a-z, digits, other letters of Latin scripts by place, the rest.
-_CLASS = np.full(0x250, 59, np.int64)
-_CLASS[97:123] = np.arange(26)
-_CLASS[48:58] = 26
-_CLASS[0xDF:0x250] = 27 + (np.arange(0xDF, 0x250) * 7 % 32)
-FIRST, LAST, HARMLESS = 60, 61, -1.5
+#: Character classes: letters a-z, digits, the rest of ASCII; then SCRIPT classes in turn, so that the letters of one alphabet
+#: (all but the largest have fewer) differ. Start and end of a string have classes of their own.
+_ASCII = np.full(128, 27, np.int64)
+_ASCII[97:123] = np.arange(26)
+_ASCII[48:58] = 26
+SCRIPT, FIRST, LAST, HARMLESS = 97, 126, 127, -1.5
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Character classes of all words with end marks, and the word of each."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     points = np.frombuffer(("\x01" + "\x02\x01".join(words) + "\x02").encode("utf-32-le", "surrogatepass"), np.uint32) if words else np.empty(0, np.uint32)
-    out = np.where(points < 0x250, _CLASS[np.minimum(points, 0x24F)], 59)
+    out = np.where(points < 128, _ASCII[np.minimum(points, 127)], 28 + points.astype(np.int64) % SCRIPT)
     ends = np.cumsum(size)
     out[ends - size], out[ends - 1] = FIRST, LAST
     return out, np.repeat(np.arange(len(words)), size)
@@ -118,6 +120,8 @@ class Model:
 
     def __init__(self, table: np.ndarray, bias: float, logistic: tuple[float, float, float]):
         self.table, self.bias, self.logistic = table, bias, logistic
+        self.landmarks: list[str] = []
+        self.weights = np.empty(0)  # of the landmarks, in f(x) = sum of weight * k(landmark, x) + bias
 
     def words(self, words: list[str]) -> np.ndarray:
         """f of each word, 20,000 words at a time."""
@@ -207,7 +211,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
             return None
         if step == 0:
             first = sorted(positive.tolist(), key=lambda i: -chosen[i])[: landmarks // 2]
-            marks = features([names[i] for i in [*first, *draw.permutation(harmless)[: landmarks - len(first)]]])
+            chosen_marks = [names[i] for i in [*first, *draw.permutation(harmless)[: landmarks - len(first)]]]
+            marks = features(chosen_marks)
             own = gram(marks, marks).astype(float)
             values, vectors = np.linalg.eigh(own)
             half = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
@@ -220,11 +225,12 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
         many[: len(positive)] *= len(harmless) / many[: len(positive)].sum() / 4
         many = np.append(many, np.repeat(many[: len(positive)] / 2, 2))
         w = svm(z, target, many)
-        table = np.zeros(SIGNS**3)
+        table = np.zeros(SIGNS**3, np.float32)
         for m, v in zip(marks, half @ w[:-1], strict=True):
             for c, x in m.items():
                 table[c] += v * x
         model = Model(table, float(w[-1]), (1.0, 0.0, 0.0))
+        model.landmarks, model.weights = chosen_marks, half @ w[:-1]
         score = model.words(names)
     x = np.clip(model.worst(pa.array([t for t, _ in rows], pa.string())), HARMLESS, 3)
     z = np.hstack([x, np.ones((len(x), 1))])
@@ -240,7 +246,8 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
         if not bent:
             break
         free.remove(bent[0])
-    return Model(table, model.bias, tuple(w))
+    model.logistic = tuple(w)
+    return model
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int, modulus: int, held: int) -> list[tuple[str | None, int]]:
@@ -258,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, modulus: int = 3
 def with_toxicity(docs: DataFrame, model: Model | None, keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """docs with a score from 0 to 1."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB, whatever the input
 
     def score(_, part):
         texts = part.column("text")
