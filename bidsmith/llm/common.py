@@ -26,20 +26,53 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset: a local one in local mode, an error on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"{tempfile.gettempdir()}/bidsmith-checkpoints"
-        spark.conf.set("bidsmith.local.dir", where)
     return where.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a lineage cut that outlives any executor."""
+_CUT = "_bidsmith_cut"
+
+
+def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: a lineage cut that outlives any executor.
+
+    spent: earlier cuts that nothing needs once df is written; they are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bidsmith/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _CUT, path)
+    discard(*spent)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of cuts that no plan reads any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, _CUT, None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+HOT = 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], often: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has a row a key and, in `often`, about how many rows of left that key has.
+
+    The HOT most frequent keys are joined by a broadcast of their rows of right (HOT rows, a fixed bound),
+    so no task gets more than a HOT-th of left for one key; all others are shuffled. `often` is dropped.
+    """
+    hot = F.broadcast(right.orderBy(F.desc(often), *keys).limit(HOT))
+    rest = left.join(F.broadcast(right.orderBy(F.desc(often), *keys).limit(HOT).select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).drop(often).unionByName(rest.hint("merge").join(right, keys, how).drop(often), allowMissingColumns=True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,7 +19,9 @@ Documents with equal sets are one class first, so exact copies cost one row each
 
 Defined results: null and wordless texts have no shingles and are linked with nothing; fewer
 than five words are one shingle; a null doc_id is its own component (null) and kept; rows
-that repeat a doc_id are one node; further columns are dropped.
+that repeat a doc_id are one node; an empty table gives no rows; of members that could be a region's centre, and of partners equally
+alike, the smallest doc_id is taken (this orders the work and changes no result); very long texts are signed and compared
+whole; further columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import annotate, cut, partitions, small_batches
+from bidsmith.llm.common import annotate, cut, discard, hot_join, partitions, small_batches
 from bidsmith.llm.graph import components
 from bidsmith.llm.text import shingle_sets
 
@@ -119,7 +121,7 @@ def shared_regions(classes: DataFrame) -> DataFrame:
     """doc, tree, key and count of every region of more than one class. classes: doc, keys, sig; one row a class."""
     entries = classes.select("doc", F.posexplode("keys").alias("tree", "key"))
     sizes = entries.groupBy("key").count().where("count > 1")
-    return cut(entries.join(sizes, "key"), "regions")
+    return cut(hot_join(entries, sizes.withColumn("often", F.col("count")), ["key"], "often"), "regions")
 
 
 def candidates(classes: DataFrame, active: DataFrame, least: float) -> DataFrame:
@@ -130,10 +132,10 @@ def candidates(classes: DataFrame, active: DataFrame, least: float) -> DataFrame
     members = cut(large.select("doc").distinct().join(classes.select("doc", "sig"), "doc"), "members")
     values = members.select("doc", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda i: F.substring(F.col("sig"), i * 4 + 1, F.lit(4)))).alias("place", "value"))
     often = values.groupBy("place", "value").count()
-    weight = values.join(often, ["place", "value"]).groupBy("doc").agg(F.sum("count").alias("weight"))
+    weight = hot_join(values, often.withColumn("often", F.col("count")), ["place", "value"], "often").groupBy("doc").agg(F.sum("count").alias("weight"))
     placed = cut(large.join(members.join(weight, "doc"), "doc").select("key", "doc", "weight", F.concat(F.expr("substring(sig, tree * 16 + 1)"), F.expr("substring(sig, 1, tree * 16)")).alias("order")), "placed")
-    centre = placed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c")).select("key", (-F.col("c.less")).alias("b"))
-    star = placed.select("key", F.col("doc").alias("a")).join(centre, "key").where("a <> b").select("a", "b")
+    centre = placed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc")).alias("less"))).alias("c"), F.count("*").alias("often")).select("key", (-F.col("c.less")).alias("b"), "often")
+    star = hot_join(placed.select("key", F.col("doc").alias("a")), centre, ["key"], "often").where("a <> b").select("a", "b")
     deep = placed.select("key", "doc", F.substring("order", 1, 64).alias("order"))
     beside = deep.repartitionByRange(partitions(classes.sparkSession), "key", "order", "doc").sortWithinPartitions("key", "order", "doc").mapInPandas(_neighbours, "a bigint, b bigint")
     found = pairs.union(star).union(beside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -156,8 +158,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
 def divided(active: DataFrame, roots: DataFrame) -> DataFrame:
     """doc and root of the members of large regions that hold more than one component."""
     rooted = active.where(F.col("count") > SMALL).select("key", "doc").join(roots.toDF("doc", "root"), "doc", "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    return rooted.join(several, "key").select("doc", "root").distinct()
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("often")).where("x < y").select("key", "often")
+    return hot_join(rooted, several, ["key"], "often").select("doc", "root").distinct()
 
 
 def shared_prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
@@ -180,13 +182,13 @@ def shared_prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
 
     across = [F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")]
     entries = cut(members.mapInPandas(run, "doc bigint, root bigint, n bigint, shingle bigint"), "entries")
-    often = entries.groupBy("shingle").agg(*across).where("x < y").select("shingle", "c")
-    ranked = entries.join(often, "shingle").groupBy("doc", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("own"))
+    often = entries.groupBy("shingle").agg(*across).where("x < y").select("shingle", "c", F.col("c").alias("often"))
+    ranked = hot_join(entries, often, ["shingle"], "often").groupBy("doc", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("own"))
     before = F.col("n") - F.size("own")
     some = F.greatest(F.lit(0), F.expr(f"n - ({percent} * n + 99) div 100 + 1") - before).cast("int")
     first = cut(ranked.select("doc", "root", "n", before.alias("before"), F.posexplode(F.slice("own", F.lit(1), some)).alias("k", "s")).select("doc", "root", "n", (F.col("n") - F.col("before") - F.col("k")).alias("after"), "s.shingle"), "prefixes")
-    blocks = first.groupBy("shingle").agg(*across).where("x < y").select("shingle", F.expr(f"cast((c + {POSTED - 1}) div {POSTED} as int)").alias("blocks"))
-    dealt = first.join(blocks, "shingle").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    blocks = first.groupBy("shingle").agg(*across).where("x < y").select("shingle", F.expr(f"cast((c + {POSTED - 1}) div {POSTED} as int)").alias("blocks"), F.col("c").alias("often"))
+    dealt = hot_join(first, blocks, ["shingle"], "often").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     a = dealt.select("shingle", F.col("own").alias("i"), F.col("other").alias("j"), F.col("doc").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("after").alias("after_a"))
     b = dealt.select("shingle", F.col("other").alias("i"), F.col("own").alias("j"), F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("after").alias("after_b"))
@@ -205,8 +207,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     docs = docs.select("doc_id", "text")
     signed = cut(annotate(docs, lambda texts, _: _sign(texts, width), "n_shingles bigint, one bigint, two bigint, keys array<bigint>, sig binary", ["doc_id"], BATCH), "signed")
     known = signed.where("n_shingles > 0 and doc_id is not null")
-    classed = cut(known.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("doc")), "classes")
-    classes = known.select("doc_id", "n_shingles", "one", "two", "keys", "sig").join(classed, ["n_shingles", "one", "two"]).where("doc_id = doc").select("doc", "keys", "sig")
+    same = ["n_shingles", "one", "two"]
+    classed = cut(known.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.count("*").alias("often")), "classes")
+    # by doc_id: a join by class alone would bring all copies of a text together
+    classes = known.select("doc_id", *same, "keys", "sig").join(classed.select(*same, F.col("doc").alias("doc_id")), ["doc_id", *same], "left_semi").select(F.col("doc_id").alias("doc"), "keys", "sig")
     regions_of = shared_regions(classes)
     pairs = cut(candidates(classes, regions_of, least), "pairs")
     ends = pairs.select("a", "b", "share").union(pairs.select("b", "a", "share")).toDF("a", "b", "share")
@@ -220,15 +224,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     apart = pairs.select("a", "b").join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     second = confirmed(apart.join(best, ["a", "b"], "left_anti"), texts, percent, width)
     roots = components(first.union(cut(second, "links")))
-    members = cut(divided(regions_of, roots), "members")
+    members = cut(divided(regions_of, roots), "members", first)
     if not members.isEmpty():
         whole = cut(docs.join(members.hint("merge").withColumnRenamed("doc", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("doc"), "root").agg(F.min("text").alias("text")), "texts")
         left = shared_prefixes(whole, percent, width).join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        third = cut(confirmed(cut(agreeing(left, classes, least), "pairs"), whole.select("doc", "text"), percent, width), "links")
+        alike = cut(agreeing(left, classes, least), "pairs")
+        third = cut(confirmed(alike, whole.select("doc", "text"), percent, width), "links", alike, whole)
         if not third.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(third))
-    named = classed.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("n_shingles", "one", "two", F.coalesce("root", "doc").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "one", "two").join(named, ["n_shingles", "one", "two"], "left")
+        discard(third)
+    discard(members, regions_of, pairs, texts)
+    named = classed.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(*same, F.coalesce("root", "doc").alias("component_id"), "often")
+    out = hot_join(known.select("doc_id", *same), named, same, "often")
+    out = out.unionByName(signed.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", *same), allowMissingColumns=True)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
