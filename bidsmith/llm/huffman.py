@@ -56,21 +56,22 @@ class Code:
         order = np.lexsort((np.arange(len(size)), size))
         order = order[size[order] > 0]
         self.codes = np.zeros(len(size), np.uint64)
-        self.symbol, self.step = np.zeros(1 << LIMIT, np.int32), np.zeros(1 << LIMIT, np.uint8)
+        self.table = np.zeros(1 << LIMIT, np.uint32)  # for each next LIMIT bits: the id, and in the low 5 bits its length
         if len(order):
             spans = np.uint64(1) << (np.uint64(LIMIT) - self.size[order])
             begin = np.cumsum(spans) - spans
             self.codes[order] = begin >> (np.uint64(LIMIT) - self.size[order])
-            filled = int(spans.sum())
-            self.symbol[:filled] = np.repeat(order, spans.astype(np.int64))
-            self.step[:filled] = np.repeat(size[order], spans.astype(np.int64))
+            self.table[: int(spans.sum())] = np.repeat(order << 5 | size[order], spans.astype(np.int64))
 
     def pack(self, documents: list[tuple[int | None, np.ndarray]]) -> bytes:
         """A block of whole documents: (id, token ids)."""
         ids = np.concatenate([x for _, x in documents]) if documents else np.empty(0, np.int64)
-        size, codes = self.size[ids], self.codes[ids]
-        if len(ids) and not size.all():
+        # four codes of at most 16 bits make one of at most 64; the last are filled up with empty ones
+        size, codes = (np.append(x[ids], np.zeros(-len(ids) % 4, np.uint64)) for x in (self.size, self.codes))
+        if len(ids) and not size[: len(ids)].all():
             raise ValueError("an id without a code")
+        for _ in range(2):
+            codes, size = codes[::2] << size[1::2] | codes[1::2], size[::2] + size[1::2]
         ends = np.cumsum(size)
         begin = ends - size
         words = np.zeros(int(ends[-1] // 64 + 2 if len(ids) else 2), np.uint64)
@@ -84,7 +85,7 @@ class Code:
             words[word[over] + np.uint64(1)] |= codes[over] << (64 + spare[over]).astype(np.uint64)
         head = np.array([1, len(ids), len(documents), INTERVAL], "<u4").tobytes()
         names = np.array([0 if d is None else d for d, _ in documents], "<i8").tobytes() + np.array([d is None for d, _ in documents], np.uint8).tobytes()
-        return b"TIDB" + head + names + np.array([len(x) for _, x in documents], "<u4").tobytes() + begin[::INTERVAL].astype("<u8").tobytes() + words.astype(">u8").tobytes()
+        return b"TIDB" + head + names + np.array([len(x) for _, x in documents], "<u4").tobytes() + begin[:: INTERVAL // 4].astype("<u8").tobytes() + words.astype(">u8").tobytes()
 
     def unpack(self, blocks: list[bytes]) -> list[list[tuple[int | None, np.ndarray]]]:
         """The documents of each block."""
@@ -111,14 +112,15 @@ class Code:
         window = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]
         place, left = np.concatenate(lanes), np.concatenate(left)
         most = int(left.max()) if len(left) else 0
-        found = np.zeros((len(place), most), np.int32)
+        found = np.zeros((most, len(place)), np.uint32)
         short = bool((left < most).any())
         for k in range(most):
             bits = window[place >> 3] >> (16 - (place & 7)).astype(np.uint32) & 0xFFFF
-            found[:, k] = self.symbol[bits]
-            place += self.step[bits]
+            found[k] = self.table[bits]
+            place += found[k] & 31
             if short:
                 place = np.minimum(place, 8 * (len(window) - 1))
+        found = np.ascontiguousarray((found >> 5).T)
         lane = 0
         for names, null, sizes, n, k, every in heads:
             ids = found[lane : lane + k, :every].ravel()[:n] if every <= most else found[lane : lane + k].ravel()[:n]

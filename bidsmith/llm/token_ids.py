@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from bidsmith.llm.common import cut, partitions, pieces, shared_dir, small_batches
 from bidsmith.llm.huffman import Code, lengths
 
-BLOCK, MEMO, CHUNK = 50_000, 350_000, 8_000_000
+BLOCK, MEMO, CHUNK = 50_000, 350_000, 5_000_000
 #: White space of the pre-tokenizer, for a character class.
 _BLANK = r"\s\x0b\x1c-\x1f\x{85}\pZ"
 #: Texts that are encoded whole: a space before white space or at the end, or white space before what may be a special token.
@@ -109,8 +109,8 @@ class Memo:
         """Encode pieces that aren't held. Those that start with white space and a non-space can be encoded in a
         row, as none is joined with what stands before it; bytes tell which ids are whose."""
         row = [w for w in words if len(w) > 1 and w[0] in " \n" and not w[1].isspace() and self.plain(w)]
-        for i in range(0, len(row), 2_000):
-            part = row[i : i + 2_000]
+        for i in range(0, len(row), 500):
+            part = row[i : i + 500]
             ids = np.array(self.own.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(pc.binary_length(pa.array(part, pa.large_string())).to_numpy())
             cuts = np.searchsorted(np.cumsum(self.wide[ids]), ends) + 1
@@ -243,17 +243,20 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _ROWS)
 
 
-def pressed(ids: np.ndarray) -> bytes:
-    """Ids for the way between tasks: bytes in planes, pressed."""
+@cache
+def _press() -> tuple:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 2 if not len(ids) or ids.max() < 65536 else 4].tobytes())
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def unpressed(data: bytes, n: int) -> np.ndarray:
-    import zstandard
+def pressed(ids: np.ndarray) -> bytes:
+    """Ids for the way between tasks: bytes in planes, pressed."""
+    return _press()[0].compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T[: 2 if not len(ids) or ids.max() < 65536 else 4].tobytes())
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+
+def unpressed(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(_press()[1].decompress(data), np.uint8)
     out = np.zeros((n, 4), np.uint8)
     if n:
         planes = raw.reshape(-1, n)
@@ -316,8 +319,8 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(np.frombuffer(size, np.uint8))
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
+            for at in range(0, b.num_rows, 16):
+                part = b.slice(at, 16)
                 doc, start, n, last = [], [], [], []
                 for found, first in zip(code.unpack(part.column("block").to_pylist()), part.column("start").to_pylist(), strict=True):
                     for i, ids in found:
