@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 from bidsmith.llm.common import cut, fold, fold_of, pieces, small_batches
 
-SIZE, CHUNK, ROUNDS, BUCKETS, GROWTH, BLOCK = 24, 5_000_000, 2, 256, 256, 256
-BATCH, CLASS_NOISE, WORD_NOISE, RATE = 2048, 32, 3, 0.05
+SIZE, CHUNK, ROUNDS, BUCKETS, GROWTH, BLOCK = 16, 5_000_000, 2, 256, 256, 256
+BATCH, CLASS_NOISE, WORD_NOISE, RATE = 4096, 32, 1, 0.15
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -110,6 +110,13 @@ def coded(docs: DataFrame, modulus: int, held: int) -> DataFrame:
     return docs.mapInArrow(run, _CODED)
 
 
+def _placed(words: np.ndarray, end: float, inside: np.ndarray) -> np.ndarray:
+    """A figure of each token: the words' in order, and the ends'."""
+    out = np.full(len(inside), end, words.dtype)
+    out[inside] = words
+    return out
+
+
 def least_count(tokens: int) -> int:
     """How often a word must occur to be a symbol of its own."""
     return max(2, math.ceil(tokens ** (2 / 3) / GROWTH))
@@ -192,7 +199,7 @@ class Parameters:
             for k in range(0, len(w), 20_000):
                 part = slice(k, k + 20_000)
                 log[part] = _picked(q[part] @ self.rc.T + self.bc, own[part])
-            order = np.argsort(own, kind="stable")
+            order = _order(own)
             edges = np.searchsorted(own[order], np.arange(self.symbols.classes + 1))
             for c in np.flatnonzero(np.diff(edges)).tolist():
                 at = order[edges[c] : edges[c + 1]]
@@ -206,14 +213,24 @@ class Parameters:
 
 def _picked(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Each row's score of its own column, minus the log of the row's summed exponentials."""
-    scores -= scores.max(axis=1, keepdims=True)
+    if not -60 < scores.min() <= scores.max() < 60:  # else exponentials can't overflow
+        scores -= scores.max(axis=1, keepdims=True)
     got = scores[np.arange(len(own)), own]
     np.exp(scores, out=scores)
     return got - np.log(scores.sum(axis=1))
 
 
+def _order(at: np.ndarray) -> np.ndarray:
+    """A stable order; numbers under 65,536 are sorted by radix."""
+    return np.argsort(at.astype(np.uint16) if len(at) and at.max() < 65536 else at, kind="stable")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Trainer:
@@ -230,12 +247,12 @@ class Trainer:
 
     def _move(self, kind: int, table: np.ndarray, at: np.ndarray, grad: np.ndarray, shift: int = 0, bias: np.ndarray | None = None) -> None:
         """Steps of some rows; gradients of a row that comes several times are added up."""
-        order = np.argsort(at, kind="stable")
+        order = _order(at)
         own = at[order]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
         g = np.add.reduceat(grad[order], first, axis=0)
         rows = own[first]
-        self.met[rows + shift] += np.diff(np.append(first, len(own)))
+        self.met[rows + shift] += np.diff(first, append=len(own))
         self.past[kind, rows + shift] += (g * g).mean(axis=1)
         step = RATE / np.sqrt(self.past[kind, rows + shift])
         table[rows] -= g[:, :SIZE] * step[:, None]
@@ -286,7 +303,7 @@ def train(docs: DataFrame, symbols: Symbols, modulus: int, held: int) -> Paramet
     spark, p = docs.sparkSession, Parameters(symbols)
     own = docs.where(fold("doc_id", modulus) != held)
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((symbols, p.rows))  # at most GROWTH * N ** (1/3) + BUCKETS rows of 292 bytes, and their classes
+        shared = spark.sparkContext.broadcast((symbols, p.rows))  # at most GROWTH * N ** (1/3) + BUCKETS rows of 196 bytes, and their classes
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
@@ -308,7 +325,7 @@ def train(docs: DataFrame, symbols: Symbols, modulus: int, held: int) -> Paramet
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([task], pa.int64()), pa.array([(met[a:b] - block * BLOCK).astype("<i4").tobytes()], pa.binary()), pa.array([trainer.met[met[a:b]].astype("<f8").tobytes()], pa.binary()), pa.array([moved[a:b].astype("<f4").tobytes()], pa.binary())], names=["block", "part", "rows", "met", "moved"])
 
         part = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)
-        # a group holds at most 512 tasks' rows of one block (75 kB each), then one row a group
+        # a group holds at most 512 tasks' rows of one block (50 kB each), then one row a group
         some = part.mapInArrow(run, _CHANGES).withColumn("some", F.expr("part div 512")).groupBy("block", "some").applyInArrow(_summed, _CHANGES)
         rows = p.rows.copy()
         for r in some.groupBy("block").applyInArrow(_summed, _CHANGES).collect():  # the parameters' size
@@ -338,8 +355,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     shared = spark.sparkContext.broadcast((symbols, made.rows, share))  # bounded like the training's
     listed = spark.createDataFrame([*zip(symbols.words, symbols.of_word.tolist(), strict=True), ("", symbols.end)], "word string, symbol int")
     numbers = F.array(*(F.lit(int(x)) for x in symbols.of_bucket))
-    given = words.select("chunk", "number", "word").join(counts.join(listed, "word", "left"), "word", "left")
-    given = given.select("chunk", "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.when(F.col("word") == "", symbols.end), F.get(numbers, bucket(F.col("word")))).alias("symbol"))
+    rare = F.get(numbers, bucket(F.col("word")))
+    known = counts.join(listed, "word", "left").select("word", "c", F.coalesce("symbol", rare).alias("symbol"))
+    given = words.select("chunk", "number", "word").join(known, "word", "left")
+    given = given.select("chunk", "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("symbol", F.when(F.col("word") == "", symbols.end), rare).alias("symbol"))
 
     def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
         import zstandard
@@ -349,6 +368,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
         k = own.num_rows
         c, symbol, at = np.zeros(k, np.int64), np.zeros(k, np.int64), own.column("number").to_numpy()
         c[at], symbol[at] = own.column("c").to_numpy(), own.column("symbol").to_numpy()
+        within = np.where(share[symbol] > 0, np.log10((c + 1) / np.maximum(share[symbol], 1)), 0.0)  # of a bucket's words
         out = {x: [] for x in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")}
         for row in chunk.select(["docs", "counts", "codes"]).to_pylist():
             raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint8)
@@ -360,17 +380,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
             ends = np.cumsum(count + 1)
             inside = np.ones(len(now), bool)
             inside[ends - 1] = False
-            seen = np.full(len(now), c[k - 1], np.int64)
-            seen[inside] = c[number]
-            base = np.log10((seen + 1) / (n_all + v_all + 1))
-            log = p.log_probability(before, last, now) / np.log(10)
-            rare = share[now] > 0
-            log[rare] += np.log10((seen[rare] + 1) / share[now[rare]])
+            of_word = lambda x: _placed(x[number], x[k - 1], inside)  # noqa: B023, E731
+            base, known = of_word(np.log10((c + 1) / (n_all + v_all + 1))), of_word((c > 0).astype(np.int32))
+            log = p.log_probability(before, last, now)
+            log /= np.log(10)
+            log += of_word(within)
             first = ends - count - 1
             out["doc_id"] += row["docs"]
             out["held_out"] += (~trains(row["docs"], modulus, held)).tolist()
             out["n_tokens"] += (count + 1).tolist()
-            out["n_known"] += np.add.reduceat((seen > 0).astype(np.int64), first).tolist()
+            out["n_known"] += np.add.reduceat(known, first).tolist()
             out["train_tokens"] += [n_all] * len(count)
             out["base_score"] += np.add.reduceat(base, first).tolist()
             out["score"] += np.add.reduceat(log, first).tolist()
