@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from bidsmith.llm.common import cut, fold, fold_of, pieces, small_batches
 
 SIZE, CHUNK, ROUNDS, BUCKETS, GROWTH, BLOCK = 16, 5_000_000, 2, 256, 256, 256
-BATCH, CLASS_NOISE, WORD_NOISE, RATE = 4096, 32, 1, 0.15
+BATCH, CLASS_NOISE, WORD_NOISE, RATE = 2048, 32, 1, 0.1
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -239,7 +239,7 @@ class Trainer:
     def __init__(self, p: Parameters, seed: int):
         self.p, self.draw = Parameters(p.symbols, p.rows.copy()), np.random.default_rng(seed)
         self.met = np.zeros(len(p.rows), np.int64)
-        self.past = np.full((4, len(p.rows)), 1e-2, np.float32)
+        self.past = np.full((4, len(p.rows)), 1.0, np.float32)
         ends = np.cumsum(p.symbols.weight)
         self.cumulated, self.starts = ends, np.concatenate(([0], ends))
         self.class_ends = np.cumsum(p.class_share)
