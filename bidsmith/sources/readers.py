@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
+import csv
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from bidsmith import schemas
 from bidsmith.config import IDIQ_NOTICE, SOLE_NOTICE
@@ -19,18 +19,40 @@ HEADER = "CAGE Code"
 def report_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Records of a bulk report: whatever stands before the line that names the cage column is skipped.
 
-    The file is read whole, as its quoted fields hold line breaks, then parsed by Spark's CSV
-    parser; a file without such a line gives no rows, a missing one an error.
+    Files are read as lines, in splits, however large they are. A line starts a record where the quotes before it
+    in its file are even in number: counted within each split, then carried from split to split. Records
+    of one line stay where they are; only the lines of longer ones are brought together. A file without
+    such a header gives no rows, a missing one an error.
     """
-    text = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), r"\r\n", "\n")
-    found = text.select(F.regexp_extract(body, rf"(?s)^(?:.*?\n)??([^\n]*{re.escape(HEADER)}.*)$", 1).alias("csv")).where("csv <> ''")
-    rows = found.select(F.explode(F.filter(F.split("csv", r'\n(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.trim(x) != "")).alias("line"), "csv")
-    head = [r["h"] for r in found.select(F.split("csv", "\n")[0].alias("h")).distinct().collect()]  # a line a file layout
-    if not head:
-        return spark.createDataFrame([], _record_schema())
-    names = next(iter(__import__("csv").reader([head[0]])))
-    parsed = rows.where(F.col("line") != F.split("csv", "\n")[0]).select(F.from_csv("line", ", ".join(f"`_c{i}` string" for i in range(len(names))), {"multiLine": "true", "quote": '"', "escape": '"'}).alias("r"))
+    text = spark.read.option("encoding", encoding).text(path)
+    lines = text.select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    place = F.struct("split", "at")
+    heads = lines.where(F.contains("line", F.lit(HEADER))).groupBy("file").agg(F.min_by(F.struct(place.alias("place"), "line"), place).alias("head"))  # a row a file
+    found = lines.join(heads, "file").where(place > F.col("head.place"))
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    inside = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumns({"quotes": quotes, "before": F.coalesce(F.sum(quotes).over(inside), F.lit(0))})
+    # one row a split
+    splits = found.groupBy("file", "split").agg(F.sum("quotes").alias("n"))
+    carried = splits.select("file", "split", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carried"))
+    marked = found.join(carried, ["file", "split"]).withColumn("open", (F.col("before") + F.col("carried")) % 2 == 1)
+    whole = ~F.col("open") & (F.col("quotes") % 2 == 0)
+    # the lines of a longer record lie between an odd count of quotes and the next: pairs of such lines are numbered
+    odd = F.when(F.col("quotes") % 2 == 1, 1).otherwise(0)
+    long = marked.where(~whole).withColumn("odd", odd).withColumn("seen", F.coalesce(F.sum("odd").over(Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    odds = long.groupBy("file", "split").agg(F.sum("odd").alias("n"))
+    earlier = odds.select("file", "split", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    numbered = long.join(earlier, ["file", "split"]).withColumn("record", F.floor((F.col("seen") + F.col("earlier")) / 2))
+    joined = numbered.groupBy("file", "record", F.col("head.line").alias("h")).agg(F.sort_array(F.collect_list(F.struct("split", "at", "line"))).alias("x")).select(F.array_join(F.col("x.line"), "\n").alias("line"), "h")
+    records = marked.where(whole).select("line", F.col("head.line").alias("h")).unionByName(joined).where(F.trim("line") != "")
+    out = spark.createDataFrame([], _record_schema())
+    for head in [r["h"] for r in heads.select(F.col("head.line").alias("h")).distinct().orderBy("h").collect()]:  # a line a file layout
+        out = out.unionByName(_parsed(records.where(F.col("h") == head).select("line"), next(iter(csv.reader([head])))))
+    return out
+
+
+def _parsed(lines: DataFrame, names: list[str]) -> DataFrame:
+    parsed = lines.select(F.from_csv("line", ", ".join(f"`_c{i}` string" for i in range(len(names))), {"multiLine": "true", "quote": '"', "escape": '"'}).alias("r"))
     at = {n.strip(): F.col(f"r._c{i}") for i, n in enumerate(names)}
     field = lambda h: F.coalesce(at[h], F.lit("")) if h in at else F.lit("")
     columns = [F.substring(F.trim(field(h)), 1, 10).alias(n) if n == "posted_date" else C.money_or_null(field(h)).alias(n) if n == "award_amount" else F.trim(field(h)).alias(n) for h, n in schemas.REPORT_FIELDS.items()]
@@ -43,12 +65,14 @@ def _record_schema() -> str:
 
 
 def newest_report(spark: SparkSession, folder: str) -> str:
-    """The path of the last-modified report file; an error where there is none."""
-    found = [spark.read.format("binaryFile").option("pathGlobFilter", g).load(folder).select("path", "modificationTime") for g in ("*Report*.csv", "*SAM*.csv")]
-    path = found[0].union(found[1]).distinct().agg(F.max_by("path", F.struct("modificationTime", "path"))).first()[0]
-    if path is None:
+    """The path of the last-modified report file right in the folder; an error where there is none."""
+    found = []
+    for pattern in ("*Report*.csv", "*SAM*.csv"):
+        glob = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+        found += [(f.getModificationTime(), f.getPath().toString()) for f in glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob) or [] if f.isFile()]
+    if not found:
         raise FileNotFoundError(f"no report in {folder}")
-    return path
+    return max(found)[1]
 
 
 def plain_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -98,11 +122,37 @@ def company_hits(primary: DataFrame, fallback: DataFrame, failed: DataFrame, ide
     return own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
 
+def company_list(raw: DataFrame, column: str = "value") -> DataFrame:
+    """ordinal, company, ticker and cik of a list kept as a JSON map: its values, in any key order."""
+    entries = F.from_json(column, "map<string, struct<cik_str: bigint, ticker: string, title: string>>")
+    listed = raw.select(F.posexplode(F.map_entries(entries)).alias("ordinal", "e"))
+    return listed.select("ordinal", F.col("e.value.title").alias("company"), F.col("e.value.ticker").alias("ticker"), F.col("e.value.cik_str").alias("cik"))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON record a line; lines that aren't one are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def line_stream(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
+    """Lines as they arrive in a folder: column value."""
+    return spark.readStream.option("maxFilesPerTrigger", files).text(folder)
+
+
+def search_url(base: str, **parameters: Column | str) -> Column:
+    """A URL of base and percent-encoded parameters; null values are left out."""
+    pairs = [F.concat(F.lit(f"{k}="), F.url_encode(v if isinstance(v, Column) else F.lit(v))) for k, v in parameters.items()]
+    return F.concat(F.lit(f"{base}?"), F.array_join(F.array_compact(F.array(*pairs)), "&"))
+
+
 class PagedSource(DataSource):
-    """A paged service as a Spark source, with equality and membership filters sent to it.
+    """A paged service as a Spark source, with equality, membership and range filters sent to it.
 
     Options: fetch, "module:function" of (filters, page, size) that returns rows as tuples or None
-    for "try again" (backed off, then tried again); schema, a DDL string; size, pages.
+    for "try again" (backed off, then tried again); schema, a DDL string; size, the rows of a full page;
+    lanes, how many tasks read side by side (lane k reads pages k, k + lanes, ... until a short page);
+    pause, seconds between a lane's requests; most, an exact limit of records (one lane only); order,
+    passed on as the filter "order". filters: {"column": values} and {"column >=": [value]} and so on.
     """
 
     @classmethod
@@ -117,8 +167,14 @@ class PagedSource(DataSource):
 
 
 class PagedReader(DataSourceReader):
+    RANGES = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
     def __init__(self, options):
         self.options, self.sent = options, {}
+        if "order" in options:
+            self.sent["order"] = [options["order"]]
+        if "most" in options and int(options.get("lanes", 1)) > 1:
+            raise ValueError("a limit of records needs one lane")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -126,17 +182,28 @@ class PagedReader(DataSourceReader):
                 self.sent[".".join(f.attribute)] = [f.value]
             elif isinstance(f, In):
                 self.sent[".".join(f.attribute)] = list(f.value)
+            elif type(f) in self.RANGES:
+                self.sent[f"{'.'.join(f.attribute)} {self.RANGES[type(f)]}"] = [f.value]
             yield f  # Spark checks again: a service may be lax
 
     def partitions(self):
-        return [InputPartition(p) for p in range(int(self.options.get("pages", 1)))]
+        return [InputPartition(p) for p in range(int(self.options.get("lanes", 1)))]
 
     def read(self, partition) -> Iterator[tuple]:
         import importlib
+        import time
 
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        yield from retried(lambda: fetch(self.sent, partition.value, int(self.options.get("size", 100))))
+        size, left = int(self.options.get("size", 100)), int(self.options.get("most", -1))
+        page, rows = partition.value, None
+        while left and (rows is None or len(rows) >= size):
+            if rows is not None:
+                time.sleep(float(self.options.get("pause", 0)))
+            rows = list(retried(lambda: fetch(self.sent, page, size)))  # noqa: B023
+            yield from rows if left < 0 else rows[:left]
+            left -= min(left, len(rows)) if left > 0 else 0
+            page += int(self.options.get("lanes", 1))
 
 
 def retried(call: Callable, attempts: int = 5, pause: float = 10.0, wait: Callable[[float], None] | None = None):
