@@ -39,6 +39,8 @@ WIDE_SECTOR, WIDE_POINTS = "33641", 7
 CONFIDENCE = ("none", "low", "medium", "medium_high", "high")
 # Forms of dilutive filings.
 DILUTIVE_FORMS = ("S-1", "S-3", "S-1/A", "S-3/A")
+# Names of press wires, in lower case.
+PRESS_WIRES = ("prnewswire", "businesswire", "globenewswire", "accesswire")
 # Phrases of notices and of bulk records.
 SOLE_NOTICE = ("sole source", "sole-source", "only one responsible source", "justification for other than full and open")
 IDIQ_NOTICE = ("idiq", "indefinite delivery", "indefinite quantity", "id/iq", "indefinite-delivery", "indefinite-quantity")

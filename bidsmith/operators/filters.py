@@ -87,3 +87,41 @@ def funnel(verdicts: DataFrame, stages: dict[str, Column]) -> DataFrame:
     row = verdicts.agg(*(F.count_if(c).alias(k) for k, c in stages.items()), n.alias("_n"))
     pairs = F.array(*(F.struct(F.lit(k).alias("stage"), F.col(k).alias("n"), F.round(F.try_divide(F.col(k) * 100.0, F.col("_n")), 2).alias("pct")) for k in stages))
     return row.select(F.inline(pairs))
+
+
+def lookup_verdict(awards: DataFrame, known: DataFrame, asked: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """awards with passed, reason, and the ticker and market cap that decided, by the rules of a backtest with lookups.
+
+    A ticker and a market cap (neither blank nor 0) on the award itself are a shortcut. Else the name is looked up in known
+    (awardee_name, ticker, market_cap: what earlier runs found; a null ticker is a remembered failure), then in asked, the
+    answers of the service; a name without either has no ticker.
+    """
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    short = ~blank("ticker") & (F.coalesce("market_cap", F.lit(0.0)) != 0)
+    memo = lambda df, p: df.select("awardee_name", F.lit(True).alias(f"_{p}"), F.col("ticker").alias(f"_{p}_ticker"), F.col("market_cap").alias(f"_{p}_cap"))
+    df = awards.join(memo(known, "known"), "awardee_name", "left").join(memo(asked, "asked"), "awardee_name", "left").withColumn("_short", short)
+    given = lambda c, own: F.when(F.col("_short"), F.col(own)).when(F.col("_known"), F.col(f"_known_{c}")).otherwise(F.col(f"_asked_{c}"))
+    df = df.withColumns({"ticker": given("ticker", "ticker"), "market_cap": given("cap", "market_cap")})
+    none = F.concat(F.lit("No tradeable ticker for '"), F.col("awardee_name"), F.lit("'"))
+    reason = first_failure([
+        (F.col("is_idiq"), "IDIQ contract"),
+        (F.col("award_amount") < config.min_award, F.concat(F.lit("Contract "), dollars(F.col("award_amount")), F.lit(" below minimum"))),
+        (F.col("ticker").isNull() & F.col("_known"), F.concat(none, F.lit(" (cached)"))),
+        (F.col("ticker").isNull(), none),
+        (F.col("market_cap") > config.max_market_cap, F.concat(F.lit("Market cap "), millions(F.col("market_cap")), F.lit(" exceeds "), millions(F.lit(config.max_market_cap)), F.lit(" limit"))),
+    ])
+    df = df.withColumn("reason", reason).withColumn("passed", F.col("reason").isNull())
+    passed = F.when(F.col("_short"), "Passed filters (watchlist mode)").otherwise("Passed filters (backtest mode)")
+    return df.withColumn("reason", F.coalesce("reason", passed)).drop("_short", *(f"_{p}{c}" for p in ("known", "asked") for c in ("", "_ticker", "_cap")))
+
+
+def remembered(awards: DataFrame, known: DataFrame, asked: DataFrame) -> DataFrame:
+    """The memo after a run: what it held, and for each name it lacked the service's answer, a failure (null ticker) too."""
+    new = awards.select("awardee_name").distinct().join(known, "awardee_name", "left_anti").join(asked, "awardee_name", "left")
+    return known.unionByName(new.select(*known.columns))
+
+
+def watchlist_parse(raw: DataFrame) -> DataFrame:
+    """Watchlist records with a positive amount; unlike in the general parse, a blank name stays."""
+    amount = F.coalesce("amount", F.lit("0")).try_cast("double")
+    return raw.withColumns({"awardee_name": F.trim(F.coalesce("awardee_name", F.lit(""))), "award_amount": amount}).where(F.col("award_amount") > 0)

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SLOT = 32
+
+
 def forward_asof(left: DataFrame, right: DataFrame, key: str, at: str, then: str, days: int, take: str) -> DataFrame:
     """left with the first right row (same key) on or after `at`, within days; null where there is none.
 
-    One sort of both sides by key and time: no join, so a key's rows aren't multiplied.
+    One sort of both sides by key, time slot and time: no join, so a key's rows aren't multiplied. A null key has no match.
     """
     return _asof(left, right, key, at, then, days, take, forward=True)
 
@@ -20,16 +23,32 @@ def backward_asof(left: DataFrame, right: DataFrame, key: str, at: str, then: st
 
 
 def _asof(left: DataFrame, right: DataFrame, key: str, at: str, then: str, days: int | None, take, forward: bool) -> DataFrame:
+    """A key's rows are dealt into slots of time, so that a hot key is many tasks. A fact goes to each slot that it may
+    serve: those within `days`, or, without a limit, its own, and the last fact of each slot to the next slot with rows."""
     take = [take] if isinstance(take, str) else list(take)
+    span = SLOT if days is None else max(SLOT, days)
+    slot = lambda c, shift=0: F.floor((F.unix_date(F.to_date(c)) + shift) / span)
     found = F.struct(F.col(then).alias("_when"), *(F.col(c) for c in take if c != then))
-    rows = left.select("*", F.col(at).alias("_time"), F.lit(1 if forward else 1).alias("_own")).withColumn("_found", F.lit(None).cast(right.select(found.alias("x")).schema["x"].dataType))
-    facts = right.select(F.col(key), F.col(then).alias("_time"), F.lit(0).alias("_own"), found.alias("_found"))
+    facts = right.where(F.col(key).isNotNull() & F.col(then).isNotNull()).select(F.col(key), F.col(then).alias("_time"), F.lit(0).alias("_own"), found.alias("_found"))
+    # null keys are spread over as many groups as there are slots, and meet no fact
+    rows = left.select("*", F.col(at).alias("_time"), F.lit(1).alias("_own"), F.coalesce(slot(at), F.lit(0)).alias("_slot")).withColumn("_found", F.lit(None).cast(facts.schema["_found"].dataType))
+    if days is None:
+        own = facts.withColumn("_slot", slot("_time"))
+        edge = own.groupBy(key, "_slot").agg((F.min_by if forward else F.max_by)("_found", "_time").alias("_edge"))
+        seen = edge.unionByName(rows.where(F.col(key).isNotNull()).select(key, "_slot").distinct(), allowMissingColumns=True).groupBy(key, "_slot").agg(F.first("_edge", ignorenulls=True).alias("_edge"))
+        order = Window.partitionBy(key).orderBy(F.col("_slot").desc() if forward else F.col("_slot").asc())  # a row a key and slot
+        last = F.last("_edge", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        carried = seen.withColumn("_found", last).where("_found is not null").select(key, F.col("_found._when").alias("_time"), F.lit(0).alias("_own"), "_found", "_slot")
+        facts = own.unionByName(carried)
+    else:
+        first, end = (slot("_time", -days), slot("_time")) if forward else (slot("_time"), slot("_time", days))
+        facts = facts.withColumn("_slot", F.explode(F.sequence(first, end)))
     both = rows.unionByName(facts, allowMissingColumns=True)
     # at one time a fact sorts before the rows it serves: backwards in time for the forward join
-    order = Window.partitionBy(key).orderBy(F.col("_time").desc() if forward else F.col("_time").asc(), "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    got = both.withColumn("_got", F.last("_found", ignorenulls=True).over(order)).where("_own = 1")
+    order = Window.partitionBy(key, "_slot").orderBy(F.col("_time").desc() if forward else F.col("_time").asc(), "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = both.withColumn("_got", F.when(F.col(key).isNotNull(), F.last("_found", ignorenulls=True).over(order))).where("_own = 1")
     gap = F.abs(F.datediff(F.col("_got._when"), F.col("_time")))
-    fits = F.lit(True) if days is None else gap <= days
+    fits = F.col("_got").isNotNull() if days is None else gap <= days
     return got.select(*left.columns, *(F.when(fits, F.col("_got._when" if c == then else f"_got.{c}")).alias(c) for c in take))
 
 
@@ -47,6 +66,12 @@ def not_recent(left: DataFrame, facts: DataFrame, key: str, at: str, then: str,
     return own.join(other, (F.col(f"l.{key}") == F.col(f"r.{key}")) & gap.between(0, days), "left_anti")
 
 
+def having(left: DataFrame, facts: DataFrame, key: str, ident: str, at: str, then: str, days: int, name: str) -> DataFrame:
+    """left with `name`: whether some fact (same key) lies within days before `at`, inclusive. ident is unique."""
+    hit = recent(left.select(ident, key, at), facts, key, at, then, days).select(ident, F.lit(True).alias(name))
+    return left.join(hit, ident, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def earliest_in_band(left: DataFrame, facts: DataFrame, key: str, ident: str, at: str, then: str, before: int, after: int, name: str) -> DataFrame:
     """left with the earliest fact from `before` days before to `after` days after `at`; one row each."""
     band = facts.select(F.col(key).alias("_k"), F.col(then).alias("_then"))
@@ -54,15 +79,105 @@ def earliest_in_band(left: DataFrame, facts: DataFrame, key: str, ident: str, at
     return left.join(hit, ident, "left")
 
 
-def name_candidates(names: DataFrame, name: str, companies: list[tuple[int, str, str]], limit: int = 10) -> DataFrame:
+def earliest_of_searches(left: DataFrame, searches: list[DataFrame], key: str, ident: str, at: str, then: str, before: int, after: int, name: str) -> DataFrame:
+    """`earliest_in_band` of the first search that finds any; the others count only where those before found none."""
+    out = left
+    for i, facts in enumerate(searches):
+        out = earliest_in_band(out, facts, key, ident, at, then, before, after, f"_{name}_{i}")
+    return out.withColumn(name, F.coalesce(*(f"_{name}_{i}" for i in range(len(searches))))).drop(*(f"_{name}_{i}" for i in range(len(searches))))
+
+
+def _grams(text: Column, least: int = 1) -> Column:
+    """The different substrings of least to 3 characters."""
+    size = F.length(text)
+    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(n) for n in range(least, 4))))
+
+
+def held(short: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs (s, l) of texts of which l holds s. Each side has one column of different texts, s and l.
+
+    No nested loop: a short text is looked up by the rarest of its three-character parts (itself, if shorter).
+    """
+    posted = long.where("l <> ''").select("l", F.explode(_grams(F.col("l"))).alias("gram"))
+    often = posted.groupBy("gram").agg(F.count("*").alias("often"))
+    parts = short.where("s <> ''").select("s", F.explode(F.when(F.length("s") < 3, F.array("s")).otherwise(_grams(F.col("s"), 3))).alias("gram"))
+    rarest = parts.join(often, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("x")).where("x.often > 0").select("s", F.col("x.gram").alias("gram"))
+    return rarest.join(posted, "gram").where(F.contains("l", F.col("s"))).select("s", "l")
+
+
+def name_candidates(names: DataFrame, name: str, companies: DataFrame, limit: int = 10) -> DataFrame:
     """Companies whose name holds the other or is held by it (any case): the first `limit` in list order.
 
-    companies: (ordinal, company, ticker), a list in code, so it is an array literal, not a join side.
+    companies: ordinal, company, ticker and more, of any size. An empty name is held by every company: it has the first ones.
+    """
+    own = names.select(F.lower(name).alias("x")).where("x is not null").distinct()
+    listed = companies.select(F.lower("company").alias("y")).where("y is not null").distinct()
+    inside = held(own.toDF("s"), listed.toDF("l")).toDF("x", "y").union(held(listed.toDF("s"), own.toDF("l")).select("l", "s")).distinct()
+    every = inside.where("x <> '' and y <> ''").join(companies.withColumn("y", F.lower("company")), "y").select("x", *companies.columns)
+    # an empty text is held by all others: at most `limit` companies each way count, so they are a literal
+    for which, some in (("x = ''", companies), ("x <> ''", companies.where("company = ''"))):
+        first = some.orderBy("ordinal").limit(limit).collect()
+        if first:
+            kind = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in companies.schema)
+            rows = F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in companies.columns)) for r in first)).cast(f"array<struct<{kind}>>")
+            every = every.union(own.where(which).select("x", F.inline(rows)))
+    w = Window.partitionBy("x").orderBy("ordinal")
+    best = every.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
+    return names.withColumn("x", F.lower(name)).join(best, "x").drop("x")
+
+
+def alike_names(names: DataFrame, name: str, companies: DataFrame, least: int, prefix: int = 3) -> DataFrame:
+    """Companies whose name is alike, by edits: 100 * (1 - distance / longer length) of at least `least`.
+
+    Both names start with the same `prefix` characters (any case): that blocks the join.
+    """
+    block = lambda c: F.lower(F.substring(c, 1, prefix))
+    both = names.withColumn("_b", block(F.col(name))).join(companies.withColumn("_b", block(F.col("company"))), "_b")
+    x, y = F.lower(name), F.lower("company")
+    ratio = F.floor(100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))).cast("int")
+    return both.withColumn("ratio", ratio).where(F.col("ratio") >= least).drop("_b")
+
+
+#: How sure a way of finding a company is.
+WAYS = {"cage_lei_openfigi": (1, "high"), "exact": (2, "high"), "substring": (3, "medium"), "fuzzy_90": (4, "medium"), "fuzzy_85": (5, "low")}
+
+
+def resolved(awards: DataFrame, ident: str, name: str, parent: str, companies: DataFrame, cage_lei: DataFrame, lei_ticker: DataFrame, caps: DataFrame) -> DataFrame:
+    """ident, resolved_ticker, resolved_cik, confidence, evidence_type, audit_trail (step, outcome) and market_cap of every award.
+
+    Ways in order: identifiers by two hops (a trail of two steps), then the awardee's name, exactly, as a part, and alike by edits
+    (90, then 85 in 100), then the parent's name by the same; the first that finds a ticker counts, and of one way's companies the
+    first listed. An award that none finds has null fields, confidence none and the trail of what failed.
     """
-    listed = F.array(*(F.struct(F.lit(o).alias("ordinal"), F.lit(c).alias("company"), F.lit(t).alias("ticker")) for o, c, t in companies))
-    own = F.lower(F.col(name))
-    alike = F.filter(listed, lambda x: F.contains(F.lower(x["company"]), own) | F.contains(own, F.lower(x["company"])))
-    return names.select("*", F.inline(F.slice(F.sort_array(alike), 1, limit)))
+    step = lambda s, o: F.struct(F.lit(s).alias("step"), o.cast("string").alias("outcome"))
+    hops = two_hops(awards, cage_lei, lei_ticker)
+    first = hops.where("ticker is not null").select(ident, F.lit(WAYS["cage_lei_openfigi"][0]).alias("tier"), F.lit("cage_lei_openfigi").alias("way"), F.lit(-1).alias("ordinal"), "ticker", F.array(step("cage_to_lei", F.col("lei")), step("lei_to_ticker", F.col("ticker"))).alias("audit_trail"))
+    found = [first]
+    for shift, column, prefix in ((0, name, ""), (10, parent, "parent_")):
+        own = awards.select(F.col(column).alias("_name")).where("trim(_name) <> ''").distinct()
+        exact = own.join(companies, F.lower("_name") == F.lower("company")).withColumn("way", F.lit("exact"))
+        parts = name_candidates(own, "_name", companies).withColumn("way", F.lit("substring"))
+        alike = alike_names(own, "_name", companies, 85).withColumn("way", F.when(F.col("ratio") >= 90, "fuzzy_90").otherwise("fuzzy_85")).drop("ratio")
+        every = exact.unionByName(parts).unionByName(alike)
+        tier = F.coalesce(*(F.when(F.col("way") == w, t + shift) for w, (t, _) in WAYS.items()))
+        best = every.withColumn("tier", tier).groupBy("_name").agg(F.min_by(F.struct("tier", "way", "ordinal", "ticker", "company"), F.struct("tier", "ordinal")).alias("x"))
+        audit = F.array(F.struct(F.concat(F.lit(prefix), F.col("x.way")).alias("step"), F.col("x.company").alias("outcome")))
+        found.append(awards.select(ident, F.col(column).alias("_name")).join(best, "_name").select(ident, "x.tier", F.concat(F.lit(prefix), F.col("x.way")).alias("way"), "x.ordinal", "x.ticker", audit.alias("audit_trail")))
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    best = every.groupBy(ident).agg(F.min_by(F.struct("way", "ticker", "audit_trail"), "tier").alias("x"))
+    label = F.coalesce(*(F.when(F.col("x.way").endswith(w), c) for w, (_, c) in WAYS.items()), F.lit("none"))
+    failed = hops.select(ident, F.array(step("cage_to_lei", F.col("rejection_reason")), step("names", F.lit("not_found"))).alias("_failed"))
+    ciks = companies.groupBy("ticker").agg(F.min("cik").alias("resolved_cik"))
+    out = awards.select(ident).join(best, ident, "left").join(failed, ident).select(ident, F.col("x.ticker").alias("ticker"), label.alias("confidence"), F.col("x.way").alias("evidence_type"), F.coalesce("x.audit_trail", "_failed").alias("audit_trail"))
+    return out.join(ciks, "ticker", "left").join(caps.select("ticker", "market_cap"), "ticker", "left").select(ident, F.col("ticker").alias("resolved_ticker"), "resolved_cik", "confidence", "evidence_type", "audit_trail", "market_cap")
+
+
+def service_reason(service: str, valid: Column, invalid: str, status: Column, timed_out: Column, error: Column, found: Column, missing: str, usable: Column | None = None, unusable: str = "") -> Column:
+    """Why a lookup gave nothing: a bad identifier, a timeout, another error (its first 50 characters), an HTTP status other than 200, no record, or
+    no usable one; null where it gave one."""
+    code = F.when(~valid, invalid).when(timed_out, f"{service}_timeout").when(error.isNotNull(), F.concat(F.lit("api_error: "), F.substring(error, 1, 50))).when(status != 200, F.concat(F.lit(f"{service}_http_"), status.cast("string"))).when(~found, missing)
+    return code if usable is None else code.when(~usable, unusable)
 
 
 def first_match(candidates: DataFrame, ident: list[str], ordinal: str, fits: Column, take: list[str]) -> DataFrame:

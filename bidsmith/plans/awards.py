@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidsmith.config import CONFIDENCE, HOT_SECTORS, IDIQ_BULK, IDIQ_NOTICE, SOLE_BULK, SOLE_NOTICE, Config
+from bidsmith.config import CONFIDENCE, DILUTIVE_FORMS, HOT_SECTORS, IDIQ_BULK, IDIQ_NOTICE, PRESS_WIRES, SOLE_BULK, SOLE_NOTICE, Config
 from bidsmith.functions import cleaning as C
 from bidsmith.functions import scoring
-from bidsmith.operators import filters, rows
+from bidsmith.operators import filters, joins, rows
 from bidsmith.plans.registry import query, table
 
 LIMITS = Config(min_award=50_000.0, max_award=450_000.0, max_market_cap=900_000.0)
@@ -34,18 +34,24 @@ AWARD = """SELECT o_orderkey AS award_id, c_custkey AS cik, c_name AS awardee_na
  (['336411','336414','336415','336412','111111','541715'])[CAST(o_orderkey % 6 + 1 AS INT)] AS naics, c_mktsegment AS segment
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 WITH = f"WITH award AS ({AWARD})"
-#: Filings are events: an error is a form 8-K, a signup a dilutive form, a view a press release.
-FLAGGED = f"""{WITH}, filing AS (SELECT user_id, event_type, CAST(ts AS DATE) AS d FROM events),
- flagged AS (SELECT a.*, coalesce(f.n8k, 0) >= 8 AS recent_8k, coalesce(f.npr, 0) >= 22 AS has_press, coalesce(f.ndil, 0) >= 6 AS dilutive FROM award a LEFT JOIN
- (SELECT user_id, count(*) FILTER (event_type = 'error') AS n8k, count(*) FILTER (event_type = 'view') AS npr, count(*) FILTER (event_type = 'signup') AS ndil FROM filing GROUP BY 1) f ON a.cik = f.user_id)"""
-
-
-def flagged(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda t: F.count_if(F.col("event_type") == t)
-    seen = table(spark, d, "events").groupBy("user_id").agg(n("error").alias("n8k"), n("view").alias("npr"), n("signup").alias("ndil"))
-    own = award(spark, d)
-    at = lambda c, k: F.coalesce(F.col(c), F.lit(0)) >= k
-    return own.join(seen, own.cik == seen.user_id, "left").withColumns({"recent_8k": at("n8k", 8), "has_press": at("npr", 22), "dilutive": at("ndil", 6)}).drop("n8k", "npr", "ndil", "user_id")
+#: Filings are events: an error is a form 8-K, a signup another form, a view a news item; an award is seen on a day of their month.
+SEEN = "CAST(DATE '2024-01-01' + CAST(award_id % 31 AS INT) AS DATE)"
+FLAGGED = f"""{WITH}, event AS (SELECT user_id, event_type, event_id, CAST(ts AS DATE) AS d, (['S-1','10-K','S-3/A','8-K','S-3','S-1/A'])[CAST(event_id % 6 + 1 AS INT)] AS form,
+ 'Contract news via ' || (['PRNewswire','a blog','BusinessWire','the paper','radio','AccessWire','GlobeNewswire'])[CAST(event_id % 7 + 1 AS INT)] AS body FROM events),
+ flagged AS (SELECT a.*, EXISTS (SELECT 1 FROM event e WHERE e.user_id = a.cik AND e.event_type = 'error' AND date_diff('day', e.d, {SEEN}) BETWEEN 0 AND 7) AS recent_8k,
+ EXISTS (SELECT 1 FROM event e WHERE e.user_id = a.cik AND e.event_type = 'view' AND regexp_matches(lower(e.body), 'prnewswire|businesswire|globenewswire|accesswire') AND date_diff('day', e.d, {SEEN}) BETWEEN 0 AND 2) AS has_press,
+ EXISTS (SELECT 1 FROM event e WHERE e.user_id = a.cik AND e.event_type = 'signup' AND e.form IN ('S-1', 'S-3', 'S-1/A', 'S-3/A') AND date_diff('day', e.d, {SEEN}) BETWEEN 0 AND 60) AS dilutive FROM award a)"""
+
+
+def flagged(spark: SparkSession, d: str, config: Config = LIMITS) -> DataFrame:
+    """Awards with what joins say of the days before each: an 8-K, a wire's press release, a dilutive form."""
+    i, pick = F.col("event_id"), lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
+    seen = table(spark, d, "events").select(F.col("user_id").alias("cik"), "event_type", i, F.to_date("ts").alias("d"), pick(("S-1", "10-K", "S-3/A", "8-K", "S-3", "S-1/A")).alias("form"), F.concat(F.lit("Contract news via "), pick(("PRNewswire", "a blog", "BusinessWire", "the paper", "radio", "AccessWire", "GlobeNewswire"))).alias("body"))
+    own = award(spark, d).withColumn("seen", F.date_add(F.lit("2024-01-01"), (F.col("award_id") % 31).cast("int")))
+    press = seen.where((F.col("event_type") == "view") & C.any_phrase(F.lower("body"), PRESS_WIRES))
+    for facts, days, name in ((seen.where("event_type = 'error'"), config.filing_window_live_days, "recent_8k"), (press, config.press_window_days, "has_press"), (seen.where((F.col("event_type") == "signup") & F.col("form").isin(*DILUTIVE_FORMS)), config.dilution_window_days, "dilutive")):
+        own = joins.having(own, facts, "cik", "award_id", "seen", "d", days, name)
+    return own.drop("seen")
 
 
 @query(FLAGGED + """ SELECT award_id, reason, reason IS NULL AS passed FROM (SELECT award_id, CASE WHEN is_idiq THEN 'IDIQ contract'

@@ -50,12 +50,12 @@ LISTED = "(VALUES " + ", ".join(f"({o}, '{c}', '{t}')" for o, c, t in COMPANIES)
 
 @query(f"SELECT n_nationkey, n_name, ordinal, company, ticker FROM (SELECT n_nationkey, n_name, ordinal, company, ticker, row_number() OVER (PARTITION BY n_nationkey ORDER BY ordinal) AS r FROM nation, {LISTED} WHERE contains(lower(n_name), lower(company)) OR contains(lower(company), lower(n_name))) WHERE r <= 10")
 def theta_name_match(spark: SparkSession, d: str) -> DataFrame:
-    return joins.name_candidates(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", COMPANIES)
+    return joins.name_candidates(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", spark.createDataFrame(COMPANIES, "ordinal int, company string, ticker string"))
 
 
 @query(f"SELECT n_nationkey, ticker, company FROM (SELECT n_nationkey, ticker, company, row_number() OVER (PARTITION BY n_nationkey ORDER BY ordinal) AS r FROM nation, {LISTED} WHERE (contains(lower(n_name), lower(company)) OR contains(lower(company), lower(n_name))) AND length(ticker) = 3 AND ordinal > 0) WHERE r = 1")
 def first_match_candidate(spark: SparkSession, d: str) -> DataFrame:
-    found = joins.name_candidates(table(spark, d, "nation").select("n_nationkey", "n_name"), "n_name", COMPANIES)
+    found = theta_name_match(spark, d)
     return joins.first_match(found, ["n_nationkey"], "ordinal", (F.length("ticker") == 3) & (F.col("ordinal") > 0), ["ticker", "company"])
 
 
