@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidsmith.config import ADDRESS_MARKS
+from bidsmith.config import ADDRESS_MARKS, ERROR_MARKS, SUMMARY_MARKS
 
 
 def col(c: str | Column) -> Column:
@@ -136,3 +136,36 @@ def weekdays_after(start: Column, days: Column | int) -> Column:
     n = days if isinstance(days, Column) else F.lit(days)
     ahead = F.filter(F.sequence(F.date_add(start, 1), F.date_add(start, n * 2 + 4)), lambda d: F.weekday(d) < 5)
     return F.get(ahead, n - 1)
+
+
+def first_or(items: Column, default: Column) -> Column:
+    """The first element, or the default where there is none."""
+    return F.coalesce(F.get(items, F.lit(0)), default)
+
+
+def first_listed(hits: Column) -> Column:
+    """Of identifier hits (ticker, exchCode), the first with a ticker on an American exchange or none named; null without one."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    return F.get(F.filter(hits, lambda h: ~blank(h["ticker"]) & (blank(h["exchCode"]) | (h["exchCode"] == "US"))), F.lit(0))
+
+
+def local_time(at: Column, zone: str = "America/New_York", pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A UTC time as text in a zone."""
+    return F.date_format(F.from_utc_timestamp(at, zone), pattern)
+
+
+def kept_line(line: Column, mode: str) -> Column:
+    """Whether a mode of the log filter shows the line: errors_only, stats or summary (both show summaries and errors);
+    any other mode shows all, to be deduplicated."""
+    error, summary = any_phrase(F.upper(line), ERROR_MARKS), any_phrase(line, SUMMARY_MARKS)
+    return error if mode == "errors_only" else error | summary if mode in ("stats", "summary") else F.lit(True)
+
+
+def with_gaps(selected: Column, total: Column) -> Column:
+    """Selected lines (struct of i, from 0, and line, in order) as text, with a note of how many are left out between and after them."""
+    note = lambda n: F.concat(F.lit("[... "), n.cast("string"), F.lit(" lines omitted ...]\n"))
+    gap = lambda x, k: F.when(k > 0, x["i"] - F.get(selected, k - 1)["i"] - 1).otherwise(0)
+    parts = F.transform(selected, lambda x, k: F.concat(F.when(gap(x, k) > 0, note(gap(x, k))).otherwise(""), x["line"]))
+    left = total - F.element_at(selected, -1)["i"] - 1
+    end = F.when(left > 0, F.concat(F.lit("\n"), F.rtrim(F.regexp_replace(note(left), "\n", "")))).otherwise("")
+    return F.when(F.size(selected) == 0, F.concat(F.lit("["), total.cast("string"), F.lit(" lines omitted]"))).otherwise(F.concat(F.array_join(parts, "\n"), end))

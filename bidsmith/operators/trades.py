@@ -74,18 +74,35 @@ def drawdowns(trades: DataFrame, by: str, order: list[str]) -> DataFrame:
     return run.withColumn("drawdown", F.col("equity") - peak)
 
 
-def grid(values: Grid) -> Column:
-    """All parameter combinations as one array literal, to explode beside each trade candidate."""
-    rows = [F.struct(F.lit(t).alias("tp"), F.lit(s).alias("sl"), F.lit(h).alias("hold"), F.lit(x).alias("threshold"), F.lit(float(m)).alias("max_mcap")) for t in values.take_profit for s in values.stop_loss for h in values.hold for x in values.threshold for m in values.max_market_cap]
-    return F.array(*rows)
+def listed(values: tuple, name: str, kind: str = "double") -> Column:
+    return F.explode(F.array(*(F.lit(v).cast(kind) for v in values))).alias(name)
 
 
 def searched(candidates: DataFrame, values: Grid) -> DataFrame:
-    """Summary of each parameter combination over candidates (bars, score_total, market_cap), best total first."""
-    each = candidates.withColumn("_p", F.explode(grid(values))).where((F.col("score_total") >= F.col("_p.threshold")) & (F.col("market_cap") <= F.col("_p.max_mcap")))
-    each = each.select("*", "_p.tp", "_p.sl", "_p.hold", "_p.threshold", "_p.max_mcap").drop("_p")
-    keys = ["tp", "sl", "hold", "threshold", "max_mcap"]
-    return summary(simulated(each, F.col("tp"), F.col("sl"), F.col("hold")), keys)
+    """Summary of each parameter combination over candidates (bars, score_total, market_cap), best total first.
+
+    Only the barriers and the holding time change a trade; they are simulated once a candidate. The sums of those
+    trades are kept by the highest threshold and the lowest cap that let the candidate in, and a combination adds up
+    the sums it lets in: the work doesn't grow with the thresholds and caps tried. Combinations without a trade are left out.
+    """
+    thresholds, caps = sorted(values.threshold), sorted(values.max_market_cap)
+    own = candidates.withColumns({"_t": F.coalesce(*(F.when(F.col("score_total") >= t, k) for k, t in reversed(list(enumerate(thresholds))))), "_c": F.coalesce(*(F.when(F.col("market_cap") <= float(c), k) for k, c in enumerate(caps)))})
+    own = own.where("_t is not null and _c is not null").select("bars", "_t", "_c")
+    each = own.select("*", listed(values.take_profit, "tp")).select("*", listed(values.stop_loss, "sl")).select("*", listed(values.hold, "hold", "int"))
+    gain, exits = F.col("pnl_pct"), {"tp": "TP", "sl": "SL", "time": "TIME"}
+    sums = [F.count("*").alias("n"), F.count_if(gain > 0).alias("w"), F.sum(gain).alias("g"), F.sum(gain * gain).alias("q"), *(F.count_if(F.col("outcome") == o).alias(f"x_{k}") for k, o in exits.items())]
+    cells = simulated(each, F.col("tp"), F.col("sl"), F.col("hold")).groupBy("tp", "sl", "hold", "_t", "_c").agg(*sums)
+    # a cell counts for every threshold up to its own, and every cap from its own on
+    levels = lambda v, kind: F.array(*(F.lit(x).cast(kind) for x in v))
+    cells = cells.withColumn("threshold", F.explode(F.slice(levels(thresholds, "int"), F.lit(1), F.col("_t") + 1)))
+    cells = cells.withColumn("max_mcap", F.explode(F.slice(levels(caps, "double"), F.col("_c") + 1, len(caps))))
+    n, total = F.sum("n"), F.sum("g")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / n - (total / n) * (total / n)))
+    out = cells.groupBy("tp", "sl", "hold", "threshold", "max_mcap").agg(
+        n.alias("n_trades"), F.sum("w").alias("n_wins"), F.round(F.sum("w") * 100.0 / n, 2).alias("win_rate"), F.round(total, 2).alias("total_pnl"), F.round(total / n, 4).alias("avg_pnl"),
+        F.round(F.when(spread > 1e-9, total / n / spread) * F.sqrt(252.0 / n), 4).alias("sharpe"), *(F.sum(f"x_{k}").alias(f"exits_{k}") for k in exits),
+    )
+    return out.orderBy(F.desc("total_pnl"), "tp", "sl", "hold", "threshold", "max_mcap")
 
 
 def sized(quotes: DataFrame, config: Config = DEFAULT) -> DataFrame:

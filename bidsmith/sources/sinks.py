@@ -1,8 +1,13 @@
-"""Writers: signal logs, ledgers, wide price tables, snapshots and order tables. Spark's commit protocol makes each atomic."""
+"""Writers: signal logs, ledgers, wide price tables, snapshots, expiring maps, tables that are rewritten, and order tables.
+
+Appends are atomic by Spark's commit protocol. What replaces a table is written as a new version beside the last
+(`publish`): readers take the newest version whose commit mark is there, so they see the old table or the new
+one, and a table may be rewritten from itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidsmith.schemas import SIGNAL
@@ -14,9 +19,67 @@ def append_signals(df: DataFrame, path: str) -> None:
     df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in SIGNAL)).write.mode("append").option("header", True).csv(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, path) of the committed versions, in order."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
+    return sorted((int(f.getPath().getParent().getName()[1:]), f.getPath().getParent().toString()) for f in found)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def publish(df: DataFrame, path: str, keep: int = 2) -> None:
+    """df in place of the table at path, as JSON lines. Only the last `keep` versions stay."""
+    spark = df.sparkSession
+    old = _versions(spark, path)
+    df.write.json(f"{path}/v{old[-1][0] + 1 if old else 1}")
+    for _, gone in old[: max(0, len(old) + 1 - keep)]:
+        _delete(spark, gone)
+
+
+def published(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at path; an empty one where there is none. Lines that can't be read are left out."""
+    found = _versions(spark, path)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(found[-1][1]) if found else spark.createDataFrame([], schema)
+
+
+def cleared(spark: SparkSession, path: str) -> None:
+    """No table at path any more."""
+    _delete(spark, path)
+
+
+def clear_snapshots(spark: SparkSession, root: str, start: str | None = None, end: str | None = None) -> int:
+    """Delete the cached awards of one date range, or of all; returns how many ranges went."""
+    name = "awards_*" if start is None or end is None else f"awards_{start.replace('-', '')}_{end.replace('-', '')}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    found = [f.getPath().toString() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []]
+    for path in found:
+        _delete(spark, path)
+    return len(found)
+
+
 def write_ledger(keys: DataFrame, path: str) -> None:
     """The processed keys, distinct and in order, in place of the last."""
-    keys.distinct().orderBy(*keys.columns).write.mode("overwrite").json(path)
+    publish(keys.distinct().orderBy(*keys.columns), path)
+
+
+def write_positions(changed: DataFrame, path: str, schema: str, ident: str) -> None:
+    """The position table with the changed rows in place of those of the same ident, and new ones added."""
+    old = published(changed.sparkSession, path, schema).join(changed.select(ident), ident, "left_anti")
+    publish(old.select(*changed.columns).unionByName(changed).orderBy(ident), path)
+
+
+def isolated(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(good rows, error lines): a row that fails a check (false or null) is logged and the others go on.
+
+    checks: message and condition; the first that fails is the row's error.
+    """
+    failed = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), m) for m, ok in checks.items()))
+    marked = df.withColumn("_error", failed)
+    return marked.where("_error is null").drop("_error"), log_lines(marked.where("_error is not null").withColumnRenamed("_error", "message"), "ERROR")
 
 
 def write_wide(df: DataFrame, path: str, first: list[str]) -> None:
@@ -28,9 +91,11 @@ def write_snapshot(df: DataFrame, root: str, start: str, end: str) -> None:
     df.write.mode("overwrite").json(f"{root}/awards_{start.replace('-', '')}_{end.replace('-', '')}")
 
 
-def log_lines(df: DataFrame, level: str = "INFO") -> DataFrame:
-    """One JSON log line a row."""
-    return df.select(F.to_json(F.struct(F.lit(level).alias("level"), *df.columns)).alias("line"))
+def log_lines(df: DataFrame, level: str = "INFO", logger: str = "bidsmith", at: Column | None = None) -> DataFrame:
+    """One JSON log line a row: timestamp, level, logger, message (if there is one) and the other columns."""
+    message = ["message"] if "message" in df.columns else []
+    when = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return df.select(F.to_json(F.struct(when.alias("timestamp"), F.lit(level).alias("level"), F.lit(logger).alias("logger"), *message, *(c for c in df.columns if c != "message"))).alias("line"))
 
 
 def bracket_orders(sized: DataFrame, ident: str) -> DataFrame:
