@@ -165,11 +165,11 @@ class Lattice:
     def best(self) -> tuple[np.ndarray, np.ndarray]:
         """Score (in UNITS) and piece count of each word's best path; of equal scores the longest last piece wins."""
         score, count = np.zeros(len(self.joined) + 2, np.int64), np.zeros(len(self.joined) + 2, np.int64)
-        worth = np.ones(len(self.end), np.int64)
+        worth, longest = np.ones(len(self.end), np.int64), int(self.pieces.length.max()) + 1
         unknown = np.flatnonzero(self.piece < 0)
         worth[unknown] = [len(b) for b in self._bytes_at(unknown)]
         for a, b, groups in self._rounds():
-            key = (score[self.start[a:b]] + self.pieces.score[self.piece[a:b]]) * 64 + self.length[a:b]
+            key = (score[self.start[a:b]] + self.pieces.score[self.piece[a:b]]) * longest + self.length[a:b]
             top = np.maximum.reduceat(key, groups)
             won = np.flatnonzero(key == np.repeat(top, np.diff(np.append(groups, b - a)))) + a
             score[self.end[won]] = score[self.start[won]] + self.pieces.score[self.piece[won]]
@@ -177,7 +177,10 @@ class Lattice:
         return score[self.last], count[self.last]
 
     def weigh(self, sharpness: float) -> None:
-        """Forward filtering: the probability of each edge given that the path reaches its end."""
+        """Forward filtering: the probability of each edge given that the path reaches its end.
+
+        Kept as whole numbers of 2 ** -38, whose running sum is exact: what a node draws from depends on its word alone.
+        """
         log = self.pieces.score * (sharpness / UNITS)
         alpha = np.zeros(len(self.joined) + 2)
         share = np.empty(len(self.end))
@@ -186,7 +189,7 @@ class Lattice:
             total = np.logaddexp.reduceat(value, groups)
             alpha[self.end[a:b][groups]] = total
             share[a:b] = np.exp(value - np.repeat(total, np.diff(np.append(groups, b - a))))
-        self.sums = np.cumsum(share)
+        self.sums = np.cumsum((share * 2.0**38).astype(np.int64))
         self.rank = np.zeros(len(self.joined) + 2, np.int32)
         self.rank[self.end[self.group]] = np.arange(len(self.group))
         self.bounds = np.append(self.group, len(self.end))
@@ -204,8 +207,8 @@ class Lattice:
                 x *= np.uint64(0xD6E8FEB86659FD93)
             u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
             rank = self.rank[node]
-            before = np.where(self.bounds[rank] > 0, self.sums[self.bounds[rank] - 1], 0.0)
-            edge = np.searchsorted(self.sums, before + u * (self.sums[self.bounds[rank + 1] - 1] - before), side="right")
+            before = np.where(self.bounds[rank] > 0, self.sums[self.bounds[rank] - 1], 0)
+            edge = np.searchsorted(self.sums, before + (u * (self.sums[self.bounds[rank + 1] - 1] - before)).astype(np.int64), side="right")
             edge = np.clip(edge, self.bounds[rank], self.bounds[rank + 1] - 1)
             steps.append((active, edge))
             node = self.start[edge]

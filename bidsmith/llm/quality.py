@@ -6,8 +6,10 @@ by the condition of best gain, is pruned on held-back rows, and is kept while it
 The fit reads a bounded sample of labelled rows (`sample_rows`, the rows of smallest
 hash); `verdict` emits the list as one ordered Spark conditional expression.
 
-Defined results: a null or empty text has no words and fails the base rule; repeated rows are
-judged alike; further columns are dropped; without labels every row the base passes is kept.
+Defined results: a null or empty text has no words and fails the base rule; an empty table gives no rows; repeated rows are
+judged alike, and of repeated labels of a doc_id the lowest counts; of conditions with equal gain the first figure in
+FIGURES, then the lowest threshold, is taken; very long texts are judged whole; further columns, whatever their names, are dropped;
+without labels every row the base passes is kept.
 """
 
 from __future__ import annotations

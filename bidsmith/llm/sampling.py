@@ -5,9 +5,10 @@ pieces' probabilities to the power `sharpness`. The row key, the word's place in
 `seed` decide every draw, so a run gives the same ids wherever and however often a row is
 computed. Decoding gives back the text, whatever it holds.
 
-Defined results: null and the empty text have no ids (null ones in the table of ids stay null); rows with
-the same key and text get the same ids; a null key draws as its own key; further columns
-pass through.
+Defined results: null and the empty text have no ids (null ones in the table of ids stay null); an empty table gives no
+rows; rows with the same key and text get the same ids; a null key draws as its own key; equally likely paths are
+drawn equally often; very long texts are one batch of their own and are encoded whole; further columns
+pass through, and one named ids (or decoded), in any letter case, is replaced.
 """
 
 from __future__ import annotations

@@ -3,8 +3,9 @@
 See `lattice` for vocabulary, scores and ties; a text's count is the sum over its words, and each
 distinct word of a batch is solved once.
 
-Defined results: null and the empty text have no tokens; repeated
-rows count alike; further columns pass through.
+Defined results: null and the empty text have no tokens; an empty table gives no rows; of paths with equal scores the
+one whose last piece is longest counts, as in the library; repeated rows count alike; very long texts are one batch of
+their own and are counted whole; further columns pass through, and one with a new one's name, in any letter case, is replaced.
 """
 
 from __future__ import annotations

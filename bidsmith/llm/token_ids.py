@@ -12,8 +12,9 @@ The library encodes each distinct piece once while a worker's bounded memo holds
 with a space before white space or at its end is encoded whole, and so is every text where the file's
 pre-tokenizer is another one (see `cuttable`).
 
-Defined results: null counts as the empty text; every text gets the end id; rows with a null
-doc_id come first; repeated rows are documents of their own; further columns are dropped.
+Defined results: null counts as the empty text; every text gets the end id; an empty table gives files without blocks and no rows;
+rows with a null doc_id come first; repeated rows are documents of their own, rows of one doc_id being ordered by length and
+checksum; a very long text is a block of its own; further columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations

@@ -161,6 +161,8 @@ def test_sampling_is_exact_and_lossless(texts):
     assert [lattice.decode(own, x) for x in ids] == some
     split = sampling.sampled(pa.array(some[7:9]), [7, 8], PIECES, 0.5, 1)
     assert all((a == b).all() for a, b in zip(split, ids[7:9], strict=True))
+    alone = [sampling.sampled(pa.array([t]), [i], PIECES, 0.5, 1)[0] for i, t in enumerate(some)]
+    assert all((a == b).all() for a, b in zip(alone, ids, strict=True))
     n = 20_000
     seen = Counter(tuple(x.tolist()) for x in sampling.sampled(pa.array(["then"] * n), list(range(n)), PIECES, 0.5, 1))
     byte = defaultdict(list)
