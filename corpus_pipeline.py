@@ -19,7 +19,10 @@ from bidsmith.llm.queries import tokenizer
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score 0.7 or more; the machine learns from all labelled documents of the folder's training folds."""
+    """Without the documents that score 0.7 or more; the machine learns from a bounded sample of labelled documents of the training folds.
+
+    Null and empty texts score as harmless; without labels, or in an empty table, nothing goes; equal texts score alike; columns stay, whatever their names.
+    """
     model = toxicity.fit(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model, 0.7)
 
@@ -35,7 +38,7 @@ def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With secrets masked, and n_chars of the new text."""
+    """With secrets masked, and n_chars of the new text. Null and empty texts, and all other columns, stay as they are; overlapping spans are one mask."""
     out = secrets.mask_secrets(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
@@ -55,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs, name)
-    return docs
+            docs = cut(done, name, docs)
+    return done
