@@ -315,8 +315,10 @@ def report_scan(spark: SparkSession, d: str) -> DataFrame:
     lines = o.select(F.concat_ws(",", *(F.concat(F.lit('"'), c, F.lit('"')) for c in row)).alias("value"))
 
     def headed(batches):
-        yield pa.RecordBatch.from_pydict({"value": head.split("\n")})
-        yield from batches
+        for k, batch in enumerate(batches):
+            if not k:
+                yield pa.RecordBatch.from_arrays([pa.array(head.split("\n"), batch.schema.field(0).type)], schema=batch.schema)
+            yield batch
 
     lines.mapInArrow(headed, "value string").write.text(path)  # a file a task, each with its preamble
     return readers.report_csv(spark, path).select(F.col("piid").cast("bigint").alias("piid"), F.col("contractor_name").alias("name"), "posted_date", "award_amount", "is_educational")

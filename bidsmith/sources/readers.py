@@ -54,8 +54,8 @@ def report_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataF
 def _parsed(lines: DataFrame, names: list[str]) -> DataFrame:
     parsed = lines.select(F.from_csv("line", ", ".join(f"`_c{i}` string" for i in range(len(names))), {"multiLine": "true", "quote": '"', "escape": '"'}).alias("r"))
     at = {n.strip(): F.col(f"r._c{i}") for i, n in enumerate(names)}
-    field = lambda h: F.coalesce(at[h], F.lit("")) if h in at else F.lit("")
-    columns = [F.substring(F.trim(field(h)), 1, 10).alias(n) if n == "posted_date" else C.money_or_null(field(h)).alias(n) if n == "award_amount" else F.trim(field(h)).alias(n) for h, n in schemas.REPORT_FIELDS.items()]
+    field = lambda h: F.trim(F.coalesce(at[h], F.lit("")), F.lit(" \t\r\n")) if h in at else F.lit("")
+    columns = [F.substring(field(h), 1, 10).alias(n) if n == "posted_date" else C.money_or_null(field(h)).alias(n) if n == "award_amount" else field(h).alias(n) for h, n in schemas.REPORT_FIELDS.items()]
     flags = [C.yes(field(f"Is Vendor Business Type - {h}")).alias(n) for h, n in schemas.REPORT_FLAGS.items()]
     return parsed.select(*columns, *flags)
 
