@@ -207,9 +207,13 @@ class Lattice:
                 x *= np.uint64(0xD6E8FEB86659FD93)
             u = (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
             rank = self.rank[node]
-            before = np.where(self.bounds[rank] > 0, self.sums[self.bounds[rank] - 1], 0)
-            edge = np.searchsorted(self.sums, before + (u * (self.sums[self.bounds[rank + 1] - 1] - before)).astype(np.int64), side="right")
-            edge = np.clip(edge, self.bounds[rank], self.bounds[rank + 1] - 1)
+            edge, high = self.bounds[rank], self.bounds[rank + 1] - 1
+            before = np.where(edge > 0, self.sums[edge - 1], 0)
+            aim = before + (u * (self.sums[high] - before)).astype(np.int64)
+            for _ in range(int((high - edge).max()).bit_length()):  # the first edge of the node whose running sum is beyond aim
+                middle = (edge + high) >> 1
+                below = self.sums[middle] <= aim
+                edge, high = np.where(below & (edge < high), middle + 1, edge), np.where(below, high, middle)
             steps.append((active, edge))
             node = self.start[edge]
             more = node > self.base[words[active]]
