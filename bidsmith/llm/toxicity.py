@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,14 +102,19 @@ def gram(x: list[dict], y: list[dict]) -> np.ndarray:
 
 
 def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0) -> np.ndarray:
-    """Primal squared-hinge machine by Newton steps; the last coefficient is the bias."""
-    z = np.hstack([z, np.ones((len(z), 1))])
+    """Primal squared-hinge machine by Newton steps, summed over blocks of rows; the last column of z is 1, its coefficient the bias."""
     w = np.zeros(z.shape[1])
     keep = np.diag([1.0] * (z.shape[1] - 1) + [1e-6])
     for _ in range(30):
-        wrong = y * (z @ w) < 1
-        zw = z[wrong] * weight[wrong, None]
-        new = np.linalg.solve(keep + cost * zw.T @ z[wrong], cost * zw.T @ y[wrong])
+        left, right = keep.copy(), np.zeros(len(w))
+        for k in range(0, len(z), 1000):
+            own, label = z[k : k + 1000].astype(float), y[k : k + 1000]
+            wrong = label * (own @ w) < 1
+            own = own[wrong]
+            scaled = own * weight[k : k + 1000][wrong, None]
+            left += cost * scaled.T @ own
+            right += cost * scaled.T @ label[wrong]
+        new = np.linalg.solve(left, right)
         if np.abs(new - w).max() < 1e-6:
             break
         w = new
@@ -177,16 +183,27 @@ def _bent(word: str, draw: np.random.Generator) -> str:
     return word[:at] + chr(int(draw.integers(97, 123))) + word[at:] if draw.random() < 0.7 else word[: at - 1] + word[at:]
 
 
+def _parts(rows: list[tuple[str | None, int]], size: int = 200) -> Iterator[pa.Array]:
+    """The texts, some at a time: the driver's memory is small."""
+    for k in range(0, len(rows), size):
+        yield pa.array([t for t, _ in rows[k : k + size]], pa.string())
+
+
 def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int = 3, seed: int = 3) -> Model | None:
     """The machine from (text, label) rows."""
     draw = np.random.default_rng(seed)
     y = np.array([label for _, label in rows])
     if not len(rows) or y.min() == y.max():
         return None
-    count, number, names = split(pa.array([t for t, _ in rows], pa.string()))
-    ends = np.cumsum(count)
-    bags = [np.unique(number[e - n : e]).astype(np.int32) for e, n in zip(ends, count, strict=True)]
-    del number
+    known: dict[str, int] = {}
+    bags = []  # the different words of each text
+    for part in _parts(rows):
+        count, number, words = split(part)
+        own = np.array([known.setdefault(w, len(known)) for w in words], np.int32)
+        ends = np.cumsum(count)
+        bags += [np.unique(own[number[e - n : e]]) for e, n in zip(ends, count, strict=True)]
+    names = list(known)
+    del known
     n_bad, n_good = (np.bincount(np.concatenate([b for b, label in zip(bags, y, strict=True) if label == k]), minlength=len(names)) for k in (1, 0))
     odds = np.log((n_bad + 0.1) / y.sum()) - np.log((n_good + 0.1) / (1 - y).sum()) + np.where(n_bad > 1, np.log(np.maximum(n_bad, 1)), -2)
     telling = (n_bad >= 3) & (n_bad / y.sum() >= 10 * (n_good + 0.5) / (1 - y).sum())
@@ -219,7 +236,9 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
         rows_in = [*positive.tolist(), *harmless.tolist()]
         bent = [_bent(names[i], draw) for i in positive.tolist() for _ in range(2)]
         near = [names[i] for i in rows_in] + bent
-        z = np.vstack([gram(features(near[k : k + 250]), marks) @ half for k in range(0, len(near), 250)])
+        z = np.ones((len(near), half.shape[1] + 1), np.float32)
+        for k in range(0, len(near), 250):
+            z[k : k + 250, :-1] = gram(features(near[k : k + 250]), marks) @ half
         target = np.array([1.0] * len(positive) + [-1.0] * len(harmless) + [1.0] * len(bent))
         many = np.array([min(chosen[i], 20) for i in positive.tolist()] + [1.0] * len(harmless), float)
         many[: len(positive)] *= len(harmless) / many[: len(positive)].sum() / 4
@@ -232,7 +251,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
         model = Model(table, float(w[-1]), (1.0, 0.0, 0.0))
         model.landmarks, model.weights = chosen_marks, half @ w[:-1]
         score = model.words(names)
-    x = np.clip(model.worst(pa.array([t for t, _ in rows], pa.string())), HARMLESS, 3)
+    x = np.clip(np.concatenate([model.worst(part) for part in _parts(rows)]), HARMLESS, 3)
     z = np.hstack([x, np.ones((len(x), 1))])
     balance = np.where(y == 1, np.sqrt((1 - y).sum() / max(y.sum(), 1)), 1.0)
     free = [0, 1, 2]
@@ -247,6 +266,7 @@ def train(rows: list[tuple[str | None, int]], landmarks: int = 250, rounds: int
             break
         free.remove(bent[0])
     model.logistic = tuple(w)
+    pa.default_memory_pool().release_unused()
     return model
 
 
