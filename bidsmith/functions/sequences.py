@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 
 def lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence: one addition of len(b) bits a word of a."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full  # a cleared bit is a step of the dynamic program's row
     for x in a:
-        last = 0
-        for j, y in enumerate(b):
-            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
-    return row[-1]
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
 
 
 @pandas_udf(DoubleType())
@@ -103,30 +107,83 @@ def optimal_size(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "n": [len(pdf)], "k": [best_size(pdf["text"].fillna("").tolist(), pdf["simhash"].tolist())]})
 
 
-_TAG = re.compile(r"<([a-z][\w-]*)\b[^>]*>.*?</\1>", re.S)
-#: Standard tags, which stay in the text.
-STANDARD = ("html", "head", "body", "p", "div", "span", "a", "ul", "ol", "li", "h1", "h2", "h3", "table", "tr", "td", "th", "b", "i", "em", "strong", "title", "nav")
-
-
-def set_aside(text: str) -> tuple[str, list[str]]:
-    """The text with each block of a tag that isn't standard replaced by a mark, and the blocks."""
-    blocks: list[str] = []
-
-    def mark(m: re.Match) -> str:
-        if m[1] in STANDARD:
-            inner = m[0][m.end(1) - m.start() :]
-            return f"<{m[1]}" + _TAG.sub(mark, inner)
-        blocks.append(m[0])
-        return f"\x00{len(blocks) - 1}\x00"
-
-    return _TAG.sub(mark, text), blocks
-
-
-def put_back(text: str, blocks: list[str]) -> str:
-    return re.sub("\x00(\\d+)\x00", lambda m: blocks[int(m[1])], text)
-
-
-@pandas_udf(StructType([StructField("n_blocks", IntegerType()), StructField("restored", BooleanType())]))
+#: The elements of the HTML standard; every other tag is custom.
+STANDARD = frozenset(
+    """html base head link meta style title body address article aside footer h1 h2 h3 h4 h5 h6 header hgroup main nav section search
+    blockquote dd div dl dt figcaption figure hr li menu ol p pre ul a abbr b bdi bdo br cite code data dfn em i kbd mark q rp rt ruby s
+    samp small span strong sub sup time u var wbr area audio img map track video embed iframe object param picture portal source svg math
+    canvas noscript script del ins caption col colgroup table tbody td tfoot th thead tr button datalist fieldset form input label legend
+    meter optgroup option output progress select textarea details dialog summary slot template""".split()
+)
+#: One tag: a slash if it closes, its name, what follows, a slash if it stands alone.
+_TAG = re.compile(r"<(/?)([a-zA-Z_][\w.-]*)(\s[^>]*?)?(/?)>")
+
+
+def _blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of custom blocks and custom tags that stand alone, in order; a standard element is passed over whole but for the latter."""
+    tags = list(_TAG.finditer(text))
+    closing: dict[str, list[re.Match]] = {}
+    for m in tags:
+        if m[1] and not m[3] and not m[4]:
+            closing.setdefault(m[2], []).append(m)
+    starts = {name: [m.start() for m in ms] for name, ms in closing.items()}
+    spans, alone, done = [], [], 0
+    for m in tags:
+        if m[1]:
+            continue
+        custom = m[2].lower() not in STANDARD
+        if custom and m[4]:
+            alone.append(m.span())
+        if m.start() < done or (m[4] and not m[3]):
+            continue
+        at = bisect_left(starts.get(m[2], []), m.end())
+        if at < len(starts.get(m[2], [])):
+            done = closing[m[2]][at].end()
+            if custom:
+                spans.append((m.start(), done))
+    ends = [b for _, b in spans]
+    free = [(a, b) for a, b in alone if (k := bisect_left(ends, b)) == len(spans) or spans[k][0] > a]
+    return sorted(spans + free)
+
+
+def set_aside(text: str, whole: bool = True) -> tuple[str, dict[str, str]]:
+    """The text with marks for its custom blocks (or, not whole, for custom tags only), and each mark's text.
+
+    A block runs from a tag to the first closing one of its name. Blocks inside a standard element stay with it;
+    custom tags that stand alone are set aside anywhere. Marks are fenced by more NULs than the text holds in a row.
+    """
+    fence = "\x00"
+    while fence in text:
+        fence += "\x00"
+    spans = _blocks(text) if whole else [m.span() for m in _TAG.finditer(text) if m[2].lower() not in STANDARD and not (m[1] and (m[3] or m[4]))]
+    out, blocks, last = [], {}, 0
+    for a, b in spans:
+        mark = f"{fence}{len(blocks)}{fence}"
+        blocks[mark] = text[a:b]
+        out += [text[last:a], mark]
+        last = b
+    return "".join([*out, text[last:]]), blocks
+
+
+def put_back(text: str, blocks: dict[str, str]) -> str:
+    """The marks' texts in their places; those whose marks were lost come at the end, a line each."""
+    if not blocks:
+        return text
+    fence = next(iter(blocks)).partition("0")[0]
+    found = set()
+
+    def own(m: re.Match) -> str:
+        found.add(m[0])
+        return blocks.get(m[0], m[0])
+
+    text = re.sub(f"{fence}\\d+{fence}", own, text)
+    return "\n".join([text, *(b for mark, b in blocks.items() if mark not in found)])
+
+
+@pandas_udf(StructType([StructField("n_blocks", IntegerType()), StructField("rest", StringType()), StructField("restored", BooleanType())]))
 def protect(html: pd.Series) -> pd.DataFrame:
-    made = [set_aside(h or "") for h in html]
-    return pd.DataFrame({"n_blocks": [len(b) for _, b in made], "restored": [put_back(t, b) == (h or "") for (t, b), h in zip(made, html, strict=True)]})
+    """Number of blocks, the text beside them, and whether putting them back gives the text; null is empty."""
+    own = [h or "" for h in html]
+    made = [set_aside(h) for h in own]
+    rest = [re.sub("\x00+\\d+\x00+", "", t) for t, _ in made]
+    return pd.DataFrame({"n_blocks": [len(b) for _, b in made], "rest": rest, "restored": [put_back(*m) == h for m, h in zip(made, own, strict=True)]})

@@ -41,23 +41,32 @@ def components_priced(usage: DataFrame, model: str, prices: DataFrame, parts: li
     return own.select(*usage.columns, F.when(known, F.struct(*costs, total.alias("total"))).alias("cost"))
 
 
-def merged(entries: DataFrame, group: str, order: str, text: str, importance: str, least: float = 0.85) -> DataFrame:
-    """Per group, entries in order join the first earlier one whose word set is more alike than `least`; the head keeps the largest importance.
+def merged(entries: DataFrame, group: str, order: str, text: str, importance: str, accesses: str, refs: str, least: float = 0.85) -> DataFrame:
+    """Per group, entries in order join the first earlier head whose word set is more alike than `least`.
 
-    Which entry joins which depends on the order, so a group is one loop; groups are small (one user's).
+    Of those that joined, the most important one stays (the first of equals), with the most accesses and all refs of them,
+    sorted; an entry without words joins none. Which entry joins which depends on the order, so a group is one loop;
+    groups are small (one user's).
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads: list[list] = []
-        for _, row in pdf.sort_values(order).iterrows():
-            words = set((row[text] or "").lower().split())
-            for h in heads:
-                if len(words | h[1]) and len(words & h[1]) / len(words | h[1]) > least:
-                    h[2], h[3] = max(h[2], row[importance]), h[3] + 1
-                    break
-            else:
-                heads.append([row[order], words, row[importance], 1])
-        return pd.DataFrame({group: pdf[group].iloc[0], order: [h[0] for h in heads], importance: [h[2] for h in heads], "n_merged": [h[3] for h in heads]})
+        pdf = pdf.sort_values(order, kind="stable")
+        heads: list[set] = []
+        joined: list[list] = []
+        for row in zip(pdf[order], pdf[text], pdf[importance], pdf[accesses], pdf[refs], strict=True):
+            words = set((row[1] or "").lower().split())
+            near = (k for k, h in enumerate(heads) if words and h and len(words & h) / len(words | h) > least)
+            k = next(near, len(heads))
+            if k == len(heads):
+                heads.append(words)
+                joined.append([])
+            joined[k].append(row)
+        best = [max(rows, key=lambda r: r[2]) for rows in joined]
+        return pd.DataFrame({
+            group: [pdf[group].iloc[0]] * len(best), order: [b[0] for b in best], importance: [b[2] for b in best], accesses: [max(r[3] for r in rows) for rows in joined],
+            refs: [sorted({x for r in rows for x in (r[4] if r[4] is not None else ())}) for rows in joined], "n_merged": [len(rows) for rows in joined],
+        })
 
     kind = {f.name: f.dataType.simpleString() for f in entries.schema}
-    return entries.select(group, order, text, importance).groupBy(group).applyInPandas(run, f"{group} {kind[group]}, {order} {kind[order]}, {importance} double, n_merged bigint")
+    out = f"{group} {kind[group]}, {order} {kind[order]}, {importance} double, {accesses} bigint, {refs} array<string>, n_merged bigint"
+    return entries.select(group, order, text, importance, accesses, refs).groupBy(group).applyInPandas(run, out)

@@ -15,8 +15,9 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS day FROM events")
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    keyed = events(spark, d).select("user_id", "event_type", F.to_date("ts").alias("day"))
-    return S.drained(S.first_seen(keyed, ["user_id", "event_type", "day"]), "dedup")
+    keys = ["user_id", "event_type", "day"]
+    keyed = events(spark, d).select("user_id", "event_type", F.to_date("ts").alias("day"), "ts")
+    return S.drained(S.first_seen(keyed, keys, "ts").select(*keys), "dedup")
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -43,7 +44,15 @@ def stream_ttl_cache(spark: SparkSession, d: str) -> DataFrame:
     return seen.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.round(F.sum("given"), 2).alias("given"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, value) AS r FROM events),
+ s(user_id, r, opened, entry, seen, was, closed, status, cost, paid) AS (SELECT user_id, r, CASE WHEN event_type = 'purchase' THEN ts END, CASE WHEN event_type = 'purchase' THEN value END, value, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE FROM e WHERE r = 1 UNION ALL
+ SELECT user_id, r, CASE WHEN still THEN opened WHEN event_type = 'purchase' THEN ts END, CASE WHEN still THEN entry WHEN event_type = 'purchase' THEN value END, value,
+  CASE WHEN due OR auto THEN opened END, CASE WHEN due THEN opened + INTERVAL 4 DAY WHEN auto THEN ts END, CASE WHEN due THEN 'closed_time' WHEN auto THEN 'closed_auto' END, CASE WHEN due OR auto THEN entry END, CASE WHEN due THEN seen WHEN auto THEN value END FROM
+ (SELECT *, opened IS NOT NULL AND NOT due AND NOT auto AS still FROM (SELECT *, NOT due AND opened IS NOT NULL AND event_type = 'view' AS auto FROM (SELECT e.*, s.opened, s.entry, s.seen, coalesce(e.ts >= s.opened + INTERVAL 4 DAY, false) AS due FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)))),
+ z AS (SELECT user_id, arg_max(s, r) AS x FROM s GROUP BY user_id)
+ SELECT user_id, was AS opened, closed, status, cost AS entry, paid AS exit, round(paid - cost, 2) AS pnl FROM s WHERE status IS NOT NULL
+ UNION ALL SELECT user_id, x.opened, x.opened + INTERVAL 4 DAY, 'closed_time', x.entry, x.seen, round(x.seen - x.entry, 2) FROM z WHERE x.opened + INTERVAL 4 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY""")
 def stream_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of four days at most; those still open close by time where the latest event is two days past it."""
     rows = events(spark, d).select("user_id", "ts", "event_type", "value")
-    return S.drained(S.positions(rows, "user_id", "ts", "event_type", "value", "purchase", "view", 4), "positions")
+    return S.drained(S.positions(rows, "user_id", "ts", "event_type", "value", "purchase", "view", 4, "2 days"), "positions")

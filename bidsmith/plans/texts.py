@@ -83,9 +83,11 @@ def bleu(spark: SparkSession, d: str) -> DataFrame:
     return df.select("conv_id", "turn", F.round(X.bleu(F.col("a"), F.col("b")), 6).alias("bleu"))
 
 
-@query()
+@query(TURNS.replace(", w AS", ", p AS", 1) + """, c AS (SELECT conv_id, turn, a, b, list_transform(a, lambda x: [coalesce(list_position(b, x), 0)]) AS x, list_transform(b, lambda y: list_position(b, y)) AS y, list_transform(range(1, len(b) + 1), lambda j: [j]) AS js FROM p),
+ r AS (SELECT *, list_reduce(x, lambda row, x: list_reduce(js, lambda acc, j: list_append(acc, greatest(row[j[1] + 1], acc[-1], CASE WHEN y[j[1]] = x[1] THEN row[j[1]] + 1 ELSE 0 END)), [0::BIGINT]), list_transform(range(0, len(b) + 1), lambda j: 0::BIGINT)) AS last FROM c)
+ SELECT conv_id, turn, CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE round(2.0::DOUBLE * coalesce(last[-1], 0) / (len(a) + len(b)), 6) END AS rouge_l FROM r""")
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    """Longest common word subsequence of a turn and the one before it: an Arrow-batched function, tested by itself."""
+    """Longest common word subsequence of a turn and the one before it: an Arrow-batched function."""
     from bidsmith.functions.sequences import rouge_l as score
 
     df = turns(spark, d).select("conv_id", "turn", X.words(F.col("text")).alias("a"), X.words(F.col("before")).alias("b"))
@@ -234,7 +236,14 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     return scoped.where((F.col("owner").isNull() | (F.col("owner") == "user")) & F.col("valid_until").isNull()).select("conv_id", "turn", "role")
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS t FROM conversations),
+ h AS (SELECT conv_id, turn, greatest(1, length(t) - 3) AS n, list_transform(range(1, greatest(1, length(t) - 3) + 1), lambda i: ('0x' || md5(substr(t, i, 4))[1:16])::UBIGINT) AS x FROM g),
+ u AS (SELECT conv_id, turn, list_sum(list_transform(range(0, 64), lambda k: CASE WHEN 2 * len(list_filter(x, lambda v: (v >> k::UBIGINT) & 1 = 1)) > n THEN (1::UBIGINT << k::UBIGINT)::HUGEINT ELSE 0::HUGEINT END)) AS v FROM h),
+ e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, (CASE WHEN v >= 9223372036854775808::HUGEINT THEN v - 18446744073709551616::HUGEINT ELSE v END)::BIGINT AS v FROM u),
+ s(conv_id, r, heads, cluster) AS (SELECT conv_id, r, [v], 0 FROM e WHERE r = 1 UNION ALL
+ SELECT conv_id, r, CASE WHEN place > 0 THEN heads ELSE list_append(heads, v) END, CASE WHEN place > 0 THEN place - 1 ELSE len(heads) END FROM
+ (SELECT e.conv_id, e.r, s.heads, e.v, coalesce(list_position(list_transform(s.heads, lambda x: bit_count(xor(x, e.v)) <= 3), true), 0) AS place FROM s JOIN e ON e.conv_id = s.conv_id AND e.r = s.r + 1))
+ SELECT conv_id, turn, v AS simhash, bit_count(xor(v, lag(v) OVER (PARTITION BY conv_id ORDER BY turn))) AS distance, cluster FROM e JOIN s USING (conv_id, r)""")
 def simhash_clusters(spark: SparkSession, d: str) -> DataFrame:
     """SimHash of every turn, its Hamming distance to the turn before, and its cluster: the conversation's first cluster head within 3 bits."""
     from bidsmith.functions.sequences import clustered
@@ -255,9 +264,12 @@ def optimal_k(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("conv_id").applyInPandas(optimal_size, "conv_id bigint, n bigint, k bigint")
 
 
-@query()
+@query("""SELECT page_id, CAST(page_id % 3 AS INT) AS n_blocks, md5(CASE page_id % 3 WHEN 0 THEN html || '<br/>' WHEN 1 THEN 'see ' || html ELSE html || ' end' END) AS rest, true AS restored FROM pages""")
 def protected_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Pages with their custom tags set aside and put back: the round trip gives the page."""
+    """Pages with nothing, a call or a note and a memo around them: custom tags set aside and put back; the round trip gives the page."""
     from bidsmith.functions.sequences import protect
 
-    return table(spark, d, "pages").select("page_id", protect("html").alias("p")).select("page_id", "p.n_blocks", "p.restored")
+    call = F.concat(F.lit("see <Tool_call id='1'>"), F.lit("<p>a</p><b>"), F.lit("</Tool_call>"), "html")
+    noted = F.concat("html", F.lit("<x.note>\n<x.note/></x.note> end<memo at='2' />"))
+    own = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<br/>"))).when(F.col("page_id") % 3 == 1, call).otherwise(noted)
+    return table(spark, d, "pages").select("page_id", protect(own).alias("p")).select("page_id", "p.n_blocks", F.md5("p.rest").alias("rest"), "p.restored")

@@ -85,15 +85,25 @@ def changes(stream: DataFrame, key: str, order: list[str], line: str) -> DataFra
     return stream.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", "NoTimeout")
 
 
-def cached(stream: DataFrame, key: str, at: str, value: str, days: float) -> DataFrame:
+def _millis(when: pd.Timestamp, zone: str) -> int:
+    """Milliseconds since 1970, rounded up, of a time as Arrow gives it: without a zone, in the session's."""
+    return -(-when.tz_localize(zone, ambiguous=False, nonexistent="shift_forward").value // 1_000_000)
+
+
+def cached(stream: DataFrame, key: str, at: str, value: str, days: float, delay: str = "30 days") -> DataFrame:
     """Lookups through an expiring memo by event time: each row with `hit` and the value the memo gives.
 
-    A miss stores the row's own value for `days`; a stored one is given until its time is up.
+    A miss stores the row's own value for `days`; a stored one is given until its time is up. State goes when the
+    watermark has passed that time; rows later than `delay` are dropped.
     """
     out = f"{key} {stream.schema[key].dataType.simpleString()}, {at} timestamp, hit boolean, given {stream.schema[value].dataType.simpleString()}"
     kept = f"given {stream.schema[value].dataType.simpleString()}, until timestamp"
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def step(name, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         given, until = state.get if state.exists else (None, None)
         until = pd.Timestamp(until) if until is not None else None
         rows = []
@@ -102,39 +112,60 @@ def cached(stream: DataFrame, key: str, at: str, value: str, days: float) -> Dat
             if not hit:
                 given, until = own, when + pd.Timedelta(days=days)
             rows.append((name[0], when, hit, given))
-        state.update((given, until.to_pydatetime()))
+        if _millis(until, zone) > state.getCurrentWatermarkMs():
+            state.update((given, until.to_pydatetime()))
+            state.setTimeoutTimestamp(_millis(until, zone))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=[key, at, "hit", "given"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, out, kept, "append", "NoTimeout")
+    return stream.withWatermark(at, delay).groupBy(key).applyInPandasWithState(step, out, kept, "append", "EventTimeTimeout")
 
 
-def positions(stream: DataFrame, key: str, at: str, kind: str, price: str, opens: str, closes: str, hold_days: int) -> DataFrame:
-    """A position a key, event by event: opened by `opens`, closed by `closes` (closed_auto) or, at the next event past its time, by time.
+def positions(stream: DataFrame, key: str, at: str, kind: str, price: str, opens: str, closes: str, hold_days: int, delay: str = "30 days") -> DataFrame:
+    """A position a key: opened by `opens`, closed by `closes` (closed_auto) or when its time is up (closed_time), at the last price until then.
 
+    Time is up at the next event past it or, on a quiet key, when the watermark (the latest event less `delay`) has
+    passed it: either gives the same row. State is one open position a key; rows later than `delay` are dropped.
     Gives one row a closed position: opened, closed, status, entry, exit and gain.
     """
     out = f"{key} {stream.schema[key].dataType.simpleString()}, opened timestamp, closed timestamp, status string, entry double, exit double, pnl double"
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def step(name, frames, state):
-        opened, entry = state.get if state.exists else (None, None)
+        opened, entry, seen = state.get if state.exists else (None, None, None)
         opened = pd.Timestamp(opened) if opened is not None else None
         rows = []
-        for when, what, paid in sorted_rows(frames, [at, kind, price])[[at, kind, price]].itertuples(index=False):
-            if opened is not None and when >= opened + pd.Timedelta(days=hold_days):
-                rows.append((name[0], opened, when, "closed_time", entry, paid, round(paid - entry, 2)))
-                opened = entry = None
-            elif opened is not None and what == closes:
-                rows.append((name[0], opened, when, "closed_auto", entry, paid, round(paid - entry, 2)))
-                opened = entry = None
-            if opened is None and what == opens:
-                opened, entry = when, float(paid)
-        state.update((opened.to_pydatetime() if opened is not None else None, entry))
+
+        def close(when, status, paid):
+            rows.append((name[0], opened, when, status, entry, paid, round(paid - entry, 2)))
+
+        held = pd.Timedelta(days=hold_days)
+        if not state.hasTimedOut:
+            for when, what, paid in sorted_rows(frames, [at, kind, price])[[at, kind, price]].itertuples(index=False):
+                if opened is not None and when >= opened + held:
+                    close(opened + held, "closed_time", seen)
+                    opened = None
+                elif opened is not None and what == closes:
+                    close(when, "closed_auto", float(paid))
+                    opened = None
+                if opened is None and what == opens:
+                    opened, entry = when, float(paid)
+                seen = float(paid)
+        if opened is not None and _millis(opened + held, zone) <= state.getCurrentWatermarkMs():
+            close(opened + held, "closed_time", seen)
+            opened = None
+        if opened is not None:
+            state.update((opened.to_pydatetime(), entry, seen))
+            state.setTimeoutTimestamp(_millis(opened + held, zone))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(rows, columns=[key, "opened", "closed", "status", "entry", "exit", "pnl"])
 
-    return stream.groupBy(key).applyInPandasWithState(step, out, "opened timestamp, entry double", "append", "NoTimeout")
+    return stream.withWatermark(at, delay).groupBy(key).applyInPandasWithState(step, out, "opened timestamp, entry double, seen double", "append", "EventTimeTimeout")
 
 
-def polled(stream: DataFrame, keys: list[str], process: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, every: str | None = None):
-    """The polling job: deduplicate, process each batch, hand it to the sink. every: the interval; without, once."""
+def polled(stream: DataFrame, keys: list[str], process: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, every: str | None = None, at: str | None = None):
+    """The polling job: deduplicate, process each batch, hand it to the sink. every: the interval; without, once. at: see first_seen."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return stream.dropDuplicates(keys).writeStream.foreachBatch(lambda df, _: sink(process(df))).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return first_seen(stream, keys, at).writeStream.foreachBatch(lambda df, _: sink(process(df))).option("checkpointLocation", checkpoint).trigger(**trigger).start()

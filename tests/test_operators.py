@@ -71,10 +71,35 @@ def test_text_measures(spark):
     assert list(got[2]) == [0.0, 0.0, 0.0, 0.0]
     assert sequences.greedy_clusters([0, 1, 0b1111, 0b11111]) == [0, 0, 1, 1]
     assert (sequences.knee([1, 5, 6, 6, 6]), sequences.knee([1, 1, 1]), sequences.knee([1, 2]), sequences.knee([1, 2, 3])) == (2, 1, None, None)
-    html = "<div><x-a>1</x-a> t <custom k='v'>2</custom></div>"
+
+
+def test_tags():
+    html = "<x-a>1<y>2</y></x-a> \x00 t <Custom k='v'>2</Custom><section><x-a>in</x-a><memo/></section><open><p>"
     marked, blocks = sequences.set_aside(html)
-    assert blocks == ["<x-a>1</x-a>", "<custom k='v'>2</custom>"]
+    assert list(blocks.values()) == ["<x-a>1<y>2</y></x-a>", "<Custom k='v'>2</Custom>", "<memo/>"]
     assert sequences.put_back(marked, blocks) == html
+    assert sequences.put_back("lost", blocks) == "\n".join(["lost", *blocks.values()])
+    marked, blocks = sequences.set_aside("a <x>b</x> <p>c</p>", whole=False)
+    assert (list(blocks.values()), sequences.put_back(marked, blocks)) == (["<x>", "</x>"], "a <x>b</x> <p>c</p>")
+    assert sequences.set_aside("<a>" * 3) == ("<a>" * 3, {})
+
+
+def test_longest_common_subsequence():
+    import random
+
+    def by_hand(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    draw = random.Random(5)
+    for _ in range(300):
+        a, b = ([draw.choice("abcd") for _ in range(draw.randrange(90))] for _ in "ab")
+        assert sequences.lcs(a, b) == by_hand(a, b)
 
 
 def test_simhash_by_hand(spark):
@@ -154,6 +179,10 @@ def test_streams(spark, tmp_path):
     assert {(r.u, r.e) for r in state.drained(state.changes(stream(), "u", ["ts"], "e"), "t2").collect()} == {(1, "buy"), (1, "see"), (2, "buy")}
     done = state.drained(state.positions(stream(), "u", "ts", "e", "v", "buy", "see", 4), "t3").collect()
     assert [(r.u, r.status, r.pnl) for r in done] == [(1, "closed_auto", 2.0)]
+    quiet = spark.createDataFrame([(1, stamp(0), "buy", 10.0), (2, dt.datetime(2024, 1, 9), "see", 1.0)], kind)
+    quiet.coalesce(1).write.parquet(str(tmp_path / "quiet"))
+    done = state.drained(state.positions(state.table_stream(spark, str(tmp_path / "quiet")), "u", "ts", "e", "v", "buy", "see", 4, "1 day"), "t7").collect()
+    assert [(r.u, r.closed, r.status, r.pnl) for r in done] == [(1, dt.datetime(2024, 1, 5), "closed_time", 0.0)]
     memo = state.drained(state.cached(stream().select("u", "ts", "v"), "u", "ts", "v", 1), "t4").orderBy("u", "ts").collect()
     assert [(r.hit, r.given) for r in memo] == [(False, 10.0), (True, 10.0), (True, 10.0), (False, 5.0)]
     zero = state.drained(state.cached(stream().select("u", "ts", "v"), "u", "ts", "v", 0), "t5").collect()
@@ -169,7 +198,9 @@ def test_eviction_merge_and_recall(spark):
     df = spark.createDataFrame([("g", i, i) for i in range(13)], "g string, t int, i int")
     assert sorted(r.i for r in memory.evicted(df, "g", "t", "i", 10).collect()) == [0, 1, 2]
     assert memory.evicted(df, "g", "t", "i", 13).count() == 0
-    notes = spark.createDataFrame([(1, 0, "a b c d e f g", 0.1), (1, 1, "a b c d e f g", 0.9), (1, 2, "x", 0.5)], "u int, n int, t string, w double")
-    assert [(r.n, r.w, r.n_merged) for r in memory.merged(notes, "u", "n", "t", "w").orderBy("n").collect()] == [(0, 0.9, 2), (2, 0.5, 1)]
+    rows = [(1, 0, "a b c d e f g", 0.1, 7, ["q"]), (1, 1, "a b c d e f g", 0.9, 2, ["p", "q"]), (1, 2, "x", 0.5, 1, None), (1, 3, None, 0.2, 1, []), (1, 4, "", 0.2, 1, [])]
+    notes = spark.createDataFrame(rows, "u int, n int, t string, w double, c bigint, e array<string>")
+    got = memory.merged(notes, "u", "n", "t", "w", "c", "e").orderBy("n").collect()
+    assert [(r.n, r.w, r.c, r.e, r.n_merged) for r in got] == [(1, 0.9, 7, ["p", "q"], 2), (2, 0.5, 1, [], 1), (3, 0.2, 1, [], 1), (4, 0.2, 1, [], 1)]
     got = spark.createDataFrame([("The Cat", ["cat", "dog"]), (None, [])], "t string, f array<string>").select(memory.recalled(F.col("t"), F.col("f"))).collect()
     assert [r[0] for r in got] == [0.5, 1.0]
