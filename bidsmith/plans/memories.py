@@ -59,16 +59,19 @@ def memory_export(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("conv_id", F.aggregate("k", F.lit(0).cast("bigint"), lambda s, x: s + x["cost"]).alias("used"), F.size("k").cast("bigint").alias("kept"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS words, length(text) / 100.0::DOUBLE AS importance, role FROM conversations),
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn + 100, 'short', regexp_replace(text, '\\s+\\S+$', '') FROM conversations),
+ e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')) AS words, length(text) / 100.0::DOUBLE AS importance, role FROM c),
  s(conv_id, r, heads, k) AS (SELECT conv_id, r, [words], 1 FROM e WHERE r = 1 UNION ALL
  SELECT conv_id, r, CASE WHEN place > 0 THEN heads ELSE list_append(heads, words) END, CASE WHEN place > 0 THEN place ELSE len(heads) + 1 END FROM
- (SELECT e.conv_id, e.r, s.heads, e.words, coalesce(list_position(list_transform(s.heads, lambda h: len(list_intersect(h, e.words)) > 0.3 * len(list_distinct(list_concat(h, e.words)))), true), 0) AS place FROM s JOIN e ON e.conv_id = s.conv_id AND e.r = s.r + 1)),
+ (SELECT e.conv_id, e.r, s.heads, e.words, coalesce(list_position(list_transform(s.heads, lambda h: len(list_intersect(h, e.words)) > 0.85 * len(list_distinct(list_concat(h, e.words)))), true), 0) AS place FROM s JOIN e ON e.conv_id = s.conv_id AND e.r = s.r + 1)),
  j AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY importance DESC, turn) AS place FROM s JOIN e USING (conv_id, r))
  SELECT conv_id, min(turn) FILTER (place = 1) AS turn, round(max(importance), 4) AS importance, max(turn % 3) AS accesses, string_agg(DISTINCT role, ',' ORDER BY role) AS refs, count(*) AS n_merged FROM j GROUP BY conv_id, k""")
 def greedy_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Alike turns of a conversation (over 0.3 of their words) merged in order."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "text", (F.length("text") / 100.0).alias("importance"), (F.col("turn") % 3).cast("bigint").alias("accesses"), F.array("role").alias("refs"))
-    made = M.merged(c, "conv_id", "turn", "text", "importance", "accesses", "refs", 0.3)
+    """Alike turns of a conversation merged in order; each turn comes again, later and less its last word."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    c = c.union(c.select("conv_id", F.col("turn") + 100, F.lit("short"), F.regexp_replace("text", r"\s+\S+$", "")))
+    c = c.select("conv_id", "turn", "text", (F.length("text") / 100.0).alias("importance"), (F.col("turn") % 3).cast("bigint").alias("accesses"), F.array("role").alias("refs"))
+    made = M.merged(c, "conv_id", "turn", "text", "importance", "accesses", "refs")
     return made.select("conv_id", "turn", F.round("importance", 4).alias("importance"), "accesses", F.array_join("refs", ",").alias("refs"), "n_merged")
 
 
