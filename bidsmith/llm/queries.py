@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidsmith.llm import decontaminate, language_model, near_dup, quality, resampling, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm import decontaminate, language_model, near_dup, packing, quality, resampling, sampling, secrets, sharding, token_counts, token_ids, toxicity
 from bidsmith.llm.common import documents, fold
 
 
@@ -59,11 +59,15 @@ def op10_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer("piece_bpe_32k.model"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer("byte_bpe_50k.json"), end_id=0, capacity=1024)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), order=1, buckets=10_000, percent=10, least_words=20, seed=2024)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op5_lm_scoring, op6_minhash_near_dedup, op7_quality_rules, op8_toxicity, op9_sharding, op10_sentencepiece_sampling, op13_importance_resampling)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_token_id_output, op3_token_counts, op4_benchmark_decontamination, op5_lm_scoring, op6_minhash_near_dedup, op7_quality_rules, op8_toxicity, op9_sharding, op10_sentencepiece_sampling, op12_packing, op13_importance_resampling)}
 _RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SETS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w),

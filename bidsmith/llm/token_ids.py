@@ -206,6 +206,20 @@ def tokenize(texts: pa.Array, path: str, end_id: int | None) -> list[np.ndarray]
     return out
 
 
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about CHUNK bytes: the more text, the more often a piece occurs in it."""
+    held, size = [], 0
+    for batch in batches:
+        for part in pieces(batch, "text", CHUNK):
+            held.append(part)
+            size += part.column("text").nbytes
+            if size >= CHUNK:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 #: Documents (n_tokens at least 0), and one row a task with the counts of its ids (n_tokens -1).
 _ROWS = "doc_id bigint, n_tokens bigint, ids binary, used binary, counts binary"
 
@@ -214,19 +228,6 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None = 2) -> DataFrame:
     """doc_id, n_tokens and `ids`, pressed for the way to the next task; and each task's counts."""
     small_batches(docs.sparkSession)
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches of about CHUNK bytes: the more text, the more often a piece occurs in it."""
-        held, size = [], 0
-        for batch in batches:
-            for part in pieces(batch, "text", CHUNK):
-                held.append(part)
-                size += part.column("text").nbytes
-                if size >= CHUNK:
-                    yield pa.concat_batches(held)
-                    held, size = [], 0
-        if held:
-            yield pa.concat_batches(held)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         names = ["doc_id", "n_tokens", "ids", "used", "counts"]

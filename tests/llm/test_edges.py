@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from bidsmith.llm import decontaminate, language_model, near_dup, quality, resampling, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm import decontaminate, language_model, near_dup, packing, quality, resampling, sampling, secrets, sharding, token_counts, token_ids, toxicity
 from bidsmith.llm.queries import tokenizer
 
 PIECES, BPE = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
@@ -35,6 +35,7 @@ OPERATORS = {
     "shard_bytes": lambda s, d: sharding.shard_documents(d, 16, "bytes"),
     "shard_rows": lambda s, d: sharding.shard_documents(d, 16, "rows"),
     "shard_key": lambda s, d: sharding.shard_documents(d, 16, "key"),
+    "packing": lambda s, d: packing.pack(d, BPE, 0, 64).where("start = 0"),
     "resample": lambda s, d: resampling.resample(d, s.createDataFrame([(1, "the same words"), (None, None)], "item_id bigint, text string"), least_words=2),
     "resample_pairs": lambda s, d: resampling.resample(d, s.createDataFrame([], "item_id bigint, text string"), order=2),
     "sampling": lambda s, d: sampling.digests(d, PIECES),
