@@ -52,11 +52,11 @@ def cut(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of cuts that no plan reads any more; other tables are left alone."""
+def discard(*tables: DataFrame | str) -> None:
+    """Delete the files of cuts that no plan reads any more, or the folder that a path names; other tables are left alone."""
     for df in tables:
-        if path := getattr(df, _CUT, None):
-            spark = df.sparkSession
+        if path := df if isinstance(df, str) else getattr(df, _CUT, None):
+            spark = SparkSession.active() if isinstance(df, str) else df.sparkSession
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from bidsmith.llm import decontaminate, language_model, near_dup, packing, quality, resampling, sampling, secrets, sharding, token_counts, token_ids, toxicity
+from bidsmith.llm import decontaminate, impact_index, language_model, near_dup, packing, quality, resampling, sampling, secrets, sharding, token_counts, token_ids, toxicity
 from bidsmith.llm.queries import tokenizer
 
 PIECES, BPE = tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_50k.json")
