@@ -1,13 +1,11 @@
-"""Readers: bulk reports with a preamble, opportunity JSON, snapshots, feeds, and a paged connector."""
+"""Readers: bulk reports with a preamble, opportunity JSON, snapshots, feeds. The paged connector is in `paged`."""
 
 from __future__ import annotations
 
 import csv
-from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from bidsmith import schemas
 from bidsmith.config import IDIQ_NOTICE, SOLE_NOTICE
@@ -143,76 +141,3 @@ def search_url(base: str, **parameters: Column | str) -> Column:
     """A URL of base and percent-encoded parameters; null values are left out."""
     pairs = [F.concat(F.lit(f"{k}="), F.url_encode(v if isinstance(v, Column) else F.lit(v))) for k, v in parameters.items()]
     return F.concat(F.lit(f"{base}?"), F.array_join(F.array_compact(F.array(*pairs)), "&"))
-
-
-class PagedSource(DataSource):
-    """A paged service as a Spark source, with equality, membership and range filters sent to it.
-
-    Options: fetch, "module:function" of (filters, page, size) that returns rows as tuples or None
-    for "try again" (backed off, then tried again); schema, a DDL string; size, the rows of a full page;
-    lanes, how many tasks read side by side (lane k reads pages k, k + lanes, ... until a short page);
-    pause, seconds between a lane's requests; most, an exact limit of records (one lane only); order,
-    passed on as the filter "order". filters: {"column": values} and {"column >=": [value]} and so on.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return self.options["schema"]
-
-    def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options)
-
-
-class PagedReader(DataSourceReader):
-    RANGES = {GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
-    def __init__(self, options):
-        self.options, self.sent = options, {}
-        if "order" in options:
-            self.sent["order"] = [options["order"]]
-        if "most" in options and int(options.get("lanes", 1)) > 1:
-            raise ValueError("a limit of records needs one lane")
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo):
-                self.sent[".".join(f.attribute)] = [f.value]
-            elif isinstance(f, In):
-                self.sent[".".join(f.attribute)] = list(f.value)
-            elif type(f) in self.RANGES:
-                self.sent[f"{'.'.join(f.attribute)} {self.RANGES[type(f)]}"] = [f.value]
-            yield f  # Spark checks again: a service may be lax
-
-    def partitions(self):
-        return [InputPartition(p) for p in range(int(self.options.get("lanes", 1)))]
-
-    def read(self, partition) -> Iterator[tuple]:
-        import importlib
-        import time
-
-        module, _, name = self.options["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        size, left = int(self.options.get("size", 100)), int(self.options.get("most", -1))
-        page, rows = partition.value, None
-        while left and (rows is None or len(rows) >= size):
-            if rows is not None:
-                time.sleep(float(self.options.get("pause", 0)))
-            rows = list(retried(lambda: fetch(self.sent, page, size)))  # noqa: B023
-            yield from rows if left < 0 else rows[:left]
-            left -= min(left, len(rows)) if left > 0 else 0
-            page += int(self.options.get("lanes", 1))
-
-
-def retried(call: Callable, attempts: int = 5, pause: float = 10.0, wait: Callable[[float], None] | None = None):
-    """call's rows; None means that the service is busy: wait pause * 2 ** n and try again, at most so often."""
-    import time
-
-    for n in range(attempts):
-        if (rows := call()) is not None:
-            return rows
-        if n + 1 < attempts:
-            (wait or time.sleep)(pause * 2**n)
-    raise TimeoutError(f"no answer after {attempts} attempts")

@@ -25,8 +25,12 @@ def expired(cache: DataFrame, now: Column | float, expires: str = "expires_at")
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/bidsmith-streams"
+    """A new folder under spark.checkpoint.dir. Where that is unset: a local one in local mode, an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/bidsmith-streams"
     return f"{root.rstrip('/')}/bidsmith-stream/{name}-{uuid.uuid4().hex}"
 
 
@@ -163,9 +167,3 @@ def positions(stream: DataFrame, key: str, at: str, kind: str, price: str, opens
         yield pd.DataFrame(rows, columns=[key, "opened", "closed", "status", "entry", "exit", "pnl"])
 
     return stream.withWatermark(at, delay).groupBy(key).applyInPandasWithState(step, out, "opened timestamp, entry double, seen double", "append", "EventTimeTimeout")
-
-
-def polled(stream: DataFrame, keys: list[str], process: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, every: str | None = None, at: str | None = None):
-    """The polling job: deduplicate, process each batch, hand it to the sink. every: the interval; without, once. at: see first_seen."""
-    trigger = {"processingTime": every} if every else {"availableNow": True}
-    return first_seen(stream, keys, at).writeStream.foreachBatch(lambda df, _: sink(process(df))).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bidsmith.operators.filters import bulk_scan
 from bidsmith.schemas import REPORT_FIELDS, REPORT_FLAGS
-from bidsmith.sources import readers, sinks
+from bidsmith.sources import paged, readers, sinks
 
 BASE = {"CAGE Code": "7QZ31", "Unique Entity ID": "QWERTY778899", "Contractor Name": "NORTH HARBOR OPTICS LLC", "Country of Incorporation": "USA", "Base and All Options Value (Total Contract Value)": "2750000.50", "Period of Performance Start Date": "2021-11-08", "IDV Type": "", "PIID": "P-17"}
 HEADERS = [*REPORT_FIELDS, *(f"Is Vendor Business Type - {h}" for h in REPORT_FLAGS)]
@@ -115,20 +115,20 @@ def pages(filters, page, size):
 
 def test_paged_source(spark):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(readers.PagedSource)
-    paged = lambda **more: spark.read.format("paged").options(fetch="tests.test_sources:pages", schema="i bigint, kind string", size="10", **more).load()
-    assert paged().count() == 45
-    assert paged(lanes="3").where("kind = 'x'").count() == 22
-    assert paged(pause="0.01").where("i >= 30").count() == 15
-    assert [r.i for r in paged(most="13", order="desc").collect()] == list(range(44, 31, -1))
+    spark.dataSource.register(paged.PagedSource)
+    read = lambda **more: spark.read.format("paged").options(fetch="tests.test_sources:pages", schema="i bigint, kind string", size="10", **more).load()
+    assert read().count() == 45
+    assert read(lanes="3").where("kind = 'x'").count() == 22
+    assert read(pause="0.01").where("i >= 30").count() == 15
+    assert [r.i for r in read(most="13", order="desc").collect()] == list(range(44, 31, -1))
 
 
 def test_retry():
     waits, answers = [], iter([None, None, [1]])
-    assert readers.retried(lambda: next(answers), wait=waits.append) == [1]
+    assert paged.retried(lambda: next(answers), wait=waits.append) == [1]
     assert waits == [10.0, 20.0]
     with pytest.raises(TimeoutError):
-        readers.retried(lambda: None, wait=waits.append)
+        paged.retried(lambda: None, wait=waits.append)
 
 
 def test_sinks(spark, tmp_path):
