@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -62,10 +62,10 @@ HTML_MARKS = ("<head", "<body", "<div", "<script", "<style", "<meta", "<link", "
 
 @dataclass(frozen=True)
 class Grid:
-    """Parameter values of a grid search."""
+    """Parameter values of a grid search. The defaults are fixed values: 9,720 combinations."""
 
-    take_profit: tuple[float, ...] = (0.04, 0.05, 0.06, 0.08, 0.10, 0.12, 0.15, 0.20, 0.25)
-    stop_loss: tuple[float, ...] = (0.02, 0.03, 0.05, 0.06, 0.07, 0.10)
-    hold: tuple[int, ...] = (2, 3, 4, 5, 7)
-    threshold: tuple[int, ...] = (10, 20, 25, 30, 35, 40, 45, 50, 60)
-    max_market_cap: tuple[float, ...] = field(default=(2.5e5, 5e5, 1e6, 2e6))
+    take_profit: tuple[float, ...] = (0.05, 0.08, 0.10, 0.12, 0.15, 0.20)
+    stop_loss: tuple[float, ...] = (0.02, 0.03, 0.04, 0.05, 0.06)
+    hold: tuple[int, ...] = (1, 2, 3, 4, 5, 7)
+    threshold: tuple[int, ...] = (5, 10, 15, 20, 25, 30, 35, 40, 50)
+    max_market_cap: tuple[float, ...] = (100e6, 150e6, 200e6, 300e6, 500e6, 1e9)

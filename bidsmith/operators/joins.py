@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidsmith.operators.fuzzy import alike_names
+from bidsmith.sources.sinks import settled
 
 SLOT = 32
 
@@ -52,38 +54,52 @@ def _asof(left: DataFrame, right: DataFrame, key: str, at: str, then: str, days:
     return got.select(*left.columns, *(F.when(fits, F.col("_got._when" if c == then else f"_got.{c}")).alias(c) for c in take))
 
 
+def _nearest(left: DataFrame, facts: DataFrame, key: str, at: str, then: str, days: int, after: bool) -> DataFrame:
+    """left with `_fact`, the day of the nearest fact (same key) within days before (or after) the day of `at`, inclusive."""
+    days_of = left.withColumn("_day", F.to_date(at))
+    return _asof(days_of, facts.select(F.col(key), F.to_date(then).alias("_fact")), key, "_day", "_fact", days, "_fact", forward=after).drop("_day")
+
+
 def recent(left: DataFrame, facts: DataFrame, key: str, at: str, then: str, days: int, after: bool = False) -> DataFrame:
     """left rows for which some fact (same key) lies within days before (or after) `at`, inclusive."""
-    own, other = left.alias("l"), facts.select(F.col(key), F.col(then)).alias("r")
-    gap = F.datediff(F.col(f"r.{then}"), F.col(f"l.{at}")) if after else F.datediff(F.col(f"l.{at}"), F.col(f"r.{then}"))
-    return own.join(other, (F.col(f"l.{key}") == F.col(f"r.{key}")) & gap.between(0, days), "left_semi")
+    return _nearest(left, facts, key, at, then, days, after).where("_fact is not null").drop("_fact")
 
 
 def not_recent(left: DataFrame, facts: DataFrame, key: str, at: str, then: str, days: int, after: bool = False) -> DataFrame:
     """The rows that `recent` leaves out."""
-    own, other = left.alias("l"), facts.select(F.col(key), F.col(then)).alias("r")
-    gap = F.datediff(F.col(f"r.{then}"), F.col(f"l.{at}")) if after else F.datediff(F.col(f"l.{at}"), F.col(f"r.{then}"))
-    return own.join(other, (F.col(f"l.{key}") == F.col(f"r.{key}")) & gap.between(0, days), "left_anti")
-
-
-def having(left: DataFrame, facts: DataFrame, key: str, ident: str, at: str, then: str, days: int, name: str) -> DataFrame:
-    """left with `name`: whether some fact (same key) lies within days before `at`, inclusive. ident is unique."""
-    hit = recent(left.select(ident, key, at), facts, key, at, then, days).select(ident, F.lit(True).alias(name))
-    return left.join(hit, ident, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
+    return _nearest(left, facts, key, at, then, days, after).where("_fact is null").drop("_fact")
 
-def earliest_in_band(left: DataFrame, facts: DataFrame, key: str, ident: str, at: str, then: str, before: int, after: int, name: str) -> DataFrame:
-    """left with the earliest fact from `before` days before to `after` days after `at`; one row each."""
-    band = facts.select(F.col(key).alias("_k"), F.col(then).alias("_then"))
-    hit = left.join(band, (F.col(key) == F.col("_k")) & F.datediff(F.col("_then"), F.col(at)).between(-before, after)).groupBy(ident).agg(F.min("_then").alias(name))
-    return left.join(hit, ident, "left")
 
+def having(left: DataFrame, facts: DataFrame, key: str, at: str, then: str, kinds: dict[str, tuple[Column, int]]) -> DataFrame:
+    """left with a flag for each kind: whether some fact of that kind (same key) lies within its days before `at`, inclusive.
 
-def earliest_of_searches(left: DataFrame, searches: list[DataFrame], key: str, ident: str, at: str, then: str, before: int, after: int, name: str) -> DataFrame:
+    kinds: a condition on facts and days. One pass for all kinds: rows and facts are sorted once by key, time slot and
+    day, and each kind's last day is carried along; a hot key is many tasks, and a null key has no fact.
+    """
+    span = max(SLOT, *(days for _, days in kinds.values()))
+    own = left.withColumn("_day", F.to_date(at))
+    rows = own.withColumns({"_own": F.lit(1), "_slot": F.coalesce(F.floor(F.unix_date("_day") / span), F.lit(0)), **{f"_is_{k}": F.lit(False) for k in kinds}})
+    marks = facts.where(F.col(key).isNotNull()).select(F.col(key), F.to_date(then).alias("_day"), F.lit(0).alias("_own"), *(F.coalesce(c, F.lit(False)).alias(f"_is_{k}") for k, (c, _) in kinds.items()))
+    first = F.floor(F.unix_date("_day") / span)
+    marks = marks.where(" or ".join(f"_is_{k}" for k in kinds)).where("_day is not null").withColumn("_slot", F.explode(F.array(first, first + 1)))
+    order = Window.partitionBy(key, "_slot").orderBy("_day", "_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = {f"_last_{k}": F.last(F.when(F.col(f"_is_{k}"), F.col("_day")), ignorenulls=True).over(order) for k in kinds}
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumns(last).where("_own = 1")
+    flags = [(F.col(key).isNotNull() & F.coalesce(F.datediff("_day", f"_last_{k}") <= days, F.lit(False))).alias(k) for k, (_, days) in kinds.items()]
+    return both.select(*left.columns, *flags)
+
+
+def earliest_in_band(left: DataFrame, facts: DataFrame, key: str, at: str, then: str, before: int, after: int, name: str) -> DataFrame:
+    """left with the earliest fact (same key) from `before` days before to `after` days after `at`; null where there is none."""
+    start = left.withColumn("_start", F.date_sub(F.to_date(at), before))
+    return forward_asof(start, facts.select(F.col(key), F.to_date(then).alias(name)), key, "_start", name, before + after, name).drop("_start")
+
+
+def earliest_of_searches(left: DataFrame, searches: list[DataFrame], key: str, at: str, then: str, before: int, after: int, name: str) -> DataFrame:
     """`earliest_in_band` of the first search that finds any; the others count only where those before found none."""
     out = left
     for i, facts in enumerate(searches):
-        out = earliest_in_band(out, facts, key, ident, at, then, before, after, f"_{name}_{i}")
+        out = earliest_in_band(out, facts, key, at, then, before, after, f"_{name}_{i}")
     return out.withColumn(name, F.coalesce(*(f"_{name}_{i}" for i in range(len(searches))))).drop(*(f"_{name}_{i}" for i in range(len(searches))))
 
 
@@ -127,18 +143,6 @@ def name_candidates(names: DataFrame, name: str, companies: DataFrame, limit: in
     return names.withColumn("x", F.lower(name)).join(best, "x").drop("x")
 
 
-def alike_names(names: DataFrame, name: str, companies: DataFrame, least: int, prefix: int = 3) -> DataFrame:
-    """Companies whose name is alike, by edits: 100 * (1 - distance / longer length) of at least `least`.
-
-    Both names start with the same `prefix` characters (any case): that blocks the join.
-    """
-    block = lambda c: F.lower(F.substring(c, 1, prefix))
-    both = names.withColumn("_b", block(F.col(name))).join(companies.withColumn("_b", block(F.col("company"))), "_b")
-    x, y = F.lower(name), F.lower("company")
-    ratio = F.floor(100 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))).cast("int")
-    return both.withColumn("ratio", ratio).where(F.col("ratio") >= least).drop("_b")
-
-
 #: How sure a way of finding a company is.
 WAYS = {"cage_lei_openfigi": (1, "high"), "exact": (2, "high"), "substring": (3, "medium"), "fuzzy_90": (4, "medium"), "fuzzy_85": (5, "low")}
 
@@ -146,30 +150,33 @@ WAYS = {"cage_lei_openfigi": (1, "high"), "exact": (2, "high"), "substring": (3,
 def resolved(awards: DataFrame, ident: str, name: str, parent: str, companies: DataFrame, cage_lei: DataFrame, lei_ticker: DataFrame, caps: DataFrame) -> DataFrame:
     """ident, resolved_ticker, resolved_cik, confidence, evidence_type, audit_trail (step, outcome) and market_cap of every award.
 
+    Different names are matched once, whatever field they stand in; what is found for them is written to the shared folder.
     Ways in order: identifiers by two hops (a trail of two steps), then the awardee's name, exactly, as a part, and alike by edits
     (90, then 85 in 100), then the parent's name by the same; the first that finds a ticker counts, and of one way's companies the
     first listed. An award that none finds has null fields, confidence none and the trail of what failed.
     """
     step = lambda s, o: F.struct(F.lit(s).alias("step"), o.cast("string").alias("outcome"))
-    hops = two_hops(awards, cage_lei, lei_ticker)
-    first = hops.where("ticker is not null").select(ident, F.lit(WAYS["cage_lei_openfigi"][0]).alias("tier"), F.lit("cage_lei_openfigi").alias("way"), F.lit(-1).alias("ordinal"), "ticker", F.array(step("cage_to_lei", F.col("lei")), step("lei_to_ticker", F.col("ticker"))).alias("audit_trail"))
-    found = [first]
-    for shift, column, prefix in ((0, name, ""), (10, parent, "parent_")):
-        own = awards.select(F.col(column).alias("_name")).where("trim(_name) <> ''").distinct()
-        exact = own.join(companies, F.lower("_name") == F.lower("company")).withColumn("way", F.lit("exact"))
-        parts = name_candidates(own, "_name", companies).withColumn("way", F.lit("substring"))
-        alike = alike_names(own, "_name", companies, 85).withColumn("way", F.when(F.col("ratio") >= 90, "fuzzy_90").otherwise("fuzzy_85")).drop("ratio")
-        every = exact.unionByName(parts).unionByName(alike)
-        tier = F.coalesce(*(F.when(F.col("way") == w, t + shift) for w, (t, _) in WAYS.items()))
-        best = every.withColumn("tier", tier).groupBy("_name").agg(F.min_by(F.struct("tier", "way", "ordinal", "ticker", "company"), F.struct("tier", "ordinal")).alias("x"))
-        audit = F.array(F.struct(F.concat(F.lit(prefix), F.col("x.way")).alias("step"), F.col("x.company").alias("outcome")))
-        found.append(awards.select(ident, F.col(column).alias("_name")).join(best, "_name").select(ident, "x.tier", F.concat(F.lit(prefix), F.col("x.way")).alias("way"), "x.ordinal", "x.ticker", audit.alias("audit_trail")))
-    every = found[0].unionByName(found[1]).unionByName(found[2])
-    best = every.groupBy(ident).agg(F.min_by(F.struct("way", "ticker", "audit_trail"), "tier").alias("x"))
+    listed = settled(companies.select("ordinal", "company", "ticker", "cik"), "companies")
+    names = settled(awards.select(F.explode(F.array(name, parent)).alias("_name")).where("trim(_name) <> ''").distinct(), "names")
+    exact = names.join(listed, F.lower("_name") == F.lower("company")).withColumn("way", F.lit("exact"))
+    parts = name_candidates(names, "_name", listed).withColumn("way", F.lit("substring"))
+    near = alike_names(names, "_name", listed, 85).withColumn("way", F.when(F.col("ratio") >= 90, "fuzzy_90").otherwise("fuzzy_85")).drop("ratio")
+    tier = F.coalesce(*(F.when(F.col("way") == w, t) for w, (t, _) in WAYS.items()))
+    every = exact.unionByName(parts).unionByName(near).withColumn("tier", tier)
+    best = settled(every.groupBy("_name").agg(F.min_by(F.struct("way", "ticker", "company"), F.struct("tier", "ordinal")).alias("x")), "best")  # a row a name
+
+    def by(column: str, prefix: str) -> DataFrame:
+        way = F.concat(F.lit(prefix), F.col("x.way"))
+        return best.select(F.col("_name").alias(column), F.struct(way.alias("way"), F.col("x.ticker").alias("ticker"), F.array(step("", F.col("x.company")).withField("step", way)).alias("trail")).alias(f"_{prefix or 'own'}"))
+
+    trail = F.array(step("cage_to_lei", F.col("lei")), step("lei_to_ticker", F.col("ticker")))
+    hop = F.when(F.col("ticker").isNotNull(), F.struct(F.lit("cage_lei_openfigi").alias("way"), "ticker", trail.alias("trail")))
+    failed = F.array(step("cage_to_lei", F.col("rejection_reason")), step("names", F.lit("not_found")))
+    hops = two_hops(awards.select(ident, "cage_code", F.col(name).alias("_n"), F.col(parent).alias("_p")), cage_lei, lei_ticker).select(ident, "_n", "_p", hop.alias("_hop"), failed.alias("_failed"))
+    found = hops.join(by("_n", ""), "_n", "left").join(by("_p", "parent_"), "_p", "left").withColumn("x", F.coalesce("_hop", "_own", "_parent_"))
     label = F.coalesce(*(F.when(F.col("x.way").endswith(w), c) for w, (_, c) in WAYS.items()), F.lit("none"))
-    failed = hops.select(ident, F.array(step("cage_to_lei", F.col("rejection_reason")), step("names", F.lit("not_found"))).alias("_failed"))
-    ciks = companies.groupBy("ticker").agg(F.min("cik").alias("resolved_cik"))
-    out = awards.select(ident).join(best, ident, "left").join(failed, ident).select(ident, F.col("x.ticker").alias("ticker"), label.alias("confidence"), F.col("x.way").alias("evidence_type"), F.coalesce("x.audit_trail", "_failed").alias("audit_trail"))
+    ciks = listed.groupBy("ticker").agg(F.min("cik").alias("resolved_cik"))
+    out = found.select(ident, F.col("x.ticker").alias("ticker"), label.alias("confidence"), F.col("x.way").alias("evidence_type"), F.coalesce("x.trail", "_failed").alias("audit_trail"))
     return out.join(ciks, "ticker", "left").join(caps.select("ticker", "market_cap"), "ticker", "left").select(ident, F.col("ticker").alias("resolved_ticker"), "resolved_cik", "confidence", "evidence_type", "audit_trail", "market_cap")
 
 

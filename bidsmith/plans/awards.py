@@ -48,10 +48,12 @@ def flagged(spark: SparkSession, d: str, config: Config = LIMITS) -> DataFrame:
     i, pick = F.col("event_id"), lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
     seen = table(spark, d, "events").select(F.col("user_id").alias("cik"), "event_type", i, F.to_date("ts").alias("d"), pick(("S-1", "10-K", "S-3/A", "8-K", "S-3", "S-1/A")).alias("form"), F.concat(F.lit("Contract news via "), pick(("PRNewswire", "a blog", "BusinessWire", "the paper", "radio", "AccessWire", "GlobeNewswire"))).alias("body"))
     own = award(spark, d).withColumn("seen", F.date_add(F.lit("2024-01-01"), (F.col("award_id") % 31).cast("int")))
-    press = seen.where((F.col("event_type") == "view") & C.any_phrase(F.lower("body"), PRESS_WIRES))
-    for facts, days, name in ((seen.where("event_type = 'error'"), config.filing_window_live_days, "recent_8k"), (press, config.press_window_days, "has_press"), (seen.where((F.col("event_type") == "signup") & F.col("form").isin(*DILUTIVE_FORMS)), config.dilution_window_days, "dilutive")):
-        own = joins.having(own, facts, "cik", "award_id", "seen", "d", days, name)
-    return own.drop("seen")
+    kinds = {
+        "recent_8k": (F.col("event_type") == "error", config.filing_window_live_days),
+        "has_press": ((F.col("event_type") == "view") & C.any_phrase(F.lower("body"), PRESS_WIRES), config.press_window_days),
+        "dilutive": ((F.col("event_type") == "signup") & F.col("form").isin(*DILUTIVE_FORMS), config.dilution_window_days),
+    }
+    return joins.having(own, seen, "cik", "seen", "d", kinds).drop("seen")
 
 
 @query(FLAGGED + """ SELECT award_id, reason, reason IS NULL AS passed FROM (SELECT award_id, CASE WHEN is_idiq THEN 'IDIQ contract'

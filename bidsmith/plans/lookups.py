@@ -41,7 +41,7 @@ def recent_dilutive(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT p.event_id, (SELECT min(v.d) FROM {V} v WHERE v.user_id = p.user_id AND v.d BETWEEN p.d - 1 AND p.d + 7) AS first_pr FROM {P} p")
 def pr_band_join(spark: SparkSession, d: str) -> DataFrame:
     news = facts(spark, d, "view").select("user_id", F.col("d").alias("news_date"))
-    return joins.earliest_in_band(facts(spark, d, "purchase"), news, "user_id", "event_id", "d", "news_date", 1, 7, "first_pr").select("event_id", "first_pr")
+    return joins.earliest_in_band(facts(spark, d, "purchase"), news, "user_id", "d", "news_date", 1, 7, "first_pr").select("event_id", "first_pr")
 
 
 COMPANIES = [(0, "nation_1", "NAT"), (1, "NATION_12 Holdings", "NTW"), (2, "2", "TWO"), (3, "Nation_2", "NA2"), (4, "acme", "ACM")]

@@ -83,16 +83,16 @@ def asof_last_form(spark: SparkSession, d: str) -> DataFrame:
 def press_precedence(spark: SparkSession, d: str) -> DataFrame:
     """The earliest press release of the first search; of the second where the first found none, even if the second's is earlier."""
     first, second = facts(spark, d, "view").where("event_id % 4 = 0"), facts(spark, d, "click")
-    return joins.earliest_of_searches(facts(spark, d, "purchase").select("event_id", "user_id", "d"), [first, second], "user_id", "event_id", "d", "d", 1, 7, "first_pr").select("event_id", "first_pr")
+    return joins.earliest_of_searches(facts(spark, d, "purchase").select("event_id", "user_id", "d"), [first, second], "user_id", "d", "d", 1, 7, "first_pr").select("event_id", "first_pr")
 
 
 #: Awardees spelled in several ways, and the companies: suppliers.
 RESOLVE = """WITH co AS (SELECT s_suppkey AS ordinal, 'Firm ' || s_nationkey || ' of ' || s_suppkey || ' Ltd' AS company, 'S' || s_suppkey AS ticker, s_suppkey + 1000 AS cik FROM supplier),
- a AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN upper(company) WHEN 1 THEN company || ' Holdings' WHEN 2 THEN replace(company, 'Ltd', 'Lld') WHEN 3 THEN replace(company, ' Ltd', 'xx td') ELSE 'zz' || c_custkey || 'zz' END AS name,
+ a AS (SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN upper(company) WHEN 1 THEN company || ' Holdings' WHEN 2 THEN 'x' || replace(company, 'Ltd', 'Lld') WHEN 3 THEN replace(company, ' Ltd', 'xx td') ELSE 'zz' || c_custkey || 'zz' END AS name,
   CASE WHEN c_custkey % 12 < 6 THEN '' ELSE company END AS parent, CASE WHEN c_custkey % 6 = 5 THEN printf('%05d', c_custkey) WHEN c_custkey % 7 = 0 THEN 'bad' END AS cage_code FROM customer JOIN co ON ordinal = c_custkey % (SELECT count(*) FROM supplier)),
  cl AS (SELECT printf('%05d', c_custkey) AS cage, 'L' || c_custkey AS lei FROM customer WHERE c_custkey % 11 <> 0), lt AS (SELECT 'L' || c_custkey AS lei, 'S' || (c_custkey % 5) AS ticker FROM customer WHERE c_custkey % 13 <> 0), caps AS (SELECT 'S' || s_suppkey AS ticker, s_acctbal AS market_cap FROM supplier WHERE s_suppkey % 2 = 0)"""
 _VALID = "regexp_matches(coalesce(a.cage_code, ''), '^[A-Za-z0-9]{5}$')"
-_WAY = "SELECT id, {t} + CASE way WHEN 'exact' THEN 2 WHEN 'substring' THEN 3 WHEN 'fuzzy_90' THEN 4 ELSE 5 END AS tier, ordinal, '{p}' || way AS way, ticker, company AS o1, NULL AS o2 FROM (SELECT a.id, co.ordinal, co.ticker, co.company, CASE WHEN lower({c}) = lower(company) THEN 'exact' WHEN contains(lower({c}), lower(company)) OR contains(lower(company), lower({c})) THEN 'substring' WHEN lower(substr({c}, 1, 3)) = lower(substr(company, 1, 3)) THEN CASE WHEN ratio({c}) >= 90 THEN 'fuzzy_90' WHEN ratio({c}) >= 85 THEN 'fuzzy_85' END END AS way FROM a, co WHERE {c} <> '') WHERE way IS NOT NULL"
+_WAY = "SELECT id, {t} + CASE way WHEN 'exact' THEN 2 WHEN 'substring' THEN 3 WHEN 'fuzzy_90' THEN 4 ELSE 5 END AS tier, ordinal, '{p}' || way AS way, ticker, company AS o1, NULL AS o2 FROM (SELECT a.id, co.ordinal, co.ticker, co.company, CASE WHEN lower({c}) = lower(company) THEN 'exact' WHEN contains(lower({c}), lower(company)) OR contains(lower(company), lower({c})) THEN 'substring' WHEN ratio({c}) >= 90 THEN 'fuzzy_90' WHEN ratio({c}) >= 85 THEN 'fuzzy_85' END AS way FROM a, co WHERE {c} <> '') WHERE way IS NOT NULL"
 
 
 def _way(c: str, p: str, t: int) -> str:
@@ -109,7 +109,7 @@ def resolver(spark: SparkSession, d: str) -> DataFrame:
     co = s.select(F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("Firm "), text("s_nationkey"), F.lit(" of "), text("s_suppkey"), F.lit(" Ltd")).alias("company"), F.concat(F.lit("S"), text("s_suppkey")).alias("ticker"), (F.col("s_suppkey") + 1000).alias("cik"))
     k, five = F.col("c_custkey"), F.lpad(text("c_custkey"), 5, "0")
     own = c.select("c_custkey").withColumn("ordinal", k % s.count()).join(co.select("ordinal", "company"), "ordinal")
-    name = F.when(k % 6 == 0, F.upper("company")).when(k % 6 == 1, F.concat("company", F.lit(" Holdings"))).when(k % 6 == 2, F.replace("company", F.lit("Ltd"), F.lit("Lld"))).when(k % 6 == 3, F.replace("company", F.lit(" Ltd"), F.lit("xx td"))).otherwise(F.concat(F.lit("zz"), text("c_custkey"), F.lit("zz")))
+    name = F.when(k % 6 == 0, F.upper("company")).when(k % 6 == 1, F.concat("company", F.lit(" Holdings"))).when(k % 6 == 2, F.concat(F.lit("x"), F.replace("company", F.lit("Ltd"), F.lit("Lld")))).when(k % 6 == 3, F.replace("company", F.lit(" Ltd"), F.lit("xx td"))).otherwise(F.concat(F.lit("zz"), text("c_custkey"), F.lit("zz")))
     own = own.select(k.alias("id"), name.alias("name"), F.when(k % 12 < 6, "").otherwise(F.col("company")).alias("parent"), F.when(k % 6 == 5, five).when(k % 7 == 0, "bad").alias("cage_code"))
     lei = F.concat(F.lit("L"), text("c_custkey")).alias("lei")
     cage_lei, lei_ticker = c.where("c_custkey % 11 <> 0").select(five.alias("cage"), lei), c.where("c_custkey % 13 <> 0").select(lei, F.concat(F.lit("S"), (k % 5).cast("string")).alias("ticker"))

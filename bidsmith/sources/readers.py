@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bidsmith import schemas
 from bidsmith.config import IDIQ_NOTICE, SOLE_NOTICE
 from bidsmith.functions import cleaning as C
+from bidsmith.sources.sinks import published
 
 HEADER = "CAGE Code"
 
@@ -93,11 +94,7 @@ def opportunities(raw: DataFrame, column: str = "value") -> DataFrame:
 
 def snapshot(spark: SparkSession, root: str, start: str, end: str, schema: str = schemas.AWARD) -> DataFrame:
     """The cached awards of a date range; an empty table where the range isn't cached."""
-    jvm = spark._jvm
-    path = f"{root}/awards_{start.replace('-', '')}_{end.replace('-', '')}"
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).json(path) if there else spark.createDataFrame([], schema)
+    return published(spark, f"{root}/awards_{start.replace('-', '')}_{end.replace('-', '')}", schema)
 
 
 def filings(companies: DataFrame, since: str, forms: tuple[str, ...] | None = None) -> DataFrame:

@@ -1,16 +1,19 @@
 """Writers: signal logs, ledgers, wide price tables, snapshots, expiring maps, tables that are rewritten, and order tables.
 
 Appends are atomic by Spark's commit protocol. What replaces a table is written as a new version beside the last
-(`publish`): readers take the newest version whose commit mark is there, so they see the old table or the new
-one, and a table may be rewritten from itself.
+(`publish`), in a folder of its own: readers take the newest version whose commit mark is there, so they see the old
+table or the new one, a table may be rewritten from itself, and what a crashed write leaves is in nobody's way.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidsmith.schemas import SIGNAL
+from bidsmith.streaming.state import shared
 
 
 def append_signals(df: DataFrame, path: str) -> None:
@@ -19,11 +22,11 @@ def append_signals(df: DataFrame, path: str) -> None:
     df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in SIGNAL)).write.mode("append").option("header", True).csv(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """(number, path) of the committed versions, in order."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
-    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []
-    return sorted((int(f.getPath().getParent().getName()[1:]), f.getPath().getParent().toString()) for f in found)
+def _versions(spark: SparkSession, path: str, mark: str = "/_SUCCESS") -> list[tuple[int, str]]:
+    """(number, path) of the committed versions, in order; with an empty mark, of all."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*{mark}")
+    found = [f.getPath().getParent() if mark else f.getPath() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where) or []]
+    return sorted((int(f.getName()[1:].partition("-")[0]), f.toString()) for f in found)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -32,12 +35,22 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def publish(df: DataFrame, path: str, keep: int = 2) -> None:
-    """df in place of the table at path, as JSON lines. Only the last `keep` versions stay."""
+    """df in place of the table at path, as JSON lines. The last `keep` versions stay; older ones go, and with them what crashed writes of that time left."""
     spark = df.sparkSession
     old = _versions(spark, path)
-    df.write.json(f"{path}/v{old[-1][0] + 1 if old else 1}")
-    for _, gone in old[: max(0, len(old) + 1 - keep)]:
-        _delete(spark, gone)
+    number = old[-1][0] + 1 if old else 1
+    df.write.json(f"{path}/v{number}-{uuid.uuid4().hex}")
+    kept = {where for _, where in old[len(old) + 1 - keep :]} if keep > 1 else set()
+    for n, gone in _versions(spark, path, ""):
+        if n < number and gone not in kept:
+            _delete(spark, gone)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: what several plans or branches need is worked out once."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def published(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -88,7 +101,8 @@ def write_wide(df: DataFrame, path: str, first: list[str]) -> None:
 
 
 def write_snapshot(df: DataFrame, root: str, start: str, end: str) -> None:
-    df.write.mode("overwrite").json(f"{root}/awards_{start.replace('-', '')}_{end.replace('-', '')}")
+    """The awards of a date range, in place of what was cached for it."""
+    publish(df, f"{root}/awards_{start.replace('-', '')}_{end.replace('-', '')}", keep=1)
 
 
 def log_lines(df: DataFrame, level: str = "INFO", logger: str = "bidsmith", at: Column | None = None) -> DataFrame:

@@ -144,3 +144,19 @@ def test_sinks(spark, tmp_path):
     assert readers.snapshot(spark, str(tmp_path), "2024-02-01", "2024-01-15").count() == 0
     done, todo = sinks.resumed(spark.createDataFrame([("1", "T"), ("None", "T"), ("", ""), (None, "T")], "open_t0 string, ticker string"), "open_t0", ["ticker"])
     assert (done.count(), todo.count()) == (2, 2)
+
+
+def test_publish_survives_a_crash(spark, tmp_path):
+    """Folders that a crashed write left, of the next or of an old number, are in nobody's way."""
+    path, schema = str(tmp_path / "table"), "k int"
+    rows = lambda *k: spark.createDataFrame([(x,) for x in k], schema)
+    sinks.publish(rows(1), path)
+    for left in ("v2", "v2-feed", "v1-dead"):
+        os.makedirs(f"{path}/{left}/_temporary")
+        (tmp_path / "table" / left / "part-0.json").write_text('{"k": 99}\n')
+    assert [r.k for r in sinks.published(spark, path, schema).collect()] == [1]
+    sinks.publish(rows(2, 3), path)
+    assert sorted(r.k for r in sinks.published(spark, path, schema).collect()) == [2, 3]
+    sinks.publish(sinks.published(spark, path, schema).selectExpr("k + 10 as k"), path)
+    assert sorted(r.k for r in sinks.published(spark, path, schema).collect()) == [12, 13]
+    assert sorted(n.partition("-")[0] for n in os.listdir(path)) == ["v2", "v3"]
