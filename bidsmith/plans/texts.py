@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidsmith.functions import text as X
+from bidsmith.operators import inverted
 from bidsmith.operators import relevance as R
 from bidsmith.plans.registry import query, table
+from bidsmith.streaming.state import shared
 
 
 @query("""SELECT event_type AS model, count(*) AS n, round(sum(value), 2) AS total, round(avg(value), 4) AS mean, count(*) FILTER (value > 10) AS large FROM events GROUP BY 1""")
@@ -27,6 +29,19 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", QUERY).select("doc_id", "matched", F.round("bm25", 6).alias("bm25"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, {TOKENS} AS t FROM documents), m AS (SELECT avg(len(t)) AS m FROM d), f AS (SELECT doc_id, t, n, count(*) AS f FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d) GROUP BY ALL),
+ q AS (SELECT item_id, t, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS}) AS t FROM benchmark) GROUP BY ALL),
+ s AS (SELECT item_id, doc_id, round(sum(ln(2.0::DOUBLE) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / m)) * qf), 6) AS raw, CAST(count(*) AS INT) AS matched, max(length(t)) >= 8 AS long FROM q JOIN f USING (t), m GROUP BY 1, 2),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY raw DESC, doc_id) AS INT) AS rank FROM s)
+ SELECT item_id, rank, doc_id, raw, matched, round(CASE WHEN long THEN least(1.0, least(1.0, raw / 10) + 0.3) ELSE least(1.0, raw / 10) END, 9) AS bm25 FROM r WHERE rank <= 10""")
+def bm25_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark item as a query over all documents, by the inverted index."""
+    path = shared(spark, "inverted")
+    inverted.build(table(spark, d, "documents"), "doc_id", "text", path)
+    found = inverted.search(spark, path, table(spark, d, "benchmark"), "item_id", "text", 10)
+    return found.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "raw", "matched", F.round("bm25", 9).alias("bm25"))
+
+
 @query(BM25 + """, l AS (SELECT doc_id, CASE WHEN e > 0 THEN least(1.0, x + 0.3) ELSE x END AS y, matched FROM r) SELECT doc_id, round(0.5 * y + 0.5 * (1.0::DOUBLE / (1 + doc_id % 7)), 6) AS hybrid, round(CASE WHEN matched >= 2 THEN least(1.0, greatest(y, 0.3) + 0.2) WHEN matched = 1 THEN greatest(y, 0.3) ELSE y END, 6) AS fallback FROM l""")
 def hybrid_score(spark: SparkSession, d: str) -> DataFrame:
     s = R.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", QUERY)
