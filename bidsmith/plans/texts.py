@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidsmith.functions import text as X
-from bidsmith.operators import inverted
+from bidsmith.operators import inverted, vectors
 from bidsmith.operators import relevance as R
 from bidsmith.plans.registry import query, table
 from bidsmith.streaming.state import shared
@@ -42,11 +42,17 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("query").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "raw", "matched", F.round("bm25", 9).alias("bm25"))
 
 
-@query(BM25 + """, l AS (SELECT doc_id, CASE WHEN e > 0 THEN least(1.0, x + 0.3) ELSE x END AS y, matched FROM r) SELECT doc_id, round(0.5 * y + 0.5 * (1.0::DOUBLE / (1 + doc_id % 7)), 6) AS hybrid, round(CASE WHEN matched >= 2 THEN least(1.0, greatest(y, 0.3) + 0.2) WHEN matched = 1 THEN greatest(y, 0.3) ELSE y END, 6) AS fallback FROM l""")
+@query(BM25 + """, l AS (SELECT doc_id, CASE WHEN e > 0 THEN least(1.0, x + 0.3) ELSE x END AS y, matched FROM r), q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7),
+ v AS (SELECT vec_id, greatest(0.0, least(1.0, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))))) AS cosine FROM embeddings, q)
+ SELECT doc_id, round(CASE WHEN cosine IS NOT NULL THEN 0.5 * y + 0.5 * cosine ELSE f END, 6) AS hybrid, round(f, 6) AS fallback FROM (SELECT *, CASE WHEN matched >= 2 THEN least(1.0, greatest(y, 0.3) + 0.2) WHEN matched = 1 THEN greatest(y, 0.3) ELSE y END AS f FROM l) LEFT JOIN v ON vec_id = doc_id""")
 def hybrid_score(spark: SparkSession, d: str) -> DataFrame:
-    s = R.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", QUERY)
-    similar = F.lit(1.0) / (1 + F.col("doc_id") % 7)
-    return s.select("doc_id", F.round(R.fused(F.col("bm25"), similar, R.blend_weight(F.lit(" ".join(QUERY)))), 6).alias("hybrid"), F.round(R.exact_only(F.col("bm25"), F.col("matched")), 6).alias("fallback"))
+    """Documents for one query, its vector being the seventh; a document's vector is that of its number, and some have none."""
+    s, e = R.bm25(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", QUERY), table(spark, d, "embeddings")
+    asked = e.where("vec_id = 7").select(F.col("embedding").alias("q"))
+    similar = e.crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("doc_id"), X.cosine(F.col("embedding"), F.col("q")).alias("similar"))  # one row
+    alone = R.exact_only(F.col("bm25"), F.col("matched"))
+    both = R.fused(F.col("bm25"), F.col("similar"), R.blend_weight(F.lit(" ".join(QUERY))))
+    return s.join(similar, "doc_id", "left").select("doc_id", F.round(F.coalesce(both, alone), 6).alias("hybrid"), F.round(alone, 6).alias("fallback"))
 
 
 @query("""WITH c AS (SELECT label AS center, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1),
@@ -64,6 +70,39 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return top_per_key(scored, ["center"], [F.desc("similarity"), F.col("vec_id")], 10)
 
 
+@query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+ SELECT query, CAST(r AS INT) AS rank, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS r FROM s) WHERE r <= 10""")
+def vector_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest vectors of every 20th, by the exact way over an index of inverted lists and codes."""
+    e, path = table(spark, d, "embeddings"), shared(spark, "vectors")
+    vectors.build(e, "vec_id", "embedding", path)
+    return vectors.exact(spark, path, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 10).withColumnRenamed("ident", "vec_id")
+
+
+#: A document's context is a benchmark item, some with an identifier, numbers or a host; its vector, if any, that of its number.
+_CONTEXT = "text || CASE item_id % 5 WHEN 1 THEN ' 12345' WHEN 2 THEN ' 12345 67890' WHEN 3 THEN ' see host.example.com' WHEN 4 THEN ' 550e8400-e29b-41d4-a716-446655440000' ELSE '' END"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_CONTEXT} AS text FROM benchmark), c AS (SELECT item_id, {TOKENS} AS q, CASE item_id % 5 WHEN 1 THEN 0.65 WHEN 2 THEN 0.75 WHEN 3 THEN 0.6 WHEN 4 THEN 0.85 ELSE 0.5 END::DOUBLE AS weight FROM b),
+ t AS (SELECT doc_id, {TOKENS} AS t FROM documents), j AS (SELECT doc_id, item_id, t, q, weight FROM t JOIN c ON item_id = doc_id % (SELECT count(*) FROM benchmark)),
+ f AS (SELECT doc_id, item_id, any_value(weight) AS weight, w, any_value(len(list_filter(t, lambda x: x = w))) AS f, count(*) AS qf FROM (SELECT *, unnest(q) AS w FROM j) GROUP BY doc_id, item_id, w),
+ r AS (SELECT doc_id, any_value(weight) AS weight, any_value(item_id) AS item_id, sum(CASE WHEN f > 0 THEN ln(2.0::DOUBLE) * f * 2.5 / (f + 1.5) * qf ELSE 0 END) AS raw, CAST(count(*) FILTER (f > 0) AS INT) AS matched, coalesce(max(length(w) >= 8) FILTER (f > 0), false) AS long FROM f GROUP BY 1),
+ x AS (SELECT *, CASE WHEN long THEN least(1.0, least(1.0, raw / 10) + 0.3) ELSE least(1.0, raw / 10) END AS bm25 FROM r),
+ v AS (SELECT x.*, CASE WHEN e.embedding IS NOT NULL AND q.embedding IS NOT NULL THEN greatest(0.0, least(1.0, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))))) END AS cosine FROM x LEFT JOIN embeddings e ON e.vec_id = doc_id LEFT JOIN embeddings q ON q.vec_id = item_id)
+ SELECT doc_id, matched, round(bm25, 6) AS bm25, round(CASE WHEN cosine IS NOT NULL THEN weight * bm25 + (1 - weight) * cosine WHEN matched >= 2 THEN least(1.0, greatest(bm25, 0.3) + 0.2) WHEN matched = 1 THEN greatest(bm25, 0.3) ELSE bm25 END, 6) AS hybrid FROM v""")
+def context_score(spark: SparkSession, d: str) -> DataFrame:
+    """Each document against a context of its own: exact matches of the one document, fused with the cosine of vectors by the
+    context's weight; without a vector, the matches alone."""
+    b, e, i = table(spark, d, "benchmark"), table(spark, d, "embeddings"), F.col("item_id") % 5
+    more = F.when(i == 1, " 12345").when(i == 2, " 12345 67890").when(i == 3, " see host.example.com").when(i == 4, " 550e8400-e29b-41d4-a716-446655440000").otherwise("")
+    contexts = b.select("item_id", F.concat("text", more).alias("context"))
+    own = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % b.count()).alias("item_id")).join(contexts, "item_id")
+    scored = own.select("doc_id", "item_id", R.blend_weight(F.col("context")).alias("weight"), X.single_bm25(X.tokens(F.col("text")), X.tokens(F.col("context"))).alias("s")).select("doc_id", "item_id", "weight", "s.*")
+    found = scored.join(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("a")), "doc_id", "left").join(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("b")), "item_id", "left")
+    similar = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), X.cosine(F.col("a"), F.col("b")))
+    return found.select("doc_id", "matched", F.round("bm25", 6).alias("bm25"), F.round(F.coalesce(R.fused(F.col("bm25"), similar, F.col("weight")), R.exact_only(F.col("bm25"), F.col("matched"))), 6).alias("hybrid"))
+
+
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Each turn beside the one before it in its conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn")
