@@ -17,7 +17,8 @@ def tokenizer(name: str) -> str:
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan_secrets(documents(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return secrets.scan_secrets(docs, secrets.fit(docs), keep=["doc_id"])
 
 
 def op2_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:

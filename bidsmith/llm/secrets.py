@@ -5,16 +5,15 @@ for each kind of credential: a prefix tree of labelled credentials, character by
 merged, in breadth-first order, where the frequencies of their endings and next characters are statistically
 compatible (Hoeffding's bound at ALPHA); a state is held against its parent first, then against the others in
 order. So fixed prefixes stay chains of states, and random parts become loops. Probabilities of a state are mixed with
-the automaton's character frequencies (MIXED parts in 1). All candidates are scored: the runs of credential
-characters, less the base spans in them, of which at least SHORTEST characters are left (shorter ones cannot
-be told from words by their format at the threshold). A candidate's score is its log-likelihood under the best
+the automaton's character frequencies (MIXED parts in 1), and a run may end anywhere with END at least. All candidates are scored: the runs of credential
+characters of any length, less the base spans in them. A candidate's score is its log-likelihood under the best
 automaton minus that under the better of two automata of ordinary runs of words, numbers and addresses, one over
 characters and one over shapes (small, capital, digit, each mark), which knows words of any language; above
 `threshold` it is a span of kind `format`. Full stops at a run's end are not part of it.
 
 The labelled credentials are the fixed FORMATS expanded by a seeded generator (documented,
-bounded by `examples` a format) and, where `fit_to` is given, the base matches in at most
-`sample` documents.
+bounded by `examples` a format) and, where `fit` is given documents, the access and hex matches in at most
+`sample` of them.
 
 Spans are [start, end) in code points of the whole match. Defined results: null and empty
 texts have no spans (base_sha256 of the empty string); an empty table gives no rows; repeated rows give equal
@@ -41,8 +40,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-SHORTEST, ALPHA, MIXED = 12, 0.05, 0.1
-_RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
+ALPHA, MIXED, END = 0.05, 0.1, 1e-5
+_RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 
 #: Formats of credentials, as prefix, alphabet and shortest and longest length of the rest.
 HEXADECIMAL, UPPER, LETTERS, URLSAFE, BASE64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -151,7 +150,7 @@ class Automaton:
         self.red = red
 
     def _table(self) -> None:
-        """next[state, character] and log-probability; a state without the character stays."""
+        """next[state, character] and log-probability, and that of ending; a state without the character stays."""
         number = {q: i for i, q in enumerate(self.red)}
         wide = np.bincount(self.symbol)
         follow = np.repeat(np.arange(len(self.red), dtype=np.int32)[:, None], len(wide), axis=1)
@@ -163,6 +162,7 @@ class Automaton:
         ended = np.array([self.ended[q] for q in self.red])
         often = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * len(wide))
         share = (counts + often) / (counts.sum(axis=1) + ended + 1)[:, None]
+        self.end = np.log(np.maximum((1 - MIXED) * ended / (counts.sum(axis=1) + ended + 1), END))
         self.next, self.logp = follow[:, self.symbol], np.log(((1 - MIXED) * share + MIXED * often) / wide)[:, self.symbol]
 
     def score(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ class Automaton:
             c = codes[:n, k]
             total[:n] += self.logp[state[:n], c]
             state[:n] = self.next[state[:n], c]
-        return total
+        return total + self.end[state]
 
 
 class Model:
@@ -202,7 +202,7 @@ class Model:
 
 
 def examples(per_format: int = 150, seed: int = 7) -> tuple[dict[str, list[str]], list[str]]:
-    """Credentials by kind, and ordinary long runs, from the fixed formats and parts."""
+    """Credentials by kind, and ordinary runs, from the fixed formats and parts."""
     import random
 
     draw = random.Random(seed)
@@ -215,6 +215,10 @@ def examples(per_format: int = 150, seed: int = 7) -> tuple[dict[str, list[str]]
     for _ in range(2 * per_format):
         digits = lambda k: "".join(draw.choices("0123456789", k=k))
         ordinary.append(draw.choice([digits(draw.randint(8, 24)), f"{digits(3)}-{digits(4)}-{digits(4)}", f"{digits(2)}.{digits(3)}.{digits(2)}.{digits(3)}", f"{digits(4)}-{digits(2)}-{digits(2)}", "-" * 20, "=" * 20, "." * 20]))
+    for _ in range(8 * per_format):  # short runs, of any characters
+        ordinary.append("".join(draw.choices(LETTERS + "+/_=.-", k=draw.randint(1, 5))))
+    for _ in range(4 * per_format):
+        ordinary.append(re.sub("[^!-~]", "o", "".join(draw.choice([str, str, str.capitalize, str.upper])(draw.choice(PARTS)) for _ in range(draw.randint(1, 2)))))
     return made, ordinary
 
 
@@ -236,35 +240,32 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the runs' parts outside base spans, of SHORTEST characters or more. base: in order."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, run) of the runs' parts outside base spans, without full stops at their ends. base: in order."""
+    if not base:
+        found = [(m.start(), m[0].rstrip(".")) for m in _RUN.finditer(text)]
+        return [(a, a + len(run), run) for a, run in found if run]
     out, k, covered = [], 0, 0
     for m in _RUN.finditer(text):
-        at, end = m.start(), m.end()
+        at, end = m.span()
         while k < len(base) and base[k][0] < end:
             a, _, b = base[k]
-            if a - max(at, covered) >= SHORTEST:
-                out.append((max(at, covered), a))
+            out.append((max(at, covered), a))
             covered = max(covered, b)
             k += 1
-        if end - max(at, covered) >= SHORTEST:
-            out.append((max(at, covered), end))
-    out = [(a, a + len(text[a:b].rstrip("."))) for a, b in out]
-    return [(a, b) for a, b in out if b - a >= SHORTEST]
+        out.append((max(at, covered), end))
+    parts = [(a, text[a:b].rstrip(".")) for a, b in out if a < b]
+    return [(a, a + len(run), run) for a, run in parts if run]
 
 
 def scan(texts: list[str | None], model: Model, threshold: float) -> list[tuple[list, list]]:
     """(base spans, further spans) of each text."""
     base = [base_spans(t) if t else [] for t in texts]
-    runs = [(i, a, b) for i, t in enumerate(texts) if t for a, b in candidates(t, base[i])]
-    more: list[list] = [[] for _ in texts]
-    if runs:
-        words = [texts[i][a:b] for i, a, b in runs]
-        distinct = list(dict.fromkeys(words))
-        scores = dict(zip(distinct, model.score(distinct).tolist(), strict=True))
-        for (i, a, b), w in zip(runs, words, strict=True):
-            if scores[w] > threshold:
-                more[i].append((a, 3, b))
+    runs = [candidates(t, base[i]) if t else [] for i, t in enumerate(texts)]
+    distinct = list({run for own in runs for _, _, run in own})
+    scores = model.score(distinct)
+    likely = {distinct[i] for i in np.flatnonzero(scores > threshold).tolist()}
+    more = [[(a, 3, b) for a, b, run in own if run in likely] for own in runs]
     return list(zip(base, more, strict=True))
 
 
@@ -273,7 +274,7 @@ def standard() -> Model:
     return Model(*examples())
 
 
-def fit(docs: DataFrame | None = None, sample: int = 2000) -> Model:
+def fit(docs: DataFrame | None = None, sample: int = 300) -> Model:
     """The model from the fixed formats and, where docs is given, the hex and access matches in a sample of at most that many documents (smallest hashes)."""
     if docs is None:
         return standard()

@@ -61,6 +61,27 @@ def test_format_likelihood():
     assert found[1] == [(4, 3, 44)]
 
 
+def test_formats_that_no_example_has():
+    """Credentials of other prefixes, alphabets and lengths are found, and words, short ones too, are not."""
+    import random
+
+    draw, model = random.Random(11), secrets.fit()
+    for prefix, letters, n, least in (("npm_", secrets.LETTERS, 36, 0.95), ("dop_v1_", "0123456789abcdef", 64, 0.95), ("glpat-", secrets.URLSAFE, 20, 0.85), ("hf_", secrets.LETTERS, 34, 0.95)):
+        made = [prefix + "".join(draw.choices(letters, k=n)) for _ in range(200)]
+        assert (model.score(made) > secrets.THRESHOLD).mean() >= least
+    words = ["AS", "AI", "AKI", "A", "a", "+1", "ASCI", "ghp", "eyJ", "2024", "12.5", "--", "Haus", "NASA", "x1", "sk_live", "cafe", "mp3", "3.14159"]
+    assert (model.score(words) <= secrets.THRESHOLD).all()
+
+
+def test_spans_that_tie(spark):
+    """Base spans that start together go by kind; equal runs have equal spans; the scan reads labels from the table too."""
+    text = "token=0123456789abcdef01234567 x 0123456789abcdef01234567"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None)], "doc_id bigint, text string")
+    rows = secrets.scan_secrets(docs, secrets.fit(docs)).orderBy("doc_id").collect()
+    assert rows[0].spans == rows[1].spans == "assign:0:30,hex:6:30,hex:33:57"
+    assert rows[2].spans == ""
+
+
 def test_automaton_gives_probabilities():
     a = secrets.Automaton(["abab", "ab", "ababab", "a1"] * 30)
     assert len(a.red) < 8  # the prefix tree has eight states
@@ -83,7 +104,7 @@ def test_format_spans_by_brute_force():
         for c in run:
             k = letters.index(c)
             total, state = total + a.logp[state, k], a.next[state, k]
-        return total
+        return total + a.end[state]
 
     for text, (base, more) in zip(texts, secrets.scan(texts, model, secrets.THRESHOLD), strict=True):
         assert base == secrets.base_spans(text)
@@ -94,7 +115,7 @@ def test_format_spans_by_brute_force():
             while j < len(text) and free[j]:
                 j += 1
             run = text[i:j].rstrip(".")
-            if len(run) >= secrets.SHORTEST:
+            if run:
                 odds = max(likelihood(a, run) for a in model.kinds.values()) - max(likelihood(a, run) for a in model.ordinary)
                 if odds > secrets.THRESHOLD:
                     want.append((i, 3, i + len(run)))
