@@ -40,7 +40,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
-ALPHA, MIXED, END = 0.05, 0.1, 1e-5
+ALPHA, MIXED, END = 0.05, 0.1, 1e-9
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 
 #: Formats of credentials, as prefix, alphabet and shortest and longest length of the rest.
