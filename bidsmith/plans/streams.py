@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidsmith.plans.registry import query
+from bidsmith.sources.sinks import settled
+from bidsmith.streaming import keyed
 from bidsmith.streaming import state as S
 
 
@@ -56,3 +58,27 @@ def stream_positions(spark: SparkSession, d: str) -> DataFrame:
     """Positions of four days at most; those still open close by time where the latest event is two days past it."""
     rows = events(spark, d).select("user_id", "ts", "event_type", "value")
     return S.drained(S.positions(rows, "user_id", "ts", "event_type", "value", "purchase", "view", 4, "2 days"), "positions")
+
+
+#: The memo of each kind of event: users are asked about, and an answer is good for three days.
+MEMO = """WITH RECURSIVE e AS (SELECT event_type, user_id, ts, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, value) AS r FROM events),
+ s(event_type, user_id, r, ts, hit, given, until) AS (SELECT event_type, user_id, r, ts, false, value, ts + INTERVAL 3 DAY FROM e WHERE r = 1 UNION ALL SELECT e.event_type, e.user_id, e.r, e.ts, e.ts < s.until, CASE WHEN e.ts < s.until THEN s.given ELSE e.value END, CASE WHEN e.ts < s.until THEN s.until ELSE e.ts + INTERVAL 3 DAY END
+ FROM s JOIN e ON e.event_type = s.event_type AND e.user_id = s.user_id AND e.r = s.r + 1)"""
+
+
+@query(MEMO + " SELECT event_type, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, hit, given FROM s")
+def stream_memo(spark: SparkSession, d: str) -> DataFrame:
+    """Lookups through one memo a service."""
+    with keyed.rocksdb(spark):
+        out = S.drained(keyed.memoized(events(spark, d).select("event_type", "user_id", "ts", "value"), "event_type", "user_id", "ts", "value", 3), "memo")
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query(MEMO + ", z AS (SELECT event_type, user_id, arg_max(given, r) AS answer, max(until) AS until FROM s GROUP BY 1, 2) SELECT event_type, user_id, answer, strftime(until, '%Y-%m-%d %H:%M:%S') AS until FROM z WHERE until > (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def stream_memo_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """What the memos hold when the stream has been read: entries whose time the watermark has not passed, read from the state store."""
+    to = S.shared(spark, "memo")
+    with keyed.rocksdb(spark):
+        S.drained(keyed.memoized(events(spark, d).select("event_type", "user_id", "ts", "value"), "event_type", "user_id", "ts", "value", 3, "1 day"), "memo", to=to)
+        left = settled(keyed.memo_table(spark, f"{to}/checkpoint", "event_type", "user_id"), "sweep")
+    return left.withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))

@@ -34,15 +34,19 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/bidsmith-stream/{name}-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream until its source is read, then return its rows (of the last batch in complete mode)."""
-    spark, to = stream.sparkSession, shared(stream.sparkSession, name)
+def drained(stream: DataFrame, name: str, mode: str = "append", to: str | None = None, once: bool = False) -> DataFrame:
+    """Run the stream until its source is read, then return its rows (of the last batch in complete mode).
+
+    to: the folder for its rows (`out`) and its `checkpoint`, a new one by default. once: one batch only, for state that goes by
+    the clock, whose stream never comes to rest.
+    """
+    spark, to = stream.sparkSession, to or shared(stream.sparkSession, name)
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{to}/out" if mode == "complete" else f"{to}/out/batch={batch}")
 
     put(spark.createDataFrame([], stream.schema), -1)  # a source without rows gives none, not an error
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{to}/checkpoint").trigger(**({"once": True} if once else {"availableNow": True})).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{to}/out").select(*stream.columns)
 
