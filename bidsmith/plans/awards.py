@@ -43,8 +43,8 @@ FLAGGED = f"""{WITH}, event AS (SELECT user_id, event_type, event_id, CAST(ts AS
  EXISTS (SELECT 1 FROM event e WHERE e.user_id = a.cik AND e.event_type = 'signup' AND e.form IN ('S-1', 'S-3', 'S-1/A', 'S-3/A') AND date_diff('day', e.d, {SEEN}) BETWEEN 0 AND 60) AS dilutive FROM award a)"""
 
 
-def flagged(spark: SparkSession, d: str, config: Config = LIMITS) -> DataFrame:
-    """Awards with what joins say of the days before each: an 8-K, a wire's press release, a dilutive form."""
+def verdict_inputs(spark: SparkSession, d: str, config: Config = LIMITS) -> tuple[DataFrame, DataFrame, dict]:
+    """Awards with the day they are `seen`, filings and news, and the kinds of them that count: an 8-K, a wire's press release, a dilutive form."""
     i, pick = F.col("event_id"), lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int"))
     seen = table(spark, d, "events").select(F.col("user_id").alias("cik"), "event_type", i, F.to_date("ts").alias("d"), pick(("S-1", "10-K", "S-3/A", "8-K", "S-3", "S-1/A")).alias("form"), F.concat(F.lit("Contract news via "), pick(("PRNewswire", "a blog", "BusinessWire", "the paper", "radio", "AccessWire", "GlobeNewswire"))).alias("body"))
     own = award(spark, d).withColumn("seen", F.date_add(F.lit("2024-01-01"), (F.col("award_id") % 31).cast("int")))
@@ -53,6 +53,12 @@ def flagged(spark: SparkSession, d: str, config: Config = LIMITS) -> DataFrame:
         "has_press": ((F.col("event_type") == "view") & C.any_phrase(F.lower("body"), PRESS_WIRES), config.press_window_days),
         "dilutive": ((F.col("event_type") == "signup") & F.col("form").isin(*DILUTIVE_FORMS), config.dilution_window_days),
     }
+    return own, seen, kinds
+
+
+def flagged(spark: SparkSession, d: str, config: Config = LIMITS) -> DataFrame:
+    """Awards with what joins say of the days before each."""
+    own, seen, kinds = verdict_inputs(spark, d, config)
     return joins.having(own, seen, "cik", "seen", "d", kinds).drop("seen")
 
 

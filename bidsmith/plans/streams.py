@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidsmith.plans.registry import query
+from bidsmith.operators import filters
+from bidsmith.plans.awards import LIMITS, verdict_inputs
+from bidsmith.plans.registry import ORACLES, query
 from bidsmith.sources.sinks import settled
 from bidsmith.streaming import keyed
 from bidsmith.streaming import state as S
+from bidsmith.streaming import verdicts
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -82,3 +85,21 @@ def stream_memo_sweep(spark: SparkSession, d: str) -> DataFrame:
         S.drained(keyed.memoized(events(spark, d).select("event_type", "user_id", "ts", "value"), "event_type", "user_id", "ts", "value", 3, "1 day"), "memo", to=to)
         left = settled(keyed.memo_table(spark, f"{to}/checkpoint", "event_type", "user_id"), "sweep")
     return left.withColumn("until", F.date_format("until", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(ORACLES["award_verdict"])
+def stream_award_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts of `award_verdict`, with awards, filings and news as streams that are staged by day; a mark at the end of each lets the last ones out."""
+    end = F.lit("2024-12-31").cast("timestamp")
+    own, seen, kinds = verdict_inputs(spark, d)
+    own, seen = own.withColumn("seen", F.col("seen").cast("timestamp")), seen.withColumn("d", F.col("d").cast("timestamp"))
+    streams = []
+    for name, rows, at in (("awards", own, "seen"), ("facts", seen, "d")):
+        to, blank = S.shared(spark, name), {c: F.lit(None).cast(t) for c, t in rows.dtypes}
+        last = spark.range(1).select(*((end if c == at else F.lit(-1).cast(t) if c == "award_id" else F.lit("error") if c == "event_type" else F.lit(-1).cast(t) if c == "cik" else blank[c]).alias(c) for c, t in rows.dtypes))
+        for part in (rows, last):
+            part.coalesce(1).write.mode("append").parquet(to)
+        streams.append(S.table_stream(spark, to, 1))
+    met = verdicts.flagged(streams[0], streams[1], "award_id", "cik", "seen", "d", kinds)
+    out = S.drained(met, "verdicts").where("award_id >= 0")
+    return filters.live_verdict(out, LIMITS).select("award_id", "reason", "passed")
