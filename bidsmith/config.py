@@ -56,6 +56,8 @@ ERROR_WORDS = r"\b(error|exception|fail(ed|ure)?|fatal|critical|crash|panic)\b"
 IMPORTANT_WORDS = r"\b(important|note|todo|fixme|hack|xxx|bug|fix)\b"
 SECURITY_WORDS = r"\b(security|auth|password|secret|token)\b"
 ERROR_INDICATORS = ("error", "fail", "exception", "traceback", "fatal", "panic", "crash")
+# Marks of code.
+CODE_MARKS = r"(?m)(?:def |class |function |const |let |var |import |from |if \(|for \(|while \(|switch \(|try \{|catch \(|=>|->|\{\{|\}\}|;$)"
 # Marks of HTML.
 HTML_MARKS = ("<head", "<body", "<div", "<script", "<style", "<meta", "<link", "<!doctype")
 

@@ -131,6 +131,11 @@ def award_key(name: Column, amount: Column, date: Column) -> Column:
     return F.struct(name.alias("name"), amount.alias("amount"), F.substring(date.cast("string"), 1, 10).alias("date"))
 
 
+def key_text(key: Column) -> Column:
+    """An award key as a JSON array."""
+    return F.to_json(F.array(key["name"], key["amount"], key["date"]))
+
+
 def weekdays_after(start: Column, days: Column | int) -> Column:
     """The n-th Monday-to-Friday strictly after start."""
     n = days if isinstance(days, Column) else F.lit(days)

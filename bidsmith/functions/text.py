@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bidsmith.config import ERROR_INDICATORS, ERROR_WORDS, HTML_MARKS, IMPORTANT_WORDS
+from bidsmith.config import CODE_MARKS, ERROR_INDICATORS, ERROR_WORDS, HTML_MARKS, IMPORTANT_WORDS
 
 TOKEN = r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\b\d{4,}\b|[a-z0-9_]+)"
 WORD = r"(\w+)"
@@ -72,10 +72,10 @@ def bleu(a: Column, b: Column, most: int = 4) -> Column:
 
 
 def estimated_tokens(text: Column) -> Column:
-    """Characters by kind of content (4; JSON 3.2), rounded, plus the marks of URLs and 2 for each UUID; 1 at least, 0 for no text."""
+    """Characters by kind of content (4; JSON 3.2; code, where its marks stand more than twice in 1,000 characters, 3.5), rounded, plus the marks of URLs and 2 for each UUID; 1 at least, 0 for no text."""
     as_json = text.rlike(r"^\s*[\[{]") & F.try_parse_json(text).isNotNull()
-    base = F.floor(F.length(text) / F.when(as_json, 3.2).otherwise(4.0) + 0.5)
-    urls = F.regexp_extract_all(text, F.lit(r"(https?://[^\s<>\"]+)"), F.lit(1))
+    base = F.floor(F.length(text) / F.when(as_json, 3.2).when(F.regexp_count(text, F.lit(CODE_MARKS)) > F.length(text) / 500, 3.5).otherwise(4.0) + 0.5)
+    urls = F.regexp_extract_all(text, F.lit(r"(https?://\S+)"), F.lit(1))
     marks = F.length(F.regexp_replace(F.array_join(urls, ""), r"[^/?&]", ""))
     uuids = F.size(F.regexp_extract_all(text, F.lit(r"([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})"), F.lit(1)))
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), base + marks + 2 * uuids)).cast("bigint")

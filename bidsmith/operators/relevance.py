@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bidsmith.functions.text import line_score, tokens
+from bidsmith.operators.rows import top_per_key
 
 
 def _times(words: str, term: str) -> Column:
@@ -73,6 +74,13 @@ def first_of_content(df: DataFrame, text: str, order: list[Column]) -> DataFrame
     return df.withColumn("content_hash", F.substring(key, 1, 16)).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def common_keys(items: DataFrame, group: str, order: list[str], json: str, first: int = 50, most: int = 8) -> DataFrame:
+    """(group, key, n): the commonest keys of each group's first items; of equal counts the first by name."""
+    own = top_per_key(items, [group], [F.col(c) for c in order], first)
+    counted = own.select(group, F.explode(F.map_keys(F.from_json(json, "map<string, string>"))).alias("key")).groupBy(group, "key").agg(F.count("*").alias("n"))
+    return top_per_key(counted, [group], [F.desc("n"), F.col("key")], most).select(group, "key", "n")
+
+
 def last_query(messages: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
     """Each conversation's last user text of more than ten characters; the empty text where there is none."""
     own = F.trim(F.col(text))

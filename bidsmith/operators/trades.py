@@ -130,7 +130,18 @@ def stepped(positions: DataFrame, fills: DataFrame, today: Column) -> DataFrame:
     return df.withColumns({"reason": reason, "exit_price": exit_price, "pnl": gain, "status": status}).drop("_leg")
 
 
+def guarded(signals: DataFrame, positions: DataFrame, orders: DataFrame, ticker: str = "ticker") -> DataFrame:
+    """signals with `guard`: why one must not be traded; null where it may.
+
+    positions and orders: ticker and status, the answers of two lookups: open, closed, or failed. A failed position
+    lookup rejects, since a position may be there; a failed order lookup lets through.
+    """
+    state = lambda df, name: df.where("status in ('open', 'failed')").groupBy(ticker).agg(F.max(F.col("status") == "open").alias(f"_{name}"))
+    both = signals.join(state(positions, "position"), ticker, "left").join(state(orders, "order"), ticker, "left")
+    guard = F.when(F.col("_position"), "position already open").when(~F.col("_position"), "position lookup failed").when(F.col("_order"), "open order already exists")
+    return both.withColumn("guard", guard).drop("_position", "_order")
+
+
 def not_held(signals: DataFrame, positions: DataFrame, orders: DataFrame, ticker: str = "ticker") -> DataFrame:
-    """Signals without an open position or a pending order of their ticker."""
-    held = positions.where("status = 'open'").select(ticker).union(orders.where("status = 'open'").select(ticker)).distinct()
-    return signals.join(held, ticker, "left_anti")
+    """The signals that `guarded` lets through."""
+    return guarded(signals, positions, orders, ticker).where("guard is null").drop("guard")

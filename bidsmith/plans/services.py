@@ -269,13 +269,11 @@ def snapshot_clear(spark: SparkSession, d: str) -> DataFrame:
     return both[0].union(both[1]).select("awardee_name", "award_amount")
 
 
-@query("""SELECT '{"timestamp":"2024-01-02T03:04:05Z","level":"ERROR","logger":"bidsmith","message":"' || CASE WHEN c_acctbal <= 0 THEN 'no amount' ELSE 'no segment' END || '","c_custkey":' || c_custkey || '}' AS line FROM customer WHERE c_acctbal <= 0 OR c_mktsegment = 'MACHINERY' UNION ALL SELECT 'good ' || count(*) FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'MACHINERY'""")
+@query("""SELECT '{"timestamp":"2024-01-02T03:04:05Z","level":"ERROR","logger":"bidsmith","message":"' || CASE WHEN c_acctbal <= 0 THEN 'no amount' ELSE 'no segment' END || '","c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","paid":' || (c_acctbal > 0) || '}' AS line FROM customer WHERE c_acctbal <= 0 OR c_mktsegment = 'MACHINERY' UNION ALL SELECT 'good ' || count(*) FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'MACHINERY'""")
 def row_errors(spark: SparkSession, d: str) -> DataFrame:
     """Rows that fail a check become log lines; the others go on."""
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    good, _ = sinks.isolated(c, {"no amount": F.col("c_acctbal") > 0, "no segment": F.col("c_mktsegment") != "MACHINERY"})
-    bad = c.withColumn("message", F.when(F.col("c_acctbal") <= 0, "no amount").when(F.col("c_mktsegment") == "MACHINERY", "no segment")).where("message is not null").select("message", "c_custkey")
-    lines = sinks.log_lines(bad, "ERROR", at=F.to_timestamp(F.lit("2024-01-02 03:04:05")))
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", (F.col("c_acctbal") > 0).alias("paid"))
+    good, lines = sinks.isolated(c, {"no amount": F.col("paid"), "no segment": F.col("c_mktsegment") != "MACHINERY"}, F.to_timestamp(F.lit("2024-01-02 03:04:05")))
     return lines.union(good.agg(F.concat(F.lit("good "), F.count("*").cast("string")).alias("line")))
 
 

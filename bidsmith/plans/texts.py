@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bidsmith.config import CODE_MARKS
 from bidsmith.functions import text as X
 from bidsmith.operators import inverted, vectors
 from bidsmith.operators import relevance as R
@@ -171,15 +172,22 @@ def knee(spark: SparkSession, d: str) -> DataFrame:
     return R.knees(R.bigram_curve(table(spark, d, "conversations"), "conv_id", "turn", "text"), "conv_id", "turn", "seen")
 
 
-@query(r"""SELECT page_id, CASE WHEN length(t) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(t) / 4.0 + 0.5) AS BIGINT) + length(regexp_replace(array_to_string(regexp_extract_all(t, 'https?://[^\s<>"]+'), ''), '[^/?&]', '', 'g'))) END::BIGINT AS tokens FROM (SELECT page_id, url || ' ' || html AS t FROM pages)""")
+_CODE = CODE_MARKS.replace("'", "''")
+_COUNT = f"""CASE WHEN length({{0}}) = 0 THEN 0 ELSE greatest(1, CAST(floor(length({{0}}) / CASE WHEN len(regexp_extract_all({{0}}, '{_CODE.replace('{', '{{').replace('}', '}}')}')) > length({{0}}) / 500 THEN 3.5 ELSE 4.0 END + 0.5) AS BIGINT)
+ + length(regexp_replace(array_to_string(regexp_extract_all({{0}}, 'https?://\\S+'), ''), '[^/?&]', '', 'g')) + 2 * len(regexp_extract_all({{0}}, '(?i)[0-9a-f]{{{{8}}}}-[0-9a-f]{{{{4}}}}-[0-9a-f]{{{{4}}}}-[0-9a-f]{{{{4}}}}-[0-9a-f]{{{{12}}}}'))) END"""
+
+
+@query(f"SELECT page_id, CAST({_COUNT.format('t')} AS BIGINT) AS tokens FROM (SELECT page_id, url || ' ' || html AS t FROM pages)")
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", X.estimated_tokens(F.concat_ws(" ", "url", "html")).alias("tokens"))
 
 
-@query("""SELECT conv_id, CAST(sum(greatest(CASE WHEN length(text) = 0 THEN 0 ELSE 1 END, CAST(floor(length(text) / 4.0 + 0.5) AS BIGINT)) + 4) + 3 AS BIGINT) AS tokens, count(*) AS messages FROM conversations GROUP BY 1""")
+@query(f"SELECT conv_id, CAST(sum({_COUNT.format('role')} + {_COUNT.format('t')} + 4) + 3 AS BIGINT) AS tokens, count(*) AS messages FROM (SELECT *, text || CASE WHEN turn % 3 = 1 THEN ' see http://a.example/b?c=1&d=2 for 550e8400-e29b-41d4-a716-446655440000' ELSE '' END AS t FROM conversations) GROUP BY 1")
 def conversation_tokens(spark: SparkSession, d: str) -> DataFrame:
-    text = F.regexp_replace("text", r"https?://", "xxxxxxxx")
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.sum(F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length("text") / 4.0 + 0.5))) + 4) + 3).cast("bigint").alias("tokens"), F.count("*").alias("messages"))
+    """Roles and texts, four for each message and three for the reply; every third turn names a URL and an identifier."""
+    text = F.concat("text", F.when(F.col("turn") % 3 == 1, " see http://a.example/b?c=1&d=2 for 550e8400-e29b-41d4-a716-446655440000").otherwise(""))
+    each = X.estimated_tokens(F.col("role")) + X.estimated_tokens(text) + 4
+    return table(spark, d, "conversations").groupBy("conv_id").agg((F.sum(each) + 3).cast("bigint").alias("tokens"), F.count("*").alias("messages"))
 
 
 _MARKS = " + ".join(f"CAST(contains(substr(h, 1, 2000), '{m}') AS INT)" for m in ("<head", "<body", "<div", "<script", "<style", "<meta", "<link", "<!doctype"))
@@ -268,10 +276,13 @@ def category_summary(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy(R.category(["kind", "lang"]).alias("category")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(5)
 
 
-@query("SELECT k AS key, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1 ORDER BY n DESC, key LIMIT 8")
+@query("""WITH f AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events), k AS (SELECT event_type, unnest(CASE event_id % 4 WHEN 0 THEN ['k', 'even', 'fourth'] WHEN 2 THEN ['k', 'even'] ELSE ['k', 'odd'] END) AS key FROM f WHERE r <= 50)
+ SELECT event_type, key, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, key) AS p FROM (SELECT event_type, key, count(*) AS n FROM k GROUP BY 1, 2)) WHERE p <= 3""")
 def common_keys(spark: SparkSession, d: str) -> DataFrame:
-    keys = F.map_keys(F.from_json("props", "map<string, string>"))
-    return table(spark, d, "events").select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(8)
+    """The three commonest keys of each kind's first 50 items."""
+    i = F.col("event_id")
+    more = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.when(i % 2 == 0, 1).alias("even"), F.when(i % 2 == 1, 1).alias("odd"), F.when(i % 4 == 0, 1).alias("fourth")))
+    return R.common_keys(table(spark, d, "events").select("event_type", "event_id", more.alias("item")), "event_type", ["event_id"], "item", 50, 3)
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'note ' || turn END AS memory, trim('a ' || text) AS bare FROM conversations""")

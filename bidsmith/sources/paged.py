@@ -21,7 +21,7 @@ class PagedSource(DataSource):
 
     Options: fetch, "module:function" of (filters, page, size) that returns rows as tuples or None
     for "try again" (backed off, then tried again); schema, a DDL string; size, the rows of a full page;
-    pause, seconds between a task's requests; "filter.<name>", passed on as a filter. filters: {"column": values} and
+    pause, seconds between a task's requests; backoff, seconds before the first new try, doubled for each further one; "filter.<name>", passed on as a filter. filters: {"column": values} and
     {"column >=": [value]} and so on.
 
     Read once: lanes, how many tasks read side by side (lane k reads pages k, k + lanes, ... until a short
@@ -60,7 +60,7 @@ def pages(options: dict, sent: dict[str, list], first: int = 0, step: int = 1, m
     while most and (rows is None or len(rows) >= size):
         if rows is not None:
             time.sleep(float(options.get("pause", 0)))
-        rows = list(retried(lambda: fetch(sent, page, size)))  # noqa: B023
+        rows = list(retried(lambda: fetch(sent, page, size), pause=float(options.get("backoff", 10))))  # noqa: B023
         yield from rows if most < 0 else rows[:most]
         most -= min(most, len(rows)) if most > 0 else 0
         page += step

@@ -8,23 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bidsmith import schemas
-from bidsmith.config import IDIQ_NOTICE, SOLE_NOTICE
+from bidsmith.config import IDIQ_NOTICE, PRESS_WIRES, SOLE_NOTICE
 from bidsmith.functions import cleaning as C
+from bidsmith.sources.lines import byte_lines
 from bidsmith.sources.sinks import published
 
 HEADER = "CAGE Code"
 
 
-def report_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def report_csv(spark: SparkSession, path: str, encoding: str | None = None, split: int = 64 << 20) -> DataFrame:
     """Records of a bulk report: whatever stands before the line that names the cage column is skipped.
 
     Files are read as lines, in splits, however large they are. A line starts a record where the quotes before it
     in its file are even in number: counted within each split, then carried from split to split. Records
     of one line stay where they are; only the lines of longer ones are brought together. A file without
-    such a header gives no rows, a missing one an error.
+    such a header gives no rows, a missing one an error. Without an encoding files are UTF-8 in whatever store Spark reads; with
+    one, they are read by byte ranges of about `split` (`lines.byte_lines`).
     """
-    text = spark.read.option("encoding", encoding).text(path)
-    lines = text.select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
+    if encoding:
+        lines = byte_lines(spark, path, encoding, split)
+    else:
+        lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
     place = F.struct("split", "at")
     heads = lines.where(F.contains("line", F.lit(HEADER))).groupBy("file").agg(F.min_by(F.struct(place.alias("place"), "line"), place).alias("head"))  # a row a file
     found = lines.join(heads, "file").where(place > F.col("head.place"))
@@ -105,9 +109,21 @@ def filings(companies: DataFrame, since: str, forms: tuple[str, ...] | None = No
 
 
 def feed_items(feeds: DataFrame, column: str, ident: str) -> DataFrame:
-    """(ident, title, published) of each item of an RSS text."""
-    items = feeds.select(ident, F.explode(F.regexp_extract_all(column, F.lit(r"(?s)<item>(.*?)</item>"), F.lit(1))).alias("item"))
-    return items.select(ident, F.regexp_extract("item", r"(?s)<title>(.*?)</title>", 1).alias("title"), C.mail_date(F.regexp_extract("item", r"(?s)<pubDate>(.*?)</pubDate>", 1)).alias("published"))
+    """(ident, title, published, text) of each item of an RSS text, items read as XML: entities, CDATA and attributes count for what they
+    say. An item that isn't well formed has a null title and date; text is the item as it stands."""
+    items = feeds.select(ident, F.explode(F.regexp_extract_all(column, F.lit(r"(?s)(<item\b.*?</item>)"), F.lit(1))).alias("text"))
+    read = F.from_xml("text", "title string, pubDate string", {"mode": "PERMISSIVE", "ignoreNamespace": "true"})
+    return items.withColumn("_x", read).select(ident, F.col("_x.title").alias("title"), C.mail_date(F.col("_x.pubDate")).alias("published"), "text")
+
+
+def first_press(items: DataFrame, ident: str, at: str, window: int) -> DataFrame:
+    """(ident, first_pr): the day of the earliest item that names a press wire and lies from the day before `at` to `window` days after it.
+
+    items: as `feed_items` gives them, with `at`, a date.
+    """
+    day = F.to_timestamp(at)
+    named = C.any_phrase(F.lower("text"), PRESS_WIRES) & F.col("published").between(day - F.expr("interval 1 day"), day + F.make_interval(days=F.lit(window)))
+    return items.groupBy(ident).agg(F.min(F.when(named, F.to_date("published"))).alias("first_pr"))
 
 
 def company_hits(primary: DataFrame, fallback: DataFrame, failed: DataFrame, ident: str, limit: int = 10) -> DataFrame:

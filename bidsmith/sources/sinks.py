@@ -85,19 +85,24 @@ def write_positions(changed: DataFrame, path: str, schema: str, ident: str) -> N
     publish(old.select(*changed.columns).unionByName(changed).orderBy(ident), path)
 
 
-def isolated(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def isolated(df: DataFrame, checks: dict[str, Column], at: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(good rows, error lines): a row that fails a check (false or null) is logged and the others go on.
 
-    checks: message and condition; the first that fails is the row's error.
+    checks: message and condition; the first that fails is the row's error. at: the lines' time, now by default.
     """
     failed = F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), m) for m, ok in checks.items()))
     marked = df.withColumn("_error", failed)
-    return marked.where("_error is null").drop("_error"), log_lines(marked.where("_error is not null").withColumnRenamed("_error", "message"), "ERROR")
+    return marked.where("_error is null").drop("_error"), log_lines(marked.where("_error is not null").withColumnRenamed("_error", "message"), "ERROR", at=at)
+
+
+def wide_columns(first: list[str], added: list[str]) -> list[str]:
+    """The columns of a wide table: the first ones in their order, then those of the others that aren't among them."""
+    return [*first, *(c for c in dict.fromkeys(added) if c not in set(first))]
 
 
 def write_wide(df: DataFrame, path: str, first: list[str]) -> None:
     """CSV with the columns named first, then the others as they come."""
-    df.select(*first, *(c for c in df.columns if c not in first)).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*wide_columns(first, df.columns)).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_snapshot(df: DataFrame, root: str, start: str, end: str) -> None:
