@@ -192,9 +192,7 @@ class Model:
         while start < len(order):
             width = lengths[order[start]]
             own = order[start : start + max(1, min(4096, int(4_000_000 // max(width, 1))))]
-            table = np.zeros((len(own), width), np.int8)
-            for i, r in enumerate(own):
-                table[i, : lengths[r]] = _CODE[np.frombuffer(runs[r].encode(), np.uint8)]
+            table = _CODE[np.array([runs[r].encode() for r in own.tolist()], f"S{width}").view(np.uint8).reshape(len(own), width)]
             of = lambda automata: np.max([a.score(table, lengths[own]) for a in automata], axis=0)  # noqa: B023, E731
             out[own] = of(self.kinds.values()) - of(self.ordinary)
             start += len(own)
@@ -261,11 +259,15 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 def scan(texts: list[str | None], model: Model, threshold: float) -> list[tuple[list, list]]:
     """(base spans, further spans) of each text."""
     base = [base_spans(t) if t else [] for t in texts]
-    runs = [candidates(t, base[i]) if t else [] for i, t in enumerate(texts)]
-    distinct = list({run for own in runs for _, _, run in own})
+    runs: set[str] = set()
+    for t, own in zip(texts, base, strict=True):
+        if t:
+            runs.update(run for _, _, run in candidates(t, own)) if own else runs.update(x.rstrip(".") for x in set(_RUN.findall(t)))
+    distinct = sorted(runs - {""})
     scores = model.score(distinct)
     likely = {distinct[i] for i in np.flatnonzero(scores > threshold).tolist()}
-    more = [[(a, 3, b) for a, b, run in own if run in likely] for own in runs]
+    # places are looked up only in the texts that hold a likely run
+    more = [[(a, 3, b) for a, b, run in candidates(t, own) if run in likely] if t and any(x in t for x in likely) else [] for t, own in zip(texts, base, strict=True)]
     return list(zip(base, more, strict=True))
 
 
