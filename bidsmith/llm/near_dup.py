@@ -39,7 +39,7 @@ from bidsmith.llm.text import shingle_sets
 
 TREES, DEPTH, SMALL, NEAR, POSTED = 20, 4, 8, 2, 256
 SIZE = TREES * DEPTH
-BATCH = 3_000_000
+BATCH = 2_000_000
 _DRAWN = np.random.default_rng(20240229)
 _A = _DRAWN.integers(1, 2**32, SIZE, dtype=np.uint32) | np.uint32(1)
 _B = _DRAWN.integers(0, 2**32, SIZE, dtype=np.uint32)
