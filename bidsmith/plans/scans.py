@@ -13,6 +13,7 @@ from bidsmith.plans.awards import AWARD, LIMITS, award
 from bidsmith.plans.registry import query, table
 from bidsmith.plans.trades import BARS, bars
 from bidsmith.sources import readers, sinks
+from bidsmith.sources.order_sink import orders_of, stream_orders, write_orders
 from bidsmith.sources.paged import paged_table
 from bidsmith.streaming import state as S
 from bidsmith.streaming.enrich import enriched
@@ -186,3 +187,16 @@ def token_ratios(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id") % 4
     own = F.when(k == 1, F.concat(F.lit("def f(x):\nimport y;\nreturn x;\n"), F.substring("html", 1, 100))).when(k == 2, '{"a": [1, 2, 3]}').when(k == 3, F.concat(F.lit("id 550e8400-e29b-41d4-a716-446655440000 of "), F.col("url"))).otherwise("")
     return table(spark, d, "pages").select("page_id", X.estimated_tokens(own).alias("tokens"))
+
+
+@query("SELECT s_suppkey, 'buy' AS side, CAST(s_suppkey + 1 AS BIGINT) AS qty FROM supplier UNION ALL SELECT s_suppkey, 'sell', CAST(s_suppkey + 1 AS BIGINT) FROM supplier WHERE s_suppkey % 3 = 0")
+def order_book(spark: SparkSession, d: str) -> DataFrame:
+    """Orders through the sink: a stream's batches, and one batch that is written twice and counts once."""
+    to, k = S.shared(spark, "orders"), F.col("s_suppkey")
+    uri = to if ":" in to else f"file://{to}"
+    own = table(spark, d, "supplier").select("s_suppkey", (k + 1).alias("qty"))
+    own.withColumn("side", F.lit("buy")).repartition(3).write.parquet(f"{to}-in")
+    stream_orders(S.table_stream(spark, f"{to}-in"), uri, f"{to}-mark")
+    for _ in range(2):
+        write_orders(own.where("s_suppkey % 3 = 0").withColumn("side", F.lit("sell")), uri, "closing")
+    return orders_of(spark, to, "s_suppkey bigint, side string, qty bigint")
