@@ -52,12 +52,6 @@ def greedy_clusters(hashes: list[int], radius: int = 3) -> list[int]:
     return out
 
 
-def clustered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The cluster of each turn, in turn order."""
-    pdf = pdf.sort_values(["turn", "simhash"])
-    return pdf.assign(cluster=greedy_clusters(pdf["simhash"].tolist()))
-
-
 def knee(curve: list[int]) -> int | None:
     n = len(curve)
     if n < 3:

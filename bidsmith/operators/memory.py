@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bidsmith.operators.greedy import alike_sets, headed
+
 
 def evicted(cache: DataFrame, group: str, at: str, ident: str, capacity: int, share: float = 0.1) -> DataFrame:
     """What a cache over capacity loses: its oldest entries, at least a tenth of the capacity, until it fits."""
@@ -45,28 +46,13 @@ def merged(entries: DataFrame, group: str, order: str, text: str, importance: st
     """Per group, entries in order join the first earlier head whose word set is more alike than `least`.
 
     Of those that joined, the most important one stays (the first of equals), with the most accesses and all refs of them,
-    sorted; an entry without words joins none. Which entry joins which depends on the order, so a group is one loop;
-    groups are small (one user's).
+    sorted; an entry without words joins none. order differs within a group. Which entry joins which depends on the order;
+    `greedy.headed` decides all of them side by side.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        heads: list[set] = []
-        joined: list[list] = []
-        for row in zip(pdf[order], pdf[text], pdf[importance], pdf[accesses], pdf[refs], strict=True):
-            words = set((row[1] or "").lower().split())
-            near = (k for k, h in enumerate(heads) if words and h and len(words & h) / len(words | h) > least)
-            k = next(near, len(heads))
-            if k == len(heads):
-                heads.append(words)
-                joined.append([])
-            joined[k].append(row)
-        best = [max(rows, key=lambda r: r[2]) for rows in joined]
-        return pd.DataFrame({
-            group: [pdf[group].iloc[0]] * len(best), order: [b[0] for b in best], importance: [b[2] for b in best], accesses: [max(r[3] for r in rows) for rows in joined],
-            refs: [sorted({x for r in rows for x in (r[4] if r[4] is not None else ())}) for rows in joined], "n_merged": [len(rows) for rows in joined],
-        })
-
-    kind = {f.name: f.dataType.simpleString() for f in entries.schema}
-    out = f"{group} {kind[group]}, {order} {kind[order]}, {importance} double, {accesses} bigint, {refs} array<string>, n_merged bigint"
-    return entries.select(group, order, text, importance, accesses, refs).groupBy(group).applyInPandas(run, out)
+    words = F.sort_array(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")))
+    own = entries.select(group, order, F.col(importance).cast("double").alias(importance), F.col(accesses).cast("bigint").alias(accesses), refs, words.alias("_words"))
+    marked = headed(own, group, order, F.col("_words"), lambda first: alike_sets(first, group, order, "_words", least), F.size("_words") == 0)
+    best = F.min_by(F.struct(order, importance), F.struct((-F.col(importance)).alias("i"), F.col(order).alias("o")))
+    every = F.flatten(F.collect_list(F.coalesce(refs, F.array().cast("array<string>"))))
+    made = marked.groupBy(group, "head").agg(best.alias("_best"), F.max(accesses).alias(accesses), F.sort_array(F.array_distinct(every)).alias(refs), F.count("*").alias("n_merged"))
+    return made.select(group, f"_best.{order}", f"_best.{importance}", accesses, refs, "n_merged")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bidsmith.config import CODE_MARKS
 from bidsmith.functions import text as X
-from bidsmith.operators import inverted, vectors
+from bidsmith.operators import greedy, inverted, vectors
 from bidsmith.operators import relevance as R
 from bidsmith.plans.registry import query, table
 from bidsmith.streaming.state import shared
@@ -311,13 +311,10 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
  SELECT conv_id, turn, v AS simhash, bit_count(xor(v, lag(v) OVER (PARTITION BY conv_id ORDER BY turn))) AS distance, cluster FROM e JOIN s USING (conv_id, r)""")
 def simhash_clusters(spark: SparkSession, d: str) -> DataFrame:
     """SimHash of every turn, its Hamming distance to the turn before, and its cluster: the conversation's first cluster head within 3 bits."""
-    from bidsmith.functions.sequences import clustered
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     df = table(spark, d, "conversations").select("conv_id", "turn", X.simhash(F.col("text")).alias("h"))
     df = df.select("conv_id", "turn", F.col("h").alias("simhash"), F.bit_count(F.col("h").bitwiseXOR(F.lag("h").over(w))).alias("distance"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy("conv_id").applyInPandas(clustered, f"{schema}, cluster int")
+    return greedy.simhash_clusters(df, "conv_id", "turn", "simhash")
 
 
 @query()
