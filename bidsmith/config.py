@@ -52,7 +52,7 @@ ADDRESS_MARKS = (" PO BOX ", " SUITE ", " STE ", " STE.", " BLDG ", " FLOOR ", "
 ERROR_MARKS = ("ERROR", "WARNING", "FAILED", "EXCEPTION", "TRACEBACK")
 SUMMARY_MARKS = ("===", "---", "│", "├", "└", "Summary", "Results", "Total")
 # Text classes of lines.
-ERROR_WORDS = r"\b(error|exception|fail(ed|ure)?|fatal|critical|crash|panic)\b"
+ERROR_WORDS = r"\b(error|exception|fail(?:ed|ure)?|fatal|critical|crash|panic)\b"
 IMPORTANT_WORDS = r"\b(important|note|todo|fixme|hack|xxx|bug|fix)\b"
 SECURITY_WORDS = r"\b(security|auth|password|secret|token)\b"
 ERROR_INDICATORS = ("error", "fail", "exception", "traceback", "fatal", "panic", "crash")

@@ -46,11 +46,17 @@ def date_chunks(df: DataFrame, start: str, end: str, days: int = 14) -> DataFram
     return df.withColumn("chunk_start", F.explode(starts)).withColumn("chunk_end", F.least(F.date_add("chunk_start", days), F.col(end)))
 
 
-def sessions_after(df: DataFrame, start: str, calendar: DataFrame, session: str, n: int, ident: str) -> DataFrame:
-    """df with exit_by: the n-th session (0 is the first) on or after start. calendar: the exchange's sessions."""
-    numbered = calendar.select(F.col(session).alias("_s"), F.row_number().over(Window.orderBy(session)).alias("_n"))  # one row a trading day: bounded by time
-    first = df.join(F.broadcast(numbered), F.col("_s") >= F.col(start)).where(F.col("_s") <= F.date_add(start, 10)).groupBy(ident).agg(F.min("_n").alias("_first"))
-    return df.join(first, ident, "left").join(F.broadcast(numbered.select((F.col("_n") - n).alias("_first"), F.col("_s").alias("exit_by"))), "_first", "left").drop("_first")
+def sessions_after(df: DataFrame, start: str, calendar: DataFrame, session: str, n: int) -> DataFrame:
+    """df with exit_by: the n-th session (0 is the first) on or after start; null where the first is more than ten days off.
+
+    calendar: the exchange's sessions. Each session is joined by the days whose first one it is: an equality, no range.
+    """
+    line = Window.partitionBy(F.lit(0)).orderBy("_s")  # one row a trading day: bounded by time
+    listed = calendar.select(F.to_date(session).alias("_s")).where("_s is not null").distinct()
+    served = listed.select("_s", F.lag("_s").over(line).alias("_before"), F.lead("_s", n).over(line).alias("exit_by"))
+    first = F.greatest(F.date_add("_before", 1), F.date_sub("_s", 10))  # without the null of the first session
+    days = served.select(F.explode(F.sequence(first, F.col("_s"))).alias("_day"), "exit_by")
+    return df.join(days, F.to_date(start) == F.col("_day"), "left").drop("_day")
 
 
 def last_write(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -222,8 +222,7 @@ def date_chunks(spark: SparkSession, d: str) -> DataFrame:
 def trading_day_add(spark: SparkSession, d: str) -> DataFrame:
     days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("session")).where(F.weekday("session") < 5).distinct()
     starts = table(spark, d, "events").select("event_id", F.date_sub(F.to_date("ts"), 10000).alias("start"))
-    each = rows.sessions_after(starts.select("start").distinct(), "start", days, "session", 4, "start")
-    return starts.join(each, "start").select("event_id", "exit_by")
+    return rows.sessions_after(starts, "start", days, "session", 4).select("event_id", "exit_by")
 
 
 @query("""SELECT event_id, CAST(CASE WHEN dow = 5 THEN d + 6 WHEN dow = 6 THEN d + 5 WHEN dow = 7 THEN d + 4 WHEN dow = 1 THEN d + 4 ELSE d + 6 END AS DATE) AS exit_by FROM (SELECT event_id, CAST(ts AS DATE) AS d, isodow(ts) AS dow FROM events)""")

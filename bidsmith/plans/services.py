@@ -200,10 +200,9 @@ def scan_page(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH x AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS d, value FROM events), px AS (SELECT user_id, d, max(value) AS close FROM x WHERE event_type = 'view' GROUP BY 1, 2) SELECT p.event_id, round((SELECT arg_max(close, px.d) FROM px WHERE px.user_id = p.user_id AND px.d <= p.d) * (1000 + p.user_id), 2) AS historical_market_cap FROM x p WHERE event_type = 'purchase'")
 def historical_cap(spark: SparkSession, d: str) -> DataFrame:
     """The last close on or before an award's day times today's shares outstanding."""
-    closes = facts(spark, d, "view").select("user_id", F.col("d").alias("day"), "event_id")
     prices = table(spark, d, "events").where("event_type = 'view'").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("close"))
     own = facts(spark, d, "purchase").select("event_id", "user_id", "d")
-    priced = joins.backward_asof(own, prices.join(closes.select("user_id", "day").distinct(), ["user_id", "day"]), "user_id", "d", "day", None, "close")
+    priced = joins.backward_asof(own, prices, "user_id", "d", "day", None, "close")
     return priced.select("event_id", F.round(F.col("close") * (1000 + F.col("user_id")), 2).alias("historical_market_cap"))
 
 

@@ -38,7 +38,7 @@ def stream_running_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS DISTINCT FROM event_type")
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     rows = events(spark, d).select("event_id", "user_id", "event_type", "ts")
-    return S.drained(S.changes(rows, "user_id", ["ts", "event_id"], "event_type"), "changes").drop("ts")
+    return S.drained(S.changes(rows, "user_id", ["ts", "event_id"], "event_type", "ts"), "changes").drop("ts")
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS r FROM events),

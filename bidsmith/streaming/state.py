@@ -76,21 +76,31 @@ def sorted_rows(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
 
 
-def changes(stream: DataFrame, key: str, order: list[str], line: str) -> DataFrame:
-    """Rows whose line differs from the last one of their key, across batches; state is one line a key."""
+def changes(stream: DataFrame, key: str, order: list[str], line: str, at: str | None = None, delay: str = "30 days") -> DataFrame:
+    """Rows whose line differs from the last one of their key, across batches; state is one line a key.
+
+    With `at`, a time, a key that has been silent for longer than `delay` is forgotten, so state stays bounded; without, it is kept for ever.
+    """
     schema = stream.schema
 
     def step(name, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last, kept = state.get[0] if state.exists else None, []
         pdf = sorted_rows(frames, order)
-        for at, value in zip(pdf.index, pdf[line], strict=True):
+        for place, value in zip(pdf.index, pdf[line], strict=True):
             if last is None or value != last:
-                kept.append(at)
+                kept.append(place)
             last = value
         state.update((last,))
+        if at:  # the watermark is `delay` behind the latest event already
+            state.setTimeoutTimestamp(max(_millis(pdf[at].max(), zone), state.getCurrentWatermarkMs() + 1))
         yield pdf.loc[kept]
 
-    return stream.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", "NoTimeout")
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    timed = stream.withWatermark(at, delay) if at else stream
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", "EventTimeTimeout" if at else "NoTimeout")
 
 
 def _millis(when: pd.Timestamp, zone: str) -> int:
