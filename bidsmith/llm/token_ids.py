@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bidsmith.llm.common import cut, partitions, pieces, shared_dir, small_batches
+from bidsmith.llm.common import cut, discard, partitions, pieces, shared_dir, small_batches
 from bidsmith.llm.huffman import Code, lengths
 
 BLOCK, MEMO, CHUNK = 50_000, 350_000, 5_000_000
@@ -344,4 +344,5 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     to = f"{shared_dir(spark)}/bidsmith/token-files-{uuid.uuid4().hex}"
     small_batches(spark, 64)
     write(rows, to)
+    discard(rows)
     return read(spark, to, digest=True)
