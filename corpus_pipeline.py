@@ -28,12 +28,18 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 on five-word shingles)."""
+    """One document of each group of near duplicates (similarity 0.8 on five-word shingles): that of the smallest doc_id.
+
+    Null and empty texts are like nothing and stay, as do rows with a null doc_id; repeated rows of the doc_id that stays all stay; an empty table stays empty.
+    """
     return near_dup.deduplicate(docs, percent=80, width=5)
 
 
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item (weighted similarity 0.8)."""
+    """Without the documents that hold a benchmark item (weighted similarity 0.8).
+
+    Null and empty texts hold none, and null and empty items are in none; equal texts fare alike; an empty benchmark removes nothing.
+    """
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), similarity=0.8)
 
 
@@ -44,7 +50,10 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source and the piece ids of a sampled segmentation."""
+    """doc_id, lang, source and the piece ids of a sampled segmentation.
+
+    A null or empty text has no ids (n_pieces 0); rows of one doc_id and text have equal ids; an empty table gives no rows; other columns are dropped.
+    """
     return sampling.encode(docs, tokenizer("piece_bpe_32k.model")).select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).alias("n_pieces"), "ids")
 
 
