@@ -61,7 +61,7 @@ def summary(trades: DataFrame, by: list[str] | None = None) -> DataFrame:
     n, gain = F.count("*"), F.col("pnl_pct")
     sharpe = F.try_divide(F.avg(gain), F.stddev_pop(gain)) * F.sqrt(F.try_divide(F.lit(252.0), n))
     return trades.groupBy(*(by or [])).agg(
-        n.alias("n_trades"), F.count_if(gain > 0).alias("n_wins"), F.round(F.try_divide(F.count_if(gain > 0) * 100.0, n), 2).alias("win_rate"), F.round(F.sum(gain), 2).alias("total_pnl"), F.round(F.avg(gain), 4).alias("avg_pnl"), F.round(sharpe, 4).alias("sharpe"),
+        n.alias("n_trades"), F.count_if(gain > 0).alias("n_wins"), F.round(F.try_divide(F.count_if(gain > 0) * 100.0, n), 2).alias("win_rate"), F.round(F.round(F.sum(gain), 4), 2).alias("total_pnl"), F.round(F.round(F.sum(gain), 4) / n, 4).alias("avg_pnl"), F.round(sharpe, 4).alias("sharpe"),
         F.count_if(F.col("outcome") == "TP").alias("exits_tp"), F.count_if(F.col("outcome") == "SL").alias("exits_sl"), F.count_if(F.col("outcome") == "TIME").alias("exits_time"),
     )
 
@@ -99,7 +99,7 @@ def searched(candidates: DataFrame, values: Grid) -> DataFrame:
     n, total = F.sum("n"), F.sum("g")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.sum("q") / n - (total / n) * (total / n)))
     out = cells.groupBy("tp", "sl", "hold", "threshold", "max_mcap").agg(
-        n.alias("n_trades"), F.sum("w").alias("n_wins"), F.round(F.sum("w") * 100.0 / n, 2).alias("win_rate"), F.round(total, 2).alias("total_pnl"), F.round(total / n, 4).alias("avg_pnl"),
+        n.alias("n_trades"), F.sum("w").alias("n_wins"), F.round(F.sum("w") * 100.0 / n, 2).alias("win_rate"), F.round(F.round(total, 4), 2).alias("total_pnl"), F.round(F.round(total, 4) / n, 4).alias("avg_pnl"),
         F.round(F.when(spread > 1e-9, total / n / spread) * F.sqrt(252.0 / n), 4).alias("sharpe"), *(F.sum(f"x_{k}").alias(f"exits_{k}") for k in exits),
     )
     return out.orderBy(F.desc("total_pnl"), "tp", "sl", "hold", "threshold", "max_mcap")

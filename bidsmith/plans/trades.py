@@ -50,7 +50,9 @@ def _simulated(keys: str = "", tp: str = "0.20", sl: str = "0.06", hold: str = "
  sim AS (SELECT event_id{k}, coalesce(hit, last_k) AS exit_day, coalesce(mark, 'TIME') AS outcome, round(CASE mark WHEN 'SL' THEN -CAST({sl} AS DOUBLE) WHEN 'TP' THEN CAST({tp} AS DOUBLE) ELSE (last_close - entry) / entry END * 100, 4) AS pnl_pct FROM s)"""
 
 
-SUMMARY = """count(*) AS n_trades, count(*) FILTER (pnl_pct > 0) AS n_wins, round(count(*) FILTER (pnl_pct > 0) * 100.0::DOUBLE / count(*), 2) AS win_rate, round(sum(pnl_pct), 2) AS total_pnl, round(avg(pnl_pct), 4) AS avg_pnl,
+#: Gains have four decimals, so their sum is a whole number of ten-thousandths, and a half is rounded up exactly.
+_HALF_UP = "CAST(sign(round(sum(pnl_pct) * 10000)) * ((2 * abs(CAST(round(sum(pnl_pct) * 10000) AS BIGINT)) + {n}) // (2 * {n})) AS DOUBLE) / {d}"
+SUMMARY = f"""count(*) AS n_trades, count(*) FILTER (pnl_pct > 0) AS n_wins, round(count(*) FILTER (pnl_pct > 0) * 100.0::DOUBLE / count(*), 2) AS win_rate, {_HALF_UP.format(n='100', d='100.0')} AS total_pnl, {_HALF_UP.format(n='count(*)', d='10000.0')} AS avg_pnl,
  round(avg(pnl_pct) / nullif(stddev_pop(pnl_pct), 0) * sqrt(252.0::DOUBLE / count(*)), 4) AS sharpe, count(*) FILTER (outcome = 'TP') AS exits_tp, count(*) FILTER (outcome = 'SL') AS exits_sl, count(*) FILTER (outcome = 'TIME') AS exits_time"""
 
 
