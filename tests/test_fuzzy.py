@@ -49,6 +49,22 @@ def test_alike_is_complete(spark, monkeypatch, least, hot):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [1, 5])
+def test_numbered_names_are_looked_up_by_rests(spark, monkeypatch, hot):
+    """Names of one form share long segments: the pairs compared must stay few, and none may be lost."""
+    monkeypatch.setattr(fuzzy, "HOT", hot)
+    ys = sorted({f"firm #0000{i:03d}" for i in range(0, 900, 13)} | {f"firm #0000{i:03d} ltd" for i in range(0, 900, 29)} | {"", "aab", "aba", "ééé"})
+    xs = sorted({f"firm # 0000{i:03d}" for i in range(0, 900, 17)} | {f"xirm #0000{i:03d}a" for i in range(0, 900, 19)} | {f"xfirm #00{i:03d} lld" for i in range(0, 900, 31)} | {"", "ab", "aaba", "éé"})
+    df = fuzzy.alike(spark.createDataFrame([(x,) for x in xs], "x string"), spark.createDataFrame([(y,) for y in ys], "y string"), 85)
+    got = {(r.x, r.y): r.ratio for r in df.collect()}
+    ratios = {(x, y): int(100 * (1 - edits(x, y) / max(len(x), len(y))) // 1) for x in xs for y in ys if x and y}
+    assert got == {p: r for p, r in ratios.items() if r >= 85}
+    own = spark.createDataFrame([("aabb",), ("abab",), ("é",)], "x string")
+    rests = {r.x: r.h for r in own.select("x", fuzzy._rests("x", "2").alias("h")).collect()}
+    want = lambda *v: sorted(h for (h,) in spark.createDataFrame([(x,) for x in v], "v string").select(F.xxhash64("v")).collect())
+    assert sorted(rests["aabb"]) == want("aa", "ab", "bb") and sorted(rests["abab"]) == want("ab", "aa", "bb", "ba")
+
+
 def test_alike_names_keep_rows(spark):
     names = spark.createDataFrame([(1, "ACME Optics"), (2, "acme optics"), (3, None), (4, ""), (5, "Zcme Optics")], "i int, name string")
     firms = spark.createDataFrame([(0, "Acme Optics", "A"), (1, None, "N"), (2, "ACME OPTICS", "B")], "ordinal int, company string, ticker string")
