@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bidsmith.config import Grid
@@ -98,10 +98,15 @@ def position_sizing(spark: SparkSession, d: str) -> DataFrame:
     return T.sized(quotes).select("p_partkey", "price", "qty", "take_profit", "stop_loss")
 
 
+def cents(x: Column) -> Column:
+    """x to two places, as SQL rounds a double: the product with 100 is rounded, so 264.025, which is a little less in binary, goes down."""
+    return F.round(x * 100, 0) / 100
+
+
 def positions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
-    held = o.select(F.col("o_orderkey").alias("position_id"), F.when(F.col("o_orderstatus") == "F", "closed_auto").otherwise("open").alias("status"), F.to_date("o_orderdate").alias("exit_by"), F.round(F.col("o_totalprice") / 1000, 2).alias("entry"), (F.col("o_custkey") % 9 + 1).alias("qty"))
-    fills = line.select(F.col("l_orderkey").alias("position_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("leg"), F.when(F.col("l_returnflag") == "R", "filled").otherwise("new").alias("status"), F.round(F.col("l_extendedprice") / 200, 2).alias("fill_price"), F.round(F.col("l_extendedprice") / 190, 2).alias("limit_price"))
+    held = o.select(F.col("o_orderkey").alias("position_id"), F.when(F.col("o_orderstatus") == "F", "closed_auto").otherwise("open").alias("status"), F.to_date("o_orderdate").alias("exit_by"), cents(F.col("o_totalprice") / 1000).alias("entry"), (F.col("o_custkey") % 9 + 1).alias("qty"))
+    fills = line.select(F.col("l_orderkey").alias("position_id"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("leg"), F.when(F.col("l_returnflag") == "R", "filled").otherwise("new").alias("status"), cents(F.col("l_extendedprice") / 200).alias("fill_price"), cents(F.col("l_extendedprice") / 190).alias("limit_price"))
     return held, fills
 
 
