@@ -125,7 +125,7 @@ def position_transition(spark: SparkSession, d: str) -> DataFrame:
  SELECT CASE WHEN fill IS NULL THEN 'auto_closed_unknown' WHEN lim > entry THEN 'take_profit' ELSE 'stop_loss' END AS reason, count(*) AS n, round(sum(coalesce((fill - entry) * qty, 0)), 0) AS pnl FROM p LEFT JOIN f ON f.position_id = p.position_id WHERE status = 'open' AND exit_by <= DATE '1998-06-01' GROUP BY 1""")
 def pnl(spark: SparkSession, d: str) -> DataFrame:
     held, fills = positions(spark, d)
-    return T.stepped(held, fills, F.to_date(F.lit("1998-06-01"))).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 0).alias("pnl"))
+    return T.stepped(held, fills, F.to_date(F.lit("1998-06-01"))).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.round(F.sum(F.col("pnl").cast("decimal(18,2)")), 0).cast("double").alias("pnl"))  # cents, so in any order the same sum
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
