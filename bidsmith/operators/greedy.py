@@ -45,16 +45,23 @@ def near_hashes(items: DataFrame, group: str, order: str, simhash: str, radius:
 
 def alike_sets(items: DataFrame, group: str, order: str, words: str, least: float) -> DataFrame:
     """(earlier, later) pairs of items whose word sets share more than `least`: such sets share one of their few rarest words. items: one a set and group."""
-    each = items.where(F.size(words) > 0).select(group, F.col(order).alias("at"), F.col(words).alias("set"), F.size(words).alias("n"), F.explode(words).alias("word"))
-    often = each.groupBy(F.col(group).alias("_group"), F.col("word").alias("_word")).agg(F.count("*").alias("often"))
-    rare = F.row_number().over(Window.partitionBy(group, "at").orderBy("often", "word"))  # a row a word of one item
-    held = each.join(often, (F.col("word") == F.col("_word")) & F.col(group).eqNullSafe(F.col("_group"))).withColumn("r", rare)
-    held = held.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select(group, "at", "set", "n", "word")
+    sets = settled(items.where(F.size(words) > 0).select(F.col(group).alias("_group"), F.col(order).alias("at"), F.col(words).alias("set")), "sets")
+    # rows a word carry a hash of it, not the set; two words of one hash would be one here, and sets are compared afterwards
+    each = sets.select("_group", "at", F.size("set").alias("n"), F.explode("set").alias("_word")).select("_group", "at", "n", F.xxhash64("_word").alias("word"))
+    often = each.withColumn("often", F.count("*").over(Window.partitionBy("_group", "word")))
+    rare = F.row_number().over(Window.partitionBy("_group", "at").orderBy("often", "word"))  # a row a word of one item
+    kept = often.withColumn("r", rare).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("often") > 1)).select("_group", "at", "n", "word")
+    held = settled(kept, "rare")
     a, b = held.alias("a"), held.alias("b")
-    both = F.size(F.array_intersect("a.set", "b.set"))
-    alike = both / (F.col("a.n") + F.col("b.n") - both) > least
     sizes = (F.col("b.n") >= F.col("a.n") * least) & (F.col("a.n") >= F.col("b.n") * least)
-    return a.join(b, [F.col("a.word") == F.col("b.word"), F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")), F.col("a.at") < F.col("b.at"), sizes, alike]).select(F.col(f"a.{group}").alias(group), F.col("a.at").alias("earlier"), F.col("b.at").alias("later")).distinct()
+    met = a.join(b, [F.col("a.word") == F.col("b.word"), F.col("a._group").eqNullSafe(F.col("b._group")), F.col("a.at") < F.col("b.at"), sizes])
+    pairs = met.select("a._group", F.col("a.at").alias("earlier"), F.col("b.at").alias("later")).distinct()
+    for end in ("earlier", "later"):
+        of = sets.select(F.col("_group").alias("_own"), F.col("at").alias("_at"), F.col("set").alias(f"_{end}"))
+        pairs = pairs.join(of, F.col("_group").eqNullSafe(F.col("_own")) & (F.col(end) == F.col("_at"))).drop("_own", "_at")
+    both = F.size(F.array_intersect("_earlier", "_later"))
+    alike = both / (F.size("_earlier") + F.size("_later") - both) > least
+    return pairs.where(alike).select(F.col("_group").alias(group), "earlier", "later")
 
 
 def headed(items: DataFrame, group: str, order: str, same: Column, links, apart: Column | None = None) -> DataFrame:

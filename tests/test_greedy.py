@@ -93,3 +93,17 @@ def test_a_group_of_a_hundred_thousand(spark):
 def test_no_links(spark):
     df = spark.createDataFrame([(1, 0, "a b"), (1, 1, ""), (1, 2, None), (2, 0, "c")], "g int, n int, t string").select("*", F.lit(0.5).alias("w"), F.lit(1).cast("bigint").alias("c"), F.array(F.lit("x")).alias("e"))
     assert memory.merged(df, "g", "n", "t", "w", "c", "e").count() == 4
+
+
+def test_words_are_joined_without_their_sets(spark, monkeypatch):
+    """A row a word must not carry the whole set: what is written for the join would grow with the square of a text's length."""
+    from bidsmith.operators import greedy
+
+    written, real = {}, greedy.settled
+    monkeypatch.setattr(greedy, "settled", lambda df, name: written.setdefault(name, df) and real(df, name))
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, 0, base), (1, 1, base[1:]), (1, 2, [*base[:30], "x"]), (None, 3, base), (None, 4, [*base, "y"]), (2, 5, base), (2, 6, [])]
+    items = spark.createDataFrame(rows, "g int, o int, words array<string>")
+    got = sorted((str(r.g), r.earlier, r.later) for r in greedy.alike_sets(items, "g", "o", "words", 0.85).collect())
+    assert got == [("1", 0, 1), ("None", 3, 4)]
+    assert "array" not in str(written["rare"].schema).lower()
