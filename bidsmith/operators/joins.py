@@ -103,6 +103,10 @@ def earliest_of_searches(left: DataFrame, searches: list[DataFrame], key: str, a
     return out.withColumn(name, F.coalesce(*(f"_{name}_{i}" for i in range(len(searches))))).drop(*(f"_{name}_{i}" for i in range(len(searches))))
 
 
+#: Texts of one three-character part that a text is compared with.
+HOT = 200
+
+
 def _grams(text: Column, least: int = 1) -> Column:
     """The different substrings of least to 3 characters."""
     size = F.length(text)
@@ -113,13 +117,23 @@ def _grams(text: Column, least: int = 1) -> Column:
 def held(short: DataFrame, long: DataFrame) -> DataFrame:
     """Pairs (s, l) of texts of which l holds s. Each side has one column of different texts, s and l.
 
-    No nested loop: a short text is looked up by the rarest of its three-character parts (itself, if shorter).
+    No nested loop: a short text is looked up by the rarest of its three-character parts (itself, if shorter); where more than
+    HOT texts have even that part, by the whole of it among the parts as long of each long text.
     """
     posted = long.where("l <> ''").select("l", F.explode(_grams(F.col("l"))).alias("gram"))
     often = posted.groupBy("gram").agg(F.count("*").alias("often"))
     parts = short.where("s <> ''").select("s", F.explode(F.when(F.length("s") < 3, F.array("s")).otherwise(_grams(F.col("s"), 3))).alias("gram"))
-    rarest = parts.join(often, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("x")).where("x.often > 0").select("s", F.col("x.gram").alias("gram"))
-    return rarest.join(posted, "gram").where(F.contains("l", F.col("s"))).select("s", "l")
+    rarest = parts.join(often, "gram", "left").groupBy("s").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("x")).where("x.often > 0").select("s", "x.gram", "x.often")
+    rarest = settled(rarest, "rarest")
+    found = rarest.where(F.col("often") <= HOT).join(posted, "gram").where(F.contains("l", F.col("s"))).select("s", "l")
+    many = rarest.where(F.col("often") > HOT).select("s")
+    sizes = [r[0] for r in many.select(F.length("s")).distinct().collect()]  # different lengths of names
+    if not sizes:
+        return found
+    n = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spots = F.explode(F.filter(F.array(*map(F.lit, sorted(sizes))), lambda k: k <= F.length("l"))).alias("k")
+    whole = long.where("l <> ''").repartition(n, "l").select("l", spots).select("l", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("l") - F.col("k") + 1), lambda i: F.substring("l", i, F.col("k"))))).alias("s"))
+    return found.union(many.join(whole, "s").select("s", "l"))
 
 
 def name_candidates(names: DataFrame, name: str, companies: DataFrame, limit: int = 10) -> DataFrame:
@@ -158,9 +172,10 @@ def resolved(awards: DataFrame, ident: str, name: str, parent: str, companies: D
     step = lambda s, o: F.struct(F.lit(s).alias("step"), o.cast("string").alias("outcome"))
     listed = settled(companies.select("ordinal", "company", "ticker", "cik"), "companies")
     names = settled(awards.select(F.explode(F.array(name, parent)).alias("_name")).where("trim(_name) <> ''").distinct(), "names")
-    exact = names.join(listed, F.lower("_name") == F.lower("company")).withColumn("way", F.lit("exact"))
-    parts = name_candidates(names, "_name", listed).withColumn("way", F.lit("substring"))
-    near = alike_names(names, "_name", listed, 85).withColumn("way", F.when(F.col("ratio") >= 90, "fuzzy_90").otherwise("fuzzy_85")).drop("ratio")
+    exact = settled(names.join(listed, F.lower("_name") == F.lower("company")).withColumn("way", F.lit("exact")), "exact")
+    left = names.join(exact.select("_name"), "_name", "left_anti")  # a better way counts first: what it finds needs no other
+    parts = settled(name_candidates(left, "_name", listed).withColumn("way", F.lit("substring")), "parts")
+    near = alike_names(left.join(parts.select("_name"), "_name", "left_anti"), "_name", listed, 85).withColumn("way", F.when(F.col("ratio") >= 90, "fuzzy_90").otherwise("fuzzy_85")).drop("ratio")
     tier = F.coalesce(*(F.when(F.col("way") == w, t) for w, (t, _) in WAYS.items()))
     every = exact.unionByName(parts).unionByName(near).withColumn("tier", tier)
     best = settled(every.groupBy("_name").agg(F.min_by(F.struct("way", "ticker", "company"), F.struct("tier", "ordinal")).alias("x")), "best")  # a row a name

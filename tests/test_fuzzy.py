@@ -93,3 +93,23 @@ def test_flags_and_nearest_facts(spark):
         assert {r.i for r in joins.not_recent(a, b, "k", "at", "then", 9, after).collect()} == {i for i, *_ in left} - near
     band = joins.earliest_in_band(a, b, "k", "at", "then", 3, 40, "first")
     assert {r.i: r["first"] for r in band.collect()} == {i: min(hits(k, at, -3, 40), default=None) for i, k, at in left}
+
+
+def test_held_by_whole_names_where_parts_are_common(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT", 2)
+    short, long = ["abc 1", "abc 12", "bc", "é", "zz", "abc", ""], [f"the abc {i} é" for i in range(30)] + ["abc 1", "", "abcabc"]
+    side = lambda v, c: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    got = sorted(map(tuple, joins.held(side(short, "s"), side(long, "l")).collect()))
+    assert got == sorted((s, x) for s in short for x in long if s and x and s in x)
+
+
+def test_names_found_are_not_sought_again(spark, monkeypatch):
+    """A name that is a company's own, or a part of one, is not compared by edits."""
+    sought, real = [], joins.alike_names
+    monkeypatch.setattr(joins, "alike_names", lambda names, *a: sought.extend(r[0] for r in names.collect()) or real(names, *a))
+    awards = spark.createDataFrame([(1, "ACME OPTICS", "", None), (2, "Acme Optics Holdings", "", None), (3, "Acme Optica", "Acme Optics", None)], "id int, name string, parent string, cage_code string")
+    firms = spark.createDataFrame([(0, "Acme Optics", "A", 1), (1, "Acme Opticz", "B", 2)], "ordinal int, company string, ticker string, cik int")
+    empty = lambda s: spark.createDataFrame([], s)
+    out = joins.resolved(awards, "id", "name", "parent", firms, empty("cage string, lei string"), empty("lei string, ticker string"), empty("ticker string, market_cap double"))
+    assert sorted((r.id, r.resolved_ticker, r.evidence_type) for r in out.collect()) == [(1, "A", "exact"), (2, "A", "substring"), (3, "A", "fuzzy_90")]
+    assert sought == ["Acme Optica"]
