@@ -27,6 +27,8 @@ from bidsmith.sources.sinks import settled
 
 #: Vectors learned from at most; lists at most; vectors and queries of a group; subspaces.
 SAMPLE, LISTS, PART, QUERIES, SUBSPACES = 20_000, 4096, 65_536, 4096, 16
+#: Rows of (query, list) that a task holds at a time, and scores of a group.
+ROWS, SCORES = 16_384, 2_000_000
 #: Share of the nearest vectors that lie in the lists a search reads, as measured on the sample.
 REACHED = 0.97
 
@@ -145,6 +147,13 @@ def _best(scores: np.ndarray, names: np.ndarray, k: int) -> Iterator[tuple[int,
             yield i, np.arange(len(row))
 
 
+def _slices(f: pd.DataFrame, each: int, most: int) -> Iterator[pd.DataFrame]:
+    """f in pieces, of so few rows that they make about `most` of what a row makes `each` of."""
+    step = max(1, most // max(1, each))
+    for start in range(0, len(f), step):
+        yield f.iloc[start : start + step]
+
+
 def _unit_queries(queries: DataFrame, ident: str, vector: str) -> DataFrame:
     return queries.select(F.col(ident).alias("query"), F.col(vector).cast("array<float>").alias("asked")).where(F.aggregate("asked", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) > 0)
 
@@ -164,7 +173,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, ident: str, vecto
     qkind, shared, number = asked.schema["query"].dataType.simpleString(), index.shared, asked.count()
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (part for whole in frames for part in _slices(whole, len(shared.value.centroids), ROWS)):
             at = np.argsort(squares(unit(f["asked"]), shared.value.centroids), axis=1)[:, : probes or shared.value.probes]
             yield f.loc[f.index.repeat(at.shape[1])].assign(list=at.ravel().astype("int32"))
 
@@ -172,8 +181,10 @@ def search(spark: SparkSession, path: str, queries: DataFrame, ident: str, vecto
         if not len(held) or not len(wanted):
             return pd.DataFrame({"query": [], "ident": [], "about": []})
         codes = np.stack([np.frombuffer(c, np.uint8) for c in held["code"]])
-        about, q, names = shared.value.approximate(unit(wanted["asked"]), int(key[0]), codes), wanted["query"].to_numpy(), held["ident"].to_numpy()
-        found = [(q[i], names[at], about[i, at]) for i, at in _best(about, names, k * refine)]
+        names, found = held["ident"].to_numpy(), []
+        for some in _slices(wanted, len(held), SCORES):
+            about, q = shared.value.approximate(unit(some["asked"]), int(key[0]), codes), some["query"].to_numpy()
+            found += [(q[i], names[at], about[i, at]) for i, at in _best(about, names, k * refine)]
         return pd.DataFrame({"query": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "ident": np.concatenate([f[1] for f in found]), "about": np.concatenate([f[2] for f in found])})
 
     vectors, wanted = _dealt(index, asked.mapInPandas(near, f"query {qkind}, asked array<float>, list int"), number)
@@ -204,7 +215,7 @@ def exact(spark: SparkSession, path: str, queries: DataFrame, ident: str, vector
         return np.sqrt(np.maximum(2 - 2 * (f["least"].to_numpy() - 1e-6), 0)) + 1e-9
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (part for whole in frames for part in _slices(whole, len(numbers), ROWS)):
             gap = np.sqrt(squares(unit(f["asked"]), shared.value.centroids[numbers])) - radii[None, :]
             row, at = np.nonzero(gap <= reach(f)[:, None] + 1e-6)
             yield f.iloc[row].assign(list=numbers[at].astype("int32"))
@@ -213,12 +224,14 @@ def exact(spark: SparkSession, path: str, queries: DataFrame, ident: str, vector
         none = pd.DataFrame({"query": [], "ident": [], "similarity": []})
         if not len(held) or not len(wanted):
             return none
-        q, v = unit(wanted["asked"]), unit(held["vector"])
-        away = np.sqrt(squares(q, shared.value.centroids[int(key[0])][None, :]))
-        open_ = np.abs(away - held["far"].to_numpy()[None, :]) <= reach(wanted)[:, None] + 1e-6
-        similar = np.where(open_, np.round(q @ v.T, 6), -2.0)
-        found = [(i, at[similar[i, at] > -2]) for i, at in _best(-similar, v, k)]
-        out = [(wanted["query"].iloc[i], held["ident"].to_numpy()[at], similar[i, at]) for i, at in found]
+        v, names, far, out = unit(held["vector"]), held["ident"].to_numpy(), held["far"].to_numpy(), []
+        for some in _slices(wanted, len(held), SCORES):
+            q = unit(some["asked"])
+            away = np.sqrt(squares(q, shared.value.centroids[int(key[0])][None, :]))
+            open_ = np.abs(away - far[None, :]) <= reach(some)[:, None] + 1e-6
+            similar = np.where(open_, np.round(q @ v.T, 6), -2.0)
+            found = [(i, at[similar[i, at] > -2]) for i, at in _best(-similar, v, k)]
+            out += [(some["query"].iloc[i], names[at], similar[i, at]) for i, at in found]
         return pd.DataFrame({"query": np.repeat([o[0] for o in out], [len(o[1]) for o in out]), "ident": np.concatenate([o[1] for o in out]), "similarity": np.concatenate([o[2] for o in out])})
 
     vectors, wanted = _dealt(index, asked.mapInPandas(near, f"query {qkind}, asked array<float>, least double, list int"), number)

@@ -67,3 +67,29 @@ def test_odd_vectors(spark, tmp_path):
         assert got == {1: [(1, 1.0), (4, 0.0), (6, -1.0)]}
     vectors.build(df.where("i in (2, 3)"), "i", "v", str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_tasks_hold_few_rows_at_a_time(spark, monkeypatch, tmp_path):
+    """Queries times lists, and queries times vectors, are gone through in pieces; the result is that of all at once."""
+    import numpy as np
+    import pandas as pd
+
+    from bidsmith.operators import vectors
+
+    frame = pd.DataFrame({"x": range(10)})
+    assert [len(f) for f in vectors._slices(frame, 5, 20)] == [4, 4, 2] and [len(f) for f in vectors._slices(frame, 50, 20)] == [1] * 10
+    v = np.random.default_rng(3).normal(size=(300, 8))
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "i long, v array<float>")
+    vectors.build(table, "i", "v", f"{tmp_path}/index", lists=12)
+    monkeypatch.setattr(vectors, "ROWS", 30)
+    monkeypatch.setattr(vectors, "SCORES", 40)
+    asked = table.where("i % 20 = 0")
+    got = {}
+    for r in vectors.exact(spark, f"{tmp_path}/index", asked, "i", "v", 5).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = r["ident"]
+    u = v.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    for q, ranks in got.items():
+        want = sorted(range(300), key=lambda i: (-round(float(u[q] @ u[i]), 6), i))[:5]
+        assert [ranks[k] for k in range(1, 6)] == want
+    assert len(got) == 15
