@@ -47,3 +47,15 @@ def test_setting_is_as_before(spark):
     with keyed.rocksdb(spark):
         assert spark.conf.get(keyed._PROVIDER) == keyed._ROCKS
     assert spark.conf.get(keyed._PROVIDER, None) == before
+
+
+def test_one_timer_for_what_a_batch_puts_in_anew(spark, tmp_path):
+    """A service's memo is many keys, and of entries that one batch replaces only the last has a timer."""
+    folder, to = str(tmp_path / "in"), str(tmp_path / "run")
+    put(spark, folder, *(("lei", a, h, h) for a in "abcdefgh" for h in (0, 30, 60, 61)))
+    rows, left = run(spark, folder, to, delay="90 days")
+    assert {k[2]: v for k, v in rows.items() if k[1] == "a"} == {0: (False, 0), 30: (False, 30), 60: (False, 60), 61: (True, 60)}
+    assert left == {("lei", a): (60, 84) for a in "abcdefgh"}
+    due = spark.read.format("statestore").option("stateVarName", "due").load(f"{to}/checkpoint")
+    assert {r.at for r in due.select("user_map_key.at").collect()} == {int((T + dt.timedelta(hours=84)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)}
+    assert due.select("key").distinct().count() > 1
