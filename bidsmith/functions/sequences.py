@@ -177,7 +177,9 @@ def put_back(text: str, blocks: dict[str, str]) -> str:
 @pandas_udf(StructType([StructField("n_blocks", IntegerType()), StructField("rest", StringType()), StructField("restored", BooleanType())]))
 def protect(html: pd.Series) -> pd.DataFrame:
     """Number of blocks, the text beside them, and whether putting them back gives the text; null is empty."""
-    own = [h or "" for h in html]
-    made = [set_aside(h) for h in own]
-    rest = [re.sub("\x00+\\d+\x00+", "", t) for t, _ in made]
-    return pd.DataFrame({"n_blocks": [len(b) for _, b in made], "rest": rest, "restored": [put_back(*m) == h for m, h in zip(made, own, strict=True)]})
+
+    def one(own: str) -> tuple[int, str, bool]:
+        text, blocks = set_aside(own)
+        return len(blocks), re.sub("\x00+\\d+\x00+", "", text), put_back(text, blocks) == own
+
+    return pd.DataFrame([one(h or "") for h in html], columns=["n_blocks", "rest", "restored"])  # a page at a time

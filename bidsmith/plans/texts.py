@@ -331,6 +331,7 @@ def protected_tags(spark: SparkSession, d: str) -> DataFrame:
     """Pages with nothing, a call or a note and a memo around them: custom tags set aside and put back; the round trip gives the page."""
     from bidsmith.functions.sequences import protect
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")  # whole pages: a batch of 10,000 is several times a worker's memory
     call = F.concat(F.lit("see <Tool_call id='1'>"), F.lit("<p>a</p><b>"), F.lit("</Tool_call>"), "html")
     noted = F.concat("html", F.lit("<x.note>\n<x.note/></x.note> end<memo at='2' />"))
     own = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<br/>"))).when(F.col("page_id") % 3 == 1, call).otherwise(noted)

@@ -25,3 +25,15 @@ def test_positions_round_as_sql(spark, tmp_path):
         assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
     first = catalog.QUERIES["position_transition"](spark, d).where("position_id = 0").first()
     assert first.exit_price == 264.02
+
+
+def test_pages_come_in_small_batches(spark, sf_dir):
+    """Whole pages go to Python a thousand at a time."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        pages = catalog.QUERIES["protected_tags"](spark, sf_dir)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+        assert pages.where("restored").count() == pages.count() > 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
