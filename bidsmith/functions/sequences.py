@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import zlib
 from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -38,6 +42,103 @@ def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+#: Rows, and characters, that numpy takes at once within an Arrow batch.
+ROWS, CHARS = 256, 1 << 18
+
+
+def _by_rows(score):
+    """score of two arrays, a few rows at a time."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        cuts = [pa.array(np.arange(k, min(len(a), k + ROWS))) for k in range(0, max(1, len(a)), ROWS)]
+        return pa.concat_arrays([score(a.take(i), b.take(i)) for i in cuts])
+
+    return run
+
+
+def _coded(a: pa.ListArray, b: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row and code of every element of a, then of b, whose rows are numbered on from a's; and the different texts, by code. A null row has no elements."""
+    words = pa.concat_arrays([a.flatten(), b.flatten()]).dictionary_encode()
+    sizes = np.concatenate([pc.fill_null(pc.list_value_length(x), 0).to_numpy() for x in (a, b)])
+    return np.repeat(np.arange(len(sizes)), sizes), words.indices.to_numpy().astype(np.int64), words.dictionary
+
+
+def _shared(rows: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, code and both counts of what row i and row n + i have in common."""
+    size = int(codes.max(initial=0)) + 1
+    (u, c), (v, d) = (np.unique(rows[own] % n * size + codes[own], return_counts=True) for own in (rows < n, rows >= n))
+    both, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    return both // size, both % size, c[i], d[j]
+
+
+def shared_grams(most: int):
+    """A function of two arrays of text: the sizes of the multiset intersections of their n-grams, n from 1 to most; null for a null array."""
+
+    def score(a: pa.ListArray, b: pa.ListArray) -> pa.Array:
+        rows, words, names = _coded(a, b)
+        out, grams = np.zeros((len(a), most), np.int32), words
+        for n in range(1, most + 1):
+            ends = rows[n - 1 :]
+            if n > 1:  # the gram before and one word more, numbered anew so that numbers stay small
+                grams = np.unique(grams[: len(ends)] * len(names) + words[n - 1 :], return_inverse=True)[1]
+            inside = rows[: len(ends)] == ends
+            row, _, c, d = _shared(ends[inside], grams[inside], max(1, len(a)))
+            out[:, n - 1] = np.bincount(row, np.minimum(c, d), len(a))
+        gone = pc.or_(pc.is_null(a), pc.is_null(b))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * most, pa.int32()), pa.array(out.ravel()), mask=gone)
+
+    return arrow_udf(_by_rows(score), ArrayType(IntegerType()))
+
+
+def _matched(own: pa.ListArray, query: pa.ListArray) -> pa.Array:
+    rows, words, names = _coded(own, query)
+    row, term, f, times = _shared(rows, words, max(1, len(own)))
+    raw = np.bincount(row, math.log(2.0) * f * 2.5 / (f + 1.5) * times, len(own))
+    long = np.bincount(row, pc.utf8_length(names).to_numpy()[term] >= 8, len(own)) > 0
+    return pa.StructArray.from_arrays([pa.array(raw), pa.array(np.bincount(row, minlength=len(own)), pa.int32()), pa.array(long)], ["raw", "matched", "long"])
+
+
+#: Of a document's tokens and a query's: the sum of what each shared term adds (the document being the mean length), how many there are, and whether one has eight characters.
+matched_terms = arrow_udf(_by_rows(_matched), StructType([StructField("raw", DoubleType()), StructField("matched", IntegerType()), StructField("long", BooleanType())]))
+
+
+def simhash(texts: list[str], gram: int = 4) -> list[int]:
+    """64-bit SimHashes over character grams (a shorter text is one), as signed integers; each different gram is hashed once: md5's first eight bytes."""
+    joined = "".join(texts)
+    chars = np.unique(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)[1].astype(np.int64)
+    wide, windows = int(chars.max(initial=0)) + 1, max(0, len(chars) - gram + 1)
+    grams = chars[:windows]
+    for k in range(1, gram):
+        if wide ** (k + 1) >= 2**62:
+            grams = np.unique(grams, return_inverse=True)[1]
+        grams = grams * wide + chars[k : k + windows]
+    _, first, number = np.unique(grams, return_index=True, return_inverse=True)
+    digest = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:8]
+    hashes = np.frombuffer(b"".join(digest(joined[i : i + gram]) for i in first.tolist()), np.uint8).reshape(-1, 8)
+    out, at = [], 0
+    for text in texts:
+        n = len(text) - gram + 1
+        if n < 1:
+            bits = np.frombuffer(digest(text), np.uint8)
+        else:
+            ones = sum(np.unpackbits(hashes[number[k : min(k + CHARS, at + n)]], axis=1).sum(axis=0, dtype=np.int64) for k in range(at, at + n, CHARS))
+            bits = np.packbits(2 * ones > n)
+        out.append(int.from_bytes(bits.tobytes(), "big", signed=True))
+        at += len(text)
+    return out
+
+
+def simhashes(gram: int):
+    """simhash of a column of texts, about CHARS characters at a time."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        part = (texts.str.len().cumsum() // CHARS).to_numpy()
+        cuts = np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1)
+        return pd.Series([h for cut in cuts for h in simhash(texts.iloc[cut].tolist(), gram)], dtype="int64")
+
+    return pandas_udf(run, LongType())
+
+
 def greedy_clusters(hashes: list[int], radius: int = 3) -> list[int]:
     """The first earlier cluster head within radius bits (of 64), else the item itself becomes one."""
     own = np.array([h & (2**64 - 1) for h in hashes], np.uint64)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bidsmith.config import CODE_MARKS, ERROR_INDICATORS, ERROR_WORDS, HTML_MARKS, IMPORTANT_WORDS
+from bidsmith.functions import sequences
 
 TOKEN = r"([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|\b\d{4,}\b|[a-z0-9_]+)"
 WORD = r"(\w+)"
@@ -46,16 +47,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))))
 
 
-def grams(tokens: Column, n: int) -> Column:
-    """The n-grams of a token array, joined by spaces."""
-    k = F.size(tokens) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def clipped(a: Column, b: Column) -> Column:
     """Size of the multiset intersection of two arrays of text."""
-    times = lambda x, w: F.size(F.filter(x, lambda y: y == w))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
+    return sequences.shared_grams(1)(a, b)[0]
 
 
 def token_f1(a: Column, b: Column) -> Column:
@@ -66,7 +60,8 @@ def token_f1(a: Column, b: Column) -> Column:
 
 def bleu(a: Column, b: Column, most: int = 4) -> Column:
     """Geometric mean of the clipped n-gram precisions of a that aren't 0; no brevity penalty."""
-    shares = [F.try_divide(clipped(grams(a, n), grams(b, n)), F.size(grams(a, n))) for n in range(1, most + 1)]
+    both = sequences.shared_grams(most)(a, b)
+    shares = [F.try_divide(both[n - 1], F.greatest(F.lit(0), F.size(a) - (n - 1))) for n in range(1, most + 1)]
     logs = F.filter(F.array(*(F.when(s > 0, F.ln(s)) for s in shares)), lambda x: x.isNotNull())
     return F.when(F.size(logs) > 0, F.exp(F.aggregate(logs, F.lit(0.0), lambda s, x: s + x) / F.size(logs))).otherwise(0.0)
 

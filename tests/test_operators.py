@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -204,3 +205,22 @@ def test_eviction_merge_and_recall(spark):
     assert [(r.n, r.w, r.c, r.e, r.n_merged) for r in got] == [(1, 0.9, 7, ["p", "q"], 2), (2, 0.5, 1, [], 1), (3, 0.2, 1, [], 1), (4, 0.2, 1, [], 1)]
     got = spark.createDataFrame([("The Cat", ["cat", "dog"]), (None, [])], "t string, f array<string>").select(memory.recalled(F.col("t"), F.col("f"))).collect()
     assert [r[0] for r in got] == [0.5, 1.0]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_of_long_texts(spark):
+    """Shared n-grams are counted, not looked for one by one: time grows with a text's length, not its square."""
+    from collections import Counter
+
+    draw = random.Random(3)
+    rows = [([draw.choice("abcdefg") + draw.choice(["x", "y", ""]) for _ in range(draw.choice([0, 1, 2, 3, 5, 900]))], [draw.choice("abcdef") for _ in range(draw.choice([0, 1, 3, 700]))]) for _ in range(600)] + [(None, ["a"]), (["a"], None)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").coalesce(1)
+    got = df.select("a", "b", sequences.shared_grams(4)("a", "b").alias("n"), X.clipped(F.col("a"), F.col("b")).alias("c")).collect()
+    grams = lambda x, n: Counter(zip(*(x[k:] for k in range(n)), strict=False))
+    for r in got:
+        want = None if r.a is None or r.b is None else [(grams(r.a, n) & grams(r.b, n)).total() for n in range(1, 5)]
+        assert (r.n, r.c) == (want, want and want[0])
+    assert "ArrowEvalPython" in planned(df.select(X.bleu(F.col("a"), F.col("b"))))
