@@ -32,13 +32,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def single_bm25(own: Column, query: Column) -> Column:
-    """(bm25, matched) of one document's tokens for a query's, the document itself being the mean length."""
-    terms = F.array_intersect(query, own)
-    times = lambda words, t: (F.size(words) - F.size(F.array_remove(words, t))).cast("double")
-    counted = F.transform(terms, lambda t: F.struct(times(own, t).alias("f"), times(query, t).alias("qf")))
-    raw = F.aggregate(counted, F.lit(0.0), lambda s, x: s + F.ln(F.lit(2.0)) * x["f"] * 2.5 / (x["f"] + 1.5) * x["qf"])
-    base = F.least(F.lit(1.0), raw / 10)
-    return F.struct(F.when(F.exists(terms, lambda t: F.length(t) >= 8), F.least(F.lit(1.0), base + 0.3)).otherwise(base).alias("bm25"), F.size(terms).alias("matched"))
+    """(bm25, matched) of one document's tokens for a query's, the document itself being the mean length: an Arrow-batched function."""
+    x = sequences.matched_terms(own, query)
+    base = F.least(F.lit(1.0), x["raw"] / 10)
+    return F.when(own.isNotNull() & query.isNotNull(), F.struct(F.when(x["long"], F.least(F.lit(1.0), base + 0.3)).otherwise(base).alias("bm25"), x["matched"].alias("matched")))
 
 
 def cosine(a: Column, b: Column) -> Column:

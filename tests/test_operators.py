@@ -224,3 +224,15 @@ def test_grams_of_long_texts(spark):
         want = None if r.a is None or r.b is None else [(grams(r.a, n) & grams(r.b, n)).total() for n in range(1, 5)]
         assert (r.n, r.c) == (want, want and want[0])
     assert "ArrowEvalPython" in planned(df.select(X.bleu(F.col("a"), F.col("b"))))
+
+
+def test_matched_terms_of_long_texts(spark):
+    """A document is split into tokens once, not once a term."""
+    rows = [("to be or not to be identifier", "to be identifier to the"), ("x", "y"), ("", ""), (None, "a"), ("wörld 1234 " * 3000, "1234 w rld")]
+    df = spark.createDataFrame(rows, "x string, y string").coalesce(1)
+    scored = df.select(X.single_bm25(X.tokens(F.col("x")), X.tokens(F.col("y"))).alias("s"))
+    part = lambda f, q: math.log(2) * f * 2.5 / (f + 1.5) * q
+    want = [((2 * part(2, 1) + part(2, 1) + part(1, 1)) / 10 + 0.3, 3), (0.0, 0), (0.0, 0), (0.0, 0), (3 * part(3000, 1) / 10, 3)]
+    for r, (bm25, matched) in zip(scored.collect(), want, strict=True):
+        assert (round(r.s.bm25, 9), r.s.matched) == (round(min(1.0, bm25), 9), matched)
+    assert "ArrowEvalPython" in planned(scored)
