@@ -113,14 +113,7 @@ def line_score(line: Column, context: list[str], anchors: tuple[str, ...] = ())
 
 def simhash(text: Column, gram: int = 4) -> Column:
     """64-bit SimHash (as a signed integer) over character grams; md5's first 16 hex digits are the gram hashes."""
-    own = F.lower(F.coalesce(text, F.lit("")))
-    n = F.greatest(F.lit(1), F.length(own) - gram + 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(F.md5(F.substring(own, i, F.lit(gram)).cast("binary")), 1, 16), 16, -10).cast("bigint"))
-    one = F.lit(1).cast("bigint")
-    # sums of 64 bits: each gram adds 1 or -1 a place
-    sums = F.aggregate(hashes, F.array_repeat(F.lit(0), 64), lambda s, h: F.transform(s, lambda v, k: v + F.when(F.call_function("getbit", h, k) == 1, 1).otherwise(-1)))
-    bits = F.transform(sums, lambda v, k: F.when(v > 0, F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("bigint")))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, b: s.bitwiseOR(b))
+    return sequences.simhashes(gram)(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def decayed(importance: Column, age_days: Column, accesses: Column, rate: float) -> Column:

@@ -236,3 +236,24 @@ def test_matched_terms_of_long_texts(spark):
     for r, (bm25, matched) in zip(scored.collect(), want, strict=True):
         assert (round(r.s.bm25, 9), r.s.matched) == (round(min(1.0, bm25), 9), matched)
     assert "ArrowEvalPython" in planned(scored)
+
+
+def test_simhash_of_many_grams(spark, monkeypatch):
+    """Each different gram is hashed once for many texts; long texts are counted a part at a time."""
+    import hashlib
+
+    def by_hand(text):
+        grams = [text[i : i + 4] for i in range(max(1, len(text) - 3))]
+        ones = [int.from_bytes(hashlib.md5(g.encode()).digest()[:8], "big") for g in grams]
+        v = sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in ones) > len(grams))
+        return v - 2**64 if v >= 2**63 else v
+
+    draw = random.Random(9)
+    texts = ["", "a", "abc", "abcd", "😀é中文" * 3] + ["".join(draw.choices("abc dé😀", k=draw.randint(0, 300))) for _ in range(60)] + ["ab" * 4000]
+    monkeypatch.setattr(sequences, "CHARS", 1000)
+    assert sequences.simhash(texts) == [by_hand(t) for t in texts]
+    wide = ["".join(map(chr, range(0x4E00, 0x9FFF))) + "".join(map(chr, range(0x20000, 0x2A000))) + "".join(map(chr, range(0xAC00, 0xD7A3)))]
+    assert sequences.simhash(wide) == [by_hand(wide[0])]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").coalesce(1).select(X.simhash(F.col("t")))
+    assert [r[0] for r in df.collect()] == [by_hand(t.lower()) for t in [*texts, ""]]
+    assert "ArrowEvalPython" in planned(df)
