@@ -257,3 +257,10 @@ def test_simhash_of_many_grams(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").coalesce(1).select(X.simhash(F.col("t")))
     assert [r[0] for r in df.collect()] == [by_hand(t.lower()) for t in [*texts, ""]]
     assert "ArrowEvalPython" in planned(df)
+
+
+def test_optimal_k_hashes_in_batches(spark, sf_dir):
+    """The turns' SimHashes come from Arrow batches before conversations are brought together."""
+    from bidsmith import catalog
+
+    assert "ArrowEvalPython" in planned(catalog.QUERIES["optimal_k"](spark, sf_dir))
