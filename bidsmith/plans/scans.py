@@ -152,10 +152,10 @@ def busy_page(filters_: dict, page: int, size: int):
 
 @query("SELECT event_id, event_type AS kind FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'")
 def busy_scan(spark: SparkSession, d: str) -> DataFrame:
-    """A service that is busy at every second request, asked again after a pause, with pauses between requests."""
+    """A service that is busy at every second request, asked again after a pause, with pauses between requests; as many tasks as run at once page side by side."""
     from bidsmith.plans.polls import NOTICE, service
 
-    return paged_table(spark, "bidsmith.plans.scans:busy_page", NOTICE, ["event_id", "kind"], size=25, pause=0.01, backoff=0.02, order="event_id", **{"filter.folder": service(spark, d), "filter.day": "2024-01-15"})
+    return paged_table(spark, "bidsmith.plans.scans:busy_page", NOTICE, ["event_id", "kind"], size=25, pause=0.01, backoff=0.02, order="event_id", lanes=spark.sparkContext.defaultParallelism, **{"filter.folder": service(spark, d), "filter.day": "2024-01-15"})
 
 
 @query(f"""WITH {BARS}, p AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day, event_id % 6 = 0 AS had, event_id % 11 = 0 AS lacks FROM events WHERE event_type = 'purchase')

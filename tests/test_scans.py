@@ -81,3 +81,12 @@ def test_enrichment_goes_on_where_it_stopped(spark, tmp_path):
     got = spark.read.schema("ident string, ticker string, open_t0 string, close_t0 string").parquet(str(tmp_path / "out")).collect()
     want = {str(10 * k + i): "" if i == 0 else "1.0" if i == 3 else f"v{10 * k + i}" for k in range(4) for i in range(5)}
     assert {r.ident: r.open_t0 for r in got} == want and len(got) == 20
+
+
+def test_busy_service_is_paged_side_by_side(spark, sf_dir):
+    """Pauses between a task's requests add up over its own pages only."""
+    from bidsmith import catalog
+
+    df = catalog.QUERIES["busy_scan"](spark, sf_dir)
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert df.select("event_id").distinct().count() == df.count() > 0
