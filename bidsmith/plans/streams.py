@@ -89,17 +89,17 @@ def stream_memo_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLES["award_verdict"])
 def stream_award_verdict(spark: SparkSession, d: str) -> DataFrame:
-    """The verdicts of `award_verdict`, with awards, filings and news as streams that are staged by day; a mark at the end of each lets the last ones out."""
-    end = F.lit("2024-12-31").cast("timestamp")
+    """The verdicts of `award_verdict`, with awards, filings and news as streams that are staged by a few days; a mark at the end of each lets the
+    last ones out. Awards wait for the days that a stage holds, and what waits is kept in RocksDB."""
+    end, days = F.lit("2024-12-31").cast("timestamp"), 4
     own, seen, kinds = verdict_inputs(spark, d)
     own, seen = own.withColumn("seen", F.col("seen").cast("timestamp")), seen.withColumn("d", F.col("d").cast("timestamp"))
     streams = []
     for name, rows, at in (("awards", own, "seen"), ("facts", seen, "d")):
-        to, blank = S.shared(spark, name), {c: F.lit(None).cast(t) for c, t in rows.dtypes}
+        blank = {c: F.lit(None).cast(t) for c, t in rows.dtypes}
         last = spark.range(1).select(*((end if c == at else F.lit(-1).cast(t) if c == "award_id" else F.lit("error") if c == "event_type" else F.lit(-1).cast(t) if c == "cik" else blank[c]).alias(c) for c, t in rows.dtypes))
-        for part in (rows, last):
-            part.coalesce(1).write.mode("append").parquet(to)
-        streams.append(S.table_stream(spark, to, 1))
-    met = verdicts.flagged(streams[0], streams[1], "award_id", "cik", "seen", "d", kinds)
-    out = S.drained(met, "verdicts").where("award_id >= 0")
+        streams.append(S.staged(rows.unionByName(last), at, S.shared(spark, name), days))
+    met = verdicts.flagged(streams[0], streams[1], "award_id", "cik", "seen", "d", kinds, f"{days + 1} days")
+    with keyed.rocksdb(spark):
+        out = S.drained(met, "verdicts").where("award_id >= 0")
     return filters.live_verdict(out, LIMITS).select("award_id", "reason", "passed")

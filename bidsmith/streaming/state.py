@@ -58,6 +58,19 @@ def table_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", name if name.endswith(".parquet") else "*").option("recursiveFileLookup", "true").parquet(folder if name.endswith(".parquet") else path)
 
 
+def staged(rows: DataFrame, at: str, to: str, days: int = 4, files: int = 8) -> DataFrame:
+    """A stream of rows in the order of the time `at`, about so many days a batch: files are written period by period.
+
+    Within a period files come in any order, so what follows needs a delay of more than `days`. Small periods come several at a time.
+    """
+    spark, period = rows.sparkSession, F.floor(F.unix_date(F.to_date(at)) / days).alias("_period")
+    rows.select("*", period).write.partitionBy("_period").parquet(f"{to}-all")
+    every = spark.read.parquet(f"{to}-all")
+    for r in every.select("_period").distinct().orderBy("_period").collect():  # a row a period: bounded by time
+        every.where(F.col("_period").eqNullSafe(F.lit(r[0]))).select(*rows.columns).coalesce(files).write.mode("append").parquet(to)
+    return table_stream(spark, to, files)
+
+
 def first_seen(stream: DataFrame, keys: list[str], at: str | None = None, delay: str = "30 days") -> DataFrame:
     """Each key once. With `at`, state older than the delay is dropped, so it stays bounded."""
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys) if at else stream.dropDuplicates(keys)

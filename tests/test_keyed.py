@@ -59,3 +59,20 @@ def test_one_timer_for_what_a_batch_puts_in_anew(spark, tmp_path):
     due = spark.read.format("statestore").option("stateVarName", "due").load(f"{to}/checkpoint")
     assert {r.at for r in due.select("user_map_key.at").collect()} == {int((T + dt.timedelta(hours=84)).replace(tzinfo=dt.timezone.utc).timestamp() * 1000)}
     assert due.select("key").distinct().count() > 1
+
+
+def test_staged_streams_come_in_the_order_of_time(spark, tmp_path):
+    """A stage is a few days, written after the one before it: a stream of it is no later than those days, and all rows come."""
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from bidsmith.streaming import state as S
+
+    rows = spark.range(0, 400, 1, 7).select("id", (F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.xxhash64("id"), F.lit(40 * 86400)))).alias("at"))
+    stream = S.staged(rows, "at", str(tmp_path / "in"), days=4, files=3)
+    files = sorted(glob.glob(f"{tmp_path}/in/*.parquet"), key=os.path.getmtime)
+    periods = [{r[0] for r in spark.read.parquet(f).select(F.floor(F.unix_date(F.to_date("at")) / 4)).distinct().collect()} for f in files]
+    assert len(files) > 3 and all(len(p) == 1 for p in periods) and periods == sorted(periods, key=min)
+    assert S.drained(stream.withWatermark("at", "5 days").dropDuplicatesWithinWatermark(["id"]), "staged").count() == 400
