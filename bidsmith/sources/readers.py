@@ -11,7 +11,7 @@ from bidsmith import schemas
 from bidsmith.config import IDIQ_NOTICE, PRESS_WIRES, SOLE_NOTICE
 from bidsmith.functions import cleaning as C
 from bidsmith.sources.lines import byte_lines
-from bidsmith.sources.sinks import published
+from bidsmith.sources.sinks import published, settled
 
 HEADER = "CAGE Code"
 
@@ -26,7 +26,8 @@ def report_csv(spark: SparkSession, path: str, encoding: str | None = None, spli
     one, they are read by byte ranges of about `split` (`lines.byte_lines`).
     """
     if encoding:
-        lines = byte_lines(spark, path, encoding, split)
+        # read once: several steps below go through the lines, and a task a range is dear; ranges are read in turn by a few tasks a core
+        lines = settled(byte_lines(spark, path, encoding, split).coalesce(4 * spark.sparkContext.defaultParallelism), "lines")
     else:
         lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"))
     place = F.struct("split", "at")

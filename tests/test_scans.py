@@ -90,3 +90,15 @@ def test_busy_service_is_paged_side_by_side(spark, sf_dir):
     df = catalog.QUERIES["busy_scan"](spark, sf_dir)
     assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
     assert df.select("event_id").distinct().count() == df.count() > 0
+
+
+def test_ranges_of_a_report_are_read_once(spark, tmp_path):
+    """However many steps go through the lines, Python reads each range once; the rows are those of the file."""
+    from bidsmith.sources import readers
+
+    rows = [f'"{i}","0AB12","a ""b"" Ñ{i}{chr(10) if i % 7 == 0 else ""}x"' for i in range(300)]
+    (tmp_path / "r.csv").write_bytes("\n".join(["a report", "PIID,CAGE Code,Contractor Name", *rows]).encode("latin-1"))
+    df = readers.report_csv(spark, str(tmp_path / "r.csv"), "iso-8859-1", 512)
+    assert "byte_lines" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r.piid: r.contractor_name for r in df.select("piid", "contractor_name").collect()}
+    assert got == {str(i): f'a "b" Ñ{i}{chr(10) if i % 7 == 0 else ""}x' for i in range(300)}
