@@ -37,7 +37,7 @@ from bidsmith.llm.common import annotate, cut, discard, hot_join, partitions, sm
 from bidsmith.llm.graph import components
 from bidsmith.llm.text import shingle_sets
 
-TREES, DEPTH, SMALL, NEAR, POSTED = 20, 4, 8, 2, 256
+TREES, DEPTH, SMALL, NEAR, POSTED, WAYS = 20, 4, 8, 2, 256, 16
 SIZE = TREES * DEPTH
 BATCH = 2_000_000
 _DRAWN = np.random.default_rng(20240229)
@@ -168,8 +168,11 @@ def shared_prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
     members: doc, root, text. Shingles are ordered by how many members have them, those of one
     root first. Sets of similarity percent share all but a few shingles, so their first common
     one lies among the first n - ceil(percent * n / 100) + 1 of either, with enough of both sets
-    after it. A shingle's list of members is cut into blocks of about POSTED, and all pairs of
-    blocks are compared, each in its own group.
+    after it: `after` of a set's shingles allow partners of at most `most` shingles. So the smaller
+    set of a pair has a first common shingle with most >= n (it leads), which most entries haven't;
+    of a shingle's list, only members that some leader's size allows are compared, leaders with all.
+    Leaders and all are dealt into blocks of about POSTED, at most WAYS of either, and each pair of
+    blocks is a group of its own: the rows dealt are at most WAYS times the entries, however long a list is.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,20 +183,27 @@ def shared_prefixes(members: DataFrame, percent: int, width: int) -> DataFrame:
                 n = np.diff(begin)
                 yield pd.DataFrame({"doc": np.repeat(part["doc"].to_numpy(), n), "root": np.repeat(part["root"].to_numpy(), n), "n": np.repeat(n, n), "shingle": sets.view(np.int64)})
 
-    across = [F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")]
+    # lists of one root are joined too and left after it: hot_join spreads only keys that both sides have
+    across = [F.count("*").alias("often"), F.min("root").alias("x"), F.max("root").alias("y")]
     entries = cut(members.mapInPandas(run, "doc bigint, root bigint, n bigint, shingle bigint"), "entries")
-    often = entries.groupBy("shingle").agg(*across).where("x < y").select("shingle", "c", F.col("c").alias("often"))
-    ranked = hot_join(entries, often, ["shingle"], "often").groupBy("doc", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("own"))
-    before = F.col("n") - F.size("own")
-    some = F.greatest(F.lit(0), F.expr(f"n - ({percent} * n + 99) div 100 + 1") - before).cast("int")
-    first = cut(ranked.select("doc", "root", "n", before.alias("before"), F.posexplode(F.slice("own", F.lit(1), some)).alias("k", "s")).select("doc", "root", "n", (F.col("n") - F.col("before") - F.col("k")).alias("after"), "s.shingle"), "prefixes")
-    blocks = first.groupBy("shingle").agg(*across).where("x < y").select("shingle", F.expr(f"cast((c + {POSTED - 1}) div {POSTED} as int)").alias("blocks"), F.col("c").alias("often"))
-    dealt = hot_join(first, blocks, ["shingle"], "often").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    a = dealt.select("shingle", F.col("own").alias("i"), F.col("other").alias("j"), F.col("doc").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), F.col("after").alias("after_a"))
-    b = dealt.select("shingle", F.col("other").alias("i"), F.col("own").alias("j"), F.col("doc").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("after").alias("after_b"))
-    enough = f"a > b and root_a <> root_b and {100 + percent} * least(after_a, after_b) >= {percent} * (n_a + n_b)"
-    return a.hint("merge").join(b, ["shingle", "i", "j"]).where(enough).select("a", "b").distinct()
+    often = entries.groupBy("shingle").agg(*across).where("often > 1").withColumn("c", F.col("often"))
+    ranked = hot_join(entries, often, ["shingle"], "often").where("x < y").groupBy("doc", "root", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("own"))
+    some = F.greatest(F.lit(0), F.expr(f"size(own) - ({percent} * n + 99) div 100 + 1")).cast("int")
+    first = ranked.select("doc", "root", "n", F.size("own").alias("all"), F.posexplode(F.slice("own", F.lit(1), some)).alias("k", "s"))
+    first = cut(first.select("doc", "root", "n", F.expr(f"{100 + percent} * (all - k) div {percent} - n").alias("most"), "s.shingle"), "prefixes", entries)
+    leads = F.col("most") >= F.col("n")
+    sizes = first.groupBy("shingle").agg(*across, F.min(F.when(leads, F.col("n"))).alias("low"), F.max(F.when(leads, F.col("most"))).alias("high")).where("often > 1")
+    met = cut(hot_join(first, sizes, ["shingle"], "often").where("x < y and n <= high and most >= low").select(*first.columns), "met", first)
+    blocks = lambda count: F.least(F.lit(WAYS), F.ceil(count / POSTED)).cast("int")
+    lists = met.groupBy("shingle").agg(*across, blocks(F.count(F.when(leads, 1))).alias("i_of"), blocks(F.count("*")).alias("j_of")).where("often > 1")
+    dealt = hot_join(met, lists, ["shingle"], "often").where("x < y")
+    block = lambda of: F.pmod(F.xxhash64("doc"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    a = dealt.where(leads).select("shingle", block("i_of").alias("i"), every("j_of").alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("doc", "root", "n", "most")))
+    b = dealt.select("shingle", every("i_of").alias("i"), block("j_of").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("doc", "root", "n", "most")))
+    enough = "(n_a < n_b or n_a = n_b and doc_a < doc_b) and root_a <> root_b and n_b <= most_a and n_a <= most_b"
+    both = a.hint("merge").join(b, ["shingle", "i", "j"]).where(enough)
+    return both.select(F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:

@@ -366,6 +366,57 @@ def test_template_family(spark):
     assert {r.doc_id: r.component_id for r in out} == want
 
 
+def generated(df):
+    """Rows made by the Generate operators of a DataFrame that was collected."""
+
+    def under(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return under(node.executedPlan())
+        if "QueryStage" in name:
+            return under(node.plan())
+        below = node.children()
+        own = node.metrics().apply("numOutputRows").value() if name.startswith("Generate") else 0
+        return own + sum(under(below.apply(i)) for i in range(below.size()))
+
+    return under(df._jdf.queryExecution().executedPlan())
+
+
+def test_long_lists_are_dealt_in_proportion(spark, monkeypatch):
+    """Twice the members of one family are about twice the rows dealt, and no pair that is alike enough is left out."""
+    monkeypatch.setattr(near_dup, "POSTED", 1)
+    draw = np.random.default_rng(17)
+    base = [f"w{x}" for x in draw.integers(0, 1_000_000, 60)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for p in draw.choice(60, int(draw.integers(1, 4)), replace=False):
+            w[p] = f"x{i}_{p}"
+        rows.append((i, i - i % 5, " ".join(w[int(draw.integers(0, 4)) : 60 - int(draw.integers(0, 4))])))
+    made = []
+    for n in (300, 600):
+        out = near_dup.shared_prefixes(spark.createDataFrame(rows[:n], "doc bigint, root bigint, text string"), 80, 5)
+        got = {(r.a, r.b) for r in out.collect()}
+        made.append(generated(out))
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for _, _, t in rows[:n] for w in [t.split()]]
+        want = {(a, b) for a in range(n) for b in range(a) if rows[a][1] != rows[b][1] and (both := len(sets[a] & sets[b])) * 180 >= 80 * (len(sets[a]) + len(sets[b]))}
+        assert want and want <= got
+        assert all(a > b and rows[a][1] != rows[b][1] for a, b in got)
+    assert 0 < made[1] <= 2.5 * made[0]
+
+
+def test_sets_without_leaders_are_not_dealt(spark):
+    """Sets of which too much is their own to be alike are not compared, and pairs that are alike are found among them."""
+    draw = np.random.default_rng(9)
+    own = lambda k: [f"w{x}" for x in draw.integers(0, 1_000_000, k)]
+    core = own(130)
+    rows = [[*core, *own(16)] for _ in range(600)]
+    rows += [[*rows[i][:-10], *own(10)] for i in range(0, 600, 60)]
+    out = near_dup.shared_prefixes(spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(rows)], "doc bigint, root bigint, text string"), 85, 5)
+    assert {(r.a, r.b) for r in out.collect()} == {(600 + i, 60 * i) for i in range(10)}
+    assert 0 < generated(out) < 600
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 103), (103, 102), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
